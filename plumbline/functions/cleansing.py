@@ -77,7 +77,7 @@ def safe_identifier(name: Column) -> Column:
 
 def list_items(csv: Column) -> Column:
     """Non-empty trimmed items of a comma-separated text."""
-    return F.filter(F.transform(F.split(csv, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(csv, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def row_digest(columns: Sequence[str]) -> Column:
