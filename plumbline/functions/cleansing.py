@@ -48,7 +48,7 @@ def date_and_millis(day: Column, ms_of_day: Column) -> Column:
 
 def day_key(day: Column) -> Column:
     """Eight-digit text of a date, null for a null date."""
-    return F.date_format(day, "yyyyMMdd")
+    return F.replace(day.cast("date").cast("string"), F.lit("-"), F.lit(""))
 
 
 def as_date(df: DataFrame, column: str) -> Column:

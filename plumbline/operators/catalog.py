@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.quality import completeness
 from plumbline.operators.upsert import insert_absent, upsert
-from plumbline.scale import cut_lineage, lookup_join
+from plumbline.scale import materialise, lookup_join
 
 EDGE = "src string, dst string"
 
@@ -34,17 +34,17 @@ def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None)
     """All nodes downstream of the ``node`` column of ``start``, except those, with the least depth.
 
     Breadth-first: each round joins the newest nodes with the edges, and keeps unseen nodes. The
-    frontier is a distinct set, so a node with many edges is spread by the lookup join. Rounds are
-    cut with a reliable checkpoint.
+    frontier is a distinct set, so a node with many edges is spread by the lookup join. The result
+    of each round is written to the shared directory.
     """
-    seen = cut_lineage(start.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen = materialise(start.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = lookup_join(edges, frontier.select(F.col("node").alias("src")), ["src"], "inner")
         found = step.select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        frontier = cut_lineage(found.withColumn("depth", F.lit(depth)))
+        frontier = materialise(found.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

@@ -1,4 +1,10 @@
-"""Entity matching between two systems by rules on their fields."""
+"""Entity matching between two systems by rules on their fields.
+
+Everything is done on distinct values: records are reduced to the digest of the values that a rule
+reads, digests are linked, and the links are brought back to the records. A value carried by a large
+share of all records is therefore compared once, and the result has one row per right record and
+matched left value, never one per pair of records.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.errors import SpecError
+from plumbline.scale import lookup_join
 
 DEFAULT_THRESHOLD = 0.85
 
@@ -23,6 +30,9 @@ class Term:
     threshold: float = DEFAULT_THRESHOLD
 
 
+Rules = Sequence[Sequence[Term]]
+
+
 def normalized(c: Column) -> Column:
     """Upper case letters and digits only."""
     return F.regexp_replace(F.upper(c.cast("string")), "[^A-Z0-9]", "")
@@ -34,88 +44,137 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def match(
-    left: DataFrame, right: DataFrame, left_id: str, right_id: str, rules: Sequence[Sequence[Term]]
-) -> DataFrame:
-    """Pairs that meet all terms of any rule, with the best confidence.
+def _fields(terms: Sequence[Term], side: str) -> tuple[list[Column], list[Column]]:
+    """Columns that must be equal, as text, and columns that must be similar."""
+    equal, similar = [], []
+    for t in terms:
+        c = F.col(getattr(t, side))
+        if t.op == "direct":
+            equal.append(c.cast("string"))
+        elif t.op == "normalized":
+            equal.append(normalized(c))
+        elif t.op == "similarity":
+            similar.append(normalized(c))
+        else:
+            raise SpecError(f"unknown matching operator {t.op!r}")
+    if not equal:
+        raise SpecError("a matching rule needs a direct or normalized term besides similarity")
+    return equal, similar
 
-    Every rule needs a direct or normalized term: these form the join key, and similarity is only
-    computed between values that share it. Equal values are compared once, whatever the number of
-    rows that carry them, and candidate pairs below the threshold never leave the join.
-    """
-    found = None
-    for terms in rules:
-        pairs = _match_rule(left, right, left_id, right_id, terms)
-        found = pairs if found is None else found.unionByName(pairs)
-    best = found.groupBy("left_id", "right_id").agg(F.max("confidence").alias("confidence"))
-    return best.withColumn("global_id", F.sha2(F.concat(F.lit("entity:"), F.col("left_id").cast("string")), 256))
 
+def _records(df: DataFrame, id_column: str, rules: Rules, side: str) -> DataFrame:
+    """``id, rule, key, text, value`` per record and rule; records with a null field are left out.
 
-def _values(df: DataFrame, id_column: str, terms: Sequence[Term], side: str) -> DataFrame:
-    parts = {}
-    for i, t in enumerate(terms):
-        c = F.col(getattr(t, side))
-        parts[f"_{side}{i}"] = normalized(c) if t.op != "direct" else c
-    return df.select(F.col(id_column).alias(f"{side}_id"), *[c.alias(n) for n, c in parts.items()])
+    ``key`` identifies the values that must be equal and ``value`` all values of the rule.
+    """
+    parts = []
+    for i, terms in enumerate(rules):
+        equal, similar = _fields(terms, side)
+        key = F.sha2(F.to_json(F.struct(*[c.alias(f"k{j}") for j, c in enumerate(equal)])), 256)
+        text = F.array(*similar).cast("array<string>")
+        usable = F.lit(True)
+        for c in [*equal, *similar]:
+            usable = usable & c.isNotNull()
+        parts.append(F.when(usable, F.struct(F.lit(i).alias("rule"), key.alias("key"), text.alias("text"))))
+    rows = df.select(F.col(id_column).alias("id"), F.explode(F.array_compact(F.array(*parts))).alias("r"))
+    value = F.sha2(F.concat("key", F.lit("|"), F.to_json("text")), 256)
+    return rows.select("id", "r.*").withColumn("value", value)
+
+
+def _values(records: DataFrame) -> DataFrame:
+    """Distinct values with their number of records and least id; counted before the shuffle."""
+    return records.groupBy("rule", "key", "value").agg(
+        F.min("id").alias("id"), F.count("*").alias("records"), F.first("text").alias("text")
+    )
 
 
-def _match_rule(left, right, left_id, right_id, terms) -> DataFrame:
-    fuzzy = [i for i, t in enumerate(terms) if t.op == "similarity"]
-    exact = [i for i, t in enumerate(terms) if t.op != "similarity"]
-    if not exact:
-        raise SpecError("a matching rule needs a direct or normalized term besides similarity")
-    a, b = _values(left, left_id, terms, "left"), _values(right, right_id, terms, "right")
-    key = [f"_k{i}" for i in exact]
-
-    def keyed(df, side):
-        return df.withColumnsRenamed({f"_{side}{i}": f"_k{i}" for i in exact})
-
-    a, b = keyed(a, "left"), keyed(b, "right")
-    if not fuzzy:
-        return a.join(b, key).select("left_id", "right_id", F.lit(1.0).alias("confidence"))
-    lv, rv = [f"_left{i}" for i in fuzzy], [f"_right{i}" for i in fuzzy]
-    scores = [similarity(F.col(f"_left{i}"), F.col(f"_right{i}")) for i in fuzzy]
-    near = a.select(*key, *lv).distinct().join(b.select(*key, *rv).distinct(), key)
-    for i, score in zip(fuzzy, scores, strict=True):
-        # A length difference bounds the distance from below and is cheaper to test first.
-        gap = F.abs(F.length(f"_left{i}") - F.length(f"_right{i}"))
-        longest = F.greatest(F.length(f"_left{i}"), F.length(f"_right{i}"))
-        near = near.filter((gap <= longest * (1 - terms[i].threshold)) & (score >= terms[i].threshold))
-    near = near.withColumn("confidence", F.least(*scores) if len(scores) > 1 else scores[0])
-    return (
-        near.join(a, [*key, *lv]).join(b, [*key, *rv]).select("left_id", "right_id", "confidence")
+def _links(left: DataFrame, right: DataFrame, rules: Rules) -> DataFrame:
+    """Left and right values that meet a rule, with the similarity."""
+    l_side = _values(left).select(
+        "rule", "key", F.col("value").alias("left_value"), F.col("id").alias("left_id"),
+        F.col("records").alias("left_records"), F.col("text").alias("a"),
+    )
+    r_side = _values(right).select(
+        "rule", "key", F.col("value").alias("right_value"), F.col("records").alias("right_records"), F.col("text").alias("b")
     )
+    pairs = l_side.join(r_side, ["rule", "key"])
+    bounds, confidence = F.lit(True), F.lit(None).cast("double")
+    for i, terms in enumerate(rules):
+        fuzzy = [t for t in terms if t.op == "similarity"]
+        scores = []
+        enough = F.lit(True)
+        for j, t in enumerate(fuzzy):
+            a, b = F.get("a", F.lit(j)), F.get("b", F.lit(j))
+            bound = t.threshold
+            longest = F.greatest(F.length(a), F.length(b))
+            # A difference in length bounds the distance from below and is cheaper to test.
+            enough = enough & (F.abs(F.length(a) - F.length(b)) <= longest * (1 - bound)) & (similarity(a, b) >= bound)
+            scores.append(similarity(a, b))
+        score = F.lit(1.0) if not scores else scores[0] if len(scores) == 1 else F.least(*scores)
+        bounds = F.when(F.col("rule") == i, enough).otherwise(bounds)
+        confidence = F.when(F.col("rule") == i, score).otherwise(confidence)
+    return pairs.filter(bounds).withColumn("confidence", confidence).drop("a", "b")
+
+
+def match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, rules: Rules) -> DataFrame:
+    """Global identity of every matched right record.
+
+    ``left_id`` is the least of the left records that share the matched values, and
+    ``left_records`` their number. Confidence is the best over all rules.
+    """
+    rows = _records(right, right_id, rules, "right")
+    links = _links(_records(left, left_id, rules, "left"), rows, rules)
+    found = links.select(F.col("right_value").alias("value"), "left_id", "left_records", "confidence")
+    # A frequent value is spread over many tasks by the lookup join.
+    joined = lookup_join(rows.select(F.col("id").alias("right_id"), "value"), found, ["value"], "inner")
+    best = joined.groupBy("right_id", "left_id").agg(
+        F.max("confidence").alias("confidence"), F.max("left_records").alias("left_records")
+    )
+    return best.withColumn("global_id", F.sha2(F.concat(F.lit("entity:"), F.col("left_id").cast("string")), 256))
 
 
-def conflicts(left: DataFrame, right: DataFrame, left_id: str, right_id: str, matches: DataFrame) -> DataFrame:
-    """Records that need a decision: without a partner, or with several partners."""
-    many_left = matches.groupBy("left_id").agg(F.count("*").alias("n")).filter("n > 1")
-    many_right = matches.groupBy("right_id").agg(F.count("*").alias("n")).filter("n > 1")
-    lone_left = left.select(F.col(left_id).alias("left_id")).join(matches.select("left_id").distinct(), "left_id", "left_anti")
-    lone_right = right.select(F.col(right_id).alias("right_id")).join(
-        matches.select("right_id").distinct(), "right_id", "left_anti"
-    )
+def swapped(rules: Rules) -> Rules:
+    return [[Term(t.right, t.left, t.op, t.threshold) for t in terms] for terms in rules]
 
-    def report(df: DataFrame, side: str, issue: str) -> DataFrame:
-        return df.select(F.lit(side).alias("side"), F.col(f"{side}_id").cast("string").alias("native_id"), F.lit(issue).alias("issue"))
 
-    return (
-        report(many_left, "left", "one-to-many")
-        .unionByName(report(many_right, "right", "one-to-many"))
-        .unionByName(report(lone_left, "left", "unmatched"))
-        .unionByName(report(lone_right, "right", "unmatched"))
-    )
+def conflicts(left: DataFrame, right: DataFrame, left_id: str, right_id: str, rules: Rules) -> DataFrame:
+    """Records that need a decision: ``side, native_id, issue``.
 
+    unmatched: no partner; one-to-many: several partners; low-confidence: a left record whose best
+    candidate under a similarity rule stays below the threshold.
+    """
 
-def below_threshold(
-    left: DataFrame, right: DataFrame, left_id: str, right_id: str, terms: Sequence[Term]
-) -> DataFrame:
-    """Best candidate of each left record that shares the key but is not similar enough."""
-    loose = [Term(t.left, t.right, t.op, 0.0) if t.op == "similarity" else t for t in terms]
-    bound = min(t.threshold for t in terms if t.op == "similarity")
-    scored = _match_rule(left, right, left_id, right_id, loose)
-    best = scored.groupBy("left_id").agg(F.max("confidence").alias("confidence"))
-    return best.filter(F.col("confidence") < bound)
+    def report(df: DataFrame, side: str, issue: str) -> DataFrame:
+        native = F.col("id").cast("string").alias("native_id")
+        return df.select(F.lit(side).alias("side"), native, F.lit(issue).alias("issue"))
+
+    found = {
+        "left": match(right, left, right_id, left_id, swapped(rules)),
+        "right": match(left, right, left_id, right_id, rules),
+    }
+    out = None
+    for side, frame, column in (("left", left, left_id), ("right", right, right_id)):
+        counted = found[side].groupBy(F.col("right_id").alias("id")).agg(
+            F.count("*").alias("partners"), F.max("left_records").alias("copies")
+        )
+        lone = frame.select(F.col(column).alias("id")).join(counted.select("id"), "id", "left_anti")
+        part = report(lone, side, "unmatched").unionByName(
+            report(counted.filter("partners > 1 OR copies > 1"), side, "one-to-many")
+        )
+        out = part if out is None else out.unionByName(part)
+    weak = below_threshold(left, right, left_id, right_id, [r for r in rules if any(t.op == "similarity" for t in r)])
+    return out if weak is None else out.unionByName(report(weak, "left", "low-confidence"))
+
+
+def below_threshold(left: DataFrame, right: DataFrame, left_id: str, right_id: str, rules: Rules) -> DataFrame | None:
+    """Left records that share a rule's equal fields with some right record, none of them similar enough."""
+    if not rules:
+        return None
+    a, b = _records(left, left_id, rules, "left"), _records(right, right_id, rules, "right")
+    candidates = a.join(b.select("rule", "key").distinct(), ["rule", "key"], "left_semi").select("id", "value")
+    enough = _links(a, b, rules).select(F.col("left_value").alias("value")).distinct()
+    good = lookup_join(candidates, enough, ["value"], "inner").select("id").distinct()
+    return candidates.select("id").distinct().join(good, "id", "left_anti")
 
 
 def without_partner_near(
@@ -123,9 +182,20 @@ def without_partner_near(
 ) -> DataFrame:
     """Left rows without any right row of the same key within ``days`` of their date.
 
-    The distinct right dates are widened by the window first, which turns the range condition into
-    an equality.
+    Dates are put in buckets as wide as the window. The distinct right dates are repeated in the two
+    or three buckets that their window touches, so the join is an equality with a cheap extra test.
     """
-    around = F.sequence(F.date_sub(right_day, days), F.date_add(right_day, days))
-    dates = right.select(*keys, right_day).distinct().select(*keys, F.explode(around).alias(left_day)).distinct()
-    return left.join(dates, [*keys, left_day], "left_anti")
+    width = max(days, 1)
+
+    def bucket(day: Column) -> Column:
+        return F.floor(day / width)
+
+    r_day = F.unix_date(F.col(right_day))
+    reach = F.sequence(bucket(r_day - days), bucket(r_day + days))
+    dates = right.select(*keys, right_day).distinct().select(
+        *[F.col(k).alias(f"_r_{k}") for k in keys], r_day.alias("_r_day"), F.explode(reach).alias("_r_bucket")
+    )
+    rows = left.withColumn("_day", F.unix_date(F.col(left_day))).withColumn("_bucket", bucket(F.col("_day")))
+    same = [F.col(k) == F.col(f"_r_{k}") for k in keys]
+    near = F.abs(F.col("_day") - F.col("_r_day")) <= days
+    return rows.join(dates, [*same, F.col("_bucket") == F.col("_r_bucket"), near], "left_anti").drop("_day", "_bucket")

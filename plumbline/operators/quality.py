@@ -152,15 +152,17 @@ def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
     return profile.join(distinct, "column_name", "left").fillna(0, ["distinct_values"])
 
 
-# Patterns of sensitive content with the level they suggest. The syntax is the common
-# subset of Java and RE2.
+# Patterns of sensitive content with the level they suggest, and texts of which every
+# match contains at least one (in lower case; DIGITS stands for any digit). The patterns use the
+# common subset of Java and RE2.
+DIGITS = ("0-9",)
 SENSITIVE_PATTERNS = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "Confidential"),
-    ("phone", r"\+?[0-9]{1,3}[ -]?\(?[0-9]{3}\)?[ -][0-9]{3,4}[ -]?[0-9]{4}", "Confidential"),
-    ("national_id", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "Restricted"),
-    ("payment_card", r"\b[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}\b", "Restricted"),
-    ("secret_key", r"(?i)(api[_-]?key|secret|password|token)[ ]*[=:]", "Restricted"),
-    ("ip_address", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "Internal"),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "Confidential", ("@",)),
+    ("phone", r"\+?[0-9]{1,3}[ -]?\(?[0-9]{3}\)?[ -][0-9]{3,4}[ -]?[0-9]{4}", "Confidential", DIGITS),
+    ("national_id", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "Restricted", DIGITS),
+    ("payment_card", r"\b[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}\b", "Restricted", DIGITS),
+    ("secret_key", r"(?i)(api[_-]?key|secret|password|token)[ ]*[=:]", "Restricted", ("key", "secret", "password", "token")),
+    ("ip_address", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "Internal", DIGITS),
 )
 SENSITIVE_NAMES = (
     ("email", r"(?i)e?mail", "Confidential"),
@@ -170,13 +172,30 @@ SENSITIVE_NAMES = (
 )
 
 
+def _may_match(text: Column, needles: Sequence[str]) -> Column:
+    """Cheap test that every match passes; it spares most rows the costly pattern."""
+    if needles == DIGITS:
+        return text.rlike("[0-9]")
+    plain = text if needles == ("@",) else F.lower(text)
+    hit = plain.contains(needles[0])
+    for n in needles[1:]:
+        hit = hit | plain.contains(n)
+    return hit
+
+
 def sensitive_scan(df: DataFrame, table: str, threshold: float = 0.0) -> DataFrame:
     """Hits of every pattern in every text column, counted in one pass over the whole texts."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    guards = list(dict.fromkeys(p[3] for p in SENSITIVE_PATTERNS))
+    flags = {(c, g): f"_g{i}_{j}" for i, c in enumerate(texts) for j, g in enumerate(guards)}
+    guarded = df.select(*texts, *[_may_match(F.col(f"`{c}`"), g).alias(n) for (c, g), n in flags.items()])
     pairs = [(c, *p) for c in texts for p in SENSITIVE_PATTERNS]
-    counts = df.agg(
+    counts = guarded.agg(
         F.count("*").alias("_n"),
-        *[F.count_if(F.col(f"`{c}`").rlike(rx)).alias(f"_{i}") for i, (c, _, rx, _) in enumerate(pairs)],
+        *[
+            F.count_if(F.col(flags[c, guard]) & F.col(f"`{c}`").rlike(rx)).alias(f"_{i}")
+            for i, (c, _, rx, _, guard) in enumerate(pairs)
+        ],
     )
     lines = F.array(
         *[
@@ -188,7 +207,7 @@ def sensitive_scan(df: DataFrame, table: str, threshold: float = 0.0) -> DataFra
                 F.col(f"_{i}").alias("hits"),
                 F.when(F.col("_n") > 0, F.col(f"_{i}") / F.col("_n")).alias("confidence"),
             )
-            for i, (c, kind, _, level) in enumerate(pairs)
+            for i, (c, kind, _, level, _) in enumerate(pairs)
         ]
     )
     found = counts.select(F.explode(lines).alias("x")).select("x.*")

@@ -39,40 +39,56 @@ def run_rules(
     Input is a chart: one row per point, so a key has at most one row per day and limit set.
     """
     points = W.partitionBy(*keys).orderBy(*order)
-    step = F.signum(F.col(value) - F.lag(value).over(points))
-    return (
-        df.withColumn("_side", F.signum(F.col(value) - F.col(centre)))
-        .withColumn("_step", step)
-        .withColumn("_sides", F.sum("_side").over(points.rowsBetween(-8, 0)))
-        .withColumn("_steps", F.sum("_step").over(points.rowsBetween(-4, 0)))
-        .withColumn("r2_flag", F.coalesce(F.abs("_sides") == 9, F.lit(False)).cast("int"))
-        .withColumn("r3_flag", F.coalesce(F.abs("_steps") == 5, F.lit(False)).cast("int"))
-        .withColumn("r3_direction", F.when(F.col("r3_flag") == 1, F.signum("_steps").cast("int")).otherwise(0))
-        .drop("_side", "_step", "_sides", "_steps")
+    signs = df.withColumns(
+        {
+            "_side": F.expr(f"signum({value} - {centre})"),
+            "_step": F.signum(F.col(value) - F.lag(value).over(points)),
+        }
+    )
+    sums = signs.withColumns(
+        {
+            "_sides": F.sum("_side").over(points.rowsBetween(-8, 0)),
+            "_steps": F.sum("_step").over(points.rowsBetween(-4, 0)),
+        }
     )
+    return sums.withColumns(
+        {
+            "r2_flag": F.expr("if(abs(_sides) = 9, 1, 0)"),
+            "r3_flag": F.expr("if(abs(_steps) = 5, 1, 0)"),
+            "r3_direction": F.expr("if(abs(_steps) = 5, int(signum(_steps)), 0)"),
+        }
+    ).drop("_side", "_step", "_sides", "_steps")
 
 
 def with_alarm_total(df: DataFrame, *flags: str) -> DataFrame:
-    return df.withColumn("ooc_total", sum((F.col(f) for f in flags[1:]), F.col(flags[0])))
+    return df.withColumn("ooc_total", F.expr(" + ".join(flags)))
 
 
-def outside(value: Column, low: Column, high: Column) -> Column:
+def outside(value: str, low: str, high: str) -> Column:
     """1 when the value is beyond a limit, else 0; a missing limit never alarms."""
-    return F.coalesce((value < low) | (value > high), F.lit(False)).cast("int")
+    return F.expr(f"if({value} < {low} OR {value} > {high}, 1, 0)")
 
 
-def capability(lsl: Column, usl: Column, mean: Column, sigma: Column) -> tuple[Column, Column]:
+def capability(mean: str, sigma: str) -> tuple[Column, Column]:
     """Potential and actual capability; null without both limits or without spread."""
-    usable = usl.isNotNull() & lsl.isNotNull() & (sigma > 0)
-    nearest = F.least(usl - mean, mean - lsl)
-    return F.when(usable, (usl - lsl) / (6 * sigma)), F.when(usable, nearest / (3 * sigma))
+    potential = f"(usl - lsl) / (6 * {sigma})"
+    # ``least`` skips nulls, so both limits are required explicitly.
+    actual = f"least(usl - {mean}, {mean} - lsl) / (3 * {sigma})"
+    usable = f"usl IS NOT NULL AND lsl IS NOT NULL AND {sigma} > 0"
+    return F.expr(f"CASE WHEN {usable} THEN {potential} END"), F.expr(f"CASE WHEN {usable} THEN {actual} END")
 
 
-def tightened(calculated: Column, spec: Column, centre: Column, sufficient: Column, beyond: Column, bare: float) -> Column:
+def tightened(calculated: str, spec: str, centre: str, beyond: str, bare: float | None = None) -> Column:
     """Calculated limit, or 90 % of the way to the specification while history is short or when the
-    calculated limit lies beyond the specification."""
-    provisional = F.coalesce(centre + (spec - centre) * K.TIGHTEN, spec * bare)
-    return F.when(~sufficient | beyond, provisional).otherwise(calculated)
+    calculated limit lies ``beyond`` the specification."""
+    near = f"{centre} + ({spec} - {centre}) * {K.TIGHTEN}D"
+    provisional = near if bare is None else f"coalesce({near}, {spec} * {bare}D)"
+    return F.expr(f"CASE WHEN NOT data_sufficient OR {beyond} THEN {provisional} ELSE {calculated} END")
+
+
+def source_of_limits(*beyond: str) -> Column:
+    tests = " OR ".join(["NOT data_sufficient", *beyond])
+    return F.expr(f"CASE WHEN {tests} THEN 'SPEC_90PCT' ELSE 'CALCULATED' END")
 
 
 def _slices(df: DataFrame, seconds: int) -> DataFrame:
@@ -92,23 +108,24 @@ def daily_statistics(
     """
     part = [*keys, DAY, "_slice"]
     inside = W.partitionBy(*part).orderBy(INSTANT, *tie)
-    out_of_spec = outside(F.col("x"), F.col("lsl"), F.col("usl")) if limits else F.lit(0)
+    out_of_spec = outside("x", "lsl", "usl") if limits else F.lit(0)
     pieces = (
         _slices(df, seconds)
         .withColumn("_place", F.row_number().over(inside))
         .withColumn("_range", F.abs(F.col("x") - F.lag("x").over(inside)))
+        .withColumn("_final", F.lead(F.lit(False), 1, True).over(inside))
         .groupBy(*part, *limits)
         .agg(
             F.count("*").alias("_n"),
             F.count("x").alias("_nx"),
             F.avg("x").alias("_mean"),
-            (F.var_pop("x") * F.count("x")).alias("_m2"),
+            F.expr("var_pop(x) * count(x)").alias("_m2"),
             F.sum(out_of_spec).alias("_oos"),
             F.sum("_range").alias("_ranges"),
             F.count("_range").alias("_nr"),
-            F.min_by("x", "_place").alias("_open"),
             F.min("_place").alias("_first"),
-            F.max(F.struct("_place", "x")).alias("_close"),
+            F.expr("max(if(_place = 1, x, NULL))").alias("_open"),
+            F.expr("max(if(_final, x, NULL))").alias("_close"),
         )
     )
     # From here on: at most one row per key, slice and limit set.
@@ -116,25 +133,21 @@ def daily_statistics(
     series = W.partitionBy(*keys).orderBy(DAY, "_slice", "_first", *limits)
     group = W.partitionBy(*keys, DAY, *limits)
     joined = (
-        pieces.withColumn("_close", F.max("_close").over(whole)["x"])
+        pieces.withColumn("_close", F.max("_close").over(whole))
         .withColumn("_prior", F.lag("_close").over(series))
-        .withColumn("_seam", F.when(F.col("_first") == 1, F.abs(F.col("_open") - F.col("_prior"))))
-        .withColumn("_day_mean", F.sum(F.col("_mean") * F.col("_nx")).over(group) / F.sum("_nx").over(group))
-    )
-    spread = F.coalesce(F.col("_m2"), F.lit(0.0)) + F.coalesce(
-        F.col("_nx") * F.pow(F.col("_mean") - F.col("_day_mean"), 2), F.lit(0.0)
+        .withColumn("_day_mean", F.sum(F.expr("_mean * _nx")).over(group) / F.sum("_nx").over(group))
+        .withColumn("_seam", F.expr("CASE WHEN _first = 1 THEN abs(_open - _prior) END"))
     )
-    ranges = F.sum(F.coalesce("_ranges", F.lit(0.0)) + F.coalesce("_seam", F.lit(0.0)))
-    range_count = F.sum(F.col("_nr") + F.col("_seam").isNotNull().cast("int"))
-    return (
-        joined.groupBy(*keys, DAY, *limits)
-        .agg(
-            F.sum("_n").alias("n_samples"),
-            F.sum("_oos").alias("oospec_points"),
-            F.max("_day_mean").alias("xbar_d"),
-            F.when(range_count > 0, ranges / range_count).alias("mr_bar_d"),
-            F.when(F.sum("_nx") > 1, F.sqrt(F.sum(spread) / (F.sum("_nx") - 1))).alias("sigma_overall_d"),
-        )
+    return joined.groupBy(*keys, DAY, *limits).agg(
+        F.sum("_n").alias("n_samples"),
+        F.sum("_oos").alias("oospec_points"),
+        F.max("_day_mean").alias("xbar_d"),
+        F.expr(
+            "try_divide(sum(coalesce(_ranges, 0D) + coalesce(_seam, 0D)), sum(_nr + if(_seam IS NULL, 0, 1)))"
+        ).alias("mr_bar_d"),
+        F.expr(
+            "CASE WHEN sum(_nx) > 1 THEN sqrt(sum(coalesce(_m2 + _nx * pow(_mean - _day_mean, 2), 0D)) / (sum(_nx) - 1)) END"
+        ).alias("sigma_overall_d"),
     )
 
 
@@ -143,21 +156,20 @@ def individuals_chart(
 ) -> DataFrame:
     """Individuals and moving-range chart with capability, one row per key, day and limit set."""
     chart = rolling_limits(daily_statistics(df, keys, LIMITS, tie, seconds), keys)
-    c = F.col
-    cp, cpk = capability(c("lsl"), c("usl"), c("xbar"), c("sigma_within"))
-    pp, ppk = capability(c("lsl"), c("usl"), c("xbar"), c("sigma_overall"))
+    cp, cpk = capability("xbar", "sigma_within")
+    pp, ppk = capability("xbar", "sigma_overall")
     chart = chart.withColumns(
         {
-            "cl_x": c("xbar"),
-            "ucl_mr": c("mr_bar") * K.D4_PAIR,
-            "cl_mr": c("mr_bar"),
+            "cl_x": F.col("xbar"),
+            "ucl_mr": F.expr(f"mr_bar * {K.D4_PAIR}D"),
+            "cl_mr": F.col("mr_bar"),
             "lcl_mr": F.lit(0.0),
-            "ooc_points": outside(c("xbar_d"), c("lcl_x"), c("ucl_x")),
+            "ooc_points": outside("xbar_d", "lcl_x", "ucl_x"),
             "cp": cp,
             "cpk": cpk,
             "pp": pp,
             "ppk": ppk,
-            "within_spec_rate": (c("n_samples") - c("oospec_points")) / c("n_samples") * 100.0,
+            "within_spec_rate": F.expr("(n_samples - oospec_points) / n_samples * 100D"),
         }
     )
     chart = run_rules(chart, "xbar_d", "cl_x", keys, (DAY, *LIMITS))
@@ -173,29 +185,24 @@ def rolling_limits(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Thirty-row rolling statistics and the control limits that follow from them."""
     series = W.partitionBy(*keys).orderBy(DAY, *LIMITS)
     month = series.rowsBetween(-29, 0)
-    c = F.col
-    calc = daily.withColumns(
+    rolling = daily.withColumns(
         {
             "xbar": F.avg("xbar_d").over(month),
             "mr_bar": F.avg("mr_bar_d").over(month),
             "sigma_overall": F.avg("sigma_overall_d").over(month),
             "data_sufficient": F.row_number().over(series) >= K.MIN_GROUPS,
         }
-    ).withColumns(
-        {
-            "sigma_within": c("mr_bar") / K.D2_PAIR,
-            "_upper": c("xbar") + c("mr_bar") * K.E2_PAIR,
-            "_lower": c("xbar") - c("mr_bar") * K.E2_PAIR,
-        }
     )
-    high, low, enough = c("_upper") > c("usl"), c("_lower") < c("lsl"), c("data_sufficient")
-    return calc.withColumns(
+    upper, lower = f"(xbar + mr_bar * {K.E2_PAIR}D)", f"(xbar - mr_bar * {K.E2_PAIR}D)"
+    high, low = f"{upper} > usl", f"{lower} < lsl"
+    return rolling.withColumns(
         {
-            "ucl_x": tightened(c("_upper"), c("usl"), c("cl"), enough, high, K.TIGHTEN_UPPER_NO_CENTRE),
-            "lcl_x": tightened(c("_lower"), c("lsl"), c("cl"), enough, low, K.TIGHTEN_LOWER_NO_CENTRE),
-            "limit_source": F.when(~enough | high | low, "SPEC_90PCT").otherwise("CALCULATED"),
+            "sigma_within": F.expr(f"mr_bar / {K.D2_PAIR}D"),
+            "ucl_x": tightened(upper, "usl", "cl", high, K.TIGHTEN_UPPER_NO_CENTRE),
+            "lcl_x": tightened(lower, "lsl", "cl", low, K.TIGHTEN_LOWER_NO_CENTRE),
+            "limit_source": source_of_limits(high, low),
         }
-    ).drop("_upper", "_lower")
+    )
 
 
 def frozen_baseline(
@@ -205,33 +212,21 @@ def frozen_baseline(
     daily = daily_statistics(df, keys, (), tie, seconds)
     place = F.row_number().over(W.partitionBy(*keys).orderBy(DAY))
     first = daily.withColumn("_place", place).filter(F.col("_place") <= K.MIN_GROUPS)
-    c = F.col
-    return (
-        first.groupBy(*keys)
-        .agg(
-            F.count("*").alias("baseline_n"),
-            F.min(DAY).alias("baseline_start_date"),
-            F.max(DAY).alias("baseline_end_date"),
-            F.avg("xbar_d").alias("x_double_bar"),
-            F.avg("mr_bar_d").alias("mr_bar_baseline"),
-        )
-        .withColumns(
-            {
-                "chart_type": F.lit("I-MR"),
-                "cl_x": c("x_double_bar"),
-                "ucl_x": c("x_double_bar") + c("mr_bar_baseline") * K.E2_PAIR,
-                "lcl_x": c("x_double_bar") - c("mr_bar_baseline") * K.E2_PAIR,
-                "cl_mr": c("mr_bar_baseline"),
-                "ucl_mr": c("mr_bar_baseline") * K.D4_PAIR,
-                "lcl_mr": F.lit(0.0),
-                "is_preliminary": c("baseline_n") < K.MIN_GROUPS,
-            }
-        )
-        .select(
-            *keys, "chart_type", "baseline_n", "baseline_start_date", "baseline_end_date", "x_double_bar",
-            "mr_bar_baseline", "cl_x", "ucl_x", "lcl_x", "cl_mr", "ucl_mr", "lcl_mr", "is_preliminary",
-        )
+    baseline = first.groupBy(*keys).agg(
+        F.count("*").alias("baseline_n"),
+        F.min(DAY).alias("baseline_start_date"),
+        F.max(DAY).alias("baseline_end_date"),
+        F.avg("xbar_d").alias("x_double_bar"),
+        F.avg("mr_bar_d").alias("mr_bar_baseline"),
     )
+    return baseline.selectExpr(
+        *keys, "'I-MR' AS chart_type", "baseline_n", "baseline_start_date", "baseline_end_date", "x_double_bar",
+        "mr_bar_baseline", "x_double_bar AS cl_x",
+        f"x_double_bar + mr_bar_baseline * {K.E2_PAIR}D AS ucl_x",
+        f"x_double_bar - mr_bar_baseline * {K.E2_PAIR}D AS lcl_x",
+        "mr_bar_baseline AS cl_mr", f"mr_bar_baseline * {K.D4_PAIR}D AS ucl_mr", "0D AS lcl_mr",
+        f"baseline_n < {K.MIN_GROUPS} AS is_preliminary",
+    )
 
 
 def freeze(stored: DataFrame, computed: DataFrame, keys: Sequence[str] = (*CHART_KEYS, "chart_type")) -> DataFrame:
@@ -263,7 +258,8 @@ def subgroups(
     place = F.row_number().over(W.partitionBy(*day, "_slice").orderBy(INSTANT, *tie))
     return (
         null_safe_join(rows, offsets, [*day, "_slice"])
-        .withColumn("_subgroup", F.floor((F.col("_before") + place - 1) / size))
+        .withColumn("_row", F.col("_before") + place - 1)
+        .withColumn("_subgroup", F.expr(f"_row div {int(size)}"))
         .groupBy(*day, "_subgroup", "lsl", "usl")
         .agg(
             F.count("*").alias("_n"),
@@ -279,43 +275,41 @@ def _subgroup_chart(groups: DataFrame, size: int, keys: Sequence[str], spread: s
     """Day rows of a subgroup chart with the untightened limits."""
     mean_factor, low_factor, high_factor, sigma_factor = factors
     day = [*keys, DAY]
-    c = F.col
-    point = f"{spread}_i"
-    groups = groups.withColumn("_chunk", F.floor(c("_subgroup") / CHUNK).cast("int"))
+    point, bar = f"{spread}_i", f"{spread}_bar"
+    groups = groups.withColumn("_chunk", F.expr(f"int(_subgroup div {CHUNK})"))
     limits = (
         groups.groupBy(*day)
         .agg(
             F.count("*").alias("subgroup_count"),
             F.avg("xbar_i").alias("xbar_grand"),
-            F.avg(point).alias(f"{spread}_bar"),
+            F.avg(point).alias(bar),
             F.max("_chunk").alias("_chunks"),
         )
-        .withColumns(
-            {
-                "xbar_ucl": c("xbar_grand") + c(f"{spread}_bar") * mean_factor,
-                "xbar_cl": c("xbar_grand"),
-                "xbar_lcl": c("xbar_grand") - c(f"{spread}_bar") * mean_factor,
-                f"{spread}_ucl": c(f"{spread}_bar") * high_factor,
-                f"{spread}_cl": c(f"{spread}_bar"),
-                f"{spread}_lcl": c(f"{spread}_bar") * low_factor,
-                "_sigma": c(f"{spread}_bar") / sigma_factor,
-            }
+        .selectExpr(
+            "*",
+            f"xbar_grand + {bar} * {mean_factor}D AS xbar_ucl",
+            "xbar_grand AS xbar_cl",
+            f"xbar_grand - {bar} * {mean_factor}D AS xbar_lcl",
+            f"{bar} * {high_factor}D AS {spread}_ucl",
+            f"{bar} AS {spread}_cl",
+            f"{bar} * {low_factor}D AS {spread}_lcl",
+            f"{bar} / {sigma_factor}D AS _sigma",
         )
     )
     # One copy of the day's limits per chunk of subgroups, so that no task gets a whole hot day.
-    copies = limits.withColumn("_chunk", F.explode(F.sequence(F.lit(0), c("_chunks")))).drop("_chunks")
+    copies = limits.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks")))).drop("_chunks")
     constant = [n for n in copies.columns if n not in (*day, "_chunk")]
     rows = null_safe_join(groups, copies, [*day, "_chunk"])
     final = (
         rows.groupBy(*day, "lsl", "usl")
         .agg(
             *[F.max(n).alias(n) for n in constant],
-            F.sum(outside(c("xbar_i"), c("xbar_lcl"), c("xbar_ucl"))).alias("xbar_ooc_points"),
-            F.sum(outside(c(point), c(f"{spread}_lcl"), c(f"{spread}_ucl"))).alias(f"{spread}_ooc_points"),
+            F.sum(outside("xbar_i", "xbar_lcl", "xbar_ucl")).alias("xbar_ooc_points"),
+            F.sum(outside(point, f"{spread}_lcl", f"{spread}_ucl")).alias(f"{spread}_ooc_points"),
         )
         .withColumn("subgroup_size", F.lit(size))
     )
-    cp, cpk = capability(c("lsl"), c("usl"), c("xbar_grand"), c("_sigma"))
+    cp, cpk = capability("xbar_grand", "_sigma")
     return final.withColumns({"cp": cp, "cpk": cpk}).drop("_sigma")
 
 
@@ -340,19 +334,14 @@ def xbar_r_chart(
     """Subgroup mean and range chart. Limits are tightened while a day has fewer than 100 points."""
     a2, d3, d4, d2 = K.RANGE_FACTORS.get(size, K.RANGE_FACTORS[K.DEFAULT_RANGE_SIZE])
     chart = _subgroup_chart(subgroups(df, size, keys, tie, seconds), size, keys, "r", (a2, d3, d4, d2))
-    c = F.col
-    enough = c("subgroup_count") * size >= K.MIN_POINTS
-    high, low = c("xbar_ucl") > c("usl"), c("xbar_lcl") < c("lsl")
+    chart = chart.withColumn("data_sufficient", F.col("subgroup_count") * size >= K.MIN_POINTS)
+    high, low = "xbar_ucl > usl", "xbar_lcl < lsl"
+    # All three read the untightened limits.
     chart = chart.withColumns(
         {
-            "data_sufficient": enough,
-            "limit_source": F.when(~enough | high | low, "SPEC_90PCT").otherwise("CALCULATED"),
-            "xbar_ucl": F.when(~enough | high, c("xbar_cl") + (c("usl") - c("xbar_cl")) * K.TIGHTEN).otherwise(
-                c("xbar_ucl")
-            ),
-            "xbar_lcl": F.when(~enough | low, c("xbar_cl") - (c("xbar_cl") - c("lsl")) * K.TIGHTEN).otherwise(
-                c("xbar_lcl")
-            ),
+            "limit_source": source_of_limits(high, low),
+            "xbar_ucl": tightened("xbar_ucl", "usl", "xbar_cl", high),
+            "xbar_lcl": tightened("xbar_lcl", "lsl", "xbar_cl", low),
         }
     )
     return _centre_of_days(chart, keys, literal_centre).select(
@@ -388,11 +377,9 @@ def judged_daily(records: DataFrame, keys: Sequence[str], bad: Column | None = N
 
 def p_chart(records: DataFrame, keys: Sequence[str] = COUNT_KEYS) -> DataFrame:
     """Share of rejected records per day with binomial limits for the day's own sample size."""
-    c = F.col
-    daily = judged_daily(records, keys).withColumn("p", c("np") / c("n"))
+    daily = judged_daily(records, keys).withColumn("p", F.col("np") / F.col("n"))
     centred = daily.withColumn("p_bar", F.avg("p").over(W.partitionBy(*keys)))
-    margin = 3 * F.sqrt(c("p_bar") * (1 - c("p_bar")) / c("n"))
-    return _count_chart(centred, "p", "p_bar", margin, keys).select(
+    return _count_chart(centred, "p", "p_bar", "3 * sqrt(p_bar * (1 - p_bar) / n)", keys).select(
         *keys, DAY, "n", "np", "p", "p_bar", "ucl", "cl", "lcl", "ooc_points", "r2_flag", "r3_flag", "ooc_total"
     )
 
@@ -401,16 +388,15 @@ def c_chart(records: DataFrame, keys: Sequence[str] = COUNT_KEYS) -> DataFrame:
     """Number of rejected records per day with Poisson limits."""
     daily = judged_daily(records, keys).select(*keys, DAY, F.col("np").alias("c"))
     centred = daily.withColumn("c_bar", F.avg("c").over(W.partitionBy(*keys)))
-    return _count_chart(centred, "c", "c_bar", 3 * F.sqrt("c_bar"), keys).select(
+    return _count_chart(centred, "c", "c_bar", "3 * sqrt(c_bar)", keys).select(
         *keys, DAY, "c", "c_bar", "ucl", "cl", "lcl", "ooc_points", "r2_flag", "r3_flag", "ooc_total"
     )
 
 
-def _count_chart(df: DataFrame, value: str, centre: str, margin: Column, keys: Sequence[str]) -> DataFrame:
-    c = F.col
-    limits = df.withColumns(
-        {"cl": c(centre), "ucl": c(centre) + margin, "lcl": F.greatest(c(centre) - margin, F.lit(0.0))}
-    ).withColumn("ooc_points", outside(c(value), c("lcl"), c("ucl")))
+def _count_chart(df: DataFrame, value: str, centre: str, margin: str, keys: Sequence[str]) -> DataFrame:
+    limits = df.selectExpr(
+        "*", f"{centre} AS cl", f"{centre} + {margin} AS ucl", f"greatest({centre} - {margin}, 0D) AS lcl"
+    ).withColumn("ooc_points", outside(value, "lcl", "ucl"))
     return with_alarm_total(run_rules(limits, value, "cl", keys), "ooc_points", "r2_flag", "r3_flag")
 
 

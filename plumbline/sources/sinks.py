@@ -7,13 +7,13 @@ directory, because Spark cannot overwrite what it still has to read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.scale import shared_dir
+from plumbline.scale import materialise
 
 
 @dataclass(frozen=True)
@@ -84,17 +84,9 @@ def create_if_absent(df: DataFrame, table: ParquetTable) -> bool:
     return True
 
 
-def staged(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The same rows, read back from a staging folder."""
-    spark = df.sparkSession
-    path = shared_dir(spark, "stage")
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def rewrite(table: ParquetTable, change: Callable[[DataFrame], DataFrame], spark: SparkSession) -> None:
     """Replace the table by a frame derived from it."""
-    write_replace(staged(change(table.read(spark))), table)
+    write_replace(materialise(change(table.read(spark))), table)
 
 
 def replace_range(df: DataFrame, table: ParquetTable, column: str, start: str, end: str) -> None:
@@ -113,13 +105,13 @@ def replace_range(df: DataFrame, table: ParquetTable, column: str, start: str, e
     # Partition values sort the files but are typed by the reader, so match the frame's own types.
     old = old.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in df.columns])
     if not table.by:
-        write_replace(staged(old.filter(~F.coalesce(within, F.lit(False))).unionByName(fresh)), table)
+        write_replace(materialise(old.filter(~F.coalesce(within, F.lit(False))).unionByName(fresh)), table)
         return
     by = list(table.by)
     touched = old.filter(within).select(*by).unionByName(fresh.select(*by)).distinct()
     kept = old.filter(~F.coalesce(within, F.lit(False))).join(touched, by, "left_semi")
-    result = staged(kept.unionByName(fresh).select(*df.columns))
-    emptied = staged(touched).join(result.select(*by).distinct(), by, "left_anti")
+    result = materialise(kept.unionByName(fresh).select(*df.columns))
+    emptied = materialise(touched).join(result.select(*by).distinct(), by, "left_anti")
     write_partitions(result, table)
     drop_partitions(emptied, table)
 
@@ -145,12 +137,12 @@ def dual_write(
     first write replaces.
     """
     spark = df.sparkSession
-    rows = staged(df)
+    rows = materialise(df)
     keys = rows.select(*first.by).distinct()
     before = None
     if first.exists(spark):
         old = first.read(spark)
-        before = staged(old.join(keys, list(first.by), "left_semi").select(*old.columns))
+        before = materialise(old.join(keys, list(first.by), "left_semi").select(*old.columns))
     write_partitions(rows, first)
     try:
         write_second(rows, second)
@@ -167,7 +159,7 @@ def compact(table: ParquetTable, spark: SparkSession, target_bytes: int = 256 *
     """Rewrite the table into files of about ``target_bytes``, one partition never sharing a task's file."""
     df = table.read(spark)
     size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    rows = staged(df)
+    rows = materialise(df)
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
     try:
         shaped = cluster_for_write(rows, table) if table.by else rows.hint("rebalance")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import cleansing as cl
 from plumbline.operators import scd, spc, star, upsert, watermark
 from plumbline.plans import bronze, gold, model, serving, silver
-from plumbline.scale import cut_lineage, shared_dir
+from plumbline.scale import materialise, shared_dir
 from plumbline.sources import scans, sinks
 from plumbline.streaming import cdc
 from queries.roles import (
@@ -276,7 +276,7 @@ def incremental_load(spark, sf):
         stored, state = bronze.load(
             visible, stored, state, "members", lambda df: bronze.dimension(df, now()), ["id"], NOW
         )
-        stored, state = cut_lineage(stored), cut_lineage(state)
+        stored, state = materialise(stored), materialise(state)
     seen = F.date_format(bronze.INGESTED, "yyyy-MM-dd")
     return stored.select("id", "name", (F.col("__deleted") == "true").alias("deleted"), seen.alias("seen"))
 
@@ -830,7 +830,7 @@ def write_modes(spark, sf):
     steps = []
 
     def note(label):
-        steps.append(cut_lineage(per_year(target.read(spark), label)))
+        steps.append(materialise(per_year(target.read(spark), label)))
 
     assert sinks.create_if_absent(sinks.cluster_for_write(rows, target), target)
     assert not sinks.create_if_absent(rows, target)
@@ -902,7 +902,7 @@ def fact_run(spark, sf):
 
     state = watermark.empty_state(spark)
     early = feed.filter(F.col(silver.PROCESSED) < F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"))
-    state = cut_lineage(silver.fact_load(early, state, "fact", build, first, second, NOW))
+    state = materialise(silver.fact_load(early, state, "fact", build, first, second, NOW))
     silver.fact_load(feed, state, "fact", build, first, second, NOW)
 
     def counts(target, label):

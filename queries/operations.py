@@ -386,9 +386,9 @@ def pipeline_board(spark, sf):
 
 
 @R.add("""
-WITH last AS (SELECT user_id, max(CASE WHEN value < 100 THEN ts END) AS at FROM events GROUP BY ALL),
-s AS (SELECT CASE WHEN at IS NULL THEN 'offline'
-        WHEN date_diff('second', date_trunc('second', at), TIMESTAMP '2024-01-30 12:00:00') > 300 THEN 'stale'
+WITH last AS (SELECT user_id, max(CASE WHEN value < 100 THEN ts END) AS seen FROM events GROUP BY ALL),
+s AS (SELECT CASE WHEN seen IS NULL THEN 'offline'
+        WHEN date_diff('second', date_trunc('second', seen), TIMESTAMP '2024-01-30 12:00:00') > 300 THEN 'stale'
         ELSE 'online' END AS state FROM last)
 SELECT count(*) AS total, count(*) FILTER (state = 'online') AS online, count(*) FILTER (state = 'stale') AS stale,
        count(*) FILTER (state = 'offline') AS offline FROM s""")
@@ -439,17 +439,14 @@ SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS time, event_type AS level,
        CASE WHEN value > 50 THEN 'svc' || user_id ELSE '' END AS service, 'user ' || user_id AS message
 FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 100""")
 def log_search(spark, sf):
-    """Events as JSON log lines with differing field names."""
+    """Events as JSON log lines; level and service are found under their second names."""
     e = table(spark, sf, "events")
     doc = F.to_json(F.struct(
         F.struct(F.col("event_type").alias("level")).alias("log"),
         F.when(F.col("value") > 50, F.concat(F.lit("svc"), "user_id")).alias("container"),
-        F.concat(F.lit("user "), "user_id").alias("msg"),
+        F.concat(F.lit("user "), "user_id").alias("message"),
     ))
-    # ``log`` holds an object here, so the message is found under its third name only when ``log`` is text.
-    flat = e.select("event_id", "ts", F.replace(doc, F.lit('"log":{"level"'), F.lit('"log.level":{"level"')).alias("doc"))
-    doc2 = F.regexp_replace("doc", r'"log\.level":\{"level":"([a-z]+)"\}', r'"level":"$1"')
-    lines = flat.select("event_id", "ts", doc2.alias("doc"))
+    lines = e.select("event_id", "ts", doc.alias("doc"))
     time = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     found = monitoring.log_search(lines, "doc", time, "ERROR", tie=["event_id"])
     return found.withColumn("time", F.substring("time", 1, 19))
@@ -494,7 +491,8 @@ MATCH_RULES = [TERMS, [matching.Term("s_nationkey", "e_nation"), matching.Term("
 
 
 @R.add(f"""WITH {SYSTEMS_SQL}
-SELECT left_id, right_id, round(confidence, 6) AS confidence, sha256('entity:' || left_id) AS global_id FROM m""")
+SELECT left_id, right_id, round(confidence, 6) AS confidence, 1 AS left_records,
+       sha256('entity:' || left_id) AS global_id FROM m""")
 def entity_match(spark, sf):
     mine, other = two_systems(spark, sf)
     return rounded(matching.match(mine, other, "s_suppkey", "e_id", MATCH_RULES))
@@ -509,12 +507,7 @@ UNION ALL SELECT 'right', right_id, 'one-to-many' FROM m GROUP BY right_id HAVIN
 UNION ALL SELECT 'left', CAST(left_id AS VARCHAR), 'low-confidence' FROM pairs GROUP BY left_id HAVING max(sim) < 0.85""")
 def entity_conflicts(spark, sf):
     mine, other = two_systems(spark, sf)
-    matches = matching.match(mine, other, "s_suppkey", "e_id", MATCH_RULES)
-    weak = matching.below_threshold(mine, other, "s_suppkey", "e_id", TERMS).select(
-        F.lit("left").alias("side"), F.col("left_id").cast("string").alias("native_id"),
-        F.lit("low-confidence").alias("issue"),
-    )
-    return matching.conflicts(mine, other, "s_suppkey", "e_id", matches).unionByName(weak)
+    return matching.conflicts(mine, other, "s_suppkey", "e_id", MATCH_RULES)
 
 
 @R.add("""
@@ -538,7 +531,7 @@ def sensitive_sql(name, columns):
         count(*) FILTER (regexp_matches({c}, '{rx}')) AS hits,
         round(count(*) FILTER (regexp_matches({c}, '{rx}'))::DOUBLE / count(*), 6) AS confidence FROM {name}"""
         for c in columns
-        for kind, rx, level in quality.SENSITIVE_PATTERNS
+        for kind, rx, level, _ in quality.SENSITIVE_PATTERNS
     )
 
 

@@ -34,16 +34,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded and integers widened, as in the oracle texts."""
-    out: list[Column] = []
+    out = []
     for name, kind in df.dtypes:
-        c = F.col(f"`{name}`")
         if kind in ("double", "float") or kind.startswith("decimal"):
-            out.append((F.round(c.cast("double"), digits) + F.lit(0.0)).alias(name))
+            out.append(f"round(double(`{name}`), {digits}) + 0D AS `{name}`")
         elif kind in ("int", "smallint", "tinyint"):
-            out.append(c.cast("bigint").alias(name))
+            out.append(f"bigint(`{name}`) AS `{name}`")
         else:
-            out.append(c)
-    return df.select(*out)
+            out.append(f"`{name}`")
+    return df.selectExpr(*out)
 
 
 def shift(ts: Column) -> Column:
