@@ -43,18 +43,12 @@ def _writer(df: DataFrame, table: ParquetTable, mode: str, overwrite: str):
     return writer.partitionBy(*table.by) if table.by else writer
 
 
-def cluster_for_write(df: DataFrame, table: ParquetTable, files_per_partition: int | None = None) -> DataFrame:
+def cluster_for_write(df: DataFrame, table: ParquetTable) -> DataFrame:
     """Shuffle rows to their partition folder, so that a folder gets few files.
 
-    With ``files_per_partition`` a hot folder is split over that many tasks. Without it Spark
-    rebalances by size, which splits an oversized folder on its own.
+    Spark rebalances by size: small folders share a task and an oversized folder is split.
     """
-    if not table.by:
-        return df
-    if files_per_partition:
-        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_partition))
-        return df.repartition(*table.by, salt)
-    return df.hint("rebalance", *[F.col(c) for c in table.by])
+    return df.hint("rebalance", *[F.col(c) for c in table.by]) if table.by else df
 
 
 def write_create(df: DataFrame, table: ParquetTable) -> None:
