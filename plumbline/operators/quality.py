@@ -251,6 +251,15 @@ def naming_violations(schema: DataFrame, prefixes: Sequence[str] = ("dim_", "fac
     return columns.unionByName(tables)
 
 
+def type_violations(schema: DataFrame, standards: Sequence[tuple[str, str]]) -> DataFrame:
+    """Columns whose name matches a pattern but whose type is not the standard one."""
+    wanted = F.coalesce(*[F.when(F.col("column_name").rlike(rx), F.lit(kind)) for rx, kind in standards])
+    return schema.withColumn("_want", wanted).filter("_want <> data_type").select(
+        "table_name", "column_name", F.lit("type standard").alias("standard"),
+        F.concat(F.lit("Use "), F.col("_want"), F.lit(" instead of "), F.col("data_type")).alias("fix"),
+    )
+
+
 @dataclass(frozen=True)
 class DomainStandard:
     """Values of a column that the standard allows, as a predicate."""

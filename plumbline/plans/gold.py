@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.cleansing import applicable_rules, characteristic_type
-from plumbline.operators import daily, spc
+from plumbline.operators import daily, spc, watermark
+from plumbline.operators.upsert import months_predicate, replace_where
 from plumbline.scale import lookup_join
+from plumbline.sources.sinks import ParquetTable, create_if_absent, replace_range, rewrite
 
 LOOKBACK_DAYS = 29
 
@@ -99,3 +101,33 @@ def count_rows(tables: dict[str, DataFrame]) -> DataFrame:
         line = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows")
         out = line if out is None else out.unionByName(line)
     return out
+
+
+def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, start: str, end: str) -> None:
+    """Write the result of a run. Repeating a run, or running ranges in any order, gives the same tables.
+
+    Daily tables replace the rows of the range and are partitioned by month. The alarm rate replaces
+    its months. Finished baselines are kept.
+    """
+    for name, df in tables.items():
+        if name == "spc_baseline":
+            target = ParquetTable(f"{root}/{name}")
+            if not create_if_absent(df, target):
+                rewrite(target, lambda old, new=df: spc.freeze(old, new), spark)
+        elif name == "spc_monthly_alarm_rate":
+            target = ParquetTable(f"{root}/{name}")
+            if not create_if_absent(df, target):
+                months = months_predicate(start, end)
+                rewrite(target, lambda old, new=df: replace_where(old, new, months), spark)
+        else:
+            target = ParquetTable(f"{root}/{name}", ("month_start",))
+            monthly = df.withColumn("month_start", F.trunc(spc.DAY, "MM"))
+            replace_range(monthly, target, spc.DAY, start, end)
+
+
+def backfill_spc(
+    state: DataFrame, start: dt.date, end: dt.date, run: Callable[[dt.date, dt.date], None]
+) -> tuple[DataFrame, list[tuple[dt.date, dt.date, str]]]:
+    """Forget the marks of all control-chart tables and recompute them month by month."""
+    cleared = watermark.reset(state, "table_name LIKE 'spc\\_%'", confirm=True)
+    return cleared, watermark.backfill(start, end, run)

@@ -59,11 +59,24 @@ def sync(
     gold: DataFrame, served: DataFrame, name: str, day: str, now: Column, zero_numbers: bool = False
 ) -> DataFrame:
     """Serving table after one synchronisation. Columns are matched by name."""
-    keys = SERVING_KEYS[name]
-    rows = fill_defaults(slice_for(gold, day), keys, day, now, zero_numbers).withColumn(VERSION, now)
-    return served.unionByName(rows.select(*served.columns))
+    return sync_all({name: gold}, {name: served}, day, now, zero_numbers)[name]
 
 
 def final(served: DataFrame, name: str) -> DataFrame:
     """Newest version of every key."""
     return newest(served, SERVING_KEYS[name], [VERSION])
+
+
+def sync_all(
+    gold: Mapping[str, DataFrame], served: Mapping[str, DataFrame], day: str, now: Column, zero_numbers: bool = False
+) -> dict[str, DataFrame]:
+    """Synchronise every published table; a table that is not served yet starts empty."""
+    out = {}
+    for name in SERVING_KEYS:
+        if name not in gold:
+            continue
+        rows = fill_defaults(slice_for(gold[name], day), SERVING_KEYS[name], day, now, zero_numbers)
+        stamped = rows.withColumn(VERSION, now)
+        stored = served.get(name)
+        out[name] = stamped if stored is None else stored.unionByName(stamped.select(*stored.columns))
+    return out

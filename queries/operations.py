@@ -591,6 +591,32 @@ def standards_check(spark, sf):
     return all_domains(spark, sf)
 
 
+@R.add("""
+SELECT 'fact_orders' AS table_name, 'OrderDate' AS column_name, 'lower_snake_case' AS standard,
+       'Rename to order_date' AS fix, count(*) AS affected_rows FROM orders WHERE o_orderdate IS NOT NULL
+UNION ALL SELECT 'fact_orders', 'o_custkey', 'type standard', 'Use string instead of bigint', count(o_custkey) FROM orders
+UNION ALL SELECT 'fact_orders', 'o_orderkey', 'type standard', 'Use string instead of bigint', count(o_orderkey) FROM orders
+UNION ALL SELECT 'customers', 'c_custkey', 'type standard', 'Use string instead of bigint', count(c_custkey) FROM customer
+UNION ALL SELECT 'customers', 'c_nationkey', 'type standard', 'Use string instead of int', count(c_nationkey) FROM customer
+UNION ALL SELECT 'customers', '', 'table prefix', 'Use one of dim_, fact_', count(*) FROM customer""")
+def naming_standards(spark, sf):
+    """Names and types that break the standards, with the number of values they concern."""
+    tables = {
+        "fact_orders": table(spark, sf, "orders").withColumnRenamed("o_orderdate", "OrderDate"),
+        "customers": table(spark, sf, "customer"),
+    }
+    schema = quality.schema_frame(tables)
+    found = quality.naming_violations(schema).unionByName(quality.type_violations(schema, [("key$", "string")]))
+    counts = None
+    for name, df in tables.items():
+        cells = [F.struct(F.lit(name).alias("table_name"), F.lit("").alias("column_name"), F.count("*").alias("affected_rows"))]
+        for c in df.columns:
+            cells.append(F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.count(c).alias("affected_rows")))
+        part = df.agg(F.array(*cells).alias("a")).select(F.inline("a"))
+        counts = part if counts is None else counts.unionByName(part)
+    return found.join(counts, ["table_name", "column_name"])
+
+
 @R.add(f"""WITH {STANDARDS_SQL}
 SELECT table_name, count(*) AS violations, string_agg(column_name, ', ' ORDER BY column_name) AS fields
 FROM std WHERE failed_rows > 0 GROUP BY ALL""")

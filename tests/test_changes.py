@@ -270,3 +270,35 @@ def test_measurement_dates(spark):
     from plumbline.functions.cleansing import as_date, day_key
 
     assert [r[0] for r in text.select(day_key(as_date(text, "analysis_date"))).collect()] == ["20240101", None]
+
+
+def test_published_ranges_equal_one_full_run(spark, sf, tmp_path):
+    """Two ranges, published in any order and one of them twice, give the tables of one full run."""
+    from queries.layers import chart_rows
+    from queries.roles import records
+
+    wide, rec = chart_rows(spark, sf), records(spark, sf)
+
+    def run(root, start, end):
+        names = ("agg_qualification_rate_daily", "spc_capability_daily", "spc_baseline", "spc_monthly_alarm_rate")
+        made = gold.gold_run(rec, wide, start, end, tie=["analysis_id"])
+        gold.publish(spark, {n: made[n] for n in names}, str(tmp_path / root), start, end)
+
+    run("whole", "2024-01-01", "2024-01-31")
+    for start, end in (("2024-01-16", "2024-01-31"), ("2024-01-01", "2024-01-15"), ("2024-01-01", "2024-01-15")):
+        run("parts", start, end)
+    keys = {**serving.SERVING_KEYS, "spc_baseline": ("process_id", "tank_name", "cl_x")}
+    for name in ("agg_qualification_rate_daily", "spc_capability_daily", "spc_baseline", "spc_monthly_alarm_rate"):
+        whole, parts = (spark.read.parquet(str(tmp_path / r / name)) for r in ("whole", "parts"))
+        assert rows(parts, *keys[name]) == rows(whole, *keys[name])
+        assert name == "spc_monthly_alarm_rate" or parts.count() > 0
+
+
+def test_backfill_clears_chart_marks(spark):
+    state = spark.createDataFrame(
+        [(n, "ALL", NOW, 1, NOW, "SUCCESS") for n in ("spc_p_chart", "qualification_rate")], watermark.STATE_SCHEMA
+    )
+    months = []
+    left, outcome = gold.backfill_spc(state, dt.date(2024, 1, 5), dt.date(2024, 2, 2), lambda a, b: months.append((a, b)))
+    assert rows(left, "table_name") == [("qualification_rate",)]
+    assert len(months) == 2 and {o[2] for o in outcome} == {"SUCCESS"}
