@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from plumbline.errors import SpecError
+from plumbline.scale import keyset_join, materialise
 
 # Fixed value: a data file below this size counts as small.
 SMALL_FILE = 32 * 1024 * 1024
@@ -102,19 +103,14 @@ def patch(df: DataFrame, op: str, where: str, assign: Mapping[str, str] | None =
     )
 
 
-def touched_partitions(df: DataFrame, where: str, by: Sequence[str]) -> DataFrame:
-    return df.filter(_hit(where)).select(*by).distinct()
-
-
 def pre_image(df: DataFrame, where: str, by: Sequence[str]) -> DataFrame:
-    """All rows of the partitions that a patch will rewrite."""
-    return df.join(touched_partitions(df, where, by), list(by), "left_semi").select(*df.columns)
+    """All rows of the partitions that a patch will rewrite, kept as a written copy."""
+    return materialise(keyset_join(df, df.filter(_hit(where)), list(by), "left_semi"), "pre-image")
 
 
 def rollback(patched: DataFrame, before: DataFrame, by: Sequence[str]) -> DataFrame:
     """Put the partitions of the pre-image back."""
-    keep = patched.join(before.select(*by).distinct(), list(by), "left_anti").select(*patched.columns)
-    return keep.unionByName(before)
+    return keyset_join(patched, before, list(by), "left_anti").unionByName(before)
 
 
 def table_files(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.scale import keyset_join
+
 
 def newest(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
     """One row per key, the one with the greatest version.
@@ -88,8 +90,7 @@ def months_predicate(start: str, end: str, year: str = "year", month: str = "mon
 
 def replace_days_present(existing: DataFrame, incoming: DataFrame, column: str) -> DataFrame:
     """Replace exactly the days that occur in the incoming frame."""
-    days = incoming.select(column).distinct()
-    return existing.join(days, column, "left_anti").select(*existing.columns).unionByName(incoming)
+    return keyset_join(existing, incoming, [column], "left_anti").unionByName(incoming)
 
 
 def insert_absent(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.cleansing import applicable_rules, characteristic_type
 from plumbline.operators import daily, spc, watermark
 from plumbline.operators.upsert import months_predicate, replace_where
-from plumbline.scale import lookup_join
+from plumbline.scale import lookup_join, materialise
 from plumbline.sources.sinks import ParquetTable, create_if_absent, replace_range, rewrite
 
 LOOKBACK_DAYS = 29
@@ -63,14 +63,22 @@ def gold_run(
     tie: Sequence[str] = (),
     capability_history: DataFrame | None = None,
     subgroup_sizes: tuple[int, int] = (5, 10),
+    stage: bool = False,
 ) -> dict[str, DataFrame]:
     """All gold tables for [start, end], in the order in which they are published.
 
     Charts are computed with the history found in their inputs and then cut to the range, so a
     narrow run gives the same rows as a wide one. The alarm rate covers whole months:
     ``capability_history`` adds the published chart rows of those months outside the range.
+
+    With ``stage`` the chart input, which joins two facts, and the daily chart are written to the
+    shared directory once instead of being computed again for every table that reads them.
     """
+    if stage:
+        wide = materialise(wide, "chart-input")
     capability = spc.individuals_chart(individuals_scope(wide), tie=tie)
+    if stage:
+        capability = materialise(capability, "chart")
     first, last = month_range(start, end)
     months = within(capability, first, last)
     if capability_history is not None:

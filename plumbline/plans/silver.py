@@ -13,6 +13,7 @@ from plumbline.operators.scd import first_load, scd2_apply
 from plumbline.operators.star import Lookup, resolve_keys
 from plumbline.operators.upsert import newest
 from plumbline.operators.watermark import advance, last_success, mark_of, newer_than
+from plumbline.scale import keyset_join
 from plumbline.sources.sinks import ParquetTable, dual_write
 
 PROCESSED = "bronze_processing_timestamp"
@@ -126,7 +127,6 @@ def fact_load(
     """
     scope = bronze.filter(F.col("year_month_day") == day) if day else bronze
     fresh = newer_than(scope, PROCESSED, last_success(state, table, day or "ALL"))
-    days = fresh.select("year_month_day").distinct()
-    whole = scope.join(F.broadcast(days) if day else days, "year_month_day", "left_semi")
+    whole = keyset_join(scope, fresh, ["year_month_day"], "left_semi")
     dual_write(build(whole), first, second)
     return advance(state, mark_of(fresh, PROCESSED, table, day or "ALL", now))

@@ -75,6 +75,15 @@ def lookup_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def keyset_join(df: DataFrame, keys: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join of a large frame with a set of keys, such as touched partitions.
+
+    The distinct keys are written first, so that their true size decides between a broadcast and a
+    salted join. The large side is only shuffled when the key set is large too.
+    """
+    return lookup_join(df, materialise(keys.select(*on).distinct(), "keys"), on, how).select(*df.columns)
+
+
 def time_slice(ts: Column, seconds: int = SLICE_SECONDS) -> Column:
     """Number of the fixed-width slice of time that an instant falls into.
 

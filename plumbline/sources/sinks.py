@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.scale import materialise
+from plumbline.scale import keyset_join, materialise
 
 
 @dataclass(frozen=True)
@@ -102,12 +102,11 @@ def replace_range(df: DataFrame, table: ParquetTable, column: str, start: str, e
         write_replace(materialise(old.filter(~F.coalesce(within, F.lit(False))).unionByName(fresh)), table)
         return
     by = list(table.by)
-    touched = old.filter(within).select(*by).unionByName(fresh.select(*by)).distinct()
-    kept = old.filter(~F.coalesce(within, F.lit(False))).join(touched, by, "left_semi")
+    touched = materialise(old.filter(within).select(*by).unionByName(fresh.select(*by)).distinct(), "keys")
+    kept = keyset_join(old.filter(~F.coalesce(within, F.lit(False))), touched, by, "left_semi")
     result = materialise(kept.unionByName(fresh).select(*df.columns))
-    emptied = materialise(touched).join(result.select(*by).distinct(), by, "left_anti")
-    write_partitions(result, table)
-    drop_partitions(emptied, table)
+    write_partitions(cluster_for_write(result, table), table)
+    drop_partitions(keyset_join(touched, result, by, "left_anti"), table)
 
 
 def drop_partitions(keys: DataFrame, table: ParquetTable) -> None:
@@ -132,20 +131,17 @@ def dual_write(
     """
     spark = df.sparkSession
     rows = materialise(df)
-    keys = rows.select(*first.by).distinct()
-    before = None
-    if first.exists(spark):
-        old = first.read(spark)
-        before = materialise(old.join(keys, list(first.by), "left_semi").select(*old.columns))
-    write_partitions(rows, first)
+    by = list(first.by)
+    before = materialise(keyset_join(first.read(spark), rows, by, "left_semi")) if first.exists(spark) else None
+    write_partitions(cluster_for_write(rows, first), first)
     try:
-        write_second(rows, second)
+        write_second(cluster_for_write(rows, second), second)
     except Exception:
         if before is None:
             _fs(spark, first.path).delete(_path(spark, first.path), True)
         else:
             write_partitions(before, first)
-            drop_partitions(keys.join(before.select(*first.by).distinct(), list(first.by), "left_anti"), first)
+            drop_partitions(keyset_join(rows.select(*by).distinct(), before, by, "left_anti"), first)
         raise
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.functions.cleansing import day_key, days_to_date
 from plumbline.operators.upsert import newest
-from plumbline.scale import materialise
+from plumbline.scale import keyset_join, materialise
 from plumbline.sources.sinks import ParquetTable, write_partitions
 
 DATA_VERSION = "2.0"
@@ -117,10 +117,10 @@ def merge_stream(
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = newest(batch, merge_keys, version)
+        fresh = materialise(newest(batch, merge_keys, version))
         if table.exists(spark):
             old = table.read(spark).select(*batch.columns)
-            same = old.join(fresh.select("bucket").distinct(), "bucket", "left_semi").select(*batch.columns)
+            same = keyset_join(old, fresh, ["bucket"], "left_semi")
             both = newest(same.unionByName(fresh), merge_keys, version)
         else:
             both = fresh

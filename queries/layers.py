@@ -935,7 +935,7 @@ UNION ALL SELECT 'spc_monthly_alarm_rate', count(DISTINCT (process_id, tank_name
 def gold_run(spark, sf):
     """Row counts of all gold tables of one run over ten days of the month."""
     wide = chart_rows(spark, sf)
-    tables = gold.gold_run(records(spark, sf), wide, "2024-01-10", "2024-01-20", tie=["analysis_id"])
+    tables = gold.gold_run(records(spark, sf), wide, "2024-01-10", "2024-01-20", tie=["analysis_id"], stage=True)
     return gold.count_rows(tables)
 
 
@@ -996,7 +996,8 @@ UNION ALL SELECT 'spc_monthly_alarm_rate', count(DISTINCT (process_id, tank_name
 def serving_run(spark, sf):
     """Nine serving tables after the same day has been synchronised twice."""
     wide = chart_rows(spark, sf)
-    tables = gold.gold_run(records(spark, sf), wide, "2024-01-10", "2024-01-20", tie=["analysis_id"])
+    tables = gold.gold_run(records(spark, sf), wide, "2024-01-10", "2024-01-20", tie=["analysis_id"], stage=True)
+    tables = {name: materialise(df, "gold") for name, df in tables.items()}
     served = serving.sync_all(tables, {}, "2024-01-15", now())
     later = F.lit("2024-02-02").cast("timestamp")
     served = serving.sync_all(tables, served, "2024-01-15", later)
