@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.errors import SpecError
@@ -89,31 +90,83 @@ def _values(records: DataFrame) -> DataFrame:
 
 
 def _links(left: DataFrame, right: DataFrame, rules: Rules) -> DataFrame:
-    """Left and right values that meet a rule, with the similarity."""
-    l_side = _values(left).select(
-        "rule", "key", F.col("value").alias("left_value"), F.col("id").alias("left_id"),
-        F.col("records").alias("left_records"), F.col("text").alias("a"),
-    )
-    r_side = _values(right).select(
-        "rule", "key", F.col("value").alias("right_value"), F.col("records").alias("right_records"), F.col("text").alias("b")
+    """Left and right values that meet a rule, with the similarity.
+
+    Without similarity terms the equal fields decide. Else candidates share a rare letter pair.
+    """
+    l_side = _values(left).withColumnsRenamed({"value": "left_value", "id": "left_id", "records": "left_records", "text": "a"})
+    r_side = _values(right).withColumnsRenamed({"value": "right_value", "text": "b"}).drop("id", "records")
+    fuzzy = [i for i, terms in enumerate(rules) if any(t.op == "similarity" for t in terms)]
+    exact = [i for i in range(len(rules)) if i not in fuzzy]
+    columns = ["rule", "left_value", "left_id", "left_records", "right_value", "confidence"]
+    out = None
+    if exact:
+        same = l_side.filter(F.col("rule").isin(exact)).join(r_side, ["rule", "key"])
+        out = same.withColumn("confidence", F.lit(1.0)).select(*columns)
+    if fuzzy:
+        first = {i: next(t.threshold for t in rules[i] if t.op == "similarity") for i in fuzzy}
+        both = l_side.select("rule", "a").unionByName(r_side.select("rule", F.col("b").alias("a")))
+        pairs = _pairs(both.filter(F.col("rule").isin(fuzzy)).select(F.get("a", F.lit(0)).alias("s")))
+        # Normalized texts have 36 different characters, so this has at most 36 x 36 rows.
+        frequency = F.broadcast(pairs.groupBy("pair").agg(F.count("*").alias("frequency")))
+        l_tokens = _tokens(l_side.filter(F.col("rule").isin(fuzzy)), "left_value", "a", frequency, first)
+        r_tokens = _tokens(r_side.filter(F.col("rule").isin(fuzzy)), "right_value", "b", frequency, first)
+        near = _similar(l_tokens.join(r_tokens, ["rule", "key", "token"]), rules)
+        near = near.dropDuplicates(["rule", "left_value", "right_value"]).select(*columns)
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
+def _pairs(df: DataFrame) -> DataFrame:
+    """One row per pair of neighbouring letters of the text ``s``."""
+    cut = "CASE WHEN length(s) >= 2 THEN transform(sequence(1, length(s) - 1), i -> substring(s, i, 2)) ELSE array() END"
+    return df.select("*", F.posexplode(F.expr(cut)).alias("place", "pair"))
+
+
+def _tokens(values: DataFrame, value: str, text: str, frequency: DataFrame, thresholds: dict[int, float]) -> DataFrame:
+    """Tokens of which two similar texts always share one.
+
+    With at most k edits two texts differ in at most 2k letter pairs, so the 2k + 1 rarest pairs of
+    each have one in common. Texts too short for this, and those that may be similar to such a
+    text, share the token ``*``; for thresholds up to two thirds that is every text.
+    """
+    bound = F.coalesce(*[F.when(F.col("rule") == i, F.lit(t)) for i, t in thresholds.items()])
+    rows = values.withColumns({"s": F.get(text, F.lit(0)), "t": bound})
+    rows = rows.withColumn("_edits", F.expr("int(floor((1 - t) / t * length(s) + 1e-9))"))
+    same = W.partitionBy("rule", value, "pair").orderBy("place")
+    rarest = W.partitionBy("rule", value).orderBy("frequency", "pair", "_nth")
+    pairs = (
+        _pairs(rows)
+        .withColumn("_nth", F.row_number().over(same))
+        .join(frequency, "pair")
+        .withColumn("_rank", F.row_number().over(rarest))
+        .filter("_rank <= 2 * _edits + 1")
+        .withColumn("token", F.concat("pair", F.col("_nth").cast("string")))
     )
-    pairs = l_side.join(r_side, ["rule", "key"])
-    bounds, confidence = F.lit(True), F.lit(None).cast("double")
+    short = rows.filter("t <= 0.667 OR length(s) <= 2 / (1 - 2 * (1 - t) / t) / t + 1").withColumn("token", F.lit("*"))
+    columns = [*values.columns, "token"]
+    return pairs.select(*columns).unionByName(short.select(*columns))
+
+
+def _similar(pairs: DataFrame, rules: Rules) -> DataFrame:
+    """Pairs whose similar fields all reach their thresholds, with the least similarity."""
+    bounds, confidence = F.lit(False), F.lit(None).cast("double")
     for i, terms in enumerate(rules):
         fuzzy = [t for t in terms if t.op == "similarity"]
-        scores = []
-        enough = F.lit(True)
+        if not fuzzy:
+            continue
+        enough, scores = F.lit(True), []
         for j, t in enumerate(fuzzy):
             a, b = F.get("a", F.lit(j)), F.get("b", F.lit(j))
-            bound = t.threshold
             longest = F.greatest(F.length(a), F.length(b))
             # A difference in length bounds the distance from below and is cheaper to test.
-            enough = enough & (F.abs(F.length(a) - F.length(b)) <= longest * (1 - bound)) & (similarity(a, b) >= bound)
+            close = F.abs(F.length(a) - F.length(b)) <= longest * (1 - t.threshold) + 1e-9
+            enough = enough & close & (similarity(a, b) >= t.threshold)
             scores.append(similarity(a, b))
-        score = F.lit(1.0) if not scores else scores[0] if len(scores) == 1 else F.least(*scores)
+        score = scores[0] if len(scores) == 1 else F.least(*scores)
         bounds = F.when(F.col("rule") == i, enough).otherwise(bounds)
         confidence = F.when(F.col("rule") == i, score).otherwise(confidence)
-    return pairs.filter(bounds).withColumn("confidence", confidence).drop("a", "b")
+    return pairs.filter(bounds).withColumn("confidence", confidence)
 
 
 def match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, rules: Rules) -> DataFrame:

@@ -356,6 +356,39 @@ def test_value_shared_by_many_records_is_not_paired(spark):
     assert out.count() == 1000 and out.first().left_records == 1000
 
 
+@pytest.mark.parametrize("bound", [0.6, 0.7, 0.85, 0.95])
+def test_rare_pairs_find_every_similar_text(spark, bound):
+    """All pairs above the threshold, as a plain double loop finds them; texts of all lengths in one block."""
+    import random
+
+    rnd = random.Random(int(bound * 100))
+    stems = ["", "A", "AB", "ABAB", "AAAAAA", "SUPPLIER0001", "MIXERLINE77", "TANK"]
+    names = set()
+    for _ in range(150):
+        text = list(rnd.choice(stems))
+        for _ in range(rnd.randrange(4)):
+            at = rnd.randrange(len(text) + 1)
+            text[at : at + rnd.randrange(2)] = rnd.choice(["A", "B", "7", ""])
+        names.add("".join(text))
+    left, right = sorted(names)[::2], sorted(names)[1::2]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    def like(a, b):
+        return 1.0 if not a and not b else 1 - distance(a, b) / max(len(a), len(b))
+
+    expected = sorted((a, b) for a in left for b in right if like(a, b) >= bound)
+    frames = [companies(spark, *[(n, n, "x") for n in side]) for side in (left, right)]
+    rules = [[matching.Term("city", "city"), matching.Term("name", "name", "similarity", bound)]]
+    assert sorted(rows(matching.match(*frames, "id", "id", rules), "left_id", "right_id")) == expected
+
+
 def test_no_partner_near(spark):
     left = spark.createDataFrame([(1, dt.date(2024, 1, d)) for d in (1, 5, 9)], "k int, d date")
     right = spark.createDataFrame([(1, dt.date(2024, 1, 2)), (2, dt.date(2024, 1, 5)), (1, dt.date(2024, 1, 11))], "k int, e date")
