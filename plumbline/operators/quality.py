@@ -172,15 +172,12 @@ SENSITIVE_NAMES = (
 )
 
 
-def _may_match(text: Column, needles: Sequence[str]) -> Column:
+def _may_match(text: str, needles: Sequence[str]) -> str:
     """Cheap test that every match passes; it spares most rows the costly pattern."""
     if needles == DIGITS:
-        return text.rlike("[0-9]")
-    plain = text if needles == ("@",) else F.lower(text)
-    hit = plain.contains(needles[0])
-    for n in needles[1:]:
-        hit = hit | plain.contains(n)
-    return hit
+        return f"{text} RLIKE '[0-9]'"
+    plain = text if needles == ("@",) else f"lower({text})"
+    return " OR ".join(f"contains({plain}, '{n}')" for n in needles)
 
 
 def sensitive_scan(df: DataFrame, table: str, threshold: float = 0.0) -> DataFrame:
@@ -188,29 +185,18 @@ def sensitive_scan(df: DataFrame, table: str, threshold: float = 0.0) -> DataFra
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     guards = list(dict.fromkeys(p[3] for p in SENSITIVE_PATTERNS))
     flags = {(c, g): f"_g{i}_{j}" for i, c in enumerate(texts) for j, g in enumerate(guards)}
-    guarded = df.select(*texts, *[_may_match(F.col(f"`{c}`"), g).alias(n) for (c, g), n in flags.items()])
-    pairs = [(c, *p) for c in texts for p in SENSITIVE_PATTERNS]
-    counts = guarded.agg(
-        F.count("*").alias("_n"),
-        *[
-            F.count_if(F.col(flags[c, guard]) & F.col(f"`{c}`").rlike(rx)).alias(f"_{i}")
-            for i, (c, _, rx, _, guard) in enumerate(pairs)
-        ],
+    guarded = df.selectExpr(
+        *[f"`{c}`" for c in texts], *[f"({_may_match(f'`{c}`', g)}) AS {n}" for (c, g), n in flags.items()]
     )
-    lines = F.array(
-        *[
-            F.struct(
-                F.lit(table).alias("table_name"),
-                F.lit(c).alias("column_name"),
-                F.lit(kind).alias("kind"),
-                F.lit(level).alias("suggested_level"),
-                F.col(f"_{i}").alias("hits"),
-                F.when(F.col("_n") > 0, F.col(f"_{i}") / F.col("_n")).alias("confidence"),
-            )
-            for i, (c, kind, _, level, _) in enumerate(pairs)
-        ]
+    pairs = [(c, *p) for c in texts for p in SENSITIVE_PATTERNS]
+    hits = [f"count_if({flags[c, guard]} AND `{c}` RLIKE r'{rx}')" for c, _, rx, _, guard in pairs]
+    counts = guarded.agg(F.expr("count(*)").alias("_n"), *[F.expr(h).alias(f"_{i}") for i, h in enumerate(hits)])
+    lines = ", ".join(
+        f"struct('{table}' AS table_name, '{c}' AS column_name, '{kind}' AS kind, '{level}' AS suggested_level, "
+        f"_{i} AS hits, try_divide(_{i}, _n) AS confidence)"
+        for i, (c, kind, _, level, _) in enumerate(pairs)
     )
-    found = counts.select(F.explode(lines).alias("x")).select("x.*")
+    found = counts.selectExpr(f"inline(array({lines}))")
     return found.filter((F.col("hits") > 0) & (F.col("confidence") >= threshold))
 
 

@@ -28,6 +28,8 @@ LIMITS = ("lsl", "usl", "cl")
 DAY = "analysis_date"
 INSTANT = "analysis_datetime"
 CHUNK = 4096
+SLICE_ROWS = 5_000_000
+SLICE_WIDTHS = (SLICE_SECONDS, 60, 10, 1, 0.1, 0.01, 0.001)
 
 
 def run_rules(
@@ -91,16 +93,30 @@ def source_of_limits(*beyond: str) -> Column:
     return F.expr(f"CASE WHEN {tests} THEN 'SPEC_90PCT' ELSE 'CALCULATED' END")
 
 
-def _slices(df: DataFrame, seconds: int) -> DataFrame:
+def _slices(df: DataFrame, seconds: float) -> DataFrame:
     return df.withColumn("_slice", F.coalesce(time_slice(F.col(INSTANT), seconds), F.lit(-1).cast("long")))
 
 
+def fitting_slice(df: DataFrame, keys: Sequence[str] = CHART_KEYS, target_rows: int = SLICE_ROWS) -> float:
+    """Widest slice, in seconds, that holds at most ``target_rows`` rows of any key.
+
+    Counts rows per key and slice, combined before the shuffle, and narrows the slice while a burst
+    of one key overfills it. Most data needs one count.
+    """
+    for seconds in SLICE_WIDTHS:
+        per_slice = _slices(df.select(*keys, DAY, INSTANT), seconds).groupBy(*keys, DAY, "_slice")
+        fullest = per_slice.agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if fullest <= target_rows:
+            break
+    return seconds
+
+
 def daily_statistics(
     df: DataFrame,
     keys: Sequence[str],
     limits: Sequence[str] = LIMITS,
     tie: Sequence[str] = (),
-    seconds: int = SLICE_SECONDS,
+    seconds: float = SLICE_SECONDS,
 ) -> DataFrame:
     """Per key, day and limit set: count, out-of-spec count, mean, mean moving range, deviation.
 
@@ -152,7 +168,7 @@ def daily_statistics(
 
 
 def individuals_chart(
-    df: DataFrame, keys: Sequence[str] = SHIFT_KEYS, tie: Sequence[str] = (), seconds: int = SLICE_SECONDS
+    df: DataFrame, keys: Sequence[str] = SHIFT_KEYS, tie: Sequence[str] = (), seconds: float = SLICE_SECONDS
 ) -> DataFrame:
     """Individuals and moving-range chart with capability, one row per key, day and limit set."""
     chart = rolling_limits(daily_statistics(df, keys, LIMITS, tie, seconds), keys)
@@ -206,7 +222,7 @@ def rolling_limits(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def frozen_baseline(
-    df: DataFrame, keys: Sequence[str] = CHART_KEYS, tie: Sequence[str] = (), seconds: int = SLICE_SECONDS
+    df: DataFrame, keys: Sequence[str] = CHART_KEYS, tie: Sequence[str] = (), seconds: float = SLICE_SECONDS
 ) -> DataFrame:
     """Control limits from the earliest 25 days of each key."""
     daily = daily_statistics(df, keys, (), tie, seconds)
@@ -240,7 +256,7 @@ def subgroups(
     size: int,
     keys: Sequence[str] = CHART_KEYS,
     tie: Sequence[str] = (),
-    seconds: int = SLICE_SECONDS,
+    seconds: float = SLICE_SECONDS,
 ) -> DataFrame:
     """Complete subgroups of ``size`` consecutive values of a key and day.
 
@@ -329,7 +345,7 @@ def xbar_r_chart(
     keys: Sequence[str] = CHART_KEYS,
     tie: Sequence[str] = (),
     literal_centre: bool = False,
-    seconds: int = SLICE_SECONDS,
+    seconds: float = SLICE_SECONDS,
 ) -> DataFrame:
     """Subgroup mean and range chart. Limits are tightened while a day has fewer than 100 points."""
     a2, d3, d4, d2 = K.RANGE_FACTORS.get(size, K.RANGE_FACTORS[K.DEFAULT_RANGE_SIZE])
@@ -357,7 +373,7 @@ def xbar_s_chart(
     keys: Sequence[str] = CHART_KEYS,
     tie: Sequence[str] = (),
     literal_centre: bool = False,
-    seconds: int = SLICE_SECONDS,
+    seconds: float = SLICE_SECONDS,
 ) -> DataFrame:
     """Subgroup mean and standard-deviation chart."""
     a3, b3, b4, c4 = K.DEVIATION_FACTORS.get(size, K.DEVIATION_FACTORS[K.DEFAULT_DEVIATION_SIZE])

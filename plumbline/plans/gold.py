@@ -72,11 +72,14 @@ def gold_run(
     ``capability_history`` adds the published chart rows of those months outside the range.
 
     With ``stage`` the chart input, which joins two facts, and the daily chart are written to the
-    shared directory once instead of being computed again for every table that reads them.
+    shared directory once instead of being computed again for every table that reads them, and the
+    width of the time slices is fitted to the fullest slice.
     """
+    order = {"tie": tie}
     if stage:
         wide = materialise(wide, "chart-input")
-    capability = spc.individuals_chart(individuals_scope(wide), tie=tie)
+        order["seconds"] = spc.fitting_slice(wide)
+    capability = spc.individuals_chart(individuals_scope(wide), **order)
     if stage:
         capability = materialise(capability, "chart")
     first, last = month_range(start, end)
@@ -92,10 +95,10 @@ def gold_run(
         "agg_qualification_rate_daily": daily.nonconformance_daily(judged),
         "agg_warning_statistics_daily": daily.warning_daily(judged),
         "spc_capability_daily": within(capability, start, end),
-        "spc_baseline": spc.frozen_baseline(individuals_scope(wide), tie=tie),
+        "spc_baseline": spc.frozen_baseline(individuals_scope(wide), **order),
         "spc_trend_ma": within(spc.moving_average_trend(wide), start, end),
-        "spc_xbar_r_chart": within(spc.xbar_r_chart(product_scope(wide), r_size, tie=tie), start, end),
-        "spc_xbar_s_chart": within(spc.xbar_s_chart(product_scope(wide), s_size, tie=tie), start, end),
+        "spc_xbar_r_chart": within(spc.xbar_r_chart(product_scope(wide), r_size, **order), start, end),
+        "spc_xbar_s_chart": within(spc.xbar_s_chart(product_scope(wide), s_size, **order), start, end),
         "spc_p_chart": within(spc.p_chart(records), start, end),
         "spc_c_chart": within(spc.c_chart(records), start, end),
         "spc_monthly_alarm_rate": spc.monthly_alarm_rate(months),

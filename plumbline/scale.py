@@ -84,13 +84,14 @@ def keyset_join(df: DataFrame, keys: DataFrame, on: Sequence[str], how: str) ->
     return lookup_join(df, materialise(keys.select(*on).distinct(), "keys"), on, how).select(*df.columns)
 
 
-def time_slice(ts: Column, seconds: int = SLICE_SECONDS) -> Column:
+def time_slice(ts: Column, seconds: float = SLICE_SECONDS) -> Column:
     """Number of the fixed-width slice of time that an instant falls into.
 
     Windows that need the order inside a long series run per slice, and a second, much smaller
     step joins the slices up. A slice never crosses midnight as long as ``seconds`` divides a day.
     """
-    return F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(seconds)).cast("long")
+    width = round(seconds * 1_000_000)
+    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(width)).cast("long")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:

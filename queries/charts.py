@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.cleansing import applicable_rules, characteristic_type
 from plumbline.operators import daily, spc
 from plumbline.operators.upsert import months_predicate
 
@@ -13,7 +12,6 @@ from queries.roles import (
     QTY_TIE,
     QUANTITIES_SQL,
     RECORDS_SQL,
-    SHIFT_SQL,
     TIE,
     Registry,
     big,
@@ -22,7 +20,6 @@ from queries.roles import (
     r6,
     records,
     rounded,
-    table,
 )
 
 R = Registry()

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from plumbline.functions import cleansing as cl
-from plumbline.operators import scd, spc, star, upsert, watermark
+from plumbline.operators import scd, star, upsert, watermark
 from plumbline.plans import bronze, gold, model, serving, silver
 from plumbline.scale import materialise, shared_dir
 from plumbline.sources import scans, sinks
@@ -17,9 +17,7 @@ from queries.roles import (
     RECORDS_SQL,
     SHIFT_SQL,
     Registry,
-    big,
     measurements,
-    r6,
     records,
     rounded,
     shift,

@@ -54,6 +54,24 @@ def test_moving_range_crosses_slices_and_days(spark):
     assert rows(out, "analysis_date", "mr_bar_d", "xbar_d") == [(DAY0, 3.0, 2.5), (dt.date(2024, 1, 2), 2.0, 2.0)]
 
 
+def test_slices_narrow_until_a_burst_fits(spark):
+    """Five thousand values of one key within one second, spread over its milliseconds."""
+    burst = spark.range(5000).select(
+        F.col("id").alias("analysis_id"), F.lit("p").alias("process_id"), F.lit("t").alias("tank_name"),
+        F.lit("i").alias("item_name"), F.lit(DAY0).alias("analysis_date"),
+        F.timestamp_millis(F.lit(1704067200000) + F.col("id") % 1000).alias("analysis_datetime"),
+        F.sin("id").alias("x"), F.lit(-1.0).alias("lsl"), F.lit(1.0).alias("usl"), F.lit(0.0).alias("cl"),
+    )
+    assert spc.fitting_slice(burst) == 600
+    width = spc.fitting_slice(burst, target_rows=60)
+    assert width == 0.01
+    wide, narrow = (spc.daily_statistics(burst, spc.CHART_KEYS, tie=["analysis_id"], seconds=s).first() for s in (600, width))
+    assert narrow.n_samples == 5000 and narrow.mr_bar_d == pytest.approx(wide.mr_bar_d)
+    assert narrow.sigma_overall_d == pytest.approx(wide.sigma_overall_d)
+    groups = [rows(spc.subgroups(burst, 5, tie=["analysis_id"], seconds=s), "_subgroup", F.round("xbar_i", 9)) for s in (600, width)]
+    assert groups[0] == groups[1] and len(groups[0]) == 1000
+
+
 @pytest.mark.parametrize("seconds", [600, 3600, 86_400])
 def test_daily_statistics_equal_a_plain_loop(spark, seconds):
     """One key holds most rows, instants repeat, limits change inside a day, some values are missing."""
