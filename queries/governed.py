@@ -182,7 +182,7 @@ def governed_sample(spark, sf):
     governed = policy.govern(
         table(spark, sf, "customer"), policy.Decision(row_filters=["c_nationkey < 10", "c_acctbal > 0"])
     )
-    policy.require_gold("gold_qms")
+    policy.require_gold("gold_quality")
     ordered = governed.orderBy("c_custkey")
     return policy.sample(ordered, "c_mktsegment = 'BUILDING'", 200).select("c_custkey", "c_name")
 

@@ -462,7 +462,7 @@ def envelope(spark, sf):
         F.when(F.col("event_id") % 50 == 0, "true").otherwise("false").alias("__deleted"),
     )
     return e.select(
-        F.lit("qms.events").alias("topic"), F.lit(0).alias("partition"), F.col("event_id").alias("offset"),
+        F.lit("plant.events").alias("topic"), F.lit(0).alias("partition"), F.col("event_id").alias("offset"),
         F.col("ts").cast("timestamp").alias("timestamp"), F.to_json(image).alias("value"),
     )
 

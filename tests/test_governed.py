@@ -142,9 +142,9 @@ def test_tenant_and_sensitivity(spark):
 def test_sample_and_gold_guard(people):
     assert policy.sample(people, "balance > 0", 999).count() == 2
     assert policy.sample(people, None, 1).count() == 1
-    policy.require_gold("Gold_qms")
+    policy.require_gold("Gold_quality")
     with pytest.raises(SpecError):
-        policy.require_gold("silver_qms")
+        policy.require_gold("silver_quality")
 
 
 def test_audit_row(people):
