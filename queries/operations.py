@@ -264,15 +264,24 @@ SELECT asset, usage, dependants, score, CASE WHEN usage = 0 AND dependants = 0 T
        WHEN cost > use THEN 'costly' ELSE 'normal' END AS category FROM s""")
 def asset_score(spark, sf):
     """Brands as assets, valued by their lines."""
-    i = table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
-    lines = table(spark, sf, "part").select("p_partkey", "p_brand").join(i, "p_partkey", "left")
     recent = F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp_ntz")
-    assets = lines.groupBy(F.col("p_brand").alias("asset")).agg(
-        F.count_if(recent).alias("usage"),
-        F.sum(F.coalesce("l_quantity", F.lit(0.0))).alias("storage"),
-        F.sum(F.coalesce("l_extendedprice", F.lit(0.0))).alias("compute"),
-        F.count_distinct(F.when(F.col("l_returnflag") == "R", F.col("l_suppkey"))).alias("dependants"),
-        (F.count_if(F.col("l_discount") < 0.05) * 100.0 / F.count("*")).alias("quality"),
+    returned = F.when(F.col("l_returnflag") == "R", F.col("l_suppkey"))
+    # Lines are added up per part and returning supplier before the join: a part may have very many.
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey"), returned.alias("returner")).agg(
+        F.count("*").alias("n"),
+        F.count_if(recent).alias("recent"),
+        F.sum("l_quantity").alias("quantity"),
+        F.sum("l_extendedprice").alias("price"),
+        F.count_if(F.col("l_discount") < 0.05).alias("low"),
+    )
+    parts = table(spark, sf, "part").select("p_partkey", "p_brand").join(lines, "p_partkey", "left")
+    rows = parts.fillna({"n": 1, "recent": 0, "quantity": 0.0, "price": 0.0, "low": 0})
+    assets = rows.groupBy(F.col("p_brand").alias("asset")).agg(
+        F.sum("recent").alias("usage"),
+        F.sum("quantity").alias("storage"),
+        F.sum("price").alias("compute"),
+        F.count_distinct("returner").alias("dependants"),
+        (F.sum("low") * 100.0 / F.sum("n")).alias("quality"),
     )
     return rounded(catalog.asset_score(assets).select("asset", "usage", "dependants", "score", "category"))
 
