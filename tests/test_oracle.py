@@ -5,7 +5,8 @@ from oracle import connect, difference
 
 import __spark_entry__ as entry
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {k: v for k, v in entry.queries().items() if k not in entry.LLM_QUERIES}
+ORACLES = {k: v for k, v in entry.oracle_sql().items() if k not in entry.LLM_QUERIES}
 
 
 @pytest.fixture(scope="module")
