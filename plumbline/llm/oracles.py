@@ -26,3 +26,33 @@ b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END)
   + (CASE WHEN word_chars > 25 * n_words THEN 32 ELSE 0 END) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits % 4 > 0 AS base_failed,
        fail_bits = 0 AS kept, fail_bits::BIGINT AS fail_bits FROM b"""
+
+ORACLES["op5_url_filter"] = r"""
+WITH u AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS r,
+           coalesce(instr(url, '://') > 0, false) AS has FROM pages),
+h AS (SELECT page_id, has, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+c AS (SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '(/|\.html)+$', '') AS canon,
+      has AND regexp_matches(host, '(^|[.-])(spam|adult|cheap|casino|porn|pills|malware|phish)[.-]') AS bad FROM h),
+r AS (SELECT *, CASE
+        WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+        WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+        WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM c)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
+       WHEN rule IS NOT NULL THEN 'block'
+       WHEN has AND canon IN (SELECT canon FROM c WHERE bad) THEN 'block' ELSE 'allow' END AS verdict FROM r"""
+
+ORACLES["op7_chat_format"] = r"""
+WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, replace(replace(role, '\', '\\'), '<|', '<\|') AS er, replace(replace(text, '\', '\\'), '<|', '<\|') AS et,
+      row_number() OVER w AS i, lag(role) OVER w AS before FROM a
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(length(et) + CASE WHEN before = role THEN 8 ELSE 16 + length(er) + CASE WHEN i > 1 THEN 7 ELSE 0 END END)
+        + 7)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""

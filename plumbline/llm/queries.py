@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import packing, quality_rules, secret_scan
+from plumbline.llm import chat_format, packing, quality_rules, secret_scan, url_filter
 from plumbline.llm.oracles import ORACLES  # noqa: F401
 from plumbline.llm.rowkeys import bounded_arrow_batches, table
 
@@ -45,3 +45,27 @@ def op2_quality_rules(spark, sf_dir):
 @register
 def op4_cost_balanced_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"))
+
+
+#: Words in a host that put its pages on the list of blocked URLs.
+LISTED_HOSTS = r"(^|[.-])(spam|adult|cheap|casino|porn|pills|malware|phish)[.-]"
+
+
+@register
+def op5_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    listed = url_filter.url_list(pages.where(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS)))
+    return url_filter.judge_urls(pages, url_filter.rule_list(spark).unionByName(listed))
+
+
+@register
+def op7_chat_format(spark, sf_dir):
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(probe).alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_format.digest(chat_format.format_chats(turns))
