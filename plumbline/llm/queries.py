@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, packing, quality_rules, secret_scan, url_filter
+from plumbline.llm import chat_format, jaccard_join, packing, quality_rules, secret_scan, url_filter
 from plumbline.llm.oracles import ORACLES  # noqa: F401
 from plumbline.llm.rowkeys import bounded_arrow_batches, table
 
@@ -69,3 +69,8 @@ def op7_chat_format(spark, sf_dir):
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat_format.digest(chat_format.format_chats(turns))
+
+
+@register
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_join.linked_components(table(spark, sf_dir, "documents"), n=3, percent=90)
