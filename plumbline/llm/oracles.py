@@ -33,7 +33,7 @@ WITH u AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(
 h AS (SELECT page_id, has, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
       'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 c AS (SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '(/|\.html)+$', '') AS canon,
-      has AND regexp_matches(host, '(^|[.-])(spam|adult|cheap|casino|porn|pills|malware|phish)[.-]') AS bad FROM h),
+      has AND regexp_matches(host, '(^|[.-])(spam|adult|cheap|casino|free|ads)[.-]') AS bad FROM h),
 r AS (SELECT *, CASE
         WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
         WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, jaccard_join, packing, quality_rules, secret_scan, url_filter
+from plumbline.llm import chat_format, html_extract, jaccard_join, packing, pii, quality_rules, secret_scan, url_filter
 from plumbline.llm.oracles import ORACLES  # noqa: F401
 from plumbline.llm.rowkeys import bounded_arrow_batches, table
 
@@ -48,7 +48,7 @@ def op4_cost_balanced_packing(spark, sf_dir):
 
 
 #: Words in a host that put its pages on the list of blocked URLs.
-LISTED_HOSTS = r"(^|[.-])(spam|adult|cheap|casino|porn|pills|malware|phish)[.-]"
+LISTED_HOSTS = r"(^|[.-])(spam|adult|cheap|casino|free|ads)[.-]"
 
 
 @register
@@ -74,3 +74,13 @@ def op7_chat_format(spark, sf_dir):
 @register
 def op9_jaccard_join(spark, sf_dir):
     return jaccard_join.linked_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+@register
+def op8_html_extract(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@register
+def op10_personal_data(spark, sf_dir):
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
