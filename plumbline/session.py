@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -23,3 +27,26 @@ def build_session(app: str = "plumbline", master: str | None = None, **extra: st
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the session's executors, once per application.
+
+    Spark hands the archive out itself, so executors need neither the repository nor a shared path.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="plumbline-"), "plumbline.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("plumbline", os.path.relpath(path, root)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
+_SHIPPED: set[str] = set()
