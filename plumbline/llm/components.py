@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from plumbline.scale import materialise
 
 
-def _least_neighbour(edges: DataFrame) -> DataFrame:
-    """(u, least): minima are combined before the shuffle; written, so that a join with hot nodes can be split."""
-    return materialise(edges.groupBy("u").agg(F.min("v").alias("least")), "stars")
+def join_by(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Equi-join on one column in which a hot key can be split.
+
+    Adaptive execution splits a join's partitions only if both sides were shuffled for that join. A side that is an
+    aggregate by the same key would be joined as it lies; a key wrapped in a struct makes it shuffle its few rows once
+    more, and the hot key of the other side is spread.
+    """
+    keyed = right.withColumnRenamed(on, "_on")
+    return left.join(keyed, F.struct(F.col(on).alias("k")) == F.struct(F.col("_on").alias("k")), how).drop("_on")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,24 +26,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     keep what is connected, and when nothing changes any more every node hangs on the smallest of its component. The
     number of rounds grows with the logarithm of the longest path. Nothing is gathered on the driver but a checksum.
     """
-    link = edges.where(F.col(a) != F.col(b)).select(
-        F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
+    now = materialise(
+        edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links"
     )
-    now = materialise(link.distinct(), "links")
     before = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
+        if mark == before or not mark[0]:
             break
         before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least_neighbour(both).withColumn("least", F.least("least", "u"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("least").alias("v"))
-        large = materialise(large.where(F.col("u") != F.col("v")).distinct(), "large-star")
-        least = _least_neighbour(large)
-        moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        small = moved.where(F.col("u") != F.col("v")).unionByName(least.select("u", F.col("least").alias("v")))
-        now = materialise(small.distinct(), "links")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"))
+        hung = join_by(both.where(F.col("v") > F.col("u")), least, "u")
+        large = hung.select(F.col("v").alias("u"), F.col("least").alias("v")).where("u != v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("least"))
+        moved = join_by(large, least, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u != v")
+        now = materialise(moved.unionByName(least.select("u", F.col("least").alias("v"))).distinct(), "links")
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         roots.withColumn("component", F.col("node"))

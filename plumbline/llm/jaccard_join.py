@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bloom import BROADCAST_BLOCKS, block_count, bloom_blocks, possible_hits
-from plumbline.llm.components import components
+from plumbline.llm.components import components, join_by
 from plumbline.scale import materialise
 
 #: The pool takes hashes below this: 3 of 16 parts.
@@ -40,8 +40,6 @@ MAP_WORDS = 16
 HUBS = 4
 #: Lists up to this long are enumerated at once; longer ones try hubs first. Both ways find the same components.
 SHORT_LIST = 16
-#: After so many rounds of testing one pair per text and component, all pairs that are left are tested at once.
-ROUNDS = 4
 KNOWN_WORDS = 500_000
 
 
@@ -152,10 +150,8 @@ def prefixes(rows: DataFrame, percent: int) -> DataFrame:
     classes = rows.where("n > 0").groupBy("sig").agg(F.min_by(F.struct("node", "head"), "node").alias("c"))
     posted = classes.select("c.node", F.explode("c.head").alias("gram"))
     counts = posted.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    shared = posted.join(counts, "gram")
-    gathered = materialise(
-        shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams")), "shared-grams"
-    )
+    shared = join_by(posted, counts, "gram")
+    gathered = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
     sized = gathered.join(rows.select("node", "n", "pool_size", "map"), "node")
     in_pool = lambda g: (g.gram >= 0) & (g.gram < POOL_LIMIT)
     length = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
@@ -176,9 +172,9 @@ def prefixes(rows: DataFrame, percent: int) -> DataFrame:
 def grouped(prefixed: DataFrame) -> DataFrame:
     """With ``group``: the smallest node of equal size and equal prefix."""
     same = F.sha2(F.concat_ws(",", F.col("n").cast("string"), F.col("prefix.gram").cast("array<string>")), 256)
-    keyed = prefixed.withColumn("same", F.when(F.col("all_shared"), same))
-    groups = materialise(keyed.where("all_shared").groupBy("same").agg(F.min("node").alias("group")), "prefix-groups")
-    joined = keyed.join(groups, "same", "left")
+    keyed = materialise(prefixed.withColumn("same", F.when(F.col("all_shared"), same)), "prefixes")
+    groups = keyed.where("all_shared").groupBy("same").agg(F.min("node").alias("group"))
+    joined = join_by(keyed, groups, "same", "left")
     return joined.select("node", F.coalesce("group", "node").alias("group"), "n", "prefix", "map")
 
 
@@ -210,11 +206,10 @@ def near_maps(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. Whole sets are made anew for the rows that are asked for, and for no others.
+    """The rows of ``pairs`` whose texts a and b link. Whole sets are made anew for the texts that are asked for only.
 
     A Bloom filter of bounded size picks the texts to read; the exact join by signature follows it.
     """
-    pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = materialise(rows.select("node", "key", "sig").join(asked, "node"), "wanted")
     ids = wanted.select(F.xxhash64("key").alias("key"))
@@ -226,20 +221,17 @@ def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, n: int, percent
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     common = F.size(F.array_intersect("ga", "gb"))
-    return two.select("a", "b", common.alias("i"), (F.size("ga") + F.size("gb") - common).alias("u")).where(
-        100 * F.col("i") >= percent * F.col("u")
-    ).select("a", "b")
+    met = two.select(*pairs.columns, common.alias("i"), (F.size("ga") + F.size("gb") - common).alias("u"))
+    return met.where(100 * F.col("i") >= percent * F.col("u")).select(*pairs.columns)
 
 
 def hub_pairs(lists: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """For each node in a long list the one hub of its lists that looks nearest."""
     pick = [F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"].alias(f"h{k}") for k in range(HUBS)]
     hubs = lists.groupBy("list").agg(F.count("*").alias("size"), *pick).where(F.col("size") > SHORT_LIST)
-    hubs = materialise(
-        hubs.select("list", F.explode(F.array_distinct(F.array(*[f"h{k}" for k in range(HUBS)]))).alias("b")), "hubs"
-    )
-    pairs = lists.select("list", F.col("node").alias("a")).join(hubs, "list").where("a != b").select("a", "b").distinct()
-    near = near_maps(pairs, members, percent)
+    hubs = hubs.select("list", F.array_distinct(F.array(*[f"h{k}" for k in range(HUBS)])).alias("hubs"))
+    met = join_by(lists.select("list", F.col("node").alias("a")), hubs, "list").select("a", F.explode("hubs").alias("b"))
+    near = near_maps(met.where("a != b").distinct(), members, percent)
     return near.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
 
 
@@ -249,7 +241,7 @@ def open_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, percent:
     In each list the component with most entries needs no pairs of its own: the others are joined with all. An entry
     stands for its group; a group whose members are in several components belongs to none and is joined with all.
     """
-    named = members.join(labels, "node", "left").select(
+    named = join_by(members, labels, "node", "left").select(
         "node", "group", F.coalesce("component", "node").alias("component")
     )
     named = materialise(named, "named")
@@ -258,38 +250,32 @@ def open_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, percent:
     own = named.select("node", "component")
     at = lists.join(own, "node").join(spread, "node", "left")
     # an entry of a list of one group's members stands for itself alone
-    entries = materialise(
-        at.select("list", "node", "n", "place", "inner", F.when(F.col("inner"), F.col("component")).otherwise(F.col("whole")).alias("c")),
-        "entries",
-    )
+    of = F.when(F.col("inner"), F.col("component")).otherwise(F.col("whole"))
+    entries = materialise(at.select("list", "node", "n", "place", "inner", of.alias("c")), "entries")
     sizes = entries.groupBy("list", "c").agg(F.count("*").alias("k"))
     main = sizes.groupBy("list").agg(
-        F.max(F.when(F.col("c").isNotNull(), F.struct("k", "c")))["c"].alias("main"), F.count("*").alias("kinds"),
+        F.max(F.when(F.col("c").isNotNull(), F.struct("k", "c")))["c"].alias("main"),
+        F.count("*").alias("kinds"),
         F.count_if(F.col("c").isNull()).alias("mixed"),
-    ).where("kinds > 1 or mixed > 0")
-    main = materialise(main.select("list", "main"), "main")
-    live = entries.join(main, "list")
-    minor = live.where(F.col("c").isNull() | (F.col("c") != F.coalesce(F.col("main"), F.lit(-1)))).alias("x")
-    other = live.alias("y")
+    )
+    live = join_by(entries, main.where("kinds > 1 or mixed > 0"), "list")
+    major = F.col("c").eqNullSafe(F.coalesce(F.col("main"), F.lit(-1)))
+    live = materialise(live.select(*entries.columns, major.alias("major")), "live-entries")
+    minor, other = live.where("not major").alias("x"), live.alias("y")
     differ = F.col("x.c").isNull() | F.col("y.c").isNull() | (F.col("x.c") != F.col("y.c"))
     fits = sizes_allow(F.col("x.n"), F.col("y.n"), percent) & places_allow("x", "y", percent)
     met = minor.join(other, (F.col("x.list") == F.col("y.list")) & (F.col("x.node") != F.col("y.node")) & differ & fits)
     a, b = F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
-    met = materialise(met.select(a, b, F.col("x.inner").alias("inner")).distinct(), "entry-pairs")
-    inside = named.select(F.col("group"), "node", "component")
-    crossed = (
-        met.where("not inner")
-        .join(inside.select(F.col("group").alias("a"), F.col("node").alias("a1"), F.col("component").alias("ca")), "a")
-        .join(inside.select(F.col("group").alias("b"), F.col("node").alias("b1"), F.col("component").alias("cb")), "b")
-    )
-    within = (
-        met.where("inner")
-        .join(own.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a")
-        .join(own.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
-        .select(F.col("a").alias("a1"), F.col("b").alias("b1"), "ca", "cb")
+    met = met.select(a, b, F.col("x.inner").alias("inner")).distinct()
+    # an entry becomes its members, or itself in a list of members
+    each = named.select("group", "node", "component", F.lit(False).alias("inner")).unionByName(
+        named.select(F.col("node").alias("group"), "node", "component", F.lit(True).alias("inner"))
     )
-    pairs = crossed.select("a1", "b1", "ca", "cb").unionByName(within).where("ca != cb")
-    return near_maps(pairs.select(F.col("a1").alias("a"), F.col("b1").alias("b")).distinct(), members, percent)
+    one = each.select(F.col("group").alias("a"), "inner", F.col("node").alias("a1"), F.col("component").alias("ca"))
+    two = each.select(F.col("group").alias("b"), "inner", F.col("node").alias("b1"), F.col("component").alias("cb"))
+    pairs = met.join(one, ["a", "inner"]).join(two, ["b", "inner"]).where("ca != cb")
+    pairs = pairs.select(F.col("a1").alias("a"), F.col("b1").alias("b"), "ca", "cb").distinct()
+    return near_maps(pairs, members, percent)
 
 
 def linked_components(
@@ -305,43 +291,45 @@ def linked_components(
         F.concat(F.lit("g"), F.col("p.gram")).alias("list"), "node", "n", "p.place", F.lit(False).alias("inner")
     )
     several = members.groupBy("group").agg(F.count("*").alias("k")).where("k > 1").select("group")
-    inner = members.join(materialise(several, "groups"), "group").select(
+    inner = join_by(members, several, "group").select(
         F.concat(F.lit("m"), F.col("group")).alias("list"), "node", "n", F.lit(0).cast("long").alias("place"),
         F.lit(True).alias("inner"),
     )
     lists = materialise(across.unionByName(inner), "lists")
     slim = members.select("node", "group", "n", "map")
-    links = materialise(verified(hub_pairs(lists, slim, percent), rows, read, n, percent), "hub-links")
-    labels = materialise(components(links), "labels")
+    hubs = materialise(hub_pairs(lists, slim, percent), "hub-pairs")
+    labels = components(verified(hubs, rows, read, n, percent))
     left = materialise(open_pairs(lists, slim, labels, percent), "open-pairs")
-    for turn in range(ROUNDS + 1):
-        named = left.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(
-            labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left"
-        )
-        ca, cb = F.coalesce("ca", "a"), F.coalesce("cb", "b")
-        still = materialise(named.select("a", "b", "apart", ca.alias("ca"), cb.alias("cb")).where("ca != cb"), "still")
-        if still.isEmpty():
+    for test_all in (False, True):
+        if left.isEmpty():
             break
-        if turn < ROUNDS:
-            best = still.groupBy("a", "cb").agg(F.min_by(F.struct("b", "apart"), F.struct("apart", "b")).alias("p"))
-            now = materialise(best.select("a", "p.b", "p.apart"), "tested")
-        else:
-            now = still.select("a", "b", "apart")
-        links = materialise(links.unionByName(verified(now, rows, read, n, percent)), "links")
-        labels = materialise(components(links), "labels")
-        left = still.select("a", "b", "apart").join(now.select("a", "b"), ["a", "b"], "left_anti")
+        # one pair for each text and component that it may join, and after that whatever is still open
+        best = F.min_by(F.struct("b", "ca"), F.struct("apart", "b")).alias("p")
+        tested = left if test_all else materialise(left.groupBy("a", "cb").agg(best).select("a", "p.*", "cb"), "tested")
+        merged = components(verified(tested.select("a", "b", "ca", "cb"), rows, read, n, percent), "ca", "cb")
+        to = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        labels = join_by(labels, to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        alone = join_by(merged, labels.select("node"), "node", "left_anti")
+        labels = materialise(labels.unionByName(alone.select("node", "component")), "labels")
+        if not test_all:
+            rest = left.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            for c in ("ca", "cb"):
+                to = merged.select(F.col("node").alias(c), F.col("component").alias("to"))
+                rest = join_by(rest, to, c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+            left = materialise(rest.where("ca != cb"), "still-open")
     return _named(rows, labels, key)
 
 
 def _named(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """Components of classes carried to their rows, and named by the smallest key."""
     slim = rows.select("key", "n", "sig", "node")
-    classes = materialise(slim.where("n > 0").groupBy("sig").agg(F.min("node").alias("first")), "classes")
-    placed = slim.join(classes, "sig", "left").withColumn("first", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("node")))
-    mine = placed.join(labels.select(F.col("node").alias("first"), "component"), "first", "left")
+    classes = slim.where("n > 0").groupBy("sig").agg(F.min("node").alias("first"))
+    first = F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("node"))
+    placed = join_by(slim, classes, "sig", "left").withColumn("first", first)
+    mine = join_by(placed, labels.select(F.col("node").alias("first"), "component"), "first", "left")
     mine = materialise(mine.select("key", "n", F.coalesce("component", "first").alias("component")), "placed")
-    names = materialise(mine.groupBy("component").agg(F.min("key").alias("component_id")), "names")
-    return mine.join(names, "component").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    names = mine.groupBy("component").agg(F.min("key").alias("component_id"))
+    return join_by(mine, names, "component").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
