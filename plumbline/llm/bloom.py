@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.rowkeys import fresh
+
 BITS_PER_KEY = 16
 PROBES = 4
 WORDS = 4
@@ -48,3 +50,26 @@ def possible_hits(asked: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFra
     held = [F.col(f"w{i}").bitwiseAND(F.col(f"b{i}")) == F.col(f"b{i}") for i in range(WORDS)]
     all_held = held[0] & held[1] & held[2] & held[3]
     return marked.join(filter_side, "block").where(all_held).select(*asked.columns)
+
+
+def split_by(rows: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that hold none of ``keys`` for certain, the others), by a filter of bounded size.
+
+    ``keys`` is a written frame whose one column ``on`` has no nulls; rows without a key are certain.
+    """
+    n_blocks = min(block_count(keys.count()), BROADCAST_BLOCKS)
+    block, words = block_and_bits(F.xxhash64(on), n_blocks)
+    names = [fresh(n, rows.columns) for n in ("_block", *(f"_bits{i}" for i in range(WORDS)))]
+    blocks = bloom_blocks(keys.select(F.xxhash64(on).alias("key")), n_blocks).toDF(*names)
+    marked = rows.withColumn(names[0], block).join(F.broadcast(blocks), names[0], "left")
+    held = F.lit(True)
+    for name, w in zip(names[1:], words, strict=True):
+        held = held & (F.col(name).bitwiseAND(w) == w)
+    maybe = F.coalesce(held, F.lit(False)) & F.col(on).isNotNull()
+    return marked.where(~maybe).select(*rows.columns), marked.where(maybe).select(*rows.columns)
+
+
+def without(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Anti-join of wide rows with a written set of keys: only rows that may hold a key are shuffled."""
+    certain, others = split_by(rows, keys, on)
+    return certain.unionByName(others.join(keys, on, "left_anti").select(*rows.columns))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.rowkeys import fresh
+
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -113,15 +115,15 @@ def failure_bits(measures: str, rules: tuple[Rule, ...] = RULES) -> Column:
     return bits
 
 
-def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with two more columns: struct ``measures`` and long ``fail_bits``. No shuffle; one row per row.
+def ledger(
+    docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, measures: str = "measures", bits: str = "fail_bits"
+) -> DataFrame:
+    """``docs`` with two more columns, of the given names: the struct of measurements and the long of failure bits.
 
-    Columns of these names in the input are replaced.
+    No shuffle; one row per row. Columns of these names in the input are replaced.
     """
-    measured = docs.drop("measures", "fail_bits").withColumn(
-        "measures", F.arrow_udf(_measures, MEASURE_TYPE)(F.col(text))
-    )
-    return measured.withColumn("fail_bits", failure_bits("measures", rules))
+    measured = docs.drop(measures, bits).withColumn(measures, F.arrow_udf(_measures, MEASURE_TYPE)(F.col(text)))
+    return measured.withColumn(bits, failure_bits(measures, rules))
 
 
 def passes(policy: str, bits: str = "fail_bits") -> Column:
@@ -129,6 +131,12 @@ def passes(policy: str, bits: str = "fail_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(POLICIES[policy])) == 0
 
 
+def passing(docs: DataFrame, policy: str, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass a policy, with their columns whatever those are called."""
+    measures, bits = fresh("measures", docs.columns), fresh("fail_bits", docs.columns)
+    return ledger(docs, text, measures=measures, bits=bits).where(passes(policy, bits)).select(*docs.columns)
+
+
 def ablation(rows: DataFrame, policy: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """For each rule of a policy: rows that fail it, and rows that only this rule keeps out.
 

@@ -4,16 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, html_extract, jaccard_join, packing, pii, quality_rules, secret_scan, url_filter
+from plumbline.llm import (
+    chat_format,
+    decontaminate,
+    html_extract,
+    jaccard_join,
+    packing,
+    pii,
+    quality_rules,
+    secret_scan,
+    token_counts,
+    url_filter,
+)
 from plumbline.llm.oracles import ORACLES  # noqa: F401
-from plumbline.llm.rowkeys import bounded_arrow_batches, table
+from plumbline.llm.rowkeys import prepare, table
 
 QUERIES = {}
 
 
 def register(fn):
     def run(spark, sf_dir):
-        bounded_arrow_batches(spark)
+        prepare(spark)
         return fn(spark, sf_dir)
 
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
@@ -84,3 +95,18 @@ def op8_html_extract(spark, sf_dir):
 @register
 def op10_personal_data(spark, sf_dir):
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
+@register
+def op3_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.digest(
+        token_counts.count_tokens(docs, public_tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    )
+
+
+@register
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

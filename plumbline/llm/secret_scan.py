@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.rowkeys import row_key
+from plumbline.llm.bloom import split_by
+from plumbline.llm.rowkeys import fresh, row_key
 from plumbline.scale import materialise
 
 #: Fixed values of the base formats.
@@ -136,6 +137,37 @@ def scan_secrets(
     return result.unionByName(none).select(F.col("_key").alias(key), F.coalesce("spans", F.array()).alias("spans"))
 
 
+def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[secret]", **how) -> DataFrame:
+    """``docs`` with every live span of ``text`` replaced by ``mark``; overlapping spans by one. No row is dropped.
+
+    Only rows whose key may be among those with live spans are shuffled. Rows are told apart by key and text.
+    """
+    row, spans = fresh("_row", docs.columns), fresh("spans", docs.columns)
+    named = docs.withColumn(row, row_key(key, text))
+    live = F.filter("spans", lambda s: s.live)
+    found = scan_secrets(named, row, text, **how).select(row, live.alias(spans)).where(F.size(spans) > 0)
+    found = materialise(found.distinct(), "live-secrets")
+    certain, others = split_by(named, found.select(row), row)
+    replaced = others.join(found, row, "left").withColumn(
+        text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(_cut(F.col(text), F.col(spans), mark))
+    )
+    return certain.select(*docs.columns).unionByName(replaced.select(*docs.columns))
+
+
+def _cut(t: Column, spans: Column, mark: str) -> Column:
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(t, (acc["at"] + 1).cast("int"), (s.start - acc["at"]).cast("int"))
+        inside = F.struct(F.greatest(acc["at"], s.stop).alias("at"), acc["text"].alias("text"))
+        return F.when(s.start < acc["at"], inside).otherwise(
+            F.struct(s.stop.alias("at"), F.concat(acc["text"], gap, F.lit(mark)).alias("text"))
+        )
+
+    end = F.length(t)
+    return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["text"], F.substring(t, (acc["at"] + 1).cast("int"), end)))
+
+
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Counts and texts of the spans of ``scan_secrets``."""
     base = F.filter("spans", lambda s: s.kind < 3)
