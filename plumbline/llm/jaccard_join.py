@@ -7,14 +7,16 @@
    a fixed share of the n-grams. Two sets with a Jaccard similarity of at least t share one of the first
    n - ceil(t * n) + 1 n-grams of that order, their prefixes. An n-gram held by a single class can't be shared and is
    never posted.
-3. Classes of equal size and prefix are one group. Groups that share a prefix n-gram are candidates if their sizes and
-   the n-gram's places in both prefixes allow the threshold.
-4. Candidates are expanded to members, filtered by 1024-bit parity maps (the bits in which two maps differ are a lower
-   bound of the sets' difference), and verified on the whole sets.
+3. Classes of equal size and prefix are one group. Groups that share a prefix n-gram stand in that n-gram's list.
+   Long lists (near copies, passages that many texts share) are not paired: their texts are ordered anew, with *all*
+   n-grams in the pool, so that whatever is rare in a text fills its prefix, and posted again.
+4. Entries of a list are candidates if their sizes and the n-gram's places in both prefixes allow the threshold. They are
+   expanded to members, filtered by 1024-bit parity maps (the bits in which two maps differ are a lower bound of the
+   sets' difference), and verified on the whole sets.
 
-What is asked for are components, so a pair that is already connected needs no test. In every list of candidates a few
-hubs are tried first; afterwards pairs are formed only between members of *different* components. A cluster of n near
-copies thus costs a multiple of n and no link between components is ever lost: whatever the hubs leave is enumerated.
+What is asked for are components, so a pair that is already connected needs no test. In lists of some length a few hubs
+are tried first; afterwards pairs are formed only between entries of *different* components. A cluster of n near copies
+thus costs a multiple of n and no link between components is ever lost: whatever the hubs leave is enumerated.
 
 Defined results: a null or empty text, or one of white space, has no n-grams and is linked with nothing; fewer words
 than n are one n-gram; repeated rows are classes of equal sets; a null key is linked like any other, and is a
@@ -30,16 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.bloom import BROADCAST_BLOCKS, block_count, bloom_blocks, possible_hits
+from plumbline.llm.bloom import BROADCAST_BLOCKS, block_count, bloom_blocks, possible_hits, split_by, without
 from plumbline.llm.components import components, join_by
 from plumbline.scale import materialise
 
-#: The pool takes hashes below this: 3 of 16 parts.
-POOL_LIMIT = 3 << 60
 MAP_WORDS = 16
 HUBS = 4
-#: Lists up to this long are enumerated at once; longer ones try hubs first. Both ways find the same components.
+#: Longer lists try hubs first, and still longer ones are first ordered anew. All ways find the same components.
 SHORT_LIST = 16
+LONG_LIST = 64
 KNOWN_WORDS = 500_000
 
 
@@ -72,6 +73,11 @@ class Shingler:
         return np.unique(h)
 
 
+def pool_limit(percent: int) -> int:
+    """The pool takes hashes below this: so many sixteenths of all that it has nearly twice the length of a prefix."""
+    return max(1, min(7, round(16 * 1.9 * (100 - percent) / 100))) << 60
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -97,7 +103,7 @@ def _per_batch(make, names, kinds):
     return run
 
 
-def sketches(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+def sketches(docs: DataFrame, key: str, text: str, n: int, percent: int, all_in_pool: bool = False) -> DataFrame:
     """Per row: key, size and signature of its set, and the first n-grams of the global order that may be needed."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -107,11 +113,11 @@ def sketches(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Data
     def run(batches):
         import xxhash
 
-        shingle = Shingler(n)
+        shingle, limit = Shingler(n), np.uint64(pool_limit(percent))
 
         def make(k, t):
             h = shingle(t)
-            pool = int(np.searchsorted(h, np.uint64(POOL_LIMIT)))
+            pool = len(h) if all_in_pool else int(np.searchsorted(h, limit))
             head = h[: max(pool, prefix_length(len(h), percent))] if len(h) else h
             sig = xxhash.xxh3_128_digest(h.tobytes())
             return k, len(h), sig, pool, head.view(np.int64), parity_map(h)
@@ -141,22 +147,22 @@ def whole_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, WHOLE)
 
 
-def prefixes(rows: DataFrame, percent: int) -> DataFrame:
+def prefixes(classes: DataFrame, sizes: DataFrame, percent: int, all_in_pool: bool = False) -> DataFrame:
     """Per class that shares a prefix n-gram: node, size, whether all of the prefix is shared, (n-gram, place) array.
 
-    A pool n-gram's place counts the pool n-grams that no other class has, which come first, and the rarer ones; one
-    outside the pool comes after the whole pool.
+    ``classes`` has (node, head), ``sizes`` (node, n, pool_size). A pool n-gram's place counts the pool n-grams that
+    no other class has, which come first, and the rarer ones; one outside the pool comes after the whole pool.
     """
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min_by(F.struct("node", "head"), "node").alias("c"))
-    posted = classes.select("c.node", F.explode("c.head").alias("gram"))
+    posted = classes.select("node", F.explode("head").alias("gram"))
     counts = posted.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     shared = join_by(posted, counts, "gram")
     gathered = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
-    sized = gathered.join(rows.select("node", "n", "pool_size", "map"), "node")
-    in_pool = lambda g: (g.gram >= 0) & (g.gram < POOL_LIMIT)
+    sized = gathered.join(sizes.select("node", "n", "pool_size"), "node")
+    limit = pool_limit(percent)
+    in_pool = lambda g: F.lit(True) if all_in_pool else (g.gram >= 0) & (g.gram < limit)
     length = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
     sized = sized.select(
-        "node", "n", "map", "pool_size", length.alias("length"),
+        "node", "n", "pool_size", length.alias("length"),
         F.filter("grams", in_pool).alias("pool"), F.filter("grams", lambda g: ~in_pool(g)).alias("beyond"),
     )
     alone = F.col("pool_size") - F.size("pool")
@@ -165,17 +171,30 @@ def prefixes(rows: DataFrame, percent: int) -> DataFrame:
         F.slice("pool", F.lit(1), taken), lambda g, i: F.struct(g.gram.alias("gram"), (alone + i).alias("place"))
     )
     after = F.transform("beyond", lambda g: F.struct(g.gram.alias("gram"), F.col("pool_size").alias("place")))
-    made = sized.select("node", "n", "map", "length", F.concat(first, after).alias("prefix"))
+    made = sized.select("node", "n", "length", F.concat(first, after).alias("prefix"))
     return made.where(F.size("prefix") > 0).withColumn("all_shared", F.size("prefix") == F.col("length"))
 
 
-def grouped(prefixed: DataFrame) -> DataFrame:
-    """With ``group``: the smallest node of equal size and equal prefix."""
+def posted_groups(prefixed: DataFrame, level: str) -> tuple[DataFrame, DataFrame]:
+    """Lists (list, entry, node, n, place) of a set of prefixes, and the members (entry, node) of their entries.
+
+    Classes of equal size and prefix are one entry, represented by its smallest node. The members of a group are a
+    list of their own, in which each stands for itself.
+    """
     same = F.sha2(F.concat_ws(",", F.col("n").cast("string"), F.col("prefix.gram").cast("array<string>")), 256)
-    keyed = materialise(prefixed.withColumn("same", F.when(F.col("all_shared"), same)), "prefixes")
-    groups = keyed.where("all_shared").groupBy("same").agg(F.min("node").alias("group"))
-    joined = join_by(keyed, groups, "same", "left")
-    return joined.select("node", F.coalesce("group", "node").alias("group"), "n", "prefix", "map")
+    keyed = materialise(prefixed.withColumn("same", F.when(F.col("all_shared"), same)), f"prefixes-{level}")
+    groups = keyed.where("all_shared").groupBy("same").agg(F.min("node").alias("first"), F.count("*").alias("k"))
+    joined = join_by(keyed, groups, "same", "left").withColumn("first", F.coalesce("first", "node"))
+    name = lambda kind, c: F.concat(F.lit(f"{kind}{level}:"), F.col(c))
+    joined = materialise(joined.select("node", "n", "prefix", "first", "k"), f"grouped-{level}")
+    across = joined.where("node = first").select(name("g", "first").alias("entry"), "node", "n", F.explode("prefix").alias("p"))
+    across = across.select(name("s", "p.gram").alias("list"), "entry", "node", "n", "p.place")
+    several = joined.where("k > 1")
+    inner = several.select(
+        name("m", "first").alias("list"), name("n", "node").alias("entry"), "node", "n", F.lit(0).cast("long").alias("place")
+    )
+    held = joined.select(name("g", "first").alias("entry"), "node").unionByName(several.select(name("n", "node").alias("entry"), "node"))
+    return across.unionByName(inner), held
 
 
 def sizes_allow(n1: Column, n2: Column, percent: int) -> Column:
@@ -205,18 +224,24 @@ def near_maps(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return kept.select(*pairs.columns, "apart")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The rows of ``pairs`` whose texts a and b link. Whole sets are made anew for the texts that are asked for only.
+def texts_of(nodes: DataFrame, rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The texts of some nodes, perhaps with a few others, and (node, sig) to join what is made of them.
 
-    A Bloom filter of bounded size picks the texts to read; the exact join by signature follows it.
+    A Bloom filter of bounded size picks the rows to read; the exact join by signature has to follow.
     """
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialise(rows.select("node", "key", "sig").join(asked, "node"), "wanted")
+    wanted = materialise(rows.select("node", "key", "sig").join(nodes, "node"), "wanted")
     ids = wanted.select(F.xxhash64("key").alias("key"))
     n_blocks = min(block_count(wanted.count()), BROADCAST_BLOCKS)
     hashed = docs.withColumn("_id", F.col("key")).withColumn("key", F.xxhash64("key"))
     texts = possible_hits(hashed, bloom_blocks(ids, n_blocks), n_blocks).select(F.col("_id").alias("key"), "text")
-    found = whole_sets(texts, n).join(wanted.select("node", "sig"), "sig").select("node", "grams")
+    return texts, wanted.select("node", "sig")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The rows of ``pairs`` whose texts a and b link. Whole sets are made anew for the texts that are asked for only."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts, wanted = texts_of(asked, rows, docs)
+    found = whole_sets(texts, n).join(wanted, "sig").select("node", "grams")
     sets = materialise(found.dropDuplicates(["node"]), "whole-sets")
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
@@ -225,33 +250,27 @@ def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, n: int, percent
     return met.where(100 * F.col("i") >= percent * F.col("u")).select(*pairs.columns)
 
 
-def hub_pairs(lists: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """For each node in a long list the one hub of its lists that looks nearest."""
+def hub_pairs(lists: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """For each node in a longer list the one hub of its lists that looks nearest."""
     pick = [F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"].alias(f"h{k}") for k in range(HUBS)]
     hubs = lists.groupBy("list").agg(F.count("*").alias("size"), *pick).where(F.col("size") > SHORT_LIST)
     hubs = hubs.select("list", F.array_distinct(F.array(*[f"h{k}" for k in range(HUBS)])).alias("hubs"))
     met = join_by(lists.select("list", F.col("node").alias("a")), hubs, "list").select("a", F.explode("hubs").alias("b"))
-    near = near_maps(met.where("a != b").distinct(), members, percent)
+    near = near_maps(met.where("a != b").distinct(), rows, percent)
     return near.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
 
 
-def open_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of nodes in different components, from all lists.
+def open_pairs(lists: DataFrame, held: DataFrame, rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of nodes in different components (a, b, ca, cb, apart), from all lists.
 
     In each list the component with most entries needs no pairs of its own: the others are joined with all. An entry
-    stands for its group; a group whose members are in several components belongs to none and is joined with all.
+    whose members are in several components belongs to none and is joined with all.
     """
-    named = join_by(members, labels, "node", "left").select(
-        "node", "group", F.coalesce("component", "node").alias("component")
-    )
+    named = join_by(held, labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialise(named, "named")
-    spread = named.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    spread = spread.select(F.col("group").alias("node"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("whole"))
-    own = named.select("node", "component")
-    at = lists.join(own, "node").join(spread, "node", "left")
-    # an entry of a list of one group's members stands for itself alone
-    of = F.when(F.col("inner"), F.col("component")).otherwise(F.col("whole"))
-    entries = materialise(at.select("list", "node", "n", "place", "inner", of.alias("c")), "entries")
+    spread = named.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    spread = spread.select("entry", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("c"))
+    entries = materialise(lists.join(spread, "entry"), "entries")
     sizes = entries.groupBy("list", "c").agg(F.count("*").alias("k"))
     main = sizes.groupBy("list").agg(
         F.max(F.when(F.col("c").isNotNull(), F.struct("k", "c")))["c"].alias("main"),
@@ -264,18 +283,30 @@ def open_pairs(lists: DataFrame, members: DataFrame, labels: DataFrame, percent:
     minor, other = live.where("not major").alias("x"), live.alias("y")
     differ = F.col("x.c").isNull() | F.col("y.c").isNull() | (F.col("x.c") != F.col("y.c"))
     fits = sizes_allow(F.col("x.n"), F.col("y.n"), percent) & places_allow("x", "y", percent)
-    met = minor.join(other, (F.col("x.list") == F.col("y.list")) & (F.col("x.node") != F.col("y.node")) & differ & fits)
-    a, b = F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
-    met = met.select(a, b, F.col("x.inner").alias("inner")).distinct()
-    # an entry becomes its members, or itself in a list of members
-    each = named.select("group", "node", "component", F.lit(False).alias("inner")).unionByName(
-        named.select(F.col("node").alias("group"), "node", "component", F.lit(True).alias("inner"))
-    )
-    one = each.select(F.col("group").alias("a"), "inner", F.col("node").alias("a1"), F.col("component").alias("ca"))
-    two = each.select(F.col("group").alias("b"), "inner", F.col("node").alias("b1"), F.col("component").alias("cb"))
-    pairs = met.join(one, ["a", "inner"]).join(two, ["b", "inner"]).where("ca != cb")
-    pairs = pairs.select(F.col("a1").alias("a"), F.col("b1").alias("b"), "ca", "cb").distinct()
-    return near_maps(pairs, members, percent)
+    met = minor.join(other, (F.col("x.list") == F.col("y.list")) & (F.col("x.entry") != F.col("y.entry")) & differ & fits)
+    one, two = F.least("x.entry", "y.entry").alias("one"), F.greatest("x.entry", "y.entry").alias("two")
+    met = met.select(one, two).distinct()
+    pairs = met.join(named.select(F.col("entry").alias("one"), F.col("node").alias("a"), F.col("component").alias("ca")), "one")
+    pairs = pairs.join(named.select(F.col("entry").alias("two"), F.col("node").alias("b"), F.col("component").alias("cb")), "two")
+    return near_maps(pairs.where("ca != cb").select("a", "b", "ca", "cb").distinct(), rows, percent)
+
+
+def candidate_lists(rows: DataFrame, docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All lists and the members of their entries; long lists are replaced by those of a finer order of their texts."""
+    classes = rows.where("n > 0").groupBy("sig").agg(F.min_by(F.struct("node", "head"), "node").alias("c")).select("c.*")
+    lists, held = posted_groups(prefixes(classes, rows, percent), "1")
+    lists = materialise(lists, "lists")
+    long = lists.groupBy("list").agg(F.count("*").alias("k")).where(F.col("k") > LONG_LIST).select("list")
+    long = materialise(long, "long-lists")
+    if long.isEmpty():
+        return lists, held
+    crowded = join_by(lists, long, "list").select("entry").distinct().join(held, "entry").select("node").distinct()
+    texts, wanted = texts_of(crowded, rows, docs)
+    again = sketches(texts, "key", "text", n, percent, all_in_pool=True).drop("key").join(wanted, "sig")
+    again = materialise(again.dropDuplicates(["node"]), "sketches-again")
+    finer, more = posted_groups(prefixes(again.select("node", "head"), again, percent, all_in_pool=True), "2")
+    rest = join_by(lists, long, "list", "left_anti")
+    return materialise(rest.unionByName(finer), "lists"), held.unionByName(more)
 
 
 def linked_components(
@@ -285,21 +316,10 @@ def linked_components(
     read = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     made = sketches(read, "key", "text", n, percent).withColumn("node", F.monotonically_increasing_id())
     rows = materialise(made, "sketches")
-    members = materialise(grouped(prefixes(rows, percent)), "members")
-    places = members.where(F.col("node") == F.col("group")).select("node", "n", F.explode("prefix").alias("p"))
-    across = places.select(
-        F.concat(F.lit("g"), F.col("p.gram")).alias("list"), "node", "n", "p.place", F.lit(False).alias("inner")
-    )
-    several = members.groupBy("group").agg(F.count("*").alias("k")).where("k > 1").select("group")
-    inner = join_by(members, several, "group").select(
-        F.concat(F.lit("m"), F.col("group")).alias("list"), "node", "n", F.lit(0).cast("long").alias("place"),
-        F.lit(True).alias("inner"),
-    )
-    lists = materialise(across.unionByName(inner), "lists")
-    slim = members.select("node", "group", "n", "map")
-    hubs = materialise(hub_pairs(lists, slim, percent), "hub-pairs")
+    lists, held = candidate_lists(rows, read, n, percent)
+    hubs = materialise(hub_pairs(lists, rows, percent), "hub-pairs")
     labels = components(verified(hubs, rows, read, n, percent))
-    left = materialise(open_pairs(lists, slim, labels, percent), "open-pairs")
+    left = materialise(open_pairs(lists, held, rows, labels, percent), "open-pairs")
     for test_all in (False, True):
         if left.isEmpty():
             break
@@ -335,8 +355,11 @@ def _named(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose key names their component: one document of each group of near duplicates.
 
-    Rows without a key are kept as they are; rows that repeat a key and text are kept once.
+    Rows without a key are kept as they are; rows that repeat a key and text are kept once. Texts are not shuffled but
+    for rows whose key may be among those that go or repeat.
     """
-    named = linked_components(docs, key, text, n, percent)
-    keep = named.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(keep, key, "left_semi").dropDuplicates([key, text]).unionByName(docs.where(F.col(key).isNull()))
+    named = materialise(linked_components(docs, key, text, n, percent).where(F.col(key).isNotNull()), "named-components")
+    gone = materialise(named.where(F.col(key) != F.col("component_id")).select(key).distinct(), "gone")
+    repeated = materialise(named.groupBy(key).agg(F.count("*").alias("k")).where("k > 1").select(key), "repeated")
+    once, several = split_by(without(docs, gone, key), repeated, key)
+    return once.unionByName(several.dropDuplicates([key, text]))
