@@ -1,0 +1,243 @@
+"""The operators on small made-up rows: the cases that the tables lack."""
+
+import brute
+import numpy as np
+import public_tokenizers
+import pytest
+from plumbline.llm import (
+    bloom,
+    chat_format,
+    components,
+    decontaminate,
+    html_extract,
+    jaccard_join,
+    packing,
+    pii,
+    quality_rules,
+    secret_scan,
+    token_counts,
+    url_filter,
+)
+from pyspark.sql import functions as F
+
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def by_text(df, column="text"):
+    return sorted((str(r.doc_id), str(r[column])) for r in df.collect())
+
+
+class TestHostileRows:
+    """Each operator over nulls, empty and very long texts, repeats and clashing names, and over no rows."""
+
+    def test_rules(self, hostile, none):
+        got = quality_rules.ledger(hostile.select("doc_id", "text")).collect()
+        for r in got:
+            m = r.measures
+            want = brute.quality(r.text)
+            assert (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, r.fail_bits & 3 > 0) == want
+        kept = quality_rules.passing(hostile, "v2")
+        assert kept.columns == hostile.columns and kept.count() == 0
+        assert quality_rules.ledger(none).count() == 0
+
+    def test_secrets(self, hostile, none):
+        got = secret_scan.digest(secret_scan.scan_secrets(hostile)).collect()
+        want = [(i, *brute.spans(t, brute.SECRETS)) for i, t in ((r.doc_id, r.text) for r in hostile.collect())]
+        assert sorted(map(str, (tuple(r[:5]) for r in got))) == sorted(map(str, want))
+        assert secret_scan.scan_secrets(none).count() == 0
+        cut = secret_scan.redact(hostile)
+        assert cut.columns == hostile.columns and cut.count() == hostile.count()
+        assert cut.where("doc_id = 8").first().text == "\U0001f600 ß é [secret]"
+
+    def test_tokens(self, hostile, none):
+        got = token_counts.digest(token_counts.count_tokens(hostile, RANKS, public_tokenizers.PATTERN)).collect()
+        encoding, _ = token_counts.byte_encoder(RANKS, public_tokenizers.PATTERN)
+        want = [(str(r.doc_id), len(encoding.encode_ordinary(r.text or ""))) for r in hostile.collect()]
+        assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted(want)
+        assert token_counts.count_tokens(none, RANKS, public_tokenizers.PATTERN).count() == 0
+
+    def test_packing(self, hostile, none):
+        rows = packing.pack(hostile, WORDS).collect()
+        assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+        assert sum(r.start == 0 for r in rows) == hostile.count()
+        assert packing.pack(none, WORDS).count() == 0
+
+    def test_contamination(self, llm, hostile, none):
+        bench = llm.createDataFrame([(1, "one two three four"), (2, None), (3, ""), (None, "alpha beta gamma delta")],
+                                    "item_id bigint, text string")
+        found = decontaminate.contaminations(hostile, bench)
+        assert {(r.doc_id, r.item_id) for r in found.collect()} == {(None, 1), (5, None)}
+        kept = decontaminate.clean(hostile, bench)
+        assert kept.columns == hostile.columns and kept.count() == hostile.count() - 3
+        assert decontaminate.clean(none, bench).count() == 0
+        assert decontaminate.clean(hostile, bench.limit(0)).count() == hostile.count()
+
+    def test_linked(self, hostile, none):
+        got = {(str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard_join.linked_components(hostile).collect()}
+        assert ("0", 0, 0) in got and ("3", 1, 3) in got and ("None", 2, None) in got and ("None", 0, None) in got
+        kept = jaccard_join.one_of_each(hostile)
+        assert kept.columns == hostile.columns
+        # 3 and 5 are repeated rows; 20 names two texts
+        assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(
+            ["0", "1", "2", "3", "4", "5", "6", "7", "8", "20", "20", "None", "None"]
+        )
+        assert jaccard_join.linked_components(none).count() == 0 and jaccard_join.one_of_each(none).count() == 0
+
+    def test_personal_data(self, hostile, none):
+        got = pii.digest(pii.find_personal_data(hostile)).collect()
+        want = [(r.doc_id, *brute.spans(r.text, brute.PERSONAL)) for r in hostile.collect()]
+        assert sorted(map(str, (tuple(r[:6]) for r in got))) == sorted(map(str, want))
+        assert pii.find_personal_data(none).count() == 0
+
+    def test_urls(self, llm):
+        urls = [None, "", "no scheme", "http://", "http://a.NET", "http://a.NET/", "http://x.example.net/en/1", "//b", "ftp://é.org/fr/",
+                "http://example.com/de/" + "a/" * 5_000, "http://example.com/de", "http://a.NET/", "x://y://z.net/"]
+        pages = llm.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumn("key", F.lit(1))
+        got = {r.page_id: (r.host, r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.rule_list(llm)).collect()}
+        assert got[0] == got[1] == got[2] == got[3] == ("", None, "allow")
+        assert got[4] == ("a.net", None, "allow") and got[5] == got[11] == ("a.net", "net/", "block")
+        assert got[6][1:] == ("example.net/en/", "allow") and got[8][1:] == ("org/fr/", "allow")
+        assert got[9][1:] == ("example.com/de/", "block") and got[10][1:] == (None, "allow") and got[12][0] == "y:"
+        assert url_filter.judge_urls(pages.limit(0), url_filter.rule_list(llm)).count() == 0
+        listed = url_filter.rule_list(llm).limit(0)
+        assert {r.verdict for r in url_filter.judge_urls(pages, listed).collect()} == {"allow"}
+
+    def test_chats(self, llm):
+        schema = "conv_id bigint, turn bigint, role string, text string"
+        rows = [(1, 0, "user", "a<|end|>\\b\\\\<|"), (1, 1, "user", None), (1, None, None, "first"), (1, 2, "assistant", "x<|next|>y"),
+                (1, 3, "assistant", "<\\|"), (1, 3, "assistant", "<\\|"), (None, 0, "assistant", ""), (2, 0, "a\nb<|says|>", "z" * 100_000)]
+        chats = chat_format.format_chats(llm.createDataFrame(rows, schema).withColumn("formatted", F.lit(1)))
+        read = {r.conv_id: r for r in chats.select("*", chat_format.read_turns(F.col("formatted")).alias("t")).collect()}
+        assert [tuple(t) for t in read[1].t] == [
+            ("", "first"), ("user", "a<|end|>\\b\\\\<|"), ("user", ""), ("assistant", "x<|next|>y"), ("assistant", "<\\|"), ("assistant", "<\\|")
+        ]
+        assert read[1].formatted.count(chat_format.TURN) == 3
+        cut = [read[1].formatted[s.start : s.start + s.length] for s in read[1].loss_spans]
+        assert cut == ["x<\\|next|>y", "<\\\\|", "<\\\\|"]
+        assert [tuple(t) for t in read[2].t] == [("a\nb<|says|>", "z" * 100_000)] and len(read[None].t) == 1
+        assert chat_format.format_chats(llm.createDataFrame([], schema)).count() == 0
+
+    def test_pages(self, llm):
+        pages = llm.createDataFrame([(1, None, None), (1, "u", ""), (None, "u", "<p>x")], "page_id bigint, url string, html string")
+        got = html_extract.extract(pages.withColumn("text", F.lit(0))).collect()
+        assert sorted((r.text, r.n_chars) for r in got) == [("", 0), ("", 0), ("x", 1)]
+
+
+class TestMethods:
+    def test_ablation(self, llm):
+        rows = llm.createDataFrame([(1,), (1,), (3,), (4,), (0,), (32,)], "fail_bits bigint")
+        got = {r.rule: (r.failed, r.only_by_rule) for r in quality_rules.ablation(rows, "v1").collect()}
+        assert got == {"few_words": (3, 2), "repeated_windows": (1, 0), "symbols": (1, 1)}
+
+    def test_widely_copied_secrets_are_examples(self, llm):
+        opaque = "Zk3bQ9xLm2VtR7yWc5NhJ8uPd4GsF6aE1oTiKq0"
+        rows = [(i, f"use token = copied-everywhere-123 now {opaque if i == 0 else ''}", "en", f"s{i}") for i in range(6)]
+        rows.append((9, "token = mine-alone-456", "en", "s9"))
+        docs = llm.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+        got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(docs).collect()}
+        assert [s.live for s in got[1]] == [False] and got[1][0].n_owners == 6
+        assert [s.live for s in got[9]] == [True] and [s.kind for s in got[0]] == [0, 3]
+        more = docs.unionByName(docs.select("doc_id", F.lit(opaque).alias("text"), "lang", "source"))
+        assert all(s.kind == 0 for r in secret_scan.scan_secrets(more).collect() for s in r.spans)
+
+    def test_crossing_tokens(self):
+        ends, starts = np.array([2, 5, 6, 12]), np.array([0, 3, 7, 9])
+        tokens, crossing = token_counts.allocate(ends, starts, 12)
+        # 2-5 has one character left of 3 and two right; 6-12 has 1, 2 and 3
+        assert tokens.tolist() == [1, 2, 0, 1] and crossing.tolist() == [1, 2, 1, 1]
+
+    @pytest.mark.parametrize("lengths", [[5], [2047] * 7, [1] * 300, list(range(1, 2000, 7)), [2000, 2000, 96, 3]])
+    def test_assignment_fills_sequences(self, lengths):
+        room = packing.capacities(sum(lengths))
+        used, got = [0] * len(room), [0] * len(lengths)
+        for i, start, n, s, offset in packing.assign(lengths):
+            assert start == got[i] and offset == used[s]
+            got[i] += n
+            used[s] += n
+        assert got == lengths and used == room
+        assert all(r == 2048 or r & (r - 1) == 0 for r in room)
+
+    def test_word_encoder(self):
+        from plumbline.llm.tokens import WordEncoder
+
+        e = WordEncoder(WORDS)
+        texts = ["It's İstanbul, don't <|endoftext|> a\x1cb é é ΣΑΣ. ... .,", "", "A.B.C NAÏVE, x,, 12.5 ١٢ ŉ Ÿ \U0001f600 一二"]
+        assert [x.tolist() for x in e.batch(texts)] == [e.whole(t).tolist() for t in texts]
+
+    def test_bloom_has_no_false_negatives(self, llm):
+        keys = llm.range(5_000).select(F.concat(F.lit("k"), "id").alias("key"))
+        n = bloom.block_count(5_000)
+        blocks = bloom.bloom_blocks(keys, n)
+        asked = llm.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"), "id")
+        hits = bloom.possible_hits(asked, blocks, n)
+        assert hits.where("id < 5000").count() == 5_000 and hits.where("id >= 5000").count() < 750
+        rows = llm.range(100).withColumn("_bits0", F.lit("x"))
+        left = bloom.without(rows, llm.range(0, 100, 2), "id")
+        assert left.columns == rows.columns and {r.id for r in left.collect()} == set(range(1, 100, 2))
+
+    def test_listed_urls(self, llm):
+        listed = url_filter.rule_list(llm).unionByName(url_filter.url_list(llm.createDataFrame([("http://www.Bad.com/x/",)], "url string")))
+        pages = llm.createDataFrame([(1, "https://bad.com/x.html?q"), (2, "http://bad.com/y"), (3, "http://bad.com/X")], "page_id int, url string")
+        assert {r.page_id: r.verdict for r in url_filter.judge_urls(pages, listed).collect()} == {1: "block", 2: "allow", 3: "allow"}
+
+    def test_reparameterised_questions(self, llm):
+        item = "A train leaves Boston with Anna at 10 km and returns after 25 minutes to meet Anna again near the old bridge."
+        same = "Intro here. A train leaves Denver with Maria at 99 km and returns after 7 minutes to meet Maria again near the old bridge."
+        mixed = same.replace("meet Maria", "meet Peter")
+        bench = llm.createDataFrame([(1, item)], "item_id int, text string")
+        docs = llm.createDataFrame([(1, item), (2, same), (3, mixed), (4, "nothing like it at all " * 5)], "doc_id int, text string")
+        got = {r.doc_id: r.exact for r in decontaminate.contaminations(docs, bench, min_run=99).collect()}
+        assert got == {1: True, 2: False}
+
+    def test_components(self, llm):
+        edges = [(i, i + 1) for i in range(40)] + [(100, 50), (50, 60), (60, 70), (7, 7)]
+        got = {r.node: r.component for r in components.components(llm.createDataFrame(edges, "a bigint, b bigint")).collect()}
+        assert got == {**{i: 0 for i in range(41)}, **{i: 50 for i in (50, 60, 70, 100)}}
+        assert components.components(llm.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+    @pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+    def test_clusters_of_near_copies(self, llm, n, percent):
+        """One large cluster, chains of links, a passage that most texts share, and texts near the threshold."""
+        rng = np.random.default_rng(7)
+        word = lambda k: [f"w{x}" for x in rng.integers(0, 4_000, k)]
+        base, passage, docs = word(120), word(60), []
+        for i in range(250):
+            w = list(base)
+            for k in rng.integers(0, len(w), rng.integers(0, 4)):
+                w[k] = f"e{rng.integers(0, 50)}"
+            docs.append((i, " ".join(w)))
+        chain = word(100)
+        for i in range(300, 340):
+            docs.append((i, " ".join(chain)))
+            chain = chain[2:] + word(2)
+        docs += [(i, " ".join(word(40) + passage + word(20))) for i in range(400, 600)]
+        docs += [(700 + i, t.upper()) for i, (_, t) in enumerate(docs[:30])] + [(800, "two words"), (801, "TWO  words")]
+        df = llm.createDataFrame([docs[k] for k in rng.permutation(len(docs))], "doc_id bigint, text string").repartition(4)
+        got = {r[0]: tuple(r[1:]) for r in jaccard_join.linked_components(df, n=n, percent=percent).collect()}
+        assert got == brute.components(docs, n, percent)
+
+    def test_page_parts(self):
+        page = (
+            '<html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header>'
+            '<div class="cookie-notice">We use cookies, many of them, really.</div><nav><a href=/>Home</a></nav>'
+            "<main><h1>Fish &amp; chips</h1><p>Some <a href=x>linked</a> text,\n here&nbsp;and more &lt;b&gt; of it.<p>Unclosed <b>bold"
+            '<script>var t="</p><p>no";</script><ul><li>one<li>two</ul><form><p>Name</p><input></form><!-- <p>no</p> -->'
+            '<div class="ad">Buy, buy, buy!</div><table><tr><td>a<td>b</table></main><aside>Side, side, side.</aside>'
+            '<section id="comments"><p>I think, as a reader, that this long comment, with commas, is great, really great.</p></section>'
+            "<footer>&copy; x</footer></body></html>"
+        )
+        assert html_extract.main_text(page) == "Fish & chips\nSome linked text, here and more <b> of it.\nUnclosed bold\none\ntwo\na\nb"
+
+    def test_redaction(self, llm):
+        docs = llm.createDataFrame([(1, "write a@b.co or +1 234 567 8901, at 1.2.3.4.")], "doc_id int, text string")
+        found = pii.find_personal_data(docs).join(docs, "doc_id")
+        assert found.select(pii.redact(F.col("text"), F.col("spans")).alias("t")).first().t == "write [email] or [phone], at [ip]."
+
+    def test_native_plans(self, llm, spark, sf):
+        """No Python in the plans of the operators that are to be native."""
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        from plumbline.llm.queries import QUERIES
+
+        for name in ("op5_url_filter", "op7_chat_format", "op10_personal_data"):
+            assert not any(x in plan(QUERIES[name](spark, sf)) for x in ("Python", "Arrow", "Pandas"))
