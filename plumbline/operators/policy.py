@@ -126,15 +126,20 @@ def releasable(label: Column, destination: str = "external") -> Column:
 
 
 def sample(df: DataFrame, predicate: str | None = None, rows: int | None = None, default: int = 20, top: int = 200):
-    """Rows of a governed relation that meet a free predicate; an unusable row count becomes the default."""
+    """Rows of a governed relation that meet a free predicate: ``default`` of them, or as many as are asked for.
+
+    A row count that is not positive or is above ``top`` is an error.
+    """
+    if rows is not None and not 0 < rows <= top:
+        raise SpecError(f"a sample has from 1 to {top} rows, not {rows}")
     if predicate and predicate.strip():
         df = df.filter(F.expr(predicate))
-    return df.limit(rows if rows and 0 < rows <= top else default)
+    return df.limit(default if rows is None else rows)
 
 
 def require_gold(namespace: str) -> None:
     if not namespace.lower().startswith("gold"):
-        raise SpecError("analysis reads gold-layer results only")
+        raise SpecError(f"{namespace!r} is not a gold namespace; only those may be analysed")
 
 
 def audit_row(df: DataFrame, who: str, request: str, engine: str = "spark") -> DataFrame:

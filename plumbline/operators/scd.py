@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.cleansing import row_digest
+from plumbline.operators.upsert import newest
+from plumbline.scale import null_safe_join
 
 VALIDITY = ("effective_date", "expiration_date", "is_current")
 
@@ -20,7 +22,7 @@ def _compare(dimension: DataFrame, latest: DataFrame, keys: Sequence[str], track
     keys = list(keys)
     old = dimension.filter("is_current").select(*keys, F.struct(*dimension.columns).alias("_old"))
     new = latest.select(*keys, F.struct(*tracked).alias("_new"))
-    both = old.join(new, keys, "full_outer")
+    both = null_safe_join(old, new, keys, "full_outer")
     same = F.lit(True)
     for c in tracked:
         same = same & F.col(f"_old.{c}").eqNullSafe(F.col(f"_new.{c}"))
@@ -142,18 +144,37 @@ def hashed_versions(df: DataFrame, keys: Sequence[str], tracked: Sequence[str],
     )
 
 
-def scd2_hash_merge(target: DataFrame, incoming: DataFrame, keys: Sequence[str], execution_date: str) -> DataFrame:
-    """Close the current rows whose hash changed and insert the versions that are not current yet."""
+def scd2_hash_merge(
+    target: DataFrame, incoming: DataFrame, keys: Sequence[str], execution_date: str, version: Sequence[str] = ()
+) -> DataFrame:
+    """Close the current rows whose hash changed and insert the versions that are not current yet.
+
+    Of repeated incoming keys the newest by ``version`` counts, ties broken by the other columns. Only current rows
+    are joined; closed history passes by.
+    """
     keys = list(keys)
-    changed = incoming.select(*keys, F.col("_hash").alias("_new_hash"))
-    flagged = target.join(changed, keys, "left")
-    stale = F.col("_is_current") & F.col("_new_hash").isNotNull() & (F.col("_new_hash") != F.col("_hash"))
-    closed = flagged.withColumns(
+    fresh = newest(incoming, keys, version)
+    changed = fresh.select(*keys, F.col("_hash").alias("_new_hash"))
+    flagged = null_safe_join(target.filter("_is_current"), changed, keys, "left")
+    stale = F.col("_new_hash").isNotNull() & (F.col("_new_hash") != F.col("_hash"))
+    now = flagged.withColumns(
         {
             "_effective_to": F.when(stale, F.lit(execution_date).cast("date")).otherwise(F.col("_effective_to")),
-            "_is_current": F.col("_is_current") & ~stale,
+            "_is_current": ~stale,
         }
     ).select(*target.columns)
     known = target.filter("_is_current").select(*keys, "_hash")
-    added = incoming.join(known, [*keys, "_hash"], "left_anti").select(*target.columns)
-    return closed.unionByName(added)
+    added = null_safe_join(fresh, known, [*keys, "_hash"], "left_anti").select(*target.columns)
+    return target.filter(~F.coalesce("_is_current", F.lit(False))).unionByName(now).unionByName(added)
+
+
+def close_members(dimension: DataFrame, gone: DataFrame, keys: Sequence[str], execution_date: str) -> DataFrame:
+    """The dimension with the current versions of deleted members expired."""
+    marked = null_safe_join(dimension, gone.select(*keys).distinct().withColumn("_gone", F.lit(True)), keys, "left")
+    hit = F.col("is_current") & F.coalesce("_gone", F.lit(False))
+    return marked.withColumns(
+        {
+            "expiration_date": F.when(hit, F.lit(execution_date).cast("date")).otherwise(F.col("expiration_date")),
+            "is_current": F.col("is_current") & ~hit,
+        }
+    ).select(*dimension.columns)

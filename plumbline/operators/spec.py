@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from plumbline.errors import SpecError
 
-DEFAULT_ROWS = 1_000
-MAX_ROWS = 10_000
-
 AGGREGATES: dict[str, Callable[[str], Column]] = {
     "sum": F.sum,
     "avg": F.avg,
@@ -57,7 +54,7 @@ class Columns:
         try:
             return self._names[name.lower()]
         except KeyError:
-            raise SpecError(f"unknown column {name!r}") from None
+            raise SpecError(f"the dataset has no column named {name!r}") from None
 
 
 def measure_alias(column: str, aggregate: str) -> str:
@@ -67,7 +64,7 @@ def measure_alias(column: str, aggregate: str) -> str:
 def _measure(names: Columns, column: str, aggregate: str) -> Column:
     function = AGGREGATES.get(aggregate.lower())
     if function is None:
-        raise SpecError(f"unknown aggregation {aggregate!r}")
+        raise SpecError(f"{aggregate!r} is not one of the aggregates: {', '.join(AGGREGATES)}")
     alias = measure_alias(column, aggregate)
     if alias == "count":
         return F.count("*").alias(alias)
@@ -79,19 +76,24 @@ def apply_filters(df: DataFrame, filters: Sequence[tuple[str, str, Any]]) -> Dat
     for column, op, value in filters:
         compare = OPERATORS.get(op.lower())
         if compare is None:
-            raise SpecError(f"unknown operator {op!r}")
+            raise SpecError(f"{op!r} is not one of the comparisons: {', '.join(OPERATORS)}")
         df = df.filter(compare(F.col(names.find(column)), value))
     return df
 
 
-def row_limit(requested: int | None, ceiling: int = MAX_ROWS) -> int:
-    if not requested or requested <= 0:
-        requested = DEFAULT_ROWS
-    return min(requested, ceiling)
+def row_limit(requested: int | None, ceiling: int | None = None) -> int | None:
+    """The rows that a caller asked for; None asks for all. More than the ceiling is an error, never a cut."""
+    if requested is None:
+        return None
+    if requested <= 0:
+        raise SpecError(f"a row count must be positive, not {requested}")
+    if ceiling is not None and requested > ceiling:
+        raise SpecError(f"at most {ceiling} rows can be asked for, not {requested}")
+    return requested
 
 
-def build_query(df: DataFrame, spec: QuerySpec, ceiling: int = MAX_ROWS) -> DataFrame:
-    """Filter, project or aggregate, sort and limit, as the spec says."""
+def build_query(df: DataFrame, spec: QuerySpec, ceiling: int | None = None) -> DataFrame:
+    """Filter, project or aggregate, and sort, as the spec says; only a spec with a limit is cut."""
     names = Columns(df)
     dims = [F.col(names.find(d)).alias(d) for d in spec.dimensions]
     out = apply_filters(df, spec.filters)
@@ -103,7 +105,8 @@ def build_query(df: DataFrame, spec: QuerySpec, ceiling: int = MAX_ROWS) -> Data
         out = out.select(*dims)
     if spec.order_by and spec.measures:
         out = out.orderBy(*_order(Columns(out), spec.order_by))
-    return out.limit(row_limit(spec.limit, ceiling))
+    limit = row_limit(spec.limit, ceiling)
+    return out if limit is None else out.limit(limit)
 
 
 def _order(names: Columns, order: Sequence[tuple[str, str]]) -> list[Column]:
@@ -206,7 +209,7 @@ def serve_contract(df: DataFrame, contract: DataContract, params: Mapping[str, s
     filter's allowed operators. ``_limit`` and ``_sort`` control paging and order.
     """
     if not contract.columns:
-        raise SpecError("api has no exposed columns")
+        raise SpecError("a contract must expose at least one column")
     filters = []
     for f in contract.filters:
         exposed = contract.columns.get(f.column, f.column)
@@ -216,7 +219,7 @@ def serve_contract(df: DataFrame, contract: DataContract, params: Mapping[str, s
         if not given and f.default is not None:
             given[f.ops[0] if f.ops else "="] = f.default
         if not given and f.required:
-            raise SpecError(f"missing required filter {exposed!r}")
+            raise SpecError(f"a value for {exposed!r} has to be given")
         for op, raw in given.items():
             filters.append((f.column, op, split_list(raw) if op.lower() == "in" else raw))
     size = contract.default_size if contract.default_size > 0 else 100
@@ -229,7 +232,7 @@ def serve_contract(df: DataFrame, contract: DataContract, params: Mapping[str, s
     for item in split_list(params.get("_sort", "")):
         name = item.lstrip("-")
         if name not in contract.sortable:
-            raise SpecError(f"cannot sort by {name!r}")
+            raise SpecError(f"{name!r} is not offered for sorting")
         order.append(F.col(name).desc() if item.startswith("-") else F.col(name).asc())
     names = Columns(df)
     out = apply_filters(df, filters).select(

@@ -37,10 +37,10 @@ def alter(
     if op in DESTRUCTIVE and not approved:
         raise SpecError(f"{op} loses data and needs approval")
     if op != "add" and column not in df.columns:
-        raise SpecError(f"unknown column {column!r}")
+        raise SpecError(f"the table has no column named {column!r}")
     if op == "add":
         if not data_type:
-            raise SpecError("add requires column and data_type")
+            raise SpecError("a new column needs a name and a type")
         if column in df.columns:
             raise SpecError(f"column {column!r} exists")
         return df.withColumn(column, F.lit(None).cast(data_type))
@@ -50,14 +50,14 @@ def alter(
         return df.drop(column)
     if op in ("widen", "narrow"):
         if not data_type:
-            raise SpecError(f"{op} requires column and data_type")
+            raise SpecError(f"to {op} a column, its new type has to be named")
         have, want = df.schema[column].dataType.simpleString(), DataType.fromDDL(data_type).simpleString()
         if op == "widen":
             if (have, want) not in WIDENINGS and not _wider_decimal(have, want):
                 raise SpecError(f"{have} to {want} is not a widening")
             return df.withColumn(column, F.col(column).cast(data_type))
         return df.withColumn(column, F.col(column).try_cast(data_type))
-    raise SpecError(f"unsupported op {op!r}")
+    raise SpecError(f"{op!r} is no schema change")
 
 
 def _wider_decimal(have: str, want: str) -> bool:
@@ -70,7 +70,7 @@ def _wider_decimal(have: str, want: str) -> bool:
 
 def _hit(where: str):
     if not where or not where.strip():
-        raise SpecError("where clause is required")
+        raise SpecError("a patch needs a predicate")
     return F.coalesce(F.expr(where), F.lit(False))
 
 
@@ -87,12 +87,12 @@ def patch(df: DataFrame, op: str, where: str, assign: Mapping[str, str] | None =
     if op == "delete":
         return df.filter(~hit)
     if op != "update":
-        raise SpecError(f"unsupported op {op!r} (use update or delete)")
+        raise SpecError(f"a patch updates or deletes; {op!r} does neither")
     if not assign:
-        raise SpecError("update requires assignments")
+        raise SpecError("an update has to assign something")
     for column in assign:
         if identifier(column) not in df.columns:
-            raise SpecError(f"unknown column {column!r}")
+            raise SpecError(f"the table has no column named {column!r}")
     return df.select(
         *[
             F.when(hit, F.expr(assign[c]).cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c)

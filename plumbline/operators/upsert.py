@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.scale import keyset_join
+from plumbline.scale import keyset_join, null_safe_join
 
 
 def newest(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
@@ -36,13 +36,16 @@ def upsert(
     version: Sequence[str] = (),
     frozen: Sequence[str] = ("created_at",),
 ) -> DataFrame:
-    """Insert new keys and overwrite known ones, except the ``frozen`` columns of known keys."""
+    """Insert new keys and overwrite known ones, except the ``frozen`` columns of known keys.
+
+    A null in a key is a value like any other, so a repeated run finds its rows again.
+    """
     keys = list(keys)
     fresh = newest(incoming, keys, version)
     values = [c for c in existing.columns if c not in keys]
     old = existing.select(*keys, F.struct(*values).alias("_old"))
     new = fresh.select(*keys, F.struct(*values).alias("_new"))
-    both = old.join(new, keys, "full_outer")
+    both = null_safe_join(old, new, keys, "full_outer")
     picked = []
     for c in values:
         if c in frozen:
@@ -63,7 +66,7 @@ def coalescing_upsert(
     values = [c for c in existing.columns if c not in keys]
     old = existing.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in values])
     new = fresh.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in values])
-    both = old.join(new, keys, "full_outer")
+    both = null_safe_join(old, new, keys, "full_outer")
     picked = []
     for c in values:
         offered = F.nullif(F.col(f"_new_{c}"), F.lit("")) if c in text else F.col(f"_new_{c}")
@@ -96,7 +99,7 @@ def replace_days_present(existing: DataFrame, incoming: DataFrame, column: str)
 def insert_absent(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add rows with unknown keys only; stored rows always win."""
     keys = list(keys)
-    added = newest(incoming, keys, ()).join(existing.select(*keys).distinct(), keys, "left_anti")
+    added = null_safe_join(newest(incoming, keys, ()), existing.select(*keys).distinct(), keys, "left_anti")
     return existing.unionByName(added.select(*existing.columns))
 
 

@@ -11,18 +11,26 @@ from pyspark.sql import types as T
 
 from plumbline.operators.upsert import newest
 
-# Serving keys of the published tables.
+# The key columns of the published tables. Charts have a row for each limit set of a day.
+LIMITS = ("lsl", "usl", "cl")
 SERVING_KEYS: Mapping[str, tuple[str, ...]] = {
     "agg_qualification_rate_daily": ("process_name", "shift", "analysis_date"),
     "agg_warning_statistics_daily": ("process_name", "shift", "analysis_date"),
-    "spc_capability_daily": ("process_id", "tank_name", "item_name", "shift", "analysis_date"),
+    "spc_capability_daily": ("process_id", "tank_name", "item_name", "shift", "analysis_date", *LIMITS),
     "spc_trend_ma": ("process_id", "tank_name", "item_name", "analysis_date"),
-    "spc_xbar_r_chart": ("process_id", "tank_name", "item_name", "analysis_date"),
-    "spc_xbar_s_chart": ("process_id", "tank_name", "item_name", "analysis_date"),
+    "spc_xbar_r_chart": ("process_id", "tank_name", "item_name", "analysis_date", *LIMITS),
+    "spc_xbar_s_chart": ("process_id", "tank_name", "item_name", "analysis_date", *LIMITS),
     "spc_p_chart": ("process_id", "shift", "analysis_date"),
     "spc_c_chart": ("process_id", "shift", "analysis_date"),
     "spc_monthly_alarm_rate": ("process_id", "tank_name", "item_name", "year", "month"),
 }
+
+
+def key_of(name: str, columns: Sequence[str]) -> list[str]:
+    """Key columns of a published table, as far as it has them."""
+    return [c for c in SERVING_KEYS[name] if c in columns]
+
+
 VERSION = "updated_at"
 
 
@@ -64,7 +72,7 @@ def sync(
 
 def final(served: DataFrame, name: str) -> DataFrame:
     """Newest version of every key."""
-    return newest(served, SERVING_KEYS[name], [VERSION])
+    return newest(served, key_of(name, served.columns), [VERSION])
 
 
 def sync_all(

@@ -10,8 +10,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 32 * 1024 * 1024
-SALTS = 32
 SLICE_SECONDS = 600
 
 
@@ -24,14 +22,29 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder that every executor can reach, below ``spark.checkpoint.dir``.
 
     The cluster names that folder. Only a local session, where driver and executors share a disk,
-    may fall back to a temporary one.
+    may fall back to a temporary one. All of them lie in one folder of the application, which is
+    removed when the application ends, so staged copies don't pile up.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         base = _local_base()
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/plumbline-{spark.sparkContext.applicationId}"
+    _remove_at_end(spark, own)
+    return f"{own}/{purpose}-{uuid.uuid4().hex}"
+
+
+_OWNED: set[str] = set()
+
+
+def _remove_at_end(spark: SparkSession, folder: str) -> None:
+    if folder not in _OWNED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _OWNED.add(folder)
 
 
 def materialise(df: DataFrame, purpose: str = "stage", by: Sequence[str] = ()) -> DataFrame:
@@ -46,42 +59,23 @@ def materialise(df: DataFrame, purpose: str = "stage", by: Sequence[str] = ()) -
     return spark.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Upper estimate of the frame's size from the optimizer's own statistics."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def lookup_join(
-    fact: DataFrame,
-    dim: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    max_broadcast: int = BROADCAST_BYTES,
-    salts: int = SALTS,
-) -> DataFrame:
+def lookup_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join a large frame to a lookup frame with unique keys, whatever the size of the lookup.
 
-    A lookup with a known small size is broadcast. A larger one is repeated once per salt, and the
-    large side picks its salt from all its own columns, so that a hot key is spread over ``salts``
-    tasks. Both ways give the same rows.
+    Spark broadcasts a lookup that proves small. A larger one is shuffled with the fact, and adaptive
+    execution splits the partitions of a hot key; only the columns that are asked for are read.
     """
-    on = list(on)
-    if estimated_bytes(dim) <= max_broadcast:
-        return fact.join(F.broadcast(dim), on, how)
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns]), F.lit(salts)).cast("int")
-    left = fact.withColumn("_salt", salt)
-    right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    return fact.join(dim, list(on), how)
 
 
 def keyset_join(df: DataFrame, keys: DataFrame, on: Sequence[str], how: str) -> DataFrame:
     """Semi or anti join of a large frame with a set of keys, such as touched partitions.
 
     The distinct keys are written first, so that their true size decides between a broadcast and a
-    salted join. The large side is only shuffled when the key set is large too.
+    shuffle. The large side is only shuffled when the key set is large too. Null keys match each other.
     """
-    return lookup_join(df, materialise(keys.select(*on).distinct(), "keys"), on, how).select(*df.columns)
+    written = materialise(keys.select(*on).distinct(), "keys")
+    return null_safe_join(df, written, on, how).select(*df.columns)
 
 
 def time_slice(ts: Column, seconds: float = SLICE_SECONDS) -> Column:
@@ -100,4 +94,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
         *[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in right.columns]
     )
     same = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
-    return left.join(renamed, same, how).drop(*[f"_on_{c}" for c in on])
+    joined = left.join(renamed, same, how)
+    if how in ("full", "outer", "full_outer", "right", "right_outer"):
+        joined = joined.withColumns({c: F.coalesce(c, f"_on_{c}") for c in on})
+    return joined.drop(*[f"_on_{c}" for c in on])

@@ -8,26 +8,41 @@ directory, because Spark cannot overwrite what it still has to read.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.scale import keyset_join, materialise
+from plumbline.scale import keyset_join, materialise, null_safe_join
+
+
+#: Fixed values of Spark's partition folders: the name of null, and the characters that are escaped.
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+ESCAPED = "\"#%'*/:=?\\{[]^"
 
 
 @dataclass(frozen=True)
 class ParquetTable:
-    """A Parquet folder partitioned by the given columns."""
+    """A Parquet folder partitioned by the given columns.
+
+    With ``schema`` the table reads with these types; without it Spark infers the types of the partition columns.
+    """
 
     path: str
     by: tuple[str, ...] = ()
+    schema: T.StructType | None = None
 
     def exists(self, spark: SparkSession) -> bool:
         return _fs(spark, self.path).exists(_path(spark, self.path))
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.path)
+        reader = spark.read if self.schema is None else spark.read.schema(self.schema)
+        return reader.parquet(self.path)
+
+    def typed(self, schema: T.StructType) -> ParquetTable:
+        """The same table, read with the columns and types of ``schema``."""
+        return replace(self, schema=T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields]))
 
 
 def _path(spark: SparkSession, path: str):
@@ -95,9 +110,8 @@ def replace_range(df: DataFrame, table: ParquetTable, column: str, start: str, e
     if not table.exists(spark):
         write_create(fresh, table)
         return
-    old = table.read(spark)
-    # Partition values sort the files but are typed by the reader, so match the frame's own types.
-    old = old.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+    table = table.typed(df.schema)
+    old = table.read(spark).select(*df.columns)
     if not table.by:
         write_replace(materialise(old.filter(~F.coalesce(within, F.lit(False))).unionByName(fresh)), table)
         return
@@ -109,53 +123,109 @@ def replace_range(df: DataFrame, table: ParquetTable, column: str, start: str, e
     drop_partitions(keyset_join(touched, result, by, "left_anti"), table)
 
 
+def partition_folder(row, by: tuple[str, ...]) -> str:
+    """Folder of a partition below its table, named and escaped as Spark's own writer does."""
+    parts = []
+    for c in by:
+        value = row[c]
+        text = NULL_PARTITION if value is None or value == "" else "".join(
+            f"%{ord(x):02X}" if x in ESCAPED or ord(x) < 32 or ord(x) == 127 else x for x in str(value)
+        )
+        parts.append(f"{c}={text}")
+    return "/".join(parts)
+
+
 def drop_partitions(keys: DataFrame, table: ParquetTable) -> None:
     """Remove partition folders. The list of folders is metadata and is walked one at a time."""
     spark = keys.sparkSession
     fs = _fs(spark, table.path)
-    for row in keys.select(*table.by).toLocalIterator():
-        folder = "/".join([table.path, *[f"{c}={row[c]}" for c in table.by]])
-        fs.delete(_path(spark, folder), True)
+    parent = _path(spark, table.path)
+    for row in keys.select(*table.by).distinct().toLocalIterator():
+        # a child given as text is parsed as a URI, in which "%" stands for itself only through this constructor
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(parent, partition_folder(row, table.by)), True)
+
+
+def _image(table: ParquetTable, touched: DataFrame | None, spark: SparkSession) -> DataFrame | None:
+    """A written copy of the touched partitions, or of the whole table; None for a table that isn't there."""
+    if not table.exists(spark):
+        return None
+    stored = table.read(spark)
+    return materialise(keyset_join(stored, touched, list(table.by), "left_semi") if table.by else stored, "pre-image")
+
+
+def _restore(table: ParquetTable, before: DataFrame | None, touched: DataFrame | None, spark: SparkSession) -> None:
+    if before is None:
+        _fs(spark, table.path).delete(_path(spark, table.path), True)
+    elif not table.by:
+        write_replace(before, table)
+    else:
+        write_partitions(before, table)
+        drop_partitions(keyset_join(touched, before, list(table.by), "left_anti"), table)
 
 
 def dual_write(
     df: DataFrame,
     first: ParquetTable,
     second: ParquetTable,
-    write_second: Callable[[DataFrame, ParquetTable], None] = write_partitions,
+    write_second: Callable[[DataFrame, ParquetTable], None] | None = None,
+    touched: tuple[DataFrame, DataFrame] | None = None,
+    second_df: DataFrame | None = None,
 ) -> None:
-    """Write the same partitions to two tables. If the second write fails, the first is restored.
+    """Write the same rows to two tables. If either write fails, both tables are put back.
 
-    The frame is computed once, into staging. The pre-image covers only the partitions that the
-    first write replaces.
+    The rows are computed once, into staging; pre-images cover the partitions that are replaced, or the whole table
+    where it has none. ``touched`` names further partitions of each table that end up empty if no row falls in them.
     """
     spark = df.sparkSession
     rows = materialise(df)
-    by = list(first.by)
-    before = materialise(keyset_join(first.read(spark), rows, by, "left_semi")) if first.exists(spark) else None
-    write_partitions(cluster_for_write(rows, first), first)
+    pairs = [(first, rows), (second, rows if second_df is None else materialise(second_df))]
+    jobs = []
+    for k, (table, frame) in enumerate(pairs):
+        by = list(table.by)
+        keys = None
+        if by:
+            named = frame.select(*by)
+            keys = materialise((named if touched is None else named.unionByName(touched[k].select(*by))).distinct(), "keys")
+        typed = table.typed(frame.schema)
+        jobs.append((typed, frame, keys, _image(typed, keys, spark)))
+    done = []
     try:
-        write_second(cluster_for_write(rows, second), second)
+        for k, job in enumerate(jobs):
+            table, frame, keys, before = job
+            done.append(job)
+            write = write_second if k and write_second else write_partitions if table.by else write_replace
+            write(cluster_for_write(frame, table), table)
+            if table.by:
+                drop_partitions(keyset_join(keys, frame, list(table.by), "left_anti"), table)
     except Exception:
-        if before is None:
-            _fs(spark, first.path).delete(_path(spark, first.path), True)
-        else:
-            write_partitions(before, first)
-            drop_partitions(keyset_join(rows.select(*by).distinct(), before, by, "left_anti"), first)
+        for table, _, keys, before in done:
+            _restore(table, before, keys, spark)
         raise
 
 
-def compact(table: ParquetTable, spark: SparkSession, target_bytes: int = 256 * 1024 * 1024) -> None:
-    """Rewrite the table into files of about ``target_bytes``, one partition never sharing a task's file."""
+def compact(table: ParquetTable, spark: SparkSession, target_bytes: int = 256 * 1024 * 1024, min_files: int = 2) -> None:
+    """Rewrite the partitions that hold at least ``min_files`` files below half of ``target_bytes``.
+
+    They are chosen from file metadata; all others stay as they are. A partition's rows are written by as many tasks as
+    its bytes ask for, so no session setting changes.
+    """
     df = table.read(spark)
-    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    rows = materialise(df)
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
-    try:
-        shaped = cluster_for_write(rows, table) if table.by else rows.hint("rebalance")
-        write_replace(shaped, table)
-    finally:
-        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    by = list(table.by)
+    files = df.select(*by, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_bytes"))
+    each = files.groupBy(*by, "_file").agg(F.first("_bytes").alias("_bytes"))
+    small = F.count_if(F.col("_bytes") < target_bytes / 2)
+    shape = each.groupBy(*by).agg(F.sum("_bytes").alias("_total"), small.alias("_small"))
+    pieces = F.ceil(F.col("_total") / target_bytes).cast("int")
+    chosen = materialise(shape.where(F.col("_small") >= min_files).withColumn("_pieces", pieces), "chosen")
+    if chosen.isEmpty():
+        return
+    if not by:
+        write_replace(materialise(df).repartition(chosen.first()["_pieces"]), table)
+        return
+    rows = null_safe_join(df, chosen.select(*by, "_pieces"), by).withColumn("_piece", F.floor(F.rand(1) * F.col("_pieces")))
+    staged = materialise(rows.drop("_pieces"), "compacted")
+    n = chosen.agg(F.sum("_pieces")).first()[0]
+    write_partitions(staged.repartition(min(n, 10_000), *by, "_piece").drop("_piece"), table)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -18,17 +18,21 @@ DATA_VERSION = "2.0"
 ENVELOPE = "topic string, partition int, offset bigint, timestamp timestamp, value string"
 
 
-def kafka_source(spark: SparkSession, servers: str, topic: str, max_offsets: int = 2000) -> DataFrame:
-    """One topic from its beginning; offsets that the broker has dropped do not stop the stream."""
-    return (
+def kafka_source(spark: SparkSession, servers: str, topic: str, max_offsets: int | None = None) -> DataFrame:
+    """One topic from its beginning; offsets that the broker has dropped do not stop the stream.
+
+    A trigger takes all that has arrived, or at most ``max_offsets`` if that is given.
+    """
+    reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", "earliest")
         .option("failOnDataLoss", "false")
-        .option("maxOffsetsPerTrigger", str(max_offsets))
-        .load()
     )
+    if max_offsets is not None:
+        reader = reader.option("maxOffsetsPerTrigger", str(max_offsets))
+    return reader.load()
 
 
 def file_source(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:

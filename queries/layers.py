@@ -780,18 +780,36 @@ def scd2_hash(spark, sf):
         dim.filter("is_current").select("c_custkey", "segment"), ["c_custkey"], ["segment"], "2024-01-01"
     )
     incoming = scd.hashed_versions(latest, ["c_custkey"], ["segment"], "2024-02-01")
-    merged = scd.scd2_hash_merge(stored, incoming, ["c_custkey"], "2024-02-01")
+    older = incoming.withColumn("segment", F.lit("AAA")).withColumn("_hash", F.lit("older"))
+    seen = incoming.withColumn("seen", F.lit(2)).unionByName(older.withColumn("seen", F.lit(1)))
+    merged = scd.scd2_hash_merge(stored, seen, ["c_custkey"], "2024-02-01", ["seen"])
     return merged.select("c_custkey", "segment", "_effective_from", "_effective_to", "_is_current")
 
 
-@R.add(f"""WITH {MEMBERS_SQL}
-SELECT id, name, DATE '2024-02-01' AS effective_date, CAST(NULL AS DATE) AS expiration_date, true AS is_current
-FROM brz""")
+@R.add("""
+WITH brz AS (SELECT CAST(o_custkey AS VARCHAR) AS id, o_orderpriority AS name, o_orderstatus = 'P' AS deleted,
+    o_orderdate, o_orderkey FROM orders WHERE NOT starts_with(o_orderpriority, '4')),
+a AS (SELECT * FROM brz WHERE o_orderdate < DATE '1996-01-01'
+      QUALIFY row_number() OVER (PARTITION BY id ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
+b AS (SELECT * FROM brz WHERE o_orderdate >= DATE '1996-01-01'
+      QUALIFY row_number() OVER (PARTITION BY id ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
+j AS (SELECT coalesce(a.id, b.id) AS id, a.name AS old, b.name AS new, coalesce(NOT a.deleted, false) AS was,
+             b.id IS NOT NULL AND NOT b.deleted AS now, coalesce(b.deleted, false) AS gone
+      FROM a FULL JOIN b ON a.id = b.id)
+SELECT id, old AS name, DATE '1996-01-01' AS effective_date,
+       CASE WHEN gone OR (now AND old <> new) THEN DATE '1998-12-31' END AS expiration_date,
+       NOT (gone OR (now AND old <> new)) AS is_current FROM j WHERE was
+UNION ALL
+SELECT id, new, DATE '1998-12-31', NULL, true FROM j WHERE now AND (NOT was OR old <> new)""")
 def silver_dimension(spark, sf):
-    """First type-2 load of a bronze dimension."""
-    members = bronze.dimension(raw_members(spark, sf), now())
-    state = watermark.empty_state(spark)
-    dim, _ = silver.dimension_load(members, None, state, "members", ["id"], ["name"], "2024-02-01", NOW)
+    """Two type-2 loads of a bronze dimension; deletes close a member or keep it out."""
+    raw = raw_members(spark, sf)
+    cut = F.col(bronze.INGESTED) < F.lit("1996-01-01").cast("timestamp_ntz")
+    dim, state = None, watermark.empty_state(spark)
+    for part, day in ((raw.filter(cut), "1996-01-01"), (raw.filter(~cut), "1998-12-31")):
+        members = bronze.dimension(part, F.lit(day).cast("timestamp_ntz"))
+        dim, state = silver.dimension_load(members, dim, state, "members", ["id"], ["name"], day, NOW)
+        dim, state = materialise(dim), materialise(state)
     return dim
 
 
@@ -882,33 +900,48 @@ def partition_scan(spark, sf):
     )
 
 
-@R.add("""
-SELECT t AS copy, strftime(ts, '%Y%m%d') AS year_month_day, count(*) AS rows,
-       count(*) FILTER (event_type = 'error' OR value > 120) AS rejected
-FROM events, (VALUES ('first'), ('second')) v(t) GROUP BY ALL""")
+@R.add(f"""WITH ev AS (SELECT event_id, user_id, event_type, value,
+    CASE WHEN event_id % 97 = 0 THEN ts + INTERVAL 1 DAY ELSE ts END AS ts FROM events WHERE event_id % 89 <> 1),
+fact AS (
+  SELECT CAST(event_id AS VARCHAR) AS analysis_id,
+         CASE WHEN value <= 200 THEN user_id % 3 + 100 END AS category_key,
+         CASE WHEN NOT value BETWEEN 100 AND 110 AND user_id % 5 <> 4 THEN user_id % 5 + 100 END AS line_key,
+         CAST(ts AS DATE) AS analysis_date, {SHIFT_SQL} AS shift,
+         CASE WHEN event_type = 'error' OR value > 120 THEN 'NG' ELSE 'OK' END AS overall_judgment FROM ev)
+SELECT t AS copy, fact.* FROM fact, (VALUES ('first'), ('second')) v(t)""")
 def fact_run(spark, sf):
-    """Two incremental fact loads; the second only touches the days with new rows."""
-    feed = bronze_feed(spark, sf).withColumn("year_month_day", cl.day_key(F.timestamp_millis("record_timestamp")))
-    feed = feed.withColumn(silver.PROCESSED, F.col(bronze.INGESTED))
+    """Three incremental fact loads into a copy by day and one by month.
+
+    The second brings new and late rows, the third moves some records to the next day and deletes others.
+    """
+    at = F.lit("2024-03-01").cast("timestamp_ntz")
+
+    def by_day(feed):
+        return feed.withColumn("year_month_day", cl.day_key(F.timestamp_millis("record_timestamp")))
+
+    feed = bronze_feed(spark, sf).withColumn(silver.PROCESSED, F.col(bronze.INGESTED)).withColumn("__deleted", F.lit("false"))
+    moved, gone = F.col("id") % 97 == 0, F.col("id") % 89 == 1
+    later = feed.withColumns(
+        {
+            "record_timestamp": F.when(moved, F.col("record_timestamp") + 86_400_000).otherwise(F.col("record_timestamp")),
+            "__deleted": F.when(gone, F.lit("true")).otherwise(F.col("__deleted")),
+            silver.PROCESSED: F.when(moved | gone, at).otherwise(F.col(silver.PROCESSED)),
+        }
+    )
     dims = dimensions(spark, sf)
-    by = ("year_month_day",)
-    first = sinks.ParquetTable(shared_dir(spark, "fact"), by)
-    second = sinks.ParquetTable(shared_dir(spark, "copy"), by)
+    first = sinks.ParquetTable(shared_dir(spark, "fact"), ("year_month_day",))
+    second = sinks.ParquetTable(shared_dir(spark, "copy"), ("year", "month"))
 
     def build(df):
         return silver.record_fact(df, dims, now()).withColumn("year_month_day", cl.day_key(F.col("analysis_date")))
 
     state = watermark.empty_state(spark)
     early = feed.filter(F.col(silver.PROCESSED) < F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"))
-    state = materialise(silver.fact_load(early, state, "fact", build, first, second, NOW))
-    silver.fact_load(feed, state, "fact", build, first, second, NOW)
-
-    def counts(target, label):
-        rows = target.read(spark).groupBy(F.col("year_month_day").cast("string").alias("year_month_day"))
-        bad = F.count_if(F.col("overall_judgment") == "NG")
-        return rows.agg(F.count("*").alias("rows"), bad.alias("rejected")).withColumn("copy", F.lit(label))
-
-    return counts(first, "first").unionByName(counts(second, "second"))
+    for rows in (early, feed, later):
+        state = materialise(silver.fact_load(by_day(rows), state, "fact", build, first, second, NOW, key="analysis_id"))
+    columns = ["analysis_id", "category_key", "line_key", "analysis_date", "shift", "overall_judgment"]
+    copies = [t.read(spark).select(*columns).withColumn("copy", F.lit(n)) for n, t in (("first", first), ("second", second))]
+    return rounded(copies[0].unionByName(copies[1]))
 
 
 DAYS = "analysis_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'"

@@ -302,3 +302,33 @@ def test_backfill_clears_chart_marks(spark):
     left, outcome = gold.backfill_spc(state, dt.date(2024, 1, 5), dt.date(2024, 2, 2), lambda a, b: months.append((a, b)))
     assert rows(left, "table_name") == [("qualification_rate",)]
     assert len(months) == 2 and {o[2] for o in outcome} == {"SUCCESS"}
+
+
+def test_null_keys_are_found_again(spark):
+    table = spark.createDataFrame([(None, "a", 1), (1, None, 2)], "k int, p string, v int")
+    once = upsert.upsert(table, table.withColumn("v", F.col("v") + 10), ["k", "p"])
+    assert rows(once) == rows(upsert.upsert(once, once, ["k", "p"])) and once.count() == 2
+    assert {r.v for r in once.collect()} == {11, 12}
+    assert upsert.insert_absent(table, table, ["k", "p"]).count() == 2
+
+
+def test_limit_sets_of_a_day_are_served_apart(spark):
+    from plumbline.plans import serving
+
+    day = dt.date(2024, 1, 1)
+    schema = "process_id string, tank_name string, item_name string, shift string, analysis_date date, lsl double, usl double, cl double, cpk double"
+    chart = spark.createDataFrame([("p", "t", "i", "A", day, 1.0, 9.0, 5.0, 1.5), ("p", "t", "i", "A", day, 2.0, 8.0, None, 1.1)], schema)
+    name = "spc_capability_daily"
+    served = serving.sync(chart, chart.limit(0).withColumn("updated_at", F.current_timestamp()), name, "2024-01-01", F.current_timestamp())
+    assert serving.final(served, name).count() == 2
+
+
+def test_repeated_incoming_keys_make_one_version(spark):
+    from plumbline.operators import scd
+
+    stored = scd.hashed_versions(spark.createDataFrame([(1, "a"), (None, "n")], "k int, v string"), ["k"], ["v"], "2024-01-01")
+    new = spark.createDataFrame([(1, "b", 1), (1, "c", 2), (None, "n", 1)], "k int, v string, seq int")
+    merged = scd.scd2_hash_merge(stored, scd.hashed_versions(new, ["k"], ["v"], "2024-02-01"), ["k"], "2024-02-01", ["seq"])
+    assert rows(merged.select("k", "v", "_is_current")) == rows(
+        spark.createDataFrame([(1, "a", False), (1, "c", True), (None, "n", True)], "k int, v string, c boolean")
+    )

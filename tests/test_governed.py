@@ -42,8 +42,10 @@ def test_value_is_never_read_as_sql(people):
 
 
 def test_default_and_highest_limit(people):
-    assert [spec.row_limit(n) for n in (None, 0, 5, 99_999)] == [1000, 1000, 5, 10_000]
-    assert spec.row_limit(None, 50) == 50
+    assert [spec.row_limit(n) for n in (None, 5, 99_999)] == [None, 5, 99_999]
+    for asked, ceiling in ((0, None), (-1, None), (51, 50)):
+        with pytest.raises(SpecError):
+            spec.row_limit(asked, ceiling)
     assert spec.build_query(people, spec.QuerySpec()).columns == people.columns
 
 
@@ -140,7 +142,10 @@ def test_tenant_and_sensitivity(spark):
 
 
 def test_sample_and_gold_guard(people):
-    assert policy.sample(people, "balance > 0", 999).count() == 2
+    assert policy.sample(people, "balance > 0", 200).count() == 2
+    for asked in (0, 201):
+        with pytest.raises(SpecError):
+            policy.sample(people, None, asked)
     assert policy.sample(people, None, 1).count() == 1
     policy.require_gold("Gold_quality")
     with pytest.raises(SpecError):
@@ -207,23 +212,30 @@ def test_large_lookup_gives_the_same_rows(spark):
     dim = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("sk"))
     for how in ("left", "inner"):
         small = scale.lookup_join(fact, dim, ["k"], how)
-        large = scale.lookup_join(fact, dim, ["k"], how, max_broadcast=0, salts=8)
-        assert "BroadcastHashJoin" in plan(small) and "Generate explode" in plan(large)
-        assert rows(small) == rows(large)
-
-
-def test_salting_spreads_a_hot_key(spark):
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert "BroadcastHashJoin" in plan(small)
+        want = rows(small)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            assert rows(scale.lookup_join(fact, dim, ["k"], how)) == want
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hot_lookup_key_is_split_and_the_scan_pruned(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    spark.range(400_000).select("id", F.lit(1).alias("k"), F.uuid().alias("wide")).write.parquet(path)
+    settings = {"autoBroadcastJoinThreshold": "-1", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+                "adaptive.advisoryPartitionSizeInBytes": "64k"}
+    for k, v in settings.items():
+        spark.conf.set(f"spark.sql.{k}", v)
     try:
-        fact = spark.range(8000).select("id", F.lit(1).alias("k"))
         dim = spark.range(3).select(F.col("id").alias("k"), F.lit("x").alias("sk"))
-        joined = scale.lookup_join(fact, dim, ["k"], max_broadcast=0)
-        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
-        assert len(sizes) >= 6 and max(sizes) < 4000
+        joined = scale.lookup_join(spark.read.parquet(path).select("id", "k"), dim, ["k"])
+        assert len(joined.groupBy(F.spark_partition_id()).agg(F.max("id"), F.max("sk")).collect()) > 2
+        assert "wide" not in plan(joined)
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for k in settings:
+            spark.conf.unset(f"spark.sql.{k}")
 
 
 def test_star_inference(spark):

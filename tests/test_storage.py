@@ -73,6 +73,32 @@ def test_dual_write_restores_the_first_copy(spark, tmp_path):
     assert stored(spark, first) == stored(spark, second) == [(1, 1, 1), (2, 2, 2)]
 
 
+def test_dual_write_of_unpartitioned_tables(spark, tmp_path):
+    first, second = ParquetTable(str(tmp_path / "a")), ParquetTable(str(tmp_path / "b"))
+
+    def half(df, target):
+        sinks.write_replace(df.limit(0), target)
+        raise RuntimeError("down")
+
+    sinks.dual_write(frame(spark, (1, 1, 1)), first, second)
+    sinks.dual_write(frame(spark, (2, 2, 2)), first, second)
+    with pytest.raises(RuntimeError):
+        sinks.dual_write(frame(spark, (3, 3, 3)), first, second, half)
+    assert stored(spark, first) == stored(spark, second) == [(2, 2, 2)]
+
+
+def test_null_and_escaped_partitions_are_replaced(spark, tmp_path):
+    target = ParquetTable(str(tmp_path / "t"), ("k",))
+    day = dt.date(2024, 1, 1)
+    rows = [(i, k, day) for i, k in enumerate(["a:b", None, "x y", "50%", "p", "007"])]
+    data = spark.createDataFrame(rows, "id int, k string, d date")
+    sinks.write_create(data, target)
+    sinks.replace_range(data.filter("k = '007'"), target, "d", "2024-01-01", "2024-01-02")
+    left = target.typed(data.schema).read(spark).collect()
+    assert [(r.id, r.k) for r in left] == [(5, "007")]
+    assert [f for f in os.listdir(target.path) if f.startswith("k=")] == ["k=007"]
+
+
 def test_partition_filter_prunes(spark, target):
     sinks.write_create(frame(spark, (1, 1, 1), (2, 2, 1)), target)
     day = scans.day_scan(spark, target.path, SCHEMA.replace("day", "year_month_day"), None)
