@@ -3,7 +3,8 @@
 Everything is done on distinct values: records are reduced to the digest of the values that a rule
 reads, digests are linked, and the links are brought back to the records. A value carried by a large
 share of all records is therefore compared once, and the result has one row per right record and
-matched left value, never one per pair of records.
+matched left value, never one per pair of records. Similar texts are found by a segment that they
+share unchanged, so only texts with an equal segment at nearly the same place are compared.
 """
 
 from __future__ import annotations
@@ -12,11 +13,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.errors import SpecError
-from plumbline.scale import lookup_join
+from plumbline.scale import lookup_join, materialise, split_join
 
 DEFAULT_THRESHOLD = 0.85
 
@@ -92,10 +92,11 @@ def _values(records: DataFrame) -> DataFrame:
 def _links(left: DataFrame, right: DataFrame, rules: Rules) -> DataFrame:
     """Left and right values that meet a rule, with the similarity.
 
-    Without similarity terms the equal fields decide. Else candidates share a rare letter pair.
+    Without similarity terms the equal fields decide. Else candidates share a segment of the text. Each side's distinct
+    values are written once, as both kinds of rule and several steps read them.
     """
-    l_side = _values(left).withColumnsRenamed({"value": "left_value", "id": "left_id", "records": "left_records", "text": "a"})
-    r_side = _values(right).withColumnsRenamed({"value": "right_value", "text": "b"}).drop("id", "records")
+    l_side = materialise(_values(left), "values").withColumnsRenamed({"value": "left_value", "id": "left_id", "records": "left_records", "text": "a"})
+    r_side = materialise(_values(right), "values").withColumnsRenamed({"value": "right_value", "text": "b"}).drop("id", "records")
     fuzzy = [i for i, terms in enumerate(rules) if any(t.op == "similarity" for t in terms)]
     exact = [i for i in range(len(rules)) if i not in fuzzy]
     columns = ["rule", "left_value", "left_id", "left_records", "right_value", "confidence"]
@@ -105,47 +106,84 @@ def _links(left: DataFrame, right: DataFrame, rules: Rules) -> DataFrame:
         out = same.withColumn("confidence", F.lit(1.0)).select(*columns)
     if fuzzy:
         first = {i: next(t.threshold for t in rules[i] if t.op == "similarity") for i in fuzzy}
-        both = l_side.select("rule", "a").unionByName(r_side.select("rule", F.col("b").alias("a")))
-        pairs = _pairs(both.filter(F.col("rule").isin(fuzzy)).select(F.get("a", F.lit(0)).alias("s")))
-        # Normalized texts have 36 different characters, so this has at most 36 x 36 rows.
-        frequency = F.broadcast(pairs.groupBy("pair").agg(F.count("*").alias("frequency")))
-        l_tokens = _tokens(l_side.filter(F.col("rule").isin(fuzzy)), "left_value", "a", frequency, first)
-        r_tokens = _tokens(r_side.filter(F.col("rule").isin(fuzzy)), "right_value", "b", frequency, first)
-        near = _similar(l_tokens.join(r_tokens, ["rule", "key", "token"]), rules)
-        near = near.dropDuplicates(["rule", "left_value", "right_value"]).select(*columns)
+        if min(first.values()) <= 0.5:
+            raise SpecError("a similarity of one half or less would need all pairs")
+        bound = F.coalesce(*[F.when(F.col("rule") == i, F.lit(t)) for i, t in first.items()])
+        chosen = F.col("rule").isin(fuzzy)
+        l_rows = l_side.filter(chosen).withColumns({"s": F.get("a", F.lit(0)), "t": bound})
+        r_rows = r_side.filter(chosen).withColumns({"s": F.get("b", F.lit(0)), "t": bound})
+        shared = _shared_ends(l_rows.select("rule", "key", "s").unionByName(r_rows.select("rule", "key", "s")))
+        l_tokens = _segments(split_join(l_rows, shared, ["rule", "key"])).select(*l_side.columns, "token")
+        r_tokens = _probes(split_join(r_rows, shared, ["rule", "key"])).select(*r_side.columns, "token")
+        # one row per candidate pair, however many tokens it shares, before any distance is computed
+        pairs = l_tokens.join(r_tokens, ["rule", "key", "token"]).drop("token").distinct()
+        near = _similar(pairs, rules).select(*columns)
         out = near if out is None else out.unionByName(near)
     return out
 
 
-def _pairs(df: DataFrame) -> DataFrame:
-    """One row per pair of neighbouring letters of the text ``s``."""
-    cut = "CASE WHEN length(s) >= 2 THEN transform(sequence(1, length(s) - 1), i -> substring(s, i, 2)) ELSE array() END"
-    return df.select("*", F.posexplode(F.expr(cut)).alias("place", "pair"))
+def _shared_ends(texts: DataFrame) -> DataFrame:
+    """``ends``: how many first and last letters all texts of a block share, without overlap.
+
+    Shared ends don't change an edit distance, and segments of them would match everything. Those of the least and the
+    greatest text are those of all.
+    """
+    block = texts.groupBy("rule", "key").agg(
+        F.min("s").alias("lo"), F.max("s").alias("hi"), F.min(F.reverse("s")).alias("rlo"),
+        F.max(F.reverse("s")).alias("rhi"), F.min(F.length("s")).alias("least"),
+    )
+
+    def common(a: str, b: str) -> Column:
+        places = F.expr(f"CASE WHEN least(length({a}), length({b})) > 0 THEN sequence(1, least(length({a}), length({b}))) ELSE array() END")
+        return F.size(F.filter(places, lambda i: F.substring(F.col(a), F.lit(1), i) == F.substring(F.col(b), F.lit(1), i)))
+
+    found = block.withColumns({"head": common("lo", "hi"), "tail": common("rlo", "rhi")})
+    return found.select("rule", "key", "head", F.least("tail", F.col("least") - F.col("head")).alias("tail"))
 
 
-def _tokens(values: DataFrame, value: str, text: str, frequency: DataFrame, thresholds: dict[int, float]) -> DataFrame:
-    """Tokens of which two similar texts always share one.
+EDITS = "int(floor((1 - t) * {n} + 1e-9))"
 
-    With at most k edits two texts differ in at most 2k letter pairs, so the 2k + 1 rarest pairs of
-    each have one in common. Texts too short for this, and those that may be similar to such a
-    text, share the token ``*``; for thresholds up to two thirds that is every text.
+
+def _segments(rows: DataFrame) -> DataFrame:
+    """Tokens of the left texts: each is cut into one segment more than edits are allowed.
+
+    Of two texts within k edits, one of the k + 1 segments of the first stands unchanged in the second, at most k
+    letters from its place. k follows from the longer text, so a text is cut for every k that a partner may bring.
     """
-    bound = F.coalesce(*[F.when(F.col("rule") == i, F.lit(t)) for i, t in thresholds.items()])
-    rows = values.withColumns({"s": F.get(text, F.lit(0)), "t": bound})
-    rows = rows.withColumn("_edits", F.expr("int(floor((1 - t) / t * length(s) + 1e-9))"))
-    same = W.partitionBy("rule", value, "pair").orderBy("place")
-    rarest = W.partitionBy("rule", value).orderBy("frequency", "pair", "_nth")
-    pairs = (
-        _pairs(rows)
-        .withColumn("_nth", F.row_number().over(same))
-        .join(frequency, "pair")
-        .withColumn("_rank", F.row_number().over(rarest))
-        .filter("_rank <= 2 * _edits + 1")
-        .withColumn("token", F.concat("pair", F.col("_nth").cast("string")))
+    core = rows.withColumns({"n": F.length("s"), "m": F.expr("length(s) - head - tail")}).withColumn(
+        "c", F.expr("substring(s, head + 1, m)")
+    )
+    edits = F.expr(f"sequence({EDITS.format(n='n')}, {EDITS.format(n='floor(n / t + 1e-9)')})")
+    each = core.withColumn("k", F.explode(edits))
+    cut = F.expr(
+        """CASE WHEN m < k + 1 THEN array(concat_ws(' ', k, n, '*'))
+        ELSE transform(sequence(0, k), i -> concat_ws(' ', k, n, i,
+             substring(c, int(i * m div (k + 1)) + 1, int((i + 1) * m div (k + 1)) - int(i * m div (k + 1))))) END"""
+    )
+    return each.withColumn("token", F.explode(cut))
+
+
+def _probes(rows: DataFrame) -> DataFrame:
+    """Tokens of the right texts: for each length of a partner, the pieces that can be one of its segments.
+
+    A segment at place p is looked for from p - k to p + k, as far as the letters behind it leave enough edits.
+    """
+    core = rows.withColumns({"n": F.length("s"), "m": F.expr("length(s) - head - tail")}).withColumn(
+        "c", F.expr("substring(s, head + 1, m)")
+    )
+    lengths = F.expr("sequence(int(greatest(ceil(t * n - 1e-9), head + tail)), int(greatest(floor(n / t + 1e-9), head + tail)))")
+    each = core.withColumn("ln", F.explode(lengths)).withColumns(
+        {"k": F.expr(EDITS.format(n="greatest(n, ln)")), "lm": F.expr("ln - head - tail")}
+    ).where("abs(n - ln) <= k")
+    pieces = F.expr(
+        """CASE WHEN lm < k + 1 THEN array(concat_ws(' ', k, ln, '*'))
+        ELSE array_distinct(flatten(transform(sequence(0, k), i ->
+          transform(filter(sequence(greatest(-k, m - lm - k), least(k, m - lm + k)),
+                           d -> int(i * lm div (k + 1)) + d >= 0 AND int((i + 1) * lm div (k + 1)) + d <= m),
+            d -> concat_ws(' ', k, ln, i, substring(c, int(i * lm div (k + 1)) + d + 1,
+                 int((i + 1) * lm div (k + 1)) - int(i * lm div (k + 1)))))))) END"""
     )
-    short = rows.filter("t <= 0.667 OR length(s) <= 2 / (1 - 2 * (1 - t) / t) / t + 1").withColumn("token", F.lit("*"))
-    columns = [*values.columns, "token"]
-    return pairs.select(*columns).unionByName(short.select(*columns))
+    return each.withColumn("token", F.explode(pieces))
 
 
 def _similar(pairs: DataFrame, rules: Rules) -> DataFrame:

@@ -444,3 +444,25 @@ def test_semantic_entries_are_not_overwritten(spark):
     assert ("t2", "now known", "Internal", "desc") in rows(
         catalog.upsert_entries(out, changed), "entity_urn", "nl_description", "sensitivity", "status"
     )
+
+
+def test_candidates_of_one_block_are_few_of_its_pairs(spark):
+    """Names with a common beginning and end in a single block: shared ends are no segments."""
+
+    def candidates(n):
+        name = F.concat(F.lit("CUSTOMER"), F.substring(F.sha2(F.concat(F.lit("x"), F.col("id")), 256), 1, 12), F.lit("LTD"))
+        texts = spark.range(n).select(F.lit(0).alias("rule"), F.lit("b").alias("key"), F.upper(name).alias("s"), F.lit(0.85).alias("t"), "id")
+        ends = matching._shared_ends(texts.select("rule", "key", "s"))
+        assert ends.first()["head"] == 8 and ends.first()["tail"] == 3
+        rows = texts.join(ends, ["rule", "key"])
+        left, right = matching._segments(rows), matching._probes(rows)
+        return left.select("token", "id").join(right.select("token", F.col("id").alias("other")), "token").distinct().count()
+
+    assert candidates(2_000) < 2_000 * 2_000 / 100 and candidates(16_000) < 16_000 * 16_000 / 100
+
+
+def test_low_similarities_are_refused(spark):
+    df = spark.createDataFrame([(1, "a", "b")], "id int, city string, name string")
+    rules = [[matching.Term("city", "city"), matching.Term("name", "name", "similarity", 0.5)]]
+    with pytest.raises(SpecError):
+        matching.match(df, df, "id", "id", rules)
