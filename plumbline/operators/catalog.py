@@ -34,9 +34,10 @@ def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None)
     """All nodes downstream of the ``node`` column of ``start``, except those, with the least depth.
 
     Breadth-first: each round joins the newest nodes with the edges, and keeps unseen nodes. The
-    frontier is a distinct set, so a node with many edges is spread by the lookup join. The result
-    of each round is written to the shared directory.
+    frontier is a distinct set, so a node with many edges is split by the join. The edges are written
+    once, and the result of each round, to the shared directory.
     """
+    edges = materialise(edges.select("src", "dst"), "edges")
     seen = materialise(start.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     depth = 0

@@ -97,11 +97,6 @@ def status_distribution(df: DataFrame, status: str = "data_quality_status") -> D
     return df.groupBy(status).agg(F.count("*").alias("rows"))
 
 
-def hash_sample(df: DataFrame, one_in: int) -> DataFrame:
-    """About one row in ``one_in``, always the same ones."""
-    return df.filter(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(one_in)) == 0)
-
-
 def completeness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Mean share of set values over the columns, in whole per cent."""
     columns = list(columns or df.columns)

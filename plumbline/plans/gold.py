@@ -14,8 +14,6 @@ from plumbline.operators.upsert import months_predicate, replace_where
 from plumbline.scale import lookup_join, materialise
 from plumbline.sources.sinks import ParquetTable, create_if_absent, replace_range, rewrite
 
-LOOKBACK_DAYS = 29
-
 
 def chart_input(measures: DataFrame, records: DataFrame, categories: DataFrame) -> DataFrame:
     """Measurements with process, shift, limits and characteristic type.

@@ -60,10 +60,10 @@ def profile_sql(columns):
     )
 
 
-@R.add(f"""WITH {GAPPY_SQL} {profile_sql(["o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"])}""")
+@R.add(f"""WITH {GAPPY_SQL} {profile_sql(["o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice"])}""")
 def column_profile(spark, sf):
-    df = gappy_orders(spark, sf).drop("o_totalprice")
-    return rounded(quality.column_profile(df, exact=True))
+    """All columns, numbers compared as numbers and shown as text."""
+    return rounded(quality.column_profile(gappy_orders(spark, sf), exact=True))
 
 
 RULES = [
@@ -351,11 +351,15 @@ def compact(spark, sf):
     ))
 
 
-@R.add()
+@R.add("""SELECT count(DISTINCT year(o_orderdate)) AS file_count, count(DISTINCT year(o_orderdate)) AS small_files,
+  true AS has_bytes, true AS has_oldest FROM orders""")
 def table_files(spark, sf):
+    """One file for each year, all of them small; bytes and times depend on the run and are only there."""
     target = sinks.ParquetTable(shared_dir(spark, "orders"), ("year",))
-    sinks.write_create(sinks.cluster_for_write(orders_by_year(spark, sf), target), target)
-    return tableops.table_files(spark, target.path).drop("oldest_file")
+    sinks.write_create(orders_by_year(spark, sf).repartition(4, "year"), target)
+    files = tableops.table_files(spark, target.path)
+    known = (F.col("total_bytes") > 0).alias("has_bytes"), F.col("oldest_file").isNotNull().alias("has_oldest")
+    return files.select("file_count", "small_files", *known)
 
 
 # --- monitoring ------------------------------------------------------------------------------
