@@ -152,3 +152,9 @@ def audit_row(df: DataFrame, who: str, request: str, engine: str = "spark") -> D
         F.lit(engine).alias("engine"),
         F.current_timestamp().alias("decided_at"),
     )
+
+
+def append_audit(df: DataFrame, path: str, who: str, request: str, engine: str = "spark") -> None:
+    """Store the audit record of a governed query with the number of rows that it answered."""
+    answered = df.agg(F.count("*").alias("answered_rows"))
+    audit_row(df, who, request, engine).join(F.broadcast(answered)).write.mode("append").parquet(path)

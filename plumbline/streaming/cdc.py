@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from plumbline.functions.cleansing import day_key, days_to_date
 from plumbline.operators.upsert import newest
 from plumbline.scale import keyset_join, materialise
-from plumbline.sources.sinks import ParquetTable, write_partitions
+from plumbline.sources.sinks import ParquetTable, drop_partitions, write_partitions
 
 DATA_VERSION = "2.0"
 ENVELOPE = "topic string, partition int, offset bigint, timestamp timestamp, value string"
@@ -102,36 +102,64 @@ def append_raw(
     return writer.start()
 
 
+BATCH = "batch"
+FOLDED = -1
+
+
 def merge_stream(
     df: DataFrame,
-    table: ParquetTable,
+    path: str,
     checkpoint: str,
     keys: Sequence[str],
     version: Sequence[str],
-    buckets: int = 16,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Keep a table of the newest version per key.
+    """Append the newest version per key of each micro-batch to a table of versions.
 
-    The table is partitioned by a hash bucket of the key. A micro-batch rewrites only the buckets it
-    touches, and a repeated batch gives the same table.
+    A batch writes only what it brings, into a partition of its own, and a repeated batch replaces that partition; stored
+    versions are never rewritten by the stream. ``current_rows`` reads the newest version of every key.
     """
-    keyed = df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    merge_keys = [*keys, "bucket"]
-
-    def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = materialise(newest(batch, merge_keys, version))
-        if table.exists(spark):
-            old = table.read(spark).select(*batch.columns)
-            same = keyset_join(old, fresh, ["bucket"], "left_semi")
-            both = newest(same.unionByName(fresh), merge_keys, version)
-        else:
-            both = fresh
-        write_partitions(materialise(both), table)
-
-    writer = keyed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    table = ParquetTable(path, (BATCH,))
+
+    def merge(batch: DataFrame, number: int) -> None:
+        write_partitions(newest(batch, keys, version).withColumn(BATCH, F.lit(number)), table)
+
+    writer = df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
 
+def current_rows(spark: SparkSession, path: str, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
+    """The newest version of every key of a table of versions."""
+    return newest(spark.read.parquet(path).drop(BATCH), keys, version)
+
+
+def fold_versions(spark: SparkSession, path: str, keys: Sequence[str], version: Sequence[str]) -> None:
+    """Compact a table of versions: the newest ones in one partition, the batches that they came from removed.
+
+    The folded partition is complete before any batch goes, so a reader, or a restart in between, sees every key; a
+    batch that a running stream adds meanwhile isn't touched.
+    """
+    stored = spark.read.parquet(path)
+    table = ParquetTable(path, (BATCH,))
+    batches = materialise(stored.filter(F.col(BATCH) != FOLDED).select(BATCH).distinct(), "batches")
+    rows = keyset_join(stored, batches, [BATCH], "left_semi").unionByName(stored.filter(F.col(BATCH) == FOLDED))
+    folded = newest(rows.drop(BATCH), keys, version).withColumn(BATCH, F.lit(FOLDED))
+    write_partitions(materialise(folded, "folded"), table)
+    drop_partitions(batches, table)
+
+
+def start_routes(
+    spark: SparkSession,
+    topics: Mapping[str, tuple[DataFrame, T.StructType | str, Callable[[DataFrame], DataFrame], str]],
+    root: str,
+    checkpoints: str,
+    available_now: bool = False,
+) -> dict[str, StreamingQuery]:
+    """Start the raw append of every topic: (envelope, schema, route, partition column), each with its own checkpoint."""
+    return {
+        name: append_raw(
+            route(decode(envelope, schema)), f"{root}/{name}", f"{checkpoints}/{name}", [by], f"raw_{name}", available_now
+        )
+        for name, (envelope, schema, route, by) in topics.items()
+    }

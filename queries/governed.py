@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import catalog, daily, monitoring, policy, spec
+from plumbline.scale import shared_dir
 from plumbline.sources import scans
 from queries.roles import RECORDS_SQL, Registry, records, rounded, table
 
@@ -147,6 +148,28 @@ def preview_as(spark, sf):
     return rounded(policy.preview_as(table(spark, sf, "customer"), policies(spark, sf), ["sales"], "customer"))
 
 
+@R.add("""SELECT 'alice' AS subject_ref, 'customers' AS raw, 'spark' AS engine, count(*) AS answered_rows FROM customer
+UNION ALL SELECT 'bob', 'rich customers', 'spark', count(*) FROM customer WHERE c_acctbal > 0""")
+def audit_append(spark, sf):
+    """Two governed queries, each of which leaves its record in the audit table."""
+    path = shared_dir(spark, "audit")
+    c = table(spark, sf, "customer")
+    policy.append_audit(policy.govern(c, policy.Decision()), path, "alice", "customers")
+    rich = policy.govern(c, policy.Decision(row_filters=["c_acctbal > 0"]))
+    policy.append_audit(rich, path, "bob", "rich customers")
+    return spark.read.parquet(path).select("subject_ref", "raw", "engine", "answered_rows")
+
+
+# A result of many groups comes back whole.
+WIDE = spec.QuerySpec("lineitem", dimensions=["l_orderkey"], measures=[("l_quantity", "sum"), ("*", "count")])
+
+
+@R.add("SELECT l_orderkey, round(sum(l_quantity), 4) AS sum_l_quantity, count(*) AS count FROM lineitem GROUP BY ALL")
+def query_spec_whole(spark, sf):
+    """More than ten thousand groups, none of them cut."""
+    return rounded(spec.build_query(table(spark, sf, "lineitem"), WIDE))
+
+
 @R.add("""SELECT s_suppkey, s_nationkey::BIGINT AS tenant FROM supplier WHERE s_acctbal < 0 OR s_nationkey = 7""")
 def tenant_scope(spark, sf):
     """Suppliers with a debit balance count as shared."""

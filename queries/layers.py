@@ -505,12 +505,30 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
 def cdc_stream_upsert(spark, sf):
     """Newest message per user, kept by a merging stream."""
     decoded = cdc.decode(replay(spark, sf), IMAGE)
-    target = sinks.ParquetTable(shared_dir(spark, "merged"), ("bucket",))
-    query = cdc.merge_stream(
-        decoded, target, shared_dir(spark, "offsets"), ["user_id"], ["offset"], buckets=8, available_now=True
-    )
-    query.awaitTermination()
-    return rounded(target.read(spark).select("user_id", "id", "event_type", "value"))
+    path, keys, version = shared_dir(spark, "merged"), ["user_id"], ["offset"]
+    cdc.merge_stream(decoded, path, shared_dir(spark, "offsets"), keys, version, available_now=True).awaitTermination()
+    return rounded(cdc.current_rows(spark, path, keys, version).select("user_id", "id", "event_type", "value"))
+
+
+@R.add("""
+SELECT 'facts' AS topic, strftime(ts, '%Y%m%d') AS part, count(*) AS messages FROM events WHERE value < 250 GROUP BY ALL
+UNION ALL SELECT 'members', 'today', count(*) FROM events""")
+def cdc_all_routes(spark, sf):
+    """A fact topic by business date and a dimension topic by ingestion day, drained, and drained again to no effect."""
+    topics = {
+        "facts": (replay(spark, sf), IMAGE, cdc.route_measurements, "year_month_day"),
+        "members": (replay(spark, sf), IMAGE, cdc.route_dimension, "dt"),
+    }
+    root, checkpoints = shared_dir(spark, "raw"), shared_dir(spark, "offsets")
+    for _ in range(2):
+        for query in cdc.start_routes(spark, topics, root, checkpoints, available_now=True).values():
+            query.awaitTermination()
+    facts = spark.read.parquet(f"{root}/facts").groupBy(F.col("year_month_day").cast("string").alias("part"))
+    members = spark.read.parquet(f"{root}/members").groupBy(F.lit("today").alias("part"))
+    return (
+        facts.agg(F.count("*").alias("messages")).withColumn("topic", F.lit("facts"))
+        .unionByName(members.agg(F.count("*").alias("messages")).withColumn("topic", F.lit("members")))
+    )
 
 
 # --- silver ----------------------------------------------------------------------------------
@@ -900,6 +918,18 @@ def partition_scan(spark, sf):
     )
 
 
+@R.add("""
+SELECT event_type, count(*) AS events, round(sum(value), 4) AS total
+FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-15' GROUP BY ALL""")
+def partition_scan_day(spark, sf):
+    """One day of events, read from that day's folder only."""
+    e = table(spark, sf, "events").withColumn("year_month_day", cl.day_key(F.to_date("ts")))
+    target = sinks.ParquetTable(shared_dir(spark, "events"), ("year_month_day",))
+    sinks.write_create(sinks.cluster_for_write(e, target), target)
+    day = scans.day_scan(spark, target.path, e.schema, "20240115")
+    return day.groupBy("event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @R.add(f"""WITH ev AS (SELECT event_id, user_id, event_type, value,
     CASE WHEN event_id % 97 = 0 THEN ts + INTERVAL 1 DAY ELSE ts END AS ts FROM events WHERE event_id % 89 <> 1),
 fact AS (

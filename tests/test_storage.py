@@ -207,14 +207,20 @@ def test_append_stream_survives_a_restart(spark, tmp_path):
 
 def test_merging_stream_equals_a_batch(spark, tmp_path):
     source, checkpoint = str(tmp_path / "in"), str(tmp_path / "ck")
-    target = ParquetTable(str(tmp_path / "merged"), ("bucket",))
+    path = str(tmp_path / "merged")
 
     def drain():
         decoded = cdc.decode(cdc.file_source(spark, source, max_files=1), IMAGE)
-        cdc.merge_stream(decoded, target, checkpoint, ["id"], ["offset"], 4, available_now=True).awaitTermination()
-        return rows(target.read(spark), "id", "value")
+        cdc.merge_stream(decoded, path, checkpoint, ["id"], ["offset"], available_now=True).awaitTermination()
+        return rows(cdc.current_rows(spark, path, ["id"], ["offset"]), "id", "value")
 
     put(source, "1.json", *[(i, {"id": str(i % 5), "value": float(i)}) for i in range(20)])
     assert drain() == [(str(k), 15.0 + k) for k in range(5)]
     put(source, "2.json", (30, {"id": "1", "value": 99.0}), (7, {"id": "2", "value": -1.0}), (31, {"id": "9", "value": 1.0}))
     assert drain() == [("0", 15.0), ("1", 99.0), ("2", 17.0), ("3", 18.0), ("4", 19.0), ("9", 1.0)]
+    for _ in range(2):
+        cdc.fold_versions(spark, path, ["id"], ["offset"])
+        assert os.listdir(path).count("batch=-1") == 1 and not os.path.exists(f"{path}/batch=0")
+        assert drain() == [("0", 15.0), ("1", 99.0), ("2", 17.0), ("3", 18.0), ("4", 19.0), ("9", 1.0)]
+    put(source, "3.json", (40, {"id": "0", "value": 5.0}))
+    assert drain()[0] == ("0", 5.0)
