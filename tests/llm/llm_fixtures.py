@@ -1,3 +1,5 @@
+"""Fixtures of the operator tests; a second conftest would hide the one above."""
+
 import pytest
 from plumbline.llm.rowkeys import prepare
 

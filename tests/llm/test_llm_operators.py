@@ -4,6 +4,7 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
+from llm_fixtures import hostile, llm, none  # noqa: F401
 from plumbline.llm import (
     bloom,
     chat_format,
