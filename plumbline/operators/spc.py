@@ -263,18 +263,21 @@ def subgroups(
     The running number is the place inside the slice plus the row count of the earlier slices.
     """
     day = [*keys, DAY]
-    rows = _slices(df.select(*day, INSTANT, *tie, "x", "lsl", "usl"), seconds)
-    earlier = W.partitionBy(*day).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    # One struct names the slice in window, count and join alike, nulls included: raw rows are shuffled once.
+    rows = _slices(df.select(*day, INSTANT, *tie, "x", "lsl", "usl"), seconds).withColumn("_part", F.struct(*day, "_slice"))
+    whole_day = W.partitionBy(*[F.col(f"_part.{c}") for c in day])
+    earlier = whole_day.orderBy("_part._slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy(*day, "_slice")
+        rows.groupBy("_part")
         .agg(F.count("*").alias("_count"))
         .withColumn("_before", F.coalesce(F.sum("_count").over(earlier), F.lit(0).cast("long")))
-        .drop("_count")
+        .select("_part", "_before")
     )
-    place = F.row_number().over(W.partitionBy(*day, "_slice").orderBy(INSTANT, *tie))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(INSTANT, *tie))
     return (
-        null_safe_join(rows, offsets, [*day, "_slice"])
-        .withColumn("_row", F.col("_before") + place - 1)
+        rows.withColumn("_place", place)
+        .join(offsets, "_part")
+        .withColumn("_row", F.col("_before") + F.col("_place") - 1)
         .withColumn("_subgroup", F.expr(f"_row div {int(size)}"))
         .groupBy(*day, "_subgroup", "lsl", "usl")
         .agg(

@@ -289,3 +289,19 @@ def test_count_charts_read_only_needed_columns(spark, sf, static_plans):
 
     text = plan(spc.p_chart(records(spark, sf)))
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in text
+
+
+def test_raw_rows_of_subgroups_are_shuffled_once(spark, sf):
+    """With broadcasts off, window and join use one partitioning, so the raw columns pass a single exchange."""
+    from queries.roles import QTY_TIE, quantities
+
+    for k, v in (("autoBroadcastJoinThreshold", "-1"), ("adaptive.enabled", "false")):
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        text = spc.subgroups(quantities(spark, sf), 5, tie=QTY_TIE)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert text.count("SortMergeJoin") == 1
+    raw = text[text.index("Window [row_number()") : text.index("l_linenumber", text.index("FileScan"))]
+    assert raw.count("Exchange") == 1
