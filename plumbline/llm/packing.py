@@ -4,8 +4,8 @@ Documents are cut into whole sequences and a remainder. Remainders are gathered
 tokens gets T // capacity full sequences, and for the rest one sequence per bit of T % capacity, whose lengths are
 powers of two; so its capacities add up to T and nothing needs padding. A remainder's cost is estimated as
 ``linear * n + quadratic * n * n``, for attention within a document. Remainders go, in descending cost, to the
-sequence of lowest cost that still has room; when none has, the remainder is cut at the room of the sequence of lowest
-cost and its rest is placed likewise.
+sequence of lowest cost that still has room for them; when none has, the remainder is cut and fills the roomiest
+sequences.
 
 A task packs what it reads, so nothing is shuffled, a lost task is packed again in the same way, and memory is bounded
 by the pool and the longest text. Equal costs are broken by the order of reading.
@@ -50,9 +50,8 @@ def capacities(tokens: int, capacity: int = CAPACITY) -> list[int]:
 def assign(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """(index of the remainder, start in it, length, sequence, offset there) for a pool of remainders.
 
-    The sequences stand in a heap by cost. Those without room for the remainder at hand are set aside and looked at
-    again for each following remainder no longer than their room: remainders only get shorter, so a sequence that is
-    set aside is kept by its room and comes back as soon as one fits.
+    The sequences stand in a heap by cost. Those without room for the remainder at hand are set aside in a heap by
+    room, and come back as soon as a remainder is short enough for them.
     """
     room = capacities(sum(lengths), capacity)
     spent = [0.0] * len(room)
@@ -66,27 +65,28 @@ def assign(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int,
         used[s] += n
         room[s] -= n
         spent[s] += cost(n)
-        if room[s]:
-            heapq.heappush(lowest, (spent[s], s))
 
     for i in sorted(range(len(lengths)), key=lambda k: (-cost(lengths[k]), k)):
         start, n = 0, lengths[i]
-        while n:
-            while aside and -aside[0][0] >= n:
-                s = heapq.heappop(aside)[1]
+        while aside and -aside[0][0] >= n:
+            s = heapq.heappop(aside)[1]
+            heapq.heappush(lowest, (spent[s], s))
+        while lowest and room[lowest[0][1]] < n:
+            s = heapq.heappop(lowest)[1]
+            heapq.heappush(aside, (-room[s], s))
+        if lowest:
+            s = heapq.heappop(lowest)[1]
+            put(s, i, start, n)
+            if room[s]:
                 heapq.heappush(lowest, (spent[s], s))
-            while lowest and room[lowest[0][1]] < n:
-                s = heapq.heappop(lowest)[1]
-                heapq.heappush(aside, (-room[s], s))
-            if lowest:
-                put(heapq.heappop(lowest)[1], i, start, n)
-                break
-            s = min((s for _, s in aside[:64]), key=lambda s: (spent[s], s))
-            aside.remove((-room[s], s))
-            heapq.heapify(aside)
-            part = room[s]
+            continue
+        while n:
+            s = heapq.heappop(aside)[1]
+            part = min(n, room[s])
             put(s, i, start, part)
             start, n = start + part, n - part
+            if room[s]:
+                heapq.heappush(aside, (-room[s], s))
     return pieces
 
 

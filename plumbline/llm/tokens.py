@@ -13,6 +13,9 @@ import numpy as np
 #: of special tokens.
 ENTANGLED = re.compile("[\x1c-\x1f\x85\xa0İɐ-\U0010ffff]|<\\|")
 SIMPLE = re.compile("[a-zß-öø-ÿ]+")
+#: Words whose pre-tokens are runs of letters, single digits and runs of other signs; an apostrophe may do otherwise.
+PLAIN = re.compile("[!-&(-~ß-öø-ÿ]+")
+PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 CACHE_WORDS = 1_000_000
 
 
@@ -25,9 +28,15 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: For simple words in lower case, on which the normalizer and the pattern of pre-tokens change nothing.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -36,36 +45,40 @@ class WordEncoder:
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def learn(self, words: list[str]) -> None:
-        """Simple words are one pre-token each, so their ids end where a token ends a word."""
-        simple = [w for w in words if SIMPLE.fullmatch(w)]
+    def learn(self, words: set[str]) -> None:
+        """Put words into the cache: simple ones many at once, plain ones piece by piece, others one by one."""
+        cache = self.cache
+        pieces = {w: PIECE.findall(w) for w in words if not SIMPLE.fullmatch(w) and PLAIN.fullmatch(w)}
+        alone = {p for parts in pieces.values() for p in parts if p not in cache}
+        alone.update(words.difference(pieces))
+        simple = [w for w in alone if SIMPLE.fullmatch(w)]
         for lo in range(0, len(simple), 512):
             some = simple[lo : lo + 512]
-            ids = self.whole(" ".join(some))
+            ids = np.asarray(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            # each simple word is one pre-token, so its ids end where a token ends a word
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
             if len(cuts) == len(some):
                 data = ids.tobytes()
-                self.cache.update(zip(some, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
-        rest = [w for w in words if w not in self.cache]
+                cache.update(zip(some, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+        rest = [w for w in alone if w not in cache]
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.cache[w] = np.asarray(e.ids, np.uint32).tobytes()
+            cache[w] = np.asarray(e.ids, np.uint32).tobytes()
+        for w, parts in pieces.items():
+            cache[w] = b"".join([cache[p] for p in parts])
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
         words = [None if ENTANGLED.search(t) else t.lower().split() for t in texts]
-        if missing := set().union(*filter(None, words)).difference(cache):
-            ended = [w for w in missing if w[-1] in ".," and SIMPLE.fullmatch(w, 0, len(w) - 1)]
-            alone = missing.difference(ended)
-            alone.update(w[:-1] for w in ended)
-            alone.update(w[-1] for w in ended)
-            self.learn([w for w in alone if w not in cache])
-            for w in ended:  # a simple word and the full stop or comma behind it are pre-tokens of their own
-                cache[w] = cache[w[:-1]] + cache[w[-1]]
+        known = [None if ws is None else list(map(self.cache.get, ws)) for ws in words]
+        gaps = [[i for i, k in enumerate(ks) if k is None] if ks and None in ks else () for ks in known]
+        if missing := {ws[i] for ws, at in zip(words, gaps, strict=True) for i in at}:
+            self.learn(missing)
+            for ws, ks, at in zip(words, known, gaps, strict=True):
+                for i in at:
+                    ks[i] = self.cache[ws[i]]
         return [
-            self.whole(t) if ws is None else np.frombuffer(b"".join(map(cache.__getitem__, ws)), np.uint32)
-            for t, ws in zip(texts, words, strict=True)
+            self.whole(t) if ks is None else np.frombuffer(b"".join(ks), np.uint32) for t, ks in zip(texts, known, strict=True)
         ]
 
 
