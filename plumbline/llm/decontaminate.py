@@ -21,11 +21,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from plumbline.llm.bloom import without
 from plumbline.llm.rowkeys import fresh, row_key
@@ -35,7 +37,9 @@ WINDOW = 8
 MIN_COVER = 0.5
 MIN_RUN = 20
 BITMAP_BITS = 24
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 1_000_000
+#: Texts that are looked at together, so that the work on arrays outweighs the calls.
+TEXTS = 128
 #: Units that may follow a number.
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec secs second seconds min mins minute minutes h hr hrs hour "
@@ -45,69 +49,63 @@ UNITS = frozenset(
 )
 NUMBER = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*")
 EDGES = re.compile(r"^\W+|\W+$")
-NUM, UNIT, NAME = (np.uint64(x) for x in (1, 2, 3))
-PLAIN, CAPITAL, NUMERIC = 0, 1, 2
+NUM, UNIT, NAME = (np.uint64(x << 5) for x in (1, 2, 3))
+#: Marks in the lower bits of what is known of a word; a line feed becomes a token that is empty and ends a sentence.
+CAPITAL, NUMERIC, AS_UNIT, ENDS, EMPTY = (1 << k for k in range(5))
+LINE = "\x00"
+
+
+def word_mark(word: str) -> int:
+    """Hash of a word's lower-case core, with the marks in the lower bits; never 0."""
+    if word == LINE:
+        return EMPTY | ENDS
+    marks = 0
+    if word.isalpha():
+        core = word
+    elif word[-1] in ".," and word[:-1].isalpha():
+        core = word[:-1]
+        marks = ENDS * (word[-1] == ".")
+    else:
+        core = EDGES.sub("", word)
+        shown = word.strip("()[]\"'.,;:!?").lower()
+        marks |= ENDS * word.rstrip("\"')]»”").endswith((".", "!", "?", ":"))
+        marks |= NUMERIC * bool(NUMBER.fullmatch(core))
+        marks |= AS_UNIT * (shown in UNITS)
+        marks |= EMPTY * (not core and shown not in UNITS)
+    lower = core.lower()
+    marks |= AS_UNIT * (lower in UNITS) | CAPITAL * core[:1].isupper()
+    return (xxh64_intdigest(lower.encode(), 7) & ~31) | marks
 
 
 class Templater:
-    """Template hashes of a text's tokens. What is known of a word is kept in a bounded cache."""
+    """Templates of several texts at once. Words' marks are kept in a bounded cache."""
 
     def __init__(self):
         self.known: dict[str, int] = {}
-        self.grow(0)
-
-    def grow(self, n: int) -> None:
-        """Tables by word number: hash, class, whether it can be a unit, whether a sentence ends behind it, empty."""
-        self.hashes = np.zeros(n + 1, np.uint64)
-        self.kinds, self.units, self.ends, self.empty = (np.zeros(n + 1, np.int8) for _ in range(4))
-        self.size = 0
-
-    def learn(self, word: str) -> None:
-        import xxhash
-
-        if self.size >= len(self.hashes):
-            for name in ("hashes", "kinds", "units", "ends", "empty"):
-                old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.zeros(max(1024, len(old)), old.dtype)]))
-        i = self.size
-        core = EDGES.sub("", word)
-        shown = word.strip("()[]\"'.,;:!?")
-        self.empty[i] = not core and shown.lower() not in UNITS
-        lower = core.lower()
-        self.hashes[i] = xxhash.xxh64_intdigest(lower.encode(), 7)
-        self.kinds[i] = NUMERIC if NUMBER.fullmatch(core) else CAPITAL if core[:1].isupper() else PLAIN
-        self.units[i] = lower in UNITS or shown.lower() in UNITS
-        self.ends[i] = word.rstrip("\"')]»”").endswith((".", "!", "?", ":"))
-        self.known[word] = i
-        self.size += 1
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Template hash and slot mark of each token, and the tokens as written."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-            self.grow(0)
-        lines = [x.split() for x in (text or "").split("\n")]
-        words = [w for line in lines for w in line]
-        if not words:
-            return np.empty(0, np.uint64), np.empty(0, bool), []
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """Template hash, slot mark and text number of each token; all words, and the tokens' places among them."""
         known = self.known
-        for w in words:
-            if w not in known:
-                self.learn(w)
-        ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        opens = np.zeros(len(words) + 1, bool)  # a sentence opens here
-        opens[1:] = self.ends[ids]
-        opens[np.cumsum([0] + [len(x) for x in lines])[:-1]] = True
-        there = self.empty[ids] == 0
-        numeric = self.kinds[ids] == NUMERIC
-        after_number = np.zeros(len(words), bool)
-        after_number[1:] = numeric[:-1]
-        unit = after_number & (self.units[ids] > 0)
-        name = (self.kinds[ids] == CAPITAL) & ~opens[:-1] & ~unit
-        h = np.where(numeric, NUM, np.where(unit, UNIT, np.where(name, NAME, self.hashes[ids])))
-        slot = numeric | unit | name
-        kept = np.flatnonzero(there)
-        return h[kept], slot[kept], [words[i] for i in kept]
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        parts = [f"{t or ''}\n".replace("\n", f" {LINE} ").split() for t in texts]
+        words = list(chain.from_iterable(parts))
+        marks = list(map(known.get, words))
+        for i in [i for i, m in enumerate(marks) if m is None]:
+            w = words[i]
+            marks[i] = m = known.get(w) or word_mark(w)
+            known[w] = m
+        values = np.fromiter(marks, np.uint64, len(words))
+        has = lambda mark: (values & np.uint64(mark)) != 0
+        # every text ends with a line, so a sentence opens at the first word of each
+        opens = np.concatenate([[True], has(ENDS)[:-1]])
+        numeric = has(NUMERIC)
+        unit = np.concatenate([[False], numeric[:-1]]) & has(AS_UNIT)
+        name = has(CAPITAL) & ~opens & ~unit
+        h = np.where(numeric, NUM, np.where(unit, UNIT, np.where(name, NAME, values & ~np.uint64(31))))
+        kept = np.flatnonzero(~has(EMPTY))
+        number = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+        return h[kept], (numeric | unit | name)[kept], number[kept], words, kept
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
@@ -120,9 +118,10 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def slots_of(h: np.ndarray, slot: np.ndarray, words: list[str], at: int, width: int) -> str:
+def slots_of(slot: np.ndarray, words: list[str], places: np.ndarray, at: int, width: int) -> str:
     """The values in a window's slots, each behind its place in the window."""
-    return "\t".join(f"{k}={EDGES.sub('', words[at + k]) or words[at + k]}" for k in range(width) if slot[at + k])
+    shown = ((k, words[places[at + k]]) for k in range(width) if slot[at + k])
+    return "\t".join(f"{k}={EDGES.sub('', w) or w}" for k, w in shown)
 
 
 WINDOWS = "key {key}, wh bigint, at bigint, width bigint, tokens bigint, slots string"
@@ -144,24 +143,30 @@ def windows(rows: DataFrame, key: str, text: str, width: int, bitmap=None, width
         template = Templater()
         bits = None if bitmap is None else bitmap.value
         for batch in batches:
-            out = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h, slot, words = template(t)
-                of = {width, *widths} if bits is not None else {min(width, len(h))}
-                for w in of - {0}:
-                    hashes = window_hashes(h, w)
-                    if bits is None:
-                        hit = range(len(hashes))
-                    else:
-                        place = (hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-                        hit = np.flatnonzero(bits[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).tolist()
-                    signed = hashes.view(np.int64)
-                    out += [(k, int(signed[i]), i, w, len(h), slots_of(h, slot, words, i, w)) for i in hit]
-                if len(out) > 20_000:
-                    yield batch_of(out)
-                    out = []
-            if out:
-                yield batch_of(out)
+            for lo in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(lo, TEXTS)
+                out = list(found(part.column(0).to_pylist(), *template(part.column(1).to_pylist()), bits))
+                for at in range(0, len(out), 20_000):
+                    yield batch_of(out[at : at + 20_000])
+
+    def found(keys, h, slot, number, words, places, bits):
+        firsts = np.searchsorted(number, np.arange(len(keys) + 1))
+        lengths = np.diff(firsts)
+        # with a bitmap all widths of the items; without one the texts' own, which are shorter only in short texts
+        for w in {width, *widths} if bits is not None else set(np.minimum(lengths, width).tolist()) - {0}:
+            hashes = window_hashes(h, w)
+            if not len(hashes):
+                continue
+            inside = number[: len(hashes)] == number[w - 1 :]
+            if bits is None:
+                inside &= np.minimum(lengths, width)[number[: len(hashes)]] == w
+            else:
+                place = (hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+                inside &= (bits[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)) != 0
+            signed = hashes.view(np.int64)
+            for i in np.flatnonzero(inside).tolist():
+                k = number[i]
+                yield keys[k], int(signed[i]), int(i - firsts[k]), w, int(lengths[k]), slots_of(slot, words, places, i, w)
 
     def batch_of(out: list) -> pa.RecordBatch:
         columns = zip(*out, strict=True)
