@@ -19,6 +19,7 @@ from plumbline.llm import (
     token_counts,
     url_filter,
 )
+from plumbline.llm.pii import KINDS
 from pyspark.sql import functions as F
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -235,6 +236,27 @@ class TestMethods:
         found = pii.find_personal_data(docs).join(docs, "doc_id")
         assert found.select(pii.redact(F.col("text"), F.col("spans")).alias("t")).first().t == "write [email] or [phone], at [ip]."
 
+    def test_candidates_beyond_the_base(self, llm):
+        """Written-out mails, local phones and two cards side by side are added; order numbers and failed runs are not."""
+        cards = "4111 1111 1111 1111 5500 0000 0000 0004"
+        good = lambda i: (f"mail jo{i}.k (at) firm{i} (dot) org now", f"phone 030 {5550000 + 37 * i} ok", f"paid by {cards} {'x' * (i % 9)}")
+        bad = lambda i: (f"order 7{20000000 + 91 * i} sent", f"sum 41111111111{11200 + 10 * i} done", f"room (at) {i}.30 free")
+        base = lambda i: (f"write a{i}@b.co", f"ring +49 30 {5550000 + i}", f"host 10.0.0.{i}")
+        texts = [t for i in range(120) for made in (good, bad, base) for t in made(i)]
+        docs = llm.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+        got = {r.doc_id: [KINDS[s.kind] for s in r.spans] for r in pii.find_personal_data(docs).collect()}
+        luhn = lambda t: brute.luhn([c for c in t if c.isdigit()])
+        for i, t in enumerate(texts):
+            k = i % 9
+            if k < 3:
+                assert ("mail_words", "digits", "card")[k] in got[i] or (k == 2 and "digits" in got[i]), (t, got[i])
+            elif k < 6 and not (k == 4 and luhn(t)):
+                assert got[i] == [], (t, got[i])
+            elif k >= 6:
+                assert len(got[i]) >= 1
+        few = docs.where("doc_id % 9 >= 3")
+        assert all(s.base for r in pii.find_personal_data(few).collect() for s in r.spans)
+
     def test_native_plans(self, llm, spark, sf):
         """No Python in the plans of the operators that are to be native."""
         plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
