@@ -4,7 +4,8 @@ Both sides become templates: a number is ``<num>``, a unit behind a number ``<un
 sentence ``<name>``, and every other word its lower-case core without punctuation. Windows of template tokens are
 hash-joined, so a question whose numbers, names or units were exchanged still meets its original. Along each diagonal
 (document place minus item place) the values that stand in equal slots are then compared: an exchange must be a
-one-to-one renaming throughout, else the match is a coincidence of templates.
+one-to-one renaming. Windows that hold a value for which another stands elsewhere on the diagonal are dropped, as
+coincidences of templates; windows whose values equal the item's always count.
 
 A document is contaminated by an item if consistent matches on one diagonal cover at least ``min_cover`` of the item's
 tokens or a run of at least ``min_run`` tokens.
@@ -21,11 +22,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -187,12 +188,67 @@ def bitmap_of(items: DataFrame) -> np.ndarray:
     return bits
 
 
-def slot_pairs(item: Column, doc: Column, item_at: Column) -> Column:
-    """(item value, document value) for each slot of a window, both sides having the same slots."""
-    a, b = F.split(item, "\t"), F.split(doc, "\t")
-    value = lambda s: F.substring_index(s, "=", -1)
-    pairs = F.zip_with(a, b, lambda x, y: F.struct(value(x).alias("item"), value(y).alias("doc")))
-    return F.filter(pairs, lambda p: p["item"].isNotNull() & (p["item"] != ""))
+MET = ("diagonal", "at", "width", "slots", "other")
+VERDICT = "struct<covered:bigint,longest:bigint,exact:boolean>"
+
+
+def slot_pairs(slots: str, other: str | None) -> list[tuple[str, str]]:
+    """(item value, document value) for each slot of a window, both sides having the same slots; ``other`` None: equal."""
+    values = [x.partition("=")[2] for x in slots.split("\t")] if slots else []
+    return list(zip(values, values if other is None else [x.partition("=")[2] for x in other.split("\t")], strict=True))
+
+
+def consistent(met: list[tuple]) -> list[tuple]:
+    """The windows of one diagonal whose slots are a one-to-one renaming there; windows with equal values always."""
+    ahead, back = {}, {}
+    pairs = [slot_pairs(slots, other) for _, _, _, slots, other in met]
+    for a, b in chain.from_iterable(pairs):
+        ahead.setdefault(a, set()).add(b)
+        back.setdefault(b, set()).add(a)
+    single = lambda p: all(len(ahead[a]) == 1 == len(back[b]) for a, b in p)
+    return [m for m, p in zip(met, pairs, strict=True) if m[4] is None or single(p)]
+
+
+def longest_run(places: int) -> int:
+    n = 0
+    while places:
+        places &= places << 1
+        n += 1
+    return n
+
+
+def places_of(met: list[tuple]) -> int:
+    """Item places that the windows cover, as bits."""
+    out = 0
+    for _, at, width, _, _ in met:
+        out |= ((1 << width) - 1) << at
+    return out
+
+
+def verdict(met: list[tuple], tokens: int, min_cover: float, min_run: int) -> tuple[int, int, bool] | None:
+    """(covered, longest run, exact) of the best match of an item in a document, or None. ``met`` is by diagonal."""
+    best = None
+    for _, part in groupby(met, key=lambda m: m[0]):
+        part = consistent(list(part))
+        places, own = places_of(part), places_of([m for m in part if m[4] is None])
+        covered, longest = places.bit_count(), longest_run(places)
+        if covered >= min_cover * tokens or longest >= min_run:
+            found = covered, longest, own == places
+            best = found if best is None else tuple(map(max, best, found))
+    return best
+
+
+def _verdicts(min_cover: float, min_run: int):
+    kind = pa.struct([("covered", pa.int64()), ("longest", pa.int64()), ("exact", pa.bool_())])
+
+    def run(tokens: pa.Array, met: pa.Array) -> pa.Array:
+        out = []
+        for n, windows_met in zip(tokens.to_pylist(), met.to_pylist(), strict=True):
+            v = verdict([tuple(m[k] for k in MET) for m in windows_met], n, min_cover, min_run)
+            out.append(v and dict(zip(("covered", "longest", "exact"), v, strict=True)))
+        return pa.array(out, kind)
+
+    return run
 
 
 def contaminations(
@@ -208,7 +264,7 @@ def contaminations(
 ) -> DataFrame:
     """(key, item, covered, item_tokens, longest_run, exact) for each document and item that it contains.
 
-    ``exact`` says that all slots hold the item's own values. Windows of a passage that very many documents share meet
+    ``exact`` says that all that is covered is so with the item's own values. Windows of a passage that very many documents share meet
     few item rows each; the document side is not gathered by window, so adaptive execution can split it.
     """
     spark = docs.sparkSession
@@ -217,38 +273,19 @@ def contaminations(
     bits = spark.sparkContext.broadcast(bitmap_of(items))
     found = windows(docs, key, text, window, bits, tuple(short))
     met = found.alias("d").join(items.alias("i"), (F.col("d.wh") == F.col("i.wh")) & (F.col("d.width") == F.col("i.width")))
+    same = F.col("i.slots") == F.col("d.slots")
     met = met.select(
-        F.col("d.key").alias("key"), "i.item", (F.col("d.at") - F.col("i.at")).alias("diagonal"), F.col("i.at").alias("at"),
-        "i.width", F.col("i.tokens").alias("item_tokens"), slot_pairs(F.col("i.slots"), F.col("d.slots"), F.col("i.at")).alias("pairs"),
+        F.col("d.key").alias("key"), "i.item", F.col("i.tokens").alias("item_tokens"), (F.col("d.at") - F.col("i.at")).alias("diagonal"),
+        F.col("i.at").alias("at"), "i.width", F.col("i.slots").alias("slots"), F.when(~same, F.col("d.slots")).alias("other"),
     )
-    # a repeated row brings the same windows again; a set of places per diagonal is as long as the item at most
-    runs = met.groupBy("key", "item", "diagonal", "item_tokens", "width").agg(
-        F.sort_array(F.collect_set("at")).alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )
-    values = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda p: p[name])))
-    one_to_one = (values("item") == F.size("pairs")) & (values("doc") == F.size("pairs"))
-    zero = F.struct(
-        F.lit(-1).cast("long").alias("end"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("longest"),
-        F.lit(0).cast("long").alias("covered"),
-    )
-
-    def step(acc: Column, at: Column) -> Column:
-        stop = at + F.col("width")
-        fresh = stop - F.greatest(at, acc["end"])
-        run = F.when(at <= acc["end"], acc["run"] + fresh).otherwise(F.col("width"))
-        return F.struct(
-            stop.alias("end"), run.alias("run"), F.greatest(acc["longest"], run).alias("longest"),
-            (acc["covered"] + fresh).alias("covered"),
-        )
-
-    walked = runs.where(one_to_one).withColumn("walk", F.aggregate("places", zero, step))
-    judged = walked.select(
-        "key", "item", "item_tokens", "walk.covered", "walk.longest",
-        F.forall("pairs", lambda p: p["item"] == p["doc"]).alias("exact"),
-    ).where((F.col("covered") >= min_cover * F.col("item_tokens")) | (F.col("longest") >= min_run))
+    # a repeated row brings the same windows again; a set of windows is as long as the text times the item's repeats at most
+    gathered = met.groupBy("key", "item", "item_tokens").agg(F.sort_array(F.collect_set(F.struct(*MET))).alias("met"))
+    verdict = F.arrow_udf(_verdicts(min_cover, min_run), VERDICT)(F.col("item_tokens"), F.col("met"))
+    judged = gathered.select("key", "item", "item_tokens", verdict.alias("v")).where(F.col("v").isNotNull())
+    # items of one key that have different lengths are judged each
     return judged.groupBy(F.col("key").alias(key), F.col("item").alias(item)).agg(
-        F.max("covered").alias("covered"), F.max("item_tokens").alias("item_tokens"),
-        F.max("longest").alias("longest_run"), F.max("exact").alias("exact"),
+        F.max("v.covered").alias("covered"), F.max("item_tokens").alias("item_tokens"),
+        F.max("v.longest").alias("longest_run"), F.max("v.exact").alias("exact"),
     )
 
 

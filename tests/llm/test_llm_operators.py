@@ -192,6 +192,16 @@ class TestMethods:
         got = {r.doc_id: r.exact for r in decontaminate.contaminations(docs, bench, min_run=99).collect()}
         assert got == {1: True, 2: False}
 
+    def test_one_edited_value_leaves_the_verbatim_run(self, llm):
+        words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(55)]
+        item = " ".join([*words[:3], "Anna", *words[3:50], "Anna", *words[50:]])
+        docs = [(1, item[::-1].replace("annA", "retep", 1)[::-1]), (2, item[::-1].replace("annA", "reteP", 1)[::-1]), (3, "x " + item)]
+        found = decontaminate.contaminations(
+            llm.createDataFrame(docs, "doc_id int, text string"), llm.createDataFrame([(1, item)], "item_id int, text string")
+        )
+        got = {r.doc_id: (r.covered, r.longest_run, r.exact) for r in found.collect()}
+        assert set(got) == {1, 2, 3} and got[2] == (51, 51, True) and got[3] == (57, 57, True)
+
     def test_components(self, llm):
         edges = [(i, i + 1) for i in range(40)] + [(100, 50), (50, 60), (60, 70), (7, 7)]
         got = {r.node: r.component for r in components.components(llm.createDataFrame(edges, "a bigint, b bigint")).collect()}
