@@ -7,8 +7,8 @@ hash-joined, so a question whose numbers, names or units were exchanged still me
 one-to-one renaming. Windows that hold a value for which another stands elsewhere on the diagonal are dropped, as
 coincidences of templates; windows whose values equal the item's always count.
 
-A document is contaminated by an item if consistent matches on one diagonal cover at least ``min_cover`` of the item's
-tokens or a run of at least ``min_run`` tokens.
+A document is contaminated by an item if consistent matches cover at least ``min_cover`` of the item's tokens, added up
+over the diagonals that lie near each other in the document, or a run of at least ``min_run`` tokens on one diagonal.
 
 The benchmark's window hashes are first marked in a bitmap of fixed size (2 MB), which every task gets; only a text's
 windows that hit it are emitted, and the exact hash join decides. The bitmap's size does not depend on the data.
@@ -226,12 +226,33 @@ def places_of(met: list[tuple]) -> int:
 
 
 def verdict(met: list[tuple], tokens: int, min_cover: float, min_run: int) -> tuple[int, int, bool] | None:
-    """(covered, longest run, exact) of the best match of an item in a document, or None. ``met`` is by diagonal."""
+    """(covered, longest run, exact) of the best match of an item in a document, or None. ``met`` is by diagonal.
+
+    Every inserted or removed word shifts the diagonal, so the item places are added up over all diagonals in a stretch
+    of the document of three times the item's length; a stretch starts at every multiple of that length. Diagonals join
+    by their number of windows, and their windows must not contradict the renaming of those before.
+    """
+    stretches: dict[int, dict[int, list[tuple]]] = {}
+    for diagonal, part in groupby(met, key=lambda m: m[0]):
+        for m in consistent(list(part)):
+            k = (diagonal + m[1]) // tokens
+            for first in (k - 2, k - 1, k):
+                stretches.setdefault(first, {}).setdefault(diagonal, []).append(m)
     best = None
-    for _, part in groupby(met, key=lambda m: m[0]):
-        part = consistent(list(part))
-        places, own = places_of(part), places_of([m for m in part if m[4] is None])
-        covered, longest = places.bit_count(), longest_run(places)
+    for by_diagonal in stretches.values():
+        ahead, back = {}, {}
+        places = own = longest = 0
+        for _, part in sorted(by_diagonal.items(), key=lambda x: (-len(x[1]), x[0])):
+            fits = lambda p: all(ahead.get(a, b) == b and back.get(b, a) == a for a, b in p)
+            taken = [m for m in part if m[4] is None or fits(slot_pairs(m[3], m[4]))]
+            for a, b in chain.from_iterable(slot_pairs(m[3], m[4]) for m in taken):
+                ahead.setdefault(a, b)
+                back.setdefault(b, a)
+            here = places_of(taken)
+            places |= here
+            own |= places_of([m for m in taken if m[4] is None])
+            longest = max(longest, longest_run(here))
+        covered = places.bit_count()
         if covered >= min_cover * tokens or longest >= min_run:
             found = covered, longest, own == places
             best = found if best is None else tuple(map(max, best, found))

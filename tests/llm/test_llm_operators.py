@@ -202,6 +202,23 @@ class TestMethods:
         got = {r.doc_id: (r.covered, r.longest_run, r.exact) for r in found.collect()}
         assert set(got) == {1, 2, 3} and got[2] == (51, 51, True) and got[3] == (57, 57, True)
 
+    def test_inserted_words_do_not_hide_an_item(self, llm):
+        words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(30)]
+        grown = " ".join([*words[:10], "new", *words[10:20], "newer", *words[20:]])
+        apart = " ".join([*words[:10], *["far"] * 200, *words[10:20], *["away"] * 200, *words[20:]])
+        found = decontaminate.contaminations(
+            llm.createDataFrame([(1, grown), (2, apart)], "doc_id int, text string"),
+            llm.createDataFrame([(1, " ".join(words))], "item_id int, text string"),
+        )
+        assert [(r.doc_id, r.covered, r.longest_run) for r in found.collect()] == [(1, 30, 10)]
+
+    def test_renaming_holds_over_diagonals(self, llm):
+        """A second diagonal that renames otherwise does not join the first."""
+        met = [(0, at, 8, "2=anna", "2=maria") for at in range(4)] + [(1, at, 8, "2=anna", "2=peter") for at in range(12, 15)]
+        assert decontaminate.verdict(met, 24, 0.8, 99) is None
+        same = [(d, at, w, a, "2=maria") for d, at, w, a, _ in met]
+        assert decontaminate.verdict(same, 24, 0.8, 99) == (21, 11, False)
+
     def test_components(self, llm):
         edges = [(i, i + 1) for i in range(40)] + [(100, 50), (50, 60), (60, 70), (7, 7)]
         got = {r.node: r.component for r in components.components(llm.createDataFrame(edges, "a bigint, b bigint")).collect()}
