@@ -1,8 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
-Both sides become templates: a number is ``<num>``, a unit behind a number ``<unit>``, a capitalised word inside a
-sentence ``<name>``, and every other word its lower-case core without punctuation. Windows of template tokens are
-hash-joined, so a question whose numbers, names or units were exchanged still meets its original. Along each diagonal
+Both sides become templates: a number is ``<num>``, a unit behind a number or grown together with it ``<unit>``, a
+capitalised word inside a sentence ``<name>``, and every other word its lower-case core without punctuation. A capitalised
+word that opens a sentence is read both ways, as a plain word and as a name. Windows of template tokens are hash-joined,
+so a question whose numbers, names or units were exchanged still meets its original; so are windows of the plain
+lower-case cores, which find verbatim copies whatever their case. Along each diagonal
 (document place minus item place) the values that stand in equal slots are then compared: an exchange must be a
 one-to-one renaming. Windows that hold a value for which another stands elsewhere on the diagonal are dropped, as
 coincidences of templates; windows whose values equal the item's always count.
@@ -10,7 +12,7 @@ coincidences of templates; windows whose values equal the item's always count.
 A document is contaminated by an item if consistent matches cover at least ``min_cover`` of the item's tokens, added up
 over the diagonals that lie near each other in the document, or a run of at least ``min_run`` tokens on one diagonal.
 
-The benchmark's window hashes are first marked in a bitmap of fixed size (2 MB), which every task gets; only a text's
+The benchmark's window hashes are first marked at two places each in a bitmap of fixed size (2 MB), which every task gets; only a text's
 windows that hit it are emitted, and the exact hash join decides. The bitmap's size does not depend on the data.
 
 Defined results: a null or empty text, or one with fewer tokens than a window, has no windows and is never
@@ -38,6 +40,8 @@ WINDOW = 8
 MIN_COVER = 0.5
 MIN_RUN = 20
 BITMAP_BITS = 24
+#: Where in a window's hash its two places in the bitmap begin.
+PROBES = (64 - BITMAP_BITS, 64 - 2 * BITMAP_BITS)
 KNOWN_WORDS = 1_000_000
 #: Texts that are looked at together, so that the work on arrays outweighs the calls.
 TEXTS = 128
@@ -50,12 +54,22 @@ UNITS = frozenset(
 )
 NUMBER = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*")
 EDGES = re.compile(r"^\W+|\W+$")
-NUM, UNIT, NAME = (np.uint64(x << 5) for x in (1, 2, 3))
+#: A number with a unit grown to it, and what follows the unit.
+GLUED = re.compile(r"(\W*\d+(?:[.,:/]\d+)*)([^\W\d_].*)", re.S)
+MARKS = 6
+PLAIN = ~np.uint64((1 << MARKS) - 1)
+NUM, UNIT, NAME = (np.uint64(x << MARKS) for x in (1, 2, 3))
 #: Marks in the lower bits of what is known of a word; a line feed becomes a token that is empty and ends a sentence.
-CAPITAL, NUMERIC, AS_UNIT, ENDS, EMPTY = (1 << k for k in range(5))
+CAPITAL, NUMERIC, AS_UNIT, ENDS, EMPTY, TWO = (1 << k for k in range(MARKS))
 LINE = "\x00"
 
 
+def split_unit(word: str) -> tuple[str, str] | None:
+    """Number and unit of a word that holds both, each with the punctuation on its side."""
+    m = GLUED.fullmatch(word)
+    return (m[1], m[2]) if m and EDGES.sub("", m[2]).lower() in UNITS else None
+
+
 def word_mark(word: str) -> int:
     """Hash of a word's lower-case core, with the marks in the lower bits; never 0."""
     if word == LINE:
@@ -73,9 +87,11 @@ def word_mark(word: str) -> int:
         marks |= NUMERIC * bool(NUMBER.fullmatch(core))
         marks |= AS_UNIT * (shown in UNITS)
         marks |= EMPTY * (not core and shown not in UNITS)
+        marks |= TWO * (split_unit(word) is not None)
+        core = core or shown
     lower = core.lower()
     marks |= AS_UNIT * (lower in UNITS) | CAPITAL * core[:1].isupper()
-    return (xxh64_intdigest(lower.encode(), 7) & ~31) | marks
+    return (xxh64_intdigest(lower.encode(), 7) & int(PLAIN)) | marks
 
 
 class Templater:
@@ -84,29 +100,49 @@ class Templater:
     def __init__(self):
         self.known: dict[str, int] = {}
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
-        """Template hash, slot mark and text number of each token; all words, and the tokens' places among them."""
+    def marks(self, words: list[str]) -> list[int]:
         known = self.known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        parts = [f"{t or ''}\n".replace("\n", f" {LINE} ").split() for t in texts]
-        words = list(chain.from_iterable(parts))
         marks = list(map(known.get, words))
         for i in [i for i, m in enumerate(marks) if m is None]:
             w = words[i]
             marks[i] = m = known.get(w) or word_mark(w)
             known[w] = m
-        values = np.fromiter(marks, np.uint64, len(words))
+        return marks
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, list[str], np.ndarray]:
+        """The readings and the text number of each token; all words, and the tokens' places among them.
+
+        A reading is the tokens' hashes and slot marks: opening words plain, opening words as names, no slots at all.
+        """
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        parts = [f"{t or ''}\n".replace("\n", f" {LINE} ").split() for t in texts]
+        words = list(chain.from_iterable(parts))
+        values = np.fromiter(self.marks(words), np.uint64, len(words))
+        number = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+        two = np.flatnonzero(values & np.uint64(TWO))
+        if len(two):
+            halves = [split_unit(words[i]) for i in two.tolist()]
+            places = np.repeat(np.arange(len(words)), 1 + ((values & np.uint64(TWO)) != 0))
+            values, number, words = values[places], number[places], [words[i] for i in places.tolist()]
+            for i, pair in zip((two + np.arange(len(two))).tolist(), halves, strict=True):
+                words[i : i + 2] = pair
+                values[i : i + 2] = self.marks(list(pair))
         has = lambda mark: (values & np.uint64(mark)) != 0
         # every text ends with a line, so a sentence opens at the first word of each
         opens = np.concatenate([[True], has(ENDS)[:-1]])
         numeric = has(NUMERIC)
         unit = np.concatenate([[False], numeric[:-1]]) & has(AS_UNIT)
-        name = has(CAPITAL) & ~opens & ~unit
-        h = np.where(numeric, NUM, np.where(unit, UNIT, np.where(name, NAME, values & ~np.uint64(31))))
+        capital = has(CAPITAL) & ~unit & ~numeric
         kept = np.flatnonzero(~has(EMPTY))
-        number = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
-        return h[kept], (numeric | unit | name)[kept], number[kept], words, kept
+        plain = values & PLAIN
+
+        def reading(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            h = np.where(numeric, NUM, np.where(unit, UNIT, np.where(name, NAME, plain)))
+            return h[kept], (numeric | unit | name)[kept]
+
+        readings = [reading(capital & ~opens), reading(capital), (plain[kept], np.zeros(len(kept), bool))]
+        return readings, number[kept], words, kept
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
@@ -122,7 +158,7 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
 def slots_of(slot: np.ndarray, words: list[str], places: np.ndarray, at: int, width: int) -> str:
     """The values in a window's slots, each behind its place in the window."""
     shown = ((k, words[places[at + k]]) for k in range(width) if slot[at + k])
-    return "\t".join(f"{k}={EDGES.sub('', w) or w}" for k, w in shown)
+    return "\t".join(f"{k}={(EDGES.sub('', w) or w).lower()}" for k, w in shown)
 
 
 WINDOWS = "key {key}, wh bigint, at bigint, width bigint, tokens bigint, slots string"
@@ -130,10 +166,11 @@ NAMES = ["key", "wh", "at", "width", "tokens", "slots"]
 
 
 def windows(rows: DataFrame, key: str, text: str, width: int, bitmap=None, widths: tuple[int, ...] = ()) -> DataFrame:
-    """Template windows of every text: hash, place, width, tokens of the text, slot values.
+    """Windows of every text in all readings: hash, place, width, tokens of the text, slot values.
 
     With ``bitmap``, a broadcast array of bits, only the windows that hit it, of ``width`` and of all ``widths``.
-    Without one, a text shorter than ``width`` is one window of its own length.
+    Without one, a text shorter than ``width`` is one window of its own length. Windows shorter than ``width`` say too
+    little to have their opening word exchanged, so they are not read with it as a name.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -150,24 +187,34 @@ def windows(rows: DataFrame, key: str, text: str, width: int, bitmap=None, width
                 for at in range(0, len(out), 20_000):
                     yield batch_of(out[at : at + 20_000])
 
-    def found(keys, h, slot, number, words, places, bits):
+    def found(keys, readings, number, words, places, bits):
         firsts = np.searchsorted(number, np.arange(len(keys) + 1))
         lengths = np.diff(firsts)
         # with a bitmap all widths of the items; without one the texts' own, which are shorter only in short texts
         for w in {width, *widths} if bits is not None else set(np.minimum(lengths, width).tolist()) - {0}:
-            hashes = window_hashes(h, w)
-            if not len(hashes):
+            n = len(number) - w + 1
+            if n <= 0:
                 continue
-            inside = number[: len(hashes)] == number[w - 1 :]
+            within = number[:n] == number[w - 1 :]
             if bits is None:
-                inside &= np.minimum(lengths, width)[number[: len(hashes)]] == w
-            else:
-                place = (hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-                inside &= (bits[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)) != 0
-            signed = hashes.view(np.int64)
-            for i in np.flatnonzero(inside).tolist():
-                k = number[i]
-                yield keys[k], int(signed[i]), int(i - firsts[k]), w, int(lengths[k]), slots_of(slot, words, places, i, w)
+                within &= np.minimum(lengths, width)[number[:n]] == w
+            first = None
+            for k, (h, slot) in enumerate(readings):
+                if k == 1 and w < width:
+                    continue
+                hashes = window_hashes(h, w)
+                # a reading that differs from the first in no token of the window is the same window
+                inside = within if first is None else within & (hashes != first)
+                first = hashes if first is None else first
+                at = np.flatnonzero(inside)
+                if bits is not None:
+                    for shift in PROBES:
+                        place = (hashes[at] >> np.uint64(shift)).astype(np.int64) & (1 << BITMAP_BITS) - 1
+                        at = at[(bits[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)) != 0]
+                signed = hashes.view(np.int64)
+                for i in at.tolist():
+                    t = number[i]
+                    yield keys[t], int(signed[i]), int(i - firsts[t]), w, int(lengths[t]), slots_of(slot, words, places, i, w)
 
     def batch_of(out: list) -> pa.RecordBatch:
         columns = zip(*out, strict=True)
@@ -179,9 +226,10 @@ def windows(rows: DataFrame, key: str, text: str, width: int, bitmap=None, width
 
 def bitmap_of(items: DataFrame) -> np.ndarray:
     """Bits of the items' window hashes: 2 to the ``BITMAP_BITS`` bits however many windows there are."""
-    place = F.shiftrightunsigned("wh", 64 - BITMAP_BITS)
-    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
-    marks = items.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
+    probes = F.array(*[F.shiftrightunsigned("wh", k).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)) for k in PROBES])
+    places = items.select(F.explode(probes).alias("place"))
+    word, bit = F.shiftright("place", 6), F.col("place").bitwiseAND(F.lit(63)).cast("int")
+    marks = places.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
     bits = np.zeros(1 << BITMAP_BITS - 6, np.uint64)
     for r in marks.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
         bits[r["w"]] = np.uint64(r["b"] & 0xFFFFFFFFFFFFFFFF)

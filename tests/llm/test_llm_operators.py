@@ -219,6 +219,21 @@ class TestMethods:
         same = [(d, at, w, a, "2=maria") for d, at, w, a, _ in met]
         assert decontaminate.verdict(same, 24, 0.8, 99) == (21, 11, False)
 
+    def test_readings_of_names_units_and_case(self, llm):
+        """Names that open sentences, units grown to numbers, copies in capitals or lower case, and short quoted items."""
+        apples = "Anna has 3 apples. Anna buys 4 more. Anna eats 2 at night."
+        road = "the bus went 5km north and then it went 7kg heavier back to the depot for another 3 hours"
+        verse = "On Monday the Baker met Doctor Miller in Oslo and sold him the Bread of Sunday"
+        items = [(1, apples), (2, road), (3, verse), (4, "Roses bloom twice every summer")]
+        docs = [(1, apples.replace("Anna", "Maria").replace("3", "9")), (2, road.replace("5km", "8 mi").replace("7kg", "6 g")),
+                (3, verse.upper()), (4, verse.lower()), (5, "they say roses bloom twice every summer here"),
+                (6, "they say Roses bloom twice every summer here"), (7, "Tulips bloom twice every summer")]
+        found = decontaminate.contaminations(
+            llm.createDataFrame(docs, "doc_id int, text string"), llm.createDataFrame(items, "item_id int, text string")
+        )
+        got = {(r.doc_id, r.item_id): r.exact for r in found.collect()}
+        assert got == {(1, 1): False, (2, 2): False, (3, 3): True, (4, 3): True, (5, 4): True, (6, 4): True}
+
     def test_components(self, llm):
         edges = [(i, i + 1) for i in range(40)] + [(100, 50), (50, 60), (60, 70), (7, 7)]
         got = {r.node: r.component for r in components.components(llm.createDataFrame(edges, "a bigint, b bigint")).collect()}
