@@ -2,7 +2,8 @@
 
 A page becomes a tree of block elements. Every block of running text earns points for its length and its commas and
 passes them to its ancestors, all to the parent and less to each level above; a container's points are then discounted
-by its link density. The best container is kept, with those of its siblings that score well beside it. Menus, headers,
+by its link density. If the best container lies in an article or main element, the outermost of these is kept whole; else
+the container is kept, and beside it and its ancestors every heading and all that is not mostly links. Menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are recognised by element, class, id or
 role, and neither score nor appear.
 
@@ -44,6 +45,9 @@ HOLDERS = frozenset("html body main article".split())
 #: An open element of these ends where another of the same row starts.
 ENDS = {k: v for v in ("p", "li", "dt dd", "td th", "tr", "option") for k in v.split()}
 BONUS = {"article": 25.0, "main": 15.0, "div": 5.0, "section": 5.0, "blockquote": 3.0, "td": 3.0, "pre": 3.0}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: From this share of linked text on, a block beside the best container is a menu without a mark.
+LINK_DENSITY = 0.25
 SHARES = (1.0, 1 / 2, 1 / 6, 1 / 9, 1 / 12)
 
 TAG = re.compile(
@@ -155,7 +159,7 @@ class Page:
 
 
 def main_text(source: str | None) -> str:
-    """The blocks of the best container and its good siblings, in page order, one a line."""
+    """The blocks of the best container and of what belongs to it, in page order, one a line."""
     page = Page(source or "")
     if not page.blocks:
         return ""
@@ -182,18 +186,23 @@ def main_text(source: str | None) -> str:
         (points[i] + BONUS.get(page.tags[i], 0.0)) * (1 - linked[i] / chars[i]) if chars[i] else 0.0 for i in range(n)
     ]
     best = max(range(n), key=lambda i: (score[i], i))
-    keep = [False] * n
+    keep, path = [False] * n, [best]
+    while path[-1]:
+        path.append(page.parents[path[-1]])
+    holder = next((i for i in reversed(path) if page.tags[i] in ("article", "main")), None)
+    if holder is not None:
+        keep[holder] = True
+    else:
+        # the path from the best container up to the page, and beside it what is a heading or not mostly links
+        on_path = set(path)
+        keep[best] = True
+        for i in range(1, n):
+            if page.parents[i] in on_path and i not in on_path and page.parents[i] != best:
+                keep[i] = page.tags[i] in HEADINGS or (chars[i] > 0 and linked[i] < LINK_DENSITY * chars[i])
     for i in range(1, n):
-        beside = i != best and page.parents[i] == page.parents[best] and best
-        if beside:
-            dense = linked[i] / chars[i] if chars[i] else 1.0
-            if page.tags[i] == "p":
-                keep[i] = chars[i] > 80 and dense < 0.25
-            else:
-                keep[i] = points[i] >= max(10.0, 0.2 * points[best]) and dense < 0.25
-        keep[i] = keep[i] or i == best or keep[page.parents[i]]
-    keep[0] = best == 0
-    shown = [text for node, text, _ in page.blocks if keep[node] or best == 0]
+        keep[i] = keep[i] or keep[page.parents[i]]
+    above = set(path[1:]) if holder is None else set()
+    shown = [t for node, t, links in page.blocks if keep[node] or (node in above and links < LINK_DENSITY * len(t))]
     return "\n".join(shown)
 
 

@@ -273,6 +273,22 @@ class TestMethods:
         )
         assert html_extract.main_text(page) == "Fish & chips\nSome linked text, here and more <b> of it.\nUnclosed bold\none\ntwo\na\nb"
 
+    @pytest.mark.parametrize("n", [1, 3, 12, 60])
+    @pytest.mark.parametrize("outer", ["article", "main", "div"])
+    def test_wrapped_and_parted_articles(self, n, outer):
+        """Headings, short paragraphs, lists and sections beside a long container stay, on short and long pages."""
+        long = [f"Paragraph {i}, which is long enough, tells of this, of that, and of many other things in the world." for i in range(n)]
+        body = "".join(f"<p>{t}</p>" for t in long)
+        menu = "<ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ul>"
+        page = (
+            f"<body><div class=nav>{menu}</div><{outer}><h1>Title</h1><p>Short lead.</p><div class=body>{body}</div>"
+            f"<section><h2>Part</h2><p>A few words.</p></section><ul><li>point</li></ul><div class=comments><p>So true.</p></div></{outer}>"
+            f"<footer>Foot</footer></body>"
+        )
+        assert html_extract.main_text(page).split("\n") == ["Title", "Short lead.", *long, "Part", "A few words.", "point"]
+        unmarked = page.replace("class=nav", "class=x")
+        assert html_extract.main_text(unmarked) == html_extract.main_text(page)
+
     def test_redaction(self, llm):
         docs = llm.createDataFrame([(1, "write a@b.co or +1 234 567 8901, at 1.2.3.4.")], "doc_id int, text string")
         found = pii.find_personal_data(docs).join(docs, "doc_id")
