@@ -2,8 +2,10 @@
 
 Each text is scanned once. Fixed formats (assignments, access ids, long hexadecimal runs) are always reported. Opaque
 tokens that only *might* be credentials are decided by the corpus: every candidate's hash is counted over the distinct
-repositories and owners that hold it. A candidate held by few owners and looking random is live; one that many owners
-share is an example copied around, and an opaque one is then not reported at all.
+repositories and owners that hold it. A candidate held by few repositories and owners and looking random is live; one
+that many share is an example copied around, and an opaque one is then not reported at all. Each kind looks random by its
+own alphabet; a plain word behind ``password:`` does not, and neither does a long hexadecimal run that the text calls a
+commit or a checksum.
 
 Defined results: a null or empty text has no spans; a null repository or owner counts as one more repository or owner;
 repeated rows are scanned each and count once in the frequencies, since those are over distinct holders; an empty table
@@ -37,7 +39,16 @@ KINDS = ("assign", "access", "hex", "opaque")
 OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
 MIN_BITS = 4.0
 
-SPAN = "struct<kind:int,start:bigint,stop:bigint,hash:string>"
+#: Least bits per character of a hexadecimal run; random ones of 24 digits have about 3.5.
+MIN_HEX_BITS = 2.8
+#: Words before a hexadecimal run that make it a name of public content.
+CHECKSUM = re.compile(
+    r"(?:\b(?:commit|revision|rev|checksum|digest|md5|sha-?\d*|blob|tree|parent|merge|etag|git|hash|fingerprint|integrity)"
+    r"[\s:=#@(\"'-]*|\b(?:git|commit|commits|blob|tree)/)$", re.I
+)
+BEFORE = 32
+
+SPAN = "struct<kind:int,start:bigint,stop:bigint,hash:string,random:boolean>"
 
 
 def bits_per_character(value: str) -> float:
@@ -50,8 +61,34 @@ def looks_random(value: str) -> bool:
     return all(any(map(c, value)) for c in classes) and bits_per_character(value) >= MIN_BITS
 
 
-def scan(text: str | None) -> list[tuple[int, int, int, str]]:
-    """(kind, start, stop, hash of the secret itself), by start and then kind."""
+def hex_looks_random(value: str) -> bool:
+    return any(c > "9" for c in value) and any(c <= "9" for c in value) and bits_per_character(value) >= MIN_HEX_BITS
+
+
+def value_looks_random(value: str) -> bool:
+    """Whether an assigned value is no word, number, date or placeholder: evenly spread characters of mixed classes."""
+    core = value.strip("._-=")
+    letters, digits = (sum(map(c, core)) for c in (str.isalpha, str.isdigit))
+    if len(core) < 6 or bits_per_character(core) < 0.75 * math.log2(min(len(core), 16)):
+        return False
+    if not letters:
+        return digits >= 12
+    if not digits:
+        changes = sum(a.isupper() != b.isupper() for a, b in zip(core, core[1:], strict=False))
+        return len(core) >= 12 and 4 * changes >= len(core)
+    return True
+
+
+def live_looking(kind: int, value: str, before: str) -> bool:
+    if kind == 0:
+        return value_looks_random(value)
+    if kind == 1:
+        return bits_per_character(value[4:]) >= 2.5 and "EXAMPLE" not in value
+    return kind == 3 or (hex_looks_random(value) and not CHECKSUM.search(before))
+
+
+def scan(text: str | None) -> list[tuple[int, int, int, str, bool]]:
+    """(kind, start, stop, hash of the secret itself, whether it looks random), by start and then kind."""
     text = text or ""
     found = []
     if "=" in text or ":" in text:
@@ -63,12 +100,15 @@ def scan(text: str | None) -> list[tuple[int, int, int, str]]:
     for m in OPAQUE.finditer(text):
         if looks_random(m[0]) and not any(a < m.end() and m.start() < b for a, b in inside):
             found.append((3, *m.span(), m[0]))
-    return [(k, a, b, hashlib.sha256(v.encode()).hexdigest()) for k, a, b, v in sorted(found, key=lambda x: (x[1], x[0]))]
+    return [
+        (k, a, b, hashlib.sha256(v.encode()).hexdigest(), live_looking(k, v, text[max(0, a - BEFORE) : a]))
+        for k, a, b, v in sorted(found, key=lambda x: (x[1], x[0]))
+    ]
 
 
 def _spans(texts: pa.Array) -> pa.Array:
-    kind = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("hash", pa.string())])
-    names = ("kind", "start", "stop", "hash")
+    kind = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("hash", pa.string()), ("random", pa.bool_())])
+    names = ("kind", "start", "stop", "hash", "random")
     return pa.array([[dict(zip(names, x, strict=True)) for x in scan(t)] for t in texts.to_pylist()], pa.list_(kind))
 
 
@@ -105,11 +145,12 @@ def scan_secrets(
     repository: Column | None = None,
     owner: Column | None = None,
     max_owners: int = 2,
+    max_repositories: int = 4,
 ) -> DataFrame:
     """One row per row of ``docs``: key, base counts, ``spans`` with verdicts, and how many of them are live.
 
-    ``spans`` is an array of (kind, start, stop, hash, n_repositories, n_owners, live). A span is live when at most
-    ``max_owners`` owners hold its hash. Opaque spans that are not live are left out; base spans always stay.
+    ``spans`` is an array of (kind, start, stop, hash, n_repositories, n_owners, live). A span is live when it looks random
+    and at most ``max_owners`` owners and ``max_repositories`` repositories hold its hash. Opaque spans that are not live are left out; base spans always stay.
     Only rows that have candidates are taken apart; the others are never shuffled.
     """
     owner = F.col("source") if owner is None else owner
@@ -127,7 +168,7 @@ def scan_secrets(
     some = stored.where(with_any).withColumn("_row", row_key("_key", "_repo", "_owner", "candidates"))
     single = some.select("_row", F.explode("candidates").alias("c")).distinct()
     judged = single.join(held, single["c.hash"] == held["hash"], "left").withColumn(
-        "live", F.col("n_owners") <= max_owners
+        "live", F.col("c.random") & (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
     )
     kept = judged.where((F.col("c.kind") < 3) | F.col("live"))
     span = F.struct("c.start", "c.kind", "c.stop", "c.hash", "n_repositories", "n_owners", "live")
