@@ -68,12 +68,13 @@ def lookup_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "
     return fact.join(dim, list(on), how)
 
 
-def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which a hot key of ``left`` can be split although ``right`` is an aggregate by the same key.
 
     Adaptive execution splits a join's partitions only if both sides were shuffled for that join. An aggregate would be
     joined as it lies; with its key wrapped in a struct its few rows are shuffled once more, and the hot key is spread.
     """
+    on = [on] if isinstance(on, str) else on
     renamed = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
     mine, other = F.struct(*[F.col(c).alias(c) for c in on]), F.struct(*[F.col(f"_on_{c}").alias(c) for c in on])
     return left.join(renamed, mine == other, how).drop(*[f"_on_{c}" for c in on])
