@@ -3,9 +3,14 @@
 A page becomes a tree of block elements. Every block of running text earns points for its length and its commas and
 passes them to its ancestors, all to the parent and less to each level above; a container's points are then discounted
 by its link density. If the best container lies in an article or main element, the outermost of these is kept whole; else
-the container is kept, and beside it and its ancestors every heading and all that is not mostly links. Menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are recognised by element, class, id or
-role, and neither score nor appear.
+the container is kept, and beside it and its ancestors every heading and all that is not mostly links. Menus, footers,
+sidebars and the like are recognised by their element, and neither score nor appear.
+
+A class, id or role that names such a part (``widget``, ``social``, ``comments``) is a mark, not a verdict, as themes put
+these words on wrappers too. The scores decide: a marked element goes if it is dense in links, if the running text in it
+earns no more than what stands unmarked in the same article, or if it is small next to the largest marked one there;
+around the better part of an article the mark is ignored. Comments have to outweigh all this several times, as a
+discussion may well be longer than its article. Beside an article element a mark always holds.
 
 Defined results: a null or empty page gives an empty text; unclosed and misnested elements end where the next block or
 an enclosing end tag says; a tag cut off by the end of the page is dropped; repeated pages get a row each; columns
@@ -29,7 +34,7 @@ BLOCKS = frozenset(
 )
 RAW = frozenset("script style noscript template iframe textarea title svg math object select canvas noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-ASIDE = frozenset("nav footer aside form menu dialog button head search".split())
+ASIDE = frozenset("nav footer aside menu dialog button head search".split())
 #: Words of a class, id or role that mark a menu, header, footer, sidebar, notice, advert, form or comments.
 MARKS = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted "
@@ -38,6 +43,11 @@ MARKS = frozenset(
     "notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related "
     "recommended widget toolbar pagination pager skip copyright contentinfo complementary search form hidden".split()
 )
+#: Those that stand for reader comments.
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: What share of the largest marked element's points a marked element needs, and comments as many times the most that is
+#: in an article besides them, for the mark to be ignored.
+LEAST_SHARE, COMMENTS_OUTWEIGH = 0.25, 8.0
 #: A name with one of these says what stands beside the element, as in ``has-sidebar``.
 BESIDE = frozenset("has with without no not".split())
 #: Elements that hold the article whatever their class says.
@@ -57,27 +67,29 @@ ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']
 WORD = re.compile("[a-z]+")
 
 
-def marked(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element is one of the parts that are not the article."""
+def marked(tag: str, attributes: str, inside_article: bool) -> str:
+    """``aside`` for an element that is never the article, ``part`` or ``comments`` for a mark, else empty."""
     if tag in HOLDERS:
-        return False
+        return ""
     if tag in ASIDE or (tag == "header" and not inside_article):
-        return True
-    if not attributes:
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
+        return "aside"
+    mark = "part" if tag == "form" else ""
+    for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         for name in (m[2] or m[3] or m[4] or "").split():
             words = WORD.findall(re.sub("([a-z])([A-Z])", r"\1 \2", name).lower())
-            if not BESIDE.intersection(words) and MARKS.intersection(words):
-                return True
-    return False
+            if BESIDE.intersection(words) or not MARKS.intersection(words):
+                continue
+            if COMMENTS.intersection(words):
+                return "comments"
+            mark = "part"
+    return mark
 
 
 class Page:
-    """The tree of a page: per node its tag, parent and whether it is shown; and the blocks of text with their node."""
+    """The tree of a page: per node its tag, parent, mark and whether it may be shown; and the blocks with their node."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.hidden, self.article = ["#"], [0], [False], [False]
+        self.tags, self.parents, self.hidden, self.article, self.marks = ["#"], [0], [False], [False], [""]
         self.blocks: list[tuple[int, str, int]] = []
         self.stack, self.open = [0], {}
         self.words: list[str] = []
@@ -135,7 +147,8 @@ class Page:
         above = self.stack[-1]
         self.tags.append(tag)
         self.parents.append(above)
-        self.hidden.append(self.hidden[above] or aside)
+        self.hidden.append(self.hidden[above] or aside == "aside")
+        self.marks.append(aside)
         self.article.append(self.article[above] or tag in ("article", "main"))
         self.stack.append(len(self.tags) - 1)
         self.open[tag] = self.open.get(tag, 0) + 1
@@ -158,9 +171,61 @@ class Page:
                 return
 
 
+def is_heading(tag: str) -> bool:
+    return tag[0] == "h" and tag[1:].isdigit()
+
+
+def earns(text: str, links: int) -> float:
+    """Points of a block of running text, less the share of links in it."""
+    return ((len(text) >= 25) + text.count(",") + min(len(text) / 100, 3.0)) * (1 - links / len(text))
+
+
+def shown_blocks(page: Page) -> list[tuple[int, str, int]]:
+    """The blocks that lie in no marked element, marks being ignored around the better part of an article."""
+    n = len(page.tags)
+    own, chars, linked = [0.0] * n, [0] * n, [0] * n
+    for node, text, links in page.blocks:
+        chars[node] += len(text)
+        linked[node] += links
+        own[node] += 0.0 if is_heading(page.tags[node]) else earns(text, links)
+    #: Points below a node: of everything but comments, of what is unmarked, and of the largest outermost marked elements.
+    inside, clean = own[:], own[:]
+    largest = {"part": [0.0] * n, "comments": [0.0] * n}
+    holds = [t in ("article", "main") for t in page.tags]
+    for i in range(n - 1, 0, -1):
+        above = page.parents[i]
+        chars[above] += chars[i]
+        linked[above] += linked[i]
+        holds[above] = holds[above] or holds[i]
+        inside[above] += 0.0 if page.marks[i] == "comments" else inside[i]
+        clean[above] += 0.0 if page.marks[i] else clean[i]
+        for mark, most in largest.items():
+            here = inside[i] if page.marks[i] == mark else 0.0 if page.marks[i] else most[i]
+            most[above] = max(most[above], here)
+    off, scope = [False] * n, [0] * n
+    for i in range(1, n):
+        above = page.parents[i]
+        off[i], scope[i] = off[above], scope[above]
+        if page.tags[i] in ("article", "main"):
+            scope[i] = i
+        elif page.marks[i] and not off[i]:
+            rest, part, talk = clean[scope[i]], largest["part"][scope[i]], largest["comments"][scope[i]]
+            astray = holds[0] and not page.article[i] and not holds[i]
+            dense = linked[i] >= LINK_DENSITY * chars[i]
+            if page.marks[i] == "comments":
+                small = inside[i] <= COMMENTS_OUTWEIGH * max(rest, part) or inside[i] < LEAST_SHARE * talk
+            else:
+                small = inside[i] <= rest or inside[i] < LEAST_SHARE * part
+            off[i] = astray or dense or small
+            if not off[i]:
+                scope[i] = i
+    return [b for b in page.blocks if not off[b[0]]]
+
+
 def main_text(source: str | None) -> str:
     """The blocks of the best container and of what belongs to it, in page order, one a line."""
     page = Page(source or "")
+    page.blocks = shown_blocks(page) if any(page.marks) else page.blocks
     if not page.blocks:
         return ""
     n = len(page.tags)
@@ -169,13 +234,13 @@ def main_text(source: str | None) -> str:
     for node, text, links in page.blocks:
         chars[node] += len(text)
         linked[node] += links
-        earned = (len(text) >= 25) + text.count(",") + min(len(text) / 100, 3.0)
         # a paragraph passes its points on; other elements that hold text themselves keep them as containers
         at = page.parents[node] if page.tags[node] in ("p", "li", "dd", "dt", "pre", "td", "blockquote") else node
-        if page.tags[node][0] == "h" and page.tags[node][1:].isdigit():
+        if is_heading(page.tags[node]):
             continue
+        earned = earns(text, links)
         for share in SHARES:
-            points[at] += earned * (1 - links / len(text)) * share
+            points[at] += earned * share
             if not at:
                 break
             at = page.parents[at]
