@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.pii import running_totals
+
 #: Control strings: a block's opening, the end of its role, a further turn in the block, the block's end.
 TURN, SAYS, NEXT, END = "<|turn|>", "<|says|>", "<|next|>", "<|end|>"
 LOSS_ROLE = "assistant"
@@ -77,28 +79,33 @@ def read_turns(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks(formatted), turns))
 
 
+def starts(lengths: Column) -> Column:
+    """Where each of a row of pieces begins, the first one at 0."""
+    return F.zip_with(running_totals(lengths), lengths, lambda after, own: after - own)
+
+
 def loss_spans(formatted: Column) -> Column:
     """(start, length) of each turn of the loss role, found in the formatted text.
 
-    Each block knows how long the blocks before it are; the running sum goes over blocks in one pass of lengths.
+    Blocks and the pieces in them begin at running totals of lengths, so many turns of one role cost no more than others.
     """
+    none = F.array().cast("array<struct<start:int,length:int>>")
     raw = F.slice(F.split(formatted, literal(TURN), -1), 2, 1 << 30)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    long = lambda c, mark: (F.length(c) + F.lit(len(mark))).cast("long")
 
-    def step(acc: Column, b: Column) -> Column:
+    def spans(b: Column, at: Column) -> Column:
         role, body = F.element_at(F.split(b, literal(SAYS), 2), 1), F.element_at(F.split(b, literal(SAYS), 2), 2)
         pieces = F.split(body, literal(NEXT) + "|" + literal(END), -1)
-        first = acc["at"] + F.lit(len(TURN)) + F.length(role) + F.lit(len(SAYS))
-
-        def span(p: Column, i: Column) -> Column:
-            before = F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda s, x: s + F.length(x) + F.lit(len(NEXT)))
-            return F.struct((first + before).alias("start"), F.length(p).alias("length"))
-
-        spans = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), span)
-        added = F.when(role == LOSS_ROLE, F.concat(acc["spans"], spans)).otherwise(acc["spans"])
-        return F.struct((acc["at"] + F.lit(len(TURN)) + F.length(b)).alias("at"), added.alias("spans"))
-
-    return F.aggregate(raw, start, step, lambda acc: acc["spans"])
+        texts = F.slice(pieces, 1, F.size(pieces) - 1)
+        first = at + F.lit(len(TURN) + len(SAYS)) + F.length(role)
+        placed = F.zip_with(
+            texts,
+            starts(F.transform(texts, lambda t: long(t, NEXT))),
+            lambda t, s: F.struct((first + s).cast("int").alias("start"), F.length(t).alias("length")),
+        )
+        return F.when(role == LOSS_ROLE, placed).otherwise(none)
+
+    return F.flatten(F.zip_with(raw, starts(F.transform(raw, lambda b: long(b, TURN))), spans))
 
 
 def digest(chats: DataFrame, key: str = "conv_id") -> DataFrame:
