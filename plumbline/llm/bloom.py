@@ -43,13 +43,17 @@ def bloom_blocks(listed: DataFrame, n_blocks: int) -> DataFrame:
 
 
 def possible_hits(asked: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
-    """The rows of ``asked`` whose ``key`` the filter doesn't rule out."""
+    """The rows of ``asked`` whose ``key`` the filter doesn't rule out. It may have any other columns."""
     block, words = block_and_bits(F.col("key"), n_blocks)
-    marked = asked.withColumns({"block": block, **{f"b{i}": w for i, w in enumerate(words)}})
-    filter_side = F.broadcast(blocks) if n_blocks <= BROADCAST_BLOCKS else blocks
-    held = [F.col(f"w{i}").bitwiseAND(F.col(f"b{i}")) == F.col(f"b{i}") for i in range(WORDS)]
-    all_held = held[0] & held[1] & held[2] & held[3]
-    return marked.join(filter_side, "block").where(all_held).select(*asked.columns)
+    names = [fresh(n, asked.columns) for n in ("_block", *(f"_word{i}" for i in range(WORDS)))]
+    marks = [fresh(f"_mark{i}", asked.columns) for i in range(WORDS)]
+    marked = asked.withColumns({names[0]: block, **dict(zip(marks, words, strict=True))})
+    named = blocks.select("block", *[f"w{i}" for i in range(WORDS)]).toDF(*names)
+    filter_side = F.broadcast(named) if n_blocks <= BROADCAST_BLOCKS else named
+    held = F.lit(True)
+    for w, m in zip(names[1:], marks, strict=True):
+        held = held & (F.col(w).bitwiseAND(F.col(m)) == F.col(m))
+    return marked.join(filter_side, names[0]).where(held).select(*asked.columns)
 
 
 def split_by(rows: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
