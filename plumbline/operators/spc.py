@@ -4,10 +4,12 @@ The input of the measurement charts is one row per measured value::
 
     process_id, tank_name, item_name, shift, analysis_date, analysis_datetime, x, lsl, usl, cl
 
-plus columns that make the order of equal instants total (``tie``). One key may hold a large share
-of all rows, so the ordered work on raw rows runs per key and ten-minute slice. The slices of a key
-are then joined up on the slice level, whose size does not depend on the number of measurements.
-Everything after the daily statistics works on one row per key and day.
+plus columns that make the order of equal instants total (``tie``). One key, or one instant, may hold a
+large share of all rows, so the ordered work on raw rows runs on ranges of the whole order
+(``operators.series``). What a task finds of a key and day is one row, and these are joined up.
+
+``day_pieces`` are statistics of a key and day that can be stored and continued: a later run needs the
+pieces of earlier days, never their rows. Everything after them works on one row per key and day.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import constants as K
-from plumbline.scale import SLICE_SECONDS, null_safe_join, time_slice
+from plumbline.operators.series import numbered, task_of, walked
+from plumbline.scale import materialise, null_safe_join
 
 CHART_KEYS = ("process_id", "tank_name", "item_name")
 SHIFT_KEYS = (*CHART_KEYS, "shift")
@@ -28,8 +31,6 @@ LIMITS = ("lsl", "usl", "cl")
 DAY = "analysis_date"
 INSTANT = "analysis_datetime"
 CHUNK = 4096
-SLICE_ROWS = 5_000_000
-SLICE_WIDTHS = (SLICE_SECONDS, 60, 10, 1, 0.1, 0.01, 0.001)
 
 
 def run_rules(
@@ -93,85 +94,97 @@ def source_of_limits(*beyond: str) -> Column:
     return F.expr(f"CASE WHEN {tests} THEN 'SPEC_90PCT' ELSE 'CALCULATED' END")
 
 
-def _slices(df: DataFrame, seconds: float) -> DataFrame:
-    return df.withColumn("_slice", F.coalesce(time_slice(F.col(INSTANT), seconds), F.lit(-1).cast("long")))
-
-
-def fitting_slice(df: DataFrame, keys: Sequence[str] = CHART_KEYS, target_rows: int = SLICE_ROWS) -> float:
-    """Widest slice, in seconds, that holds at most ``target_rows`` rows of any key.
-
-    Counts rows per key and slice, combined before the shuffle, and narrows the slice while a burst
-    of one key overfills it. Most data needs one count.
-    """
-    for seconds in SLICE_WIDTHS:
-        per_slice = _slices(df.select(*keys, DAY, INSTANT), seconds).groupBy(*keys, DAY, "_slice")
-        fullest = per_slice.agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        if fullest <= target_rows:
-            break
-    return seconds
-
-
-def daily_statistics(
-    df: DataFrame,
-    keys: Sequence[str],
-    limits: Sequence[str] = LIMITS,
-    tie: Sequence[str] = (),
-    seconds: float = SLICE_SECONDS,
+def day_pieces(
+    df: DataFrame, keys: Sequence[str], limits: Sequence[str] = LIMITS, tie: Sequence[str] = ()
 ) -> DataFrame:
-    """Per key, day and limit set: count, out-of-spec count, mean, mean moving range, deviation.
+    """Per key, day and limit set what the charts need of it, from its own rows alone.
 
-    The moving range runs over the whole series of a key, across slices and days.
+    ``n``, ``oospec``, and of the known values ``nx``, ``mean`` and ``m2``; ``ranges`` and ``nr``, sum and number of the
+    moving ranges inside the day; ``place``, which orders the limit sets of a day by their first rows; ``opens``, set on
+    the one that holds the day's first row, with that row's value ``open``; and the day's last value ``close``.
     """
-    part = [*keys, DAY, "_slice"]
-    inside = W.partitionBy(*part).orderBy(INSTANT, *tie)
+    day = [*keys, DAY]
     out_of_spec = outside("x", "lsl", "usl") if limits else F.lit(0)
-    pieces = (
-        _slices(df, seconds)
-        .withColumn("_place", F.row_number().over(inside))
-        .withColumn("_range", F.abs(F.col("x") - F.lag("x").over(inside)))
-        .withColumn("_final", F.lead(F.lit(False), 1, True).over(inside))
-        .groupBy(*part, *limits)
-        .agg(
-            F.count("*").alias("_n"),
-            F.count("x").alias("_nx"),
-            F.avg("x").alias("_mean"),
-            F.expr("var_pop(x) * count(x)").alias("_m2"),
-            F.sum(out_of_spec).alias("_oos"),
-            F.sum("_range").alias("_ranges"),
-            F.count("_range").alias("_nr"),
-            F.min("_place").alias("_first"),
-            F.expr("max(if(_place = 1, x, NULL))").alias("_open"),
-            F.expr("max(if(_final, x, NULL))").alias("_close"),
-        )
+    rows = walked(df, day, "x", [INSTANT, *tie], list(limits))
+    pieces = rows.groupBy(task_of().alias("_task"), *day, *limits).agg(
+        F.count("*").alias("n"),
+        F.count("x").alias("nx"),
+        F.avg("x").alias("mean"),
+        F.expr("var_pop(x) * count(x)").alias("m2"),
+        F.sum(out_of_spec).alias("oospec"),
+        F.sum("_apart").alias("ranges"),
+        F.count("_apart").alias("nr"),
+        F.min("_i").alias("place"),
+        F.max("_i").alias("_last"),
+        F.min_by("x", "_i").alias("open"),
+        F.max_by("x", "_i").alias("close"),
     )
-    # From here on: at most one row per key, slice and limit set.
-    whole = W.partitionBy(*part)
-    series = W.partitionBy(*keys).orderBy(DAY, "_slice", "_first", *limits)
-    group = W.partitionBy(*keys, DAY, *limits)
+    # From here on: at most one row per key, day, limit set and task, and a day's rows are together.
+    whole = W.partitionBy(*day)
+    part = W.partitionBy(*day, "_task")
+    group = W.partitionBy(*day, *limits)
+    series = whole.orderBy("_task", "place")
     joined = (
-        pieces.withColumn("_close", F.max("_close").over(whole))
-        .withColumn("_prior", F.lag("_close").over(series))
-        .withColumn("_day_mean", F.sum(F.expr("_mean * _nx")).over(group) / F.sum("_nx").over(group))
-        .withColumn("_seam", F.expr("CASE WHEN _first = 1 THEN abs(_open - _prior) END"))
+        pieces.repartition(*day)
+        .withColumn("close", F.max_by("close", "_last").over(part))
+        .withColumn("_heads", F.col("place") == F.min("place").over(part))
+        .withColumn("_prior", F.lag("close").over(series))
+        .withColumn("opens", F.col("place") == F.min("place").over(whole))
+        .withColumn("_seam", F.expr("CASE WHEN _heads AND NOT opens THEN abs(open - _prior) END"))
+        .withColumn("_mean", F.sum(F.expr("mean * nx")).over(group) / F.sum("nx").over(group))
+        .withColumn("close", F.max_by("close", "_last").over(whole))
     )
-    return joined.groupBy(*keys, DAY, *limits).agg(
-        F.sum("_n").alias("n_samples"),
-        F.sum("_oos").alias("oospec_points"),
-        F.max("_day_mean").alias("xbar_d"),
-        F.expr(
-            "try_divide(sum(coalesce(_ranges, 0D) + coalesce(_seam, 0D)), sum(_nr + if(_seam IS NULL, 0, 1)))"
-        ).alias("mr_bar_d"),
-        F.expr(
-            "CASE WHEN sum(_nx) > 1 THEN sqrt(sum(coalesce(_m2 + _nx * pow(_mean - _day_mean, 2), 0D)) / (sum(_nx) - 1)) END"
-        ).alias("sigma_overall_d"),
+    return joined.groupBy(*day, *limits).agg(
+        F.sum("n").alias("n"),
+        F.sum("nx").alias("nx"),
+        F.max("_mean").alias("mean"),
+        F.expr("sum(coalesce(m2 + nx * pow(mean - _mean, 2), 0D))").alias("m2"),
+        F.sum("oospec").alias("oospec"),
+        F.expr("sum(coalesce(ranges, 0D) + coalesce(_seam, 0D))").alias("ranges"),
+        F.expr("sum(nr + if(_seam IS NULL, 0, 1))").alias("nr"),
+        F.min("place").alias("place"),
+        F.max("opens").alias("opens"),
+        F.max_by(F.when(F.col("opens"), F.col("open")), F.when(F.col("opens"), F.lit(1))).alias("open"),
+        F.first("close").alias("close"),
     )
 
 
-def individuals_chart(
-    df: DataFrame, keys: Sequence[str] = SHIFT_KEYS, tie: Sequence[str] = (), seconds: float = SLICE_SECONDS
+def statistics_of_days(pieces: DataFrame, keys: Sequence[str], limits: Sequence[str] = LIMITS) -> DataFrame:
+    """Per key, day and limit set: count, out-of-spec count, mean, mean moving range, deviation.
+
+    The moving range goes on from day to day: a day's first range is the distance from the last value of the day before
+    among the pieces, whenever those were computed.
+    """
+    series = W.partitionBy(*keys).orderBy(DAY, "place", *limits)
+    seam = F.expr("CASE WHEN opens THEN abs(open - _prior) END")
+    joined = pieces.withColumn("_prior", F.lag("close").over(series)).withColumn("_seam", seam)
+    return joined.select(
+        *keys,
+        DAY,
+        *limits,
+        F.col("n").alias("n_samples"),
+        F.col("oospec").alias("oospec_points"),
+        F.col("mean").alias("xbar_d"),
+        F.expr("try_divide(ranges + coalesce(_seam, 0D), nr + if(_seam IS NULL, 0, 1))").alias("mr_bar_d"),
+        F.expr("CASE WHEN nx > 1 THEN sqrt(m2 / (nx - 1)) END").alias("sigma_overall_d"),
+    )
+
+
+def daily_statistics(
+    df: DataFrame, keys: Sequence[str], limits: Sequence[str] = LIMITS, tie: Sequence[str] = ()
 ) -> DataFrame:
+    """Statistics of all days in ``df``; see ``statistics_of_days``."""
+    return statistics_of_days(day_pieces(df, keys, limits, tie), keys, limits)
+
+
+def individuals_chart(df: DataFrame, keys: Sequence[str] = SHIFT_KEYS, tie: Sequence[str] = ()) -> DataFrame:
     """Individuals and moving-range chart with capability, one row per key, day and limit set."""
-    chart = rolling_limits(daily_statistics(df, keys, LIMITS, tie, seconds), keys)
+    return chart_of_days(daily_statistics(df, keys, LIMITS, tie), keys)
+
+
+def chart_of_days(daily: DataFrame, keys: Sequence[str] = SHIFT_KEYS) -> DataFrame:
+    """The individuals chart of daily statistics."""
+    chart = rolling_limits(daily, keys)
     cp, cpk = capability("xbar", "sigma_within")
     pp, ppk = capability("xbar", "sigma_overall")
     chart = chart.withColumns(
@@ -221,11 +234,13 @@ def rolling_limits(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def frozen_baseline(
-    df: DataFrame, keys: Sequence[str] = CHART_KEYS, tie: Sequence[str] = (), seconds: float = SLICE_SECONDS
-) -> DataFrame:
+def frozen_baseline(df: DataFrame, keys: Sequence[str] = CHART_KEYS, tie: Sequence[str] = ()) -> DataFrame:
     """Control limits from the earliest 25 days of each key."""
-    daily = daily_statistics(df, keys, (), tie, seconds)
+    return baseline_of_days(daily_statistics(df, keys, (), tie), keys)
+
+
+def baseline_of_days(daily: DataFrame, keys: Sequence[str] = CHART_KEYS) -> DataFrame:
+    """The baseline of daily statistics."""
     place = F.row_number().over(W.partitionBy(*keys).orderBy(DAY))
     first = daily.withColumn("_place", place).filter(F.col("_place") <= K.MIN_GROUPS)
     baseline = first.groupBy(*keys).agg(
@@ -251,34 +266,19 @@ def freeze(stored: DataFrame, computed: DataFrame, keys: Sequence[str] = (*CHART
     return done.unionByName(computed.join(done.select(*keys), list(keys), "left_anti").select(*stored.columns))
 
 
+def day_order(df: DataFrame, keys: Sequence[str] = CHART_KEYS, tie: Sequence[str] = ()) -> DataFrame:
+    """The values of each key and day in order, written, for subgroups of any size."""
+    return materialise(walked(df, [*keys, DAY], "x", [INSTANT, *tie], ["lsl", "usl"]), "day-order")
+
+
 def subgroups(
-    df: DataFrame,
-    size: int,
-    keys: Sequence[str] = CHART_KEYS,
-    tie: Sequence[str] = (),
-    seconds: float = SLICE_SECONDS,
+    df: DataFrame, size: int, keys: Sequence[str] = CHART_KEYS, tie: Sequence[str] = (), ordered: DataFrame | None = None
 ) -> DataFrame:
-    """Complete subgroups of ``size`` consecutive values of a key and day.
-
-    The running number is the place inside the slice plus the row count of the earlier slices.
-    """
+    """Complete subgroups of ``size`` consecutive values of a key and day. ``ordered``: the result of ``day_order``."""
     day = [*keys, DAY]
-    # One struct names the slice in window, count and join alike, nulls included: raw rows are shuffled once.
-    rows = _slices(df.select(*day, INSTANT, *tie, "x", "lsl", "usl"), seconds).withColumn("_part", F.struct(*day, "_slice"))
-    whole_day = W.partitionBy(*[F.col(f"_part.{c}") for c in day])
-    earlier = whole_day.orderBy("_part._slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy("_part")
-        .agg(F.count("*").alias("_count"))
-        .withColumn("_before", F.coalesce(F.sum("_count").over(earlier), F.lit(0).cast("long")))
-        .select("_part", "_before")
-    )
-    place = F.row_number().over(W.partitionBy("_part").orderBy(INSTANT, *tie))
+    rows = numbered(day_order(df, keys, tie) if ordered is None else ordered, day)
     return (
-        rows.withColumn("_place", place)
-        .join(offsets, "_part")
-        .withColumn("_row", F.col("_before") + F.col("_place") - 1)
-        .withColumn("_subgroup", F.expr(f"_row div {int(size)}"))
+        rows.withColumn("_subgroup", F.expr(f"_row div {int(size)}"))
         .groupBy(*day, "_subgroup", "lsl", "usl")
         .agg(
             F.count("*").alias("_n"),
@@ -348,11 +348,11 @@ def xbar_r_chart(
     keys: Sequence[str] = CHART_KEYS,
     tie: Sequence[str] = (),
     literal_centre: bool = False,
-    seconds: float = SLICE_SECONDS,
+    ordered: DataFrame | None = None,
 ) -> DataFrame:
     """Subgroup mean and range chart. Limits are tightened while a day has fewer than 100 points."""
     a2, d3, d4, d2 = K.RANGE_FACTORS.get(size, K.RANGE_FACTORS[K.DEFAULT_RANGE_SIZE])
-    chart = _subgroup_chart(subgroups(df, size, keys, tie, seconds), size, keys, "r", (a2, d3, d4, d2))
+    chart = _subgroup_chart(subgroups(df, size, keys, tie, ordered), size, keys, "r", (a2, d3, d4, d2))
     chart = chart.withColumn("data_sufficient", F.col("subgroup_count") * size >= K.MIN_POINTS)
     high, low = "xbar_ucl > usl", "xbar_lcl < lsl"
     # All three read the untightened limits.
@@ -376,11 +376,11 @@ def xbar_s_chart(
     keys: Sequence[str] = CHART_KEYS,
     tie: Sequence[str] = (),
     literal_centre: bool = False,
-    seconds: float = SLICE_SECONDS,
+    ordered: DataFrame | None = None,
 ) -> DataFrame:
     """Subgroup mean and standard-deviation chart."""
     a3, b3, b4, c4 = K.DEVIATION_FACTORS.get(size, K.DEVIATION_FACTORS[K.DEFAULT_DEVIATION_SIZE])
-    chart = _subgroup_chart(subgroups(df, size, keys, tie, seconds), size, keys, "s", (a3, b3, b4, c4))
+    chart = _subgroup_chart(subgroups(df, size, keys, tie, ordered), size, keys, "s", (a3, b3, b4, c4))
     return _centre_of_days(chart, keys, literal_centre).select(
         *keys, DAY, "subgroup_size", "subgroup_count", "xbar_grand", "xbar_ucl", "xbar_cl", "xbar_lcl",
         "s_bar", "s_ucl", "s_cl", "s_lcl", "lsl", "usl", "cp", "cpk", "xbar_ooc_points", "s_ooc_points",

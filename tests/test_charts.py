@@ -9,7 +9,7 @@ from conftest import plan, rows
 from pyspark.sql import functions as F
 
 from plumbline.functions import constants as K
-from plumbline.operators import daily, spc
+from plumbline.operators import daily, series, spc
 
 DAY0 = dt.date(2024, 1, 1)
 CHART = "process_id string, d int, v double, c double"
@@ -54,45 +54,97 @@ def test_moving_range_crosses_slices_and_days(spark):
     assert rows(out, "analysis_date", "mr_bar_d", "xbar_d") == [(DAY0, 3.0, 2.5), (dt.date(2024, 1, 2), 2.0, 2.0)]
 
 
-def test_slices_narrow_until_a_burst_fits(spark):
-    """Five thousand values of one key within one second, spread over its milliseconds."""
-    burst = spark.range(5000).select(
+def burst(spark, n, at_once):
+    """One key: a share of all rows at one instant, some without an instant, the rest spread over two days."""
+    k = F.col("id")
+    instant = (
+        F.when(k % 3 == 0, F.lit(1704067200000 + 40_000_000)).when(k % 11 == 0, None).otherwise(1704067200000 + (k * 7919) % 172_800_000)
+    )
+    at = F.timestamp_millis(instant if at_once else F.lit(1704067200000) + (k * 7919) % 172_800_000)
+    return spark.range(n).select(
         F.col("id").alias("analysis_id"), F.lit("p").alias("process_id"), F.lit("t").alias("tank_name"),
-        F.lit("i").alias("item_name"), F.lit(DAY0).alias("analysis_date"),
-        F.timestamp_millis(F.lit(1704067200000) + F.col("id") % 1000).alias("analysis_datetime"),
-        F.sin("id").alias("x"), F.lit(-1.0).alias("lsl"), F.lit(1.0).alias("usl"), F.lit(0.0).alias("cl"),
+        F.lit("i").alias("item_name"), F.lit("A").alias("shift"), F.coalesce(F.to_date(at), F.lit(DAY0)).alias("analysis_date"),
+        at.alias("analysis_datetime"), F.round(F.sin(k), 6).alias("x"), F.lit(-0.9).alias("lsl"), F.lit(0.9).alias("usl"), F.lit(0.0).alias("cl"),
     )
-    assert spc.fitting_slice(burst) == 600
-    width = spc.fitting_slice(burst, target_rows=60)
-    assert width == 0.01
-    wide, narrow = (spc.daily_statistics(burst, spc.CHART_KEYS, tie=["analysis_id"], seconds=s).first() for s in (600, width))
-    assert narrow.n_samples == 5000 and narrow.mr_bar_d == pytest.approx(wide.mr_bar_d)
-    assert narrow.sigma_overall_d == pytest.approx(wide.sigma_overall_d)
-    groups = [rows(spc.subgroups(burst, 5, tie=["analysis_id"], seconds=s), "_subgroup", F.round("xbar_i", 9)) for s in (600, width)]
-    assert groups[0] == groups[1] and len(groups[0]) == 1000
-
-
-@pytest.mark.parametrize("seconds", [600, 3600, 86_400])
-def test_daily_statistics_equal_a_plain_loop(spark, seconds):
-    """One key holds most rows, instants repeat, limits change inside a day, some values are missing."""
+
+
+def loop_statistics(members):
+    """Plain daily statistics of one key: (day, limits) -> (n, mean, mean range, deviation)."""
+    order = sorted(members, key=lambda r: (r.analysis_date, r.analysis_datetime or dt.datetime.min, r.analysis_id))
+    out = {}
+    for i, r in enumerate(order):
+        mr = abs(r.x - order[i - 1].x) if i else None
+        out.setdefault(r.analysis_date, []).append((r.x, mr))
+    return {
+        d: (len(v), statistics.fmean(x for x, _ in v), statistics.fmean(m for _, m in v if m is not None), statistics.stdev(x for x, _ in v))
+        for d, v in out.items()
+    }, order
+
+
+def test_a_third_of_the_rows_at_one_instant(spark):
+    """Neither an instant nor rows without one gather in a task, and the results are those of a plain loop."""
+    df = burst(spark, 30_000, True)
+    dealt = series.walked(df, [*spc.SHIFT_KEYS, "analysis_date"], "x", ["analysis_datetime", "analysis_id"])
+    # adaptive execution would put so few rows into one task
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in dealt.groupBy(series.task_of()).count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 2 * 30_000 / 8
+        want, order = loop_statistics(df.collect())
+        got = {r.analysis_date: r for r in spc.daily_statistics(df, spc.SHIFT_KEYS, tie=["analysis_id"]).collect()}
+        groups = {(r.analysis_date, r._subgroup): r.xbar_i for r in spc.subgroups(df, 7, tie=["analysis_id"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got.keys() == want.keys()
+    for d, (n, mean, mr, dev) in want.items():
+        r = got[d]
+        assert (r.n_samples, r.xbar_d, r.mr_bar_d, r.sigma_overall_d) == (n, *map(pytest.approx, (mean, mr, dev)))
+        xs = [r.x for r in order if r.analysis_date == d]
+        own = {k: statistics.fmean(xs[7 * k : 7 * k + 7]) for k in range(len(xs) // 7)}
+        assert {k for day, k in groups if day == d} == set(own)
+        assert all(groups[d, k] == pytest.approx(m) for k, m in own.items())
+
+
+def test_equal_rows_are_dealt_over_tasks(spark):
+    df = burst(spark, 8_000, False).withColumns({"analysis_id": F.lit(1), "x": F.lit(2.0), "analysis_datetime": F.lit(None).cast("timestamp"),
+                                                 "analysis_date": F.lit(DAY0)})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = series.walked(df, ["process_id"], "x", ["analysis_datetime", "analysis_id"])
+        assert max(r["count"] for r in dealt.groupBy(series.task_of()).count().collect()) < 2_000
+        (r,) = spc.daily_statistics(df, spc.SHIFT_KEYS, tie=["analysis_id"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert (r.n_samples, r.xbar_d, r.mr_bar_d, r.sigma_overall_d) == (8_000, 2.0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("tasks", [1, 3, 40])
+def test_daily_statistics_equal_a_plain_loop(spark, tasks):
+    """One key holds most rows, instants repeat, limits change inside a day, some values are missing; few and many tasks."""
     rnd = random.Random(7)
     data = []
     for _ in range(600):
-        key = "hot" if rnd.random() < 0.6 else rnd.choice("abc")
+        key = "hot" if rnd.random() < 0.6 else rnd.choice([None, "b", "c"])
         limits = (0.0, 20.0, 10.0) if rnd.random() < 0.7 else (1.0, 15.0, None)
         x = None if rnd.random() < 0.05 else round(rnd.gauss(9, 4), 3)
         data.append((key, rnd.randrange(4), rnd.randrange(0, 86_400, 400), x, *limits))
     df = measured(spark, data)
-    got = {
-        (r.process_id, r.analysis_date, r.lsl): r
-        for r in spc.daily_statistics(df, spc.SHIFT_KEYS, tie=["analysis_id"], seconds=seconds).collect()
-    }
-    series, groups = {}, {}
+    settings = {"spark.sql.shuffle.partitions": str(tasks), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = spc.daily_statistics(df, spc.SHIFT_KEYS, tie=["analysis_id"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {(r.process_id, r.analysis_date, r.lsl): r for r in found}
+    assert len(got) == len(found)
+    of_key, groups = {}, {}
     ordered = sorted(df.collect(), key=lambda r: (r.analysis_date, r.analysis_datetime, r.analysis_id))
     for r in ordered:
-        before = series.get(r.process_id, [])
+        before = of_key.get(r.process_id, [])
         mr = abs(r.x - before[-1]) if before and r.x is not None and before[-1] is not None else None
-        series.setdefault(r.process_id, []).append(r.x)
+        of_key.setdefault(r.process_id, []).append(r.x)
         groups.setdefault((r.process_id, r.analysis_date, r.lsl), []).append((r.x, mr, r.lsl, r.usl))
     assert got.keys() == groups.keys()
     for key, members in groups.items():
@@ -106,6 +158,19 @@ def test_daily_statistics_equal_a_plain_loop(spark, seconds):
         assert row.sigma_overall_d == (pytest.approx(statistics.stdev(xs)) if len(xs) > 1 else None)
 
 
+def test_pieces_of_days_go_on_from_each_other(spark):
+    """Statistics of pieces that were computed apart, in any order, equal those of all rows."""
+    rnd = random.Random(11)
+    data = [(rnd.choice("ab"), rnd.randrange(6), rnd.randrange(86_400), rnd.random(), 0.0, rnd.choice([0.8, 0.9]), 0.5) for _ in range(500)]
+    df = measured(spark, data)
+    parts = [df.where(F.dayofmonth("analysis_date").isin(*d)) for d in ([4, 6], [1], [2, 3, 5])]
+    pieces = [spc.day_pieces(p, spc.SHIFT_KEYS, tie=["analysis_id"]) for p in parts]
+    merged = spc.statistics_of_days(pieces[0].unionByName(pieces[1]).unionByName(pieces[2]), spc.SHIFT_KEYS)
+    whole = spc.daily_statistics(df, spc.SHIFT_KEYS, tie=["analysis_id"])
+    shown = lambda d: rows(d, *[F.round(c, 9).alias(c) if t == "double" else c for c, t in whole.dtypes])
+    assert shown(merged) == shown(whole)
+
+
 def test_deviation_is_stable_for_large_values(spark):
     df = measured(spark, [("p", 0, i * 700, 1e9 + i % 2) for i in range(100)])
     out = spc.daily_statistics(df, spc.SHIFT_KEYS, tie=["analysis_id"]).first()
@@ -268,14 +333,14 @@ def static_plans(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_individuals_chart_has_two_exchanges(spark, sf, static_plans):
-    """One by key and slice for the raw rows, one by key for the slices."""
+def test_raw_rows_of_the_individuals_chart_are_exchanged_once(spark, sf, static_plans):
+    """By range; what is exchanged by key afterwards is one row per day, limit set and task."""
     from queries.roles import TIE, measurements
 
     text = plan(spc.individuals_chart(measurements(spark, sf), tie=TIE))
-    assert text.count("Exchange hashpartitioning") == 2
-    assert "_slice" in text.split("Exchange hashpartitioning")[2].split("\n")[0]
-    assert "SortAggregate" not in text
+    assert text.count("Exchange rangepartitioning") == 1
+    below = text[text.rindex("HashAggregate", 0, text.index("MapInArrow")) :]
+    assert "Exchange hashpartitioning" not in below and "SortAggregate" not in below
 
 
 def test_subgroup_chart_computes_subgroups_once(spark, sf, static_plans):
@@ -291,17 +356,13 @@ def test_count_charts_read_only_needed_columns(spark, sf, static_plans):
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in text
 
 
-def test_raw_rows_of_subgroups_are_shuffled_once(spark, sf):
-    """With broadcasts off, window and join use one partitioning, so the raw columns pass a single exchange."""
+def test_raw_rows_of_subgroups_are_exchanged_once(spark, sf, static_plans):
+    """The order is computed once and written; numbering its rows and forming subgroups exchanges no raw row again."""
     from queries.roles import QTY_TIE, quantities
 
-    for k, v in (("autoBroadcastJoinThreshold", "-1"), ("adaptive.enabled", "false")):
-        spark.conf.set(f"spark.sql.{k}", v)
-    try:
-        text = spc.subgroups(quantities(spark, sf), 5, tie=QTY_TIE)._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert text.count("SortMergeJoin") == 1
-    raw = text[text.index("Window [row_number()") : text.index("l_linenumber", text.index("FileScan"))]
-    assert raw.count("Exchange") == 1
+    day = [*spc.CHART_KEYS, "analysis_date"]
+    walk = plan(series.walked(quantities(spark, sf), day, "x", [spc.INSTANT, *QTY_TIE], ["lsl", "usl"]))
+    assert walk.count("Exchange") == 1
+    text = plan(series.numbered(spc.day_order(quantities(spark, sf), tie=QTY_TIE), day))
+    left = text[: text.index("BroadcastExchange")]
+    assert "Exchange hashpartitioning" not in left and "BroadcastHashJoin" in left
