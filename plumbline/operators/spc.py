@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import constants as K
 from plumbline.operators.series import numbered, task_of, walked
-from plumbline.scale import materialise, null_safe_join
+from plumbline.scale import keyset_join, materialise, null_safe_join
 
 CHART_KEYS = ("process_id", "tank_name", "item_name")
 SHIFT_KEYS = (*CHART_KEYS, "shift")
@@ -261,9 +261,9 @@ def baseline_of_days(daily: DataFrame, keys: Sequence[str] = CHART_KEYS) -> Data
 
 
 def freeze(stored: DataFrame, computed: DataFrame, keys: Sequence[str] = (*CHART_KEYS, "chart_type")) -> DataFrame:
-    """Keep finished baselines; take the computed one for new keys and while preliminary."""
+    """Keep finished baselines; take the computed one for new keys and while preliminary. Null keys match each other."""
     done = stored.filter("NOT is_preliminary")
-    return done.unionByName(computed.join(done.select(*keys), list(keys), "left_anti").select(*stored.columns))
+    return done.unionByName(keyset_join(computed, done, list(keys), "left_anti").select(*stored.columns))
 
 
 def day_order(df: DataFrame, keys: Sequence[str] = CHART_KEYS, tie: Sequence[str] = ()) -> DataFrame:
@@ -332,44 +332,93 @@ def _subgroup_chart(groups: DataFrame, size: int, keys: Sequence[str], spread: s
     return final.withColumns({"cp": cp, "cpk": cpk}).drop("_sigma")
 
 
-def _centre_of_days(df: DataFrame, keys: Sequence[str], literal_centre: bool) -> DataFrame:
-    """Centre line for the run rules: the mean of the day means over the key.
+def centred(
+    df: DataFrame, value: str, keys: Sequence[str], baseline: tuple[str, str] | None = None, centres: DataFrame | None = None
+) -> DataFrame:
+    """Add ``_centre``, the mean of a daily value over the rows of a key.
 
-    With ``literal_centre`` each day is compared with its own mean, so rule 2 never fires.
+    With ``baseline`` the mean goes over the days of that range, both ends included, and holds for all days; a key
+    without a day in it has no centre. ``centres`` gives the means as a frame, by key.
     """
-    centre = F.col("xbar_cl") if literal_centre else F.avg("xbar_grand").over(W.partitionBy(*keys))
-    ruled = run_rules(df.withColumn("_centre", centre), "xbar_grand", "_centre", keys, (DAY, "lsl", "usl"))
-    return with_alarm_total(ruled, "xbar_ooc_points", "r2_flag", "r3_flag").drop("_centre")
+    if centres is not None:
+        return null_safe_join(df, centres.select(*keys, "_centre"), keys, "left")
+    taken = F.col(value)
+    if baseline is not None:
+        taken = F.when(F.col(DAY).between(*[F.lit(d).cast("date") for d in baseline]), taken)
+    return df.withColumn("_centre", F.avg(taken).over(W.partitionBy(*keys)))
 
 
-def xbar_r_chart(
+def ruled_days(
     df: DataFrame,
-    size: int = 5,
     keys: Sequence[str] = CHART_KEYS,
-    tie: Sequence[str] = (),
     literal_centre: bool = False,
-    ordered: DataFrame | None = None,
+    baseline: tuple[str, str] | None = None,
+    centres: DataFrame | None = None,
 ) -> DataFrame:
-    """Subgroup mean and range chart. Limits are tightened while a day has fewer than 100 points."""
+    """Run rules on the day rows of a subgroup chart. The centre line is the mean of the day means over the key.
+
+    With ``literal_centre`` each day is compared with its own mean, so rule 2 never fires.
+    """
+    lined = df.withColumn("_centre", F.col("xbar_cl")) if literal_centre else centred(df, "xbar_grand", keys, baseline, centres)
+    ruled = run_rules(lined, "xbar_grand", "_centre", keys, (DAY, "lsl", "usl"))
+    return with_alarm_total(ruled, "xbar_ooc_points", "r2_flag", "r3_flag").drop("_centre")
+
+
+def days_of_xbar_r(
+    df: DataFrame | None, size: int = 5, keys: Sequence[str] = CHART_KEYS, tie: Sequence[str] = (), ordered: DataFrame | None = None
+) -> DataFrame:
+    """Day rows of the mean and range chart, without the run rules, each from its own day alone."""
     a2, d3, d4, d2 = K.RANGE_FACTORS.get(size, K.RANGE_FACTORS[K.DEFAULT_RANGE_SIZE])
     chart = _subgroup_chart(subgroups(df, size, keys, tie, ordered), size, keys, "r", (a2, d3, d4, d2))
     chart = chart.withColumn("data_sufficient", F.col("subgroup_count") * size >= K.MIN_POINTS)
     high, low = "xbar_ucl > usl", "xbar_lcl < lsl"
     # All three read the untightened limits.
-    chart = chart.withColumns(
+    return chart.withColumns(
         {
             "limit_source": source_of_limits(high, low),
             "xbar_ucl": tightened("xbar_ucl", "usl", "xbar_cl", high),
             "xbar_lcl": tightened("xbar_lcl", "lsl", "xbar_cl", low),
         }
     )
-    return _centre_of_days(chart, keys, literal_centre).select(
+
+
+def days_of_xbar_s(
+    df: DataFrame | None, size: int = 10, keys: Sequence[str] = CHART_KEYS, tie: Sequence[str] = (), ordered: DataFrame | None = None
+) -> DataFrame:
+    """Day rows of the mean and deviation chart, without the run rules."""
+    a3, b3, b4, c4 = K.DEVIATION_FACTORS.get(size, K.DEVIATION_FACTORS[K.DEFAULT_DEVIATION_SIZE])
+    return _subgroup_chart(subgroups(df, size, keys, tie, ordered), size, keys, "s", (a3, b3, b4, c4))
+
+
+def shown_xbar_r(ruled: DataFrame, keys: Sequence[str] = CHART_KEYS) -> DataFrame:
+    return ruled.select(
         *keys, DAY, "subgroup_size", "subgroup_count", "xbar_grand", "xbar_ucl", "xbar_cl", "xbar_lcl",
         "r_bar", "r_ucl", "r_cl", "r_lcl", "lsl", "usl", "cp", "cpk", "xbar_ooc_points", "r_ooc_points",
         "r2_flag", "r3_flag", "ooc_total", "data_sufficient", "limit_source",
     )
 
 
+def shown_xbar_s(ruled: DataFrame, keys: Sequence[str] = CHART_KEYS) -> DataFrame:
+    return ruled.select(
+        *keys, DAY, "subgroup_size", "subgroup_count", "xbar_grand", "xbar_ucl", "xbar_cl", "xbar_lcl",
+        "s_bar", "s_ucl", "s_cl", "s_lcl", "lsl", "usl", "cp", "cpk", "xbar_ooc_points", "s_ooc_points",
+        "r2_flag", "r3_flag", "ooc_total",
+    )
+
+
+def xbar_r_chart(
+    df: DataFrame,
+    size: int = 5,
+    keys: Sequence[str] = CHART_KEYS,
+    tie: Sequence[str] = (),
+    literal_centre: bool = False,
+    ordered: DataFrame | None = None,
+    baseline: tuple[str, str] | None = None,
+) -> DataFrame:
+    """Subgroup mean and range chart. Limits are tightened while a day has fewer than 100 points."""
+    return shown_xbar_r(ruled_days(days_of_xbar_r(df, size, keys, tie, ordered), keys, literal_centre, baseline), keys)
+
+
 def xbar_s_chart(
     df: DataFrame,
     size: int = 10,
@@ -377,15 +426,10 @@ def xbar_s_chart(
     tie: Sequence[str] = (),
     literal_centre: bool = False,
     ordered: DataFrame | None = None,
+    baseline: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Subgroup mean and standard-deviation chart."""
-    a3, b3, b4, c4 = K.DEVIATION_FACTORS.get(size, K.DEVIATION_FACTORS[K.DEFAULT_DEVIATION_SIZE])
-    chart = _subgroup_chart(subgroups(df, size, keys, tie, ordered), size, keys, "s", (a3, b3, b4, c4))
-    return _centre_of_days(chart, keys, literal_centre).select(
-        *keys, DAY, "subgroup_size", "subgroup_count", "xbar_grand", "xbar_ucl", "xbar_cl", "xbar_lcl",
-        "s_bar", "s_ucl", "s_cl", "s_lcl", "lsl", "usl", "cp", "cpk", "xbar_ooc_points", "s_ooc_points",
-        "r2_flag", "r3_flag", "ooc_total",
-    )
+    return shown_xbar_s(ruled_days(days_of_xbar_s(df, size, keys, tie, ordered), keys, literal_centre, baseline), keys)
 
 
 def judged_daily(records: DataFrame, keys: Sequence[str], bad: Column | None = None) -> DataFrame:
@@ -394,20 +438,34 @@ def judged_daily(records: DataFrame, keys: Sequence[str], bad: Column | None = N
     return records.groupBy(*keys, DAY).agg(F.count("*").alias("n"), F.count_if(bad).alias("np"))
 
 
-def p_chart(records: DataFrame, keys: Sequence[str] = COUNT_KEYS) -> DataFrame:
-    """Share of rejected records per day with binomial limits for the day's own sample size."""
-    daily = judged_daily(records, keys).withColumn("p", F.col("np") / F.col("n"))
-    centred = daily.withColumn("p_bar", F.avg("p").over(W.partitionBy(*keys)))
-    return _count_chart(centred, "p", "p_bar", "3 * sqrt(p_bar * (1 - p_bar) / n)", keys).select(
+def days_of_counts(records: DataFrame, keys: Sequence[str] = COUNT_KEYS) -> DataFrame:
+    """Day rows of both count charts: records, rejected ones, and their share."""
+    return judged_daily(records, keys).withColumn("p", F.col("np") / F.col("n"))
+
+
+def p_chart(records: DataFrame, keys: Sequence[str] = COUNT_KEYS, baseline: tuple[str, str] | None = None) -> DataFrame:
+    """Share of rejected records per day with binomial limits for the day's own sample size.
+
+    The centre line is the mean share over the days of ``baseline``, or over all days.
+    """
+    return p_chart_of_days(centred(days_of_counts(records, keys), "p", keys, baseline), keys)
+
+
+def p_chart_of_days(lined: DataFrame, keys: Sequence[str] = COUNT_KEYS) -> DataFrame:
+    days = lined.withColumnRenamed("_centre", "p_bar")
+    return _count_chart(days, "p", "p_bar", "3 * sqrt(p_bar * (1 - p_bar) / n)", keys).select(
         *keys, DAY, "n", "np", "p", "p_bar", "ucl", "cl", "lcl", "ooc_points", "r2_flag", "r3_flag", "ooc_total"
     )
 
 
-def c_chart(records: DataFrame, keys: Sequence[str] = COUNT_KEYS) -> DataFrame:
-    """Number of rejected records per day with Poisson limits."""
-    daily = judged_daily(records, keys).select(*keys, DAY, F.col("np").alias("c"))
-    centred = daily.withColumn("c_bar", F.avg("c").over(W.partitionBy(*keys)))
-    return _count_chart(centred, "c", "c_bar", "3 * sqrt(c_bar)", keys).select(
+def c_chart(records: DataFrame, keys: Sequence[str] = COUNT_KEYS, baseline: tuple[str, str] | None = None) -> DataFrame:
+    """Number of rejected records per day with Poisson limits; centre line as in ``p_chart``."""
+    return c_chart_of_days(centred(days_of_counts(records, keys), "np", keys, baseline), keys)
+
+
+def c_chart_of_days(lined: DataFrame, keys: Sequence[str] = COUNT_KEYS) -> DataFrame:
+    days = lined.select(*keys, DAY, F.col("np").alias("c"), F.col("_centre").alias("c_bar"))
+    return _count_chart(days, "c", "c_bar", "3 * sqrt(c_bar)", keys).select(
         *keys, DAY, "c", "c_bar", "ucl", "cl", "lcl", "ooc_points", "r2_flag", "r3_flag", "ooc_total"
     )
 
@@ -422,26 +480,39 @@ def _count_chart(df: DataFrame, value: str, centre: str, margin: str, keys: Sequ
 def smooth_exponentially(df: DataFrame, keys: Sequence[str], value: str, order: str, spans: Sequence[int]) -> DataFrame:
     """Exponential moving averages seeded with the first value, one pandas frame per key.
 
-    Meant for a daily series; the group size is the number of days.
+    Where ``df`` has the averages of a series' first rows already, the others go on from the last of these. Meant for a
+    daily series; the group size is the number of days.
     """
     names = [f"ema_{s}" for s in spans]
-    schema = df.select("*", *[F.lit(0.0).alias(n) for n in names]).schema
+    known = df.withColumns({n: F.lit(None).cast("double") for n in names if n not in df.columns})
 
     def smooth(pdf):
         pdf = pdf.sort_values(order)
+        given = int(pdf[names[0]].notna().sum())
         for span, name in zip(spans, names, strict=True):
-            pdf[name] = pdf[value].ewm(span=span, adjust=False).mean()
+            series = pdf[value].iloc[max(given - 1, 0) :].copy()
+            if given:
+                series.iloc[0] = pdf[name].iloc[given - 1]
+            pdf.loc[series.index, name] = series.ewm(span=span, adjust=False).mean()
         return pdf
 
-    return df.groupBy(*keys).applyInPandas(smooth, schema)
+    return known.groupBy(*keys).applyInPandas(smooth, known.schema)
+
+
+def days_of_trend(df: DataFrame, keys: Sequence[str] = CHART_KEYS) -> DataFrame:
+    """Daily means, without days that have no known value."""
+    return df.groupBy(*keys, DAY).agg(F.avg("x").alias("x")).filter(F.col("x").isNotNull())
 
 
 def moving_average_trend(df: DataFrame, keys: Sequence[str] = CHART_KEYS) -> DataFrame:
     """Daily mean with simple (5, 7, 14 rows) and exponential (span 7, 14) moving averages."""
-    daily = df.groupBy(*keys, DAY).agg(F.avg("x").alias("x")).filter(F.col("x").isNotNull())
+    return with_simple_averages(smooth_exponentially(days_of_trend(df, keys), keys, "x", DAY, (7, 14)), keys)
+
+
+def with_simple_averages(smoothed: DataFrame, keys: Sequence[str] = CHART_KEYS) -> DataFrame:
     series = W.partitionBy(*keys).orderBy(DAY)
-    simple = daily.withColumns({f"sma_{n}": F.avg("x").over(series.rowsBetween(1 - n, 0)) for n in (5, 7, 14)})
-    return smooth_exponentially(simple, keys, "x", DAY, (7, 14))
+    simple = smoothed.withColumns({f"sma_{n}": F.avg("x").over(series.rowsBetween(1 - n, 0)) for n in (5, 7, 14)})
+    return simple.select(*keys, DAY, "x", "sma_5", "sma_7", "sma_14", "ema_7", "ema_14")
 
 
 def monthly_alarm_rate(chart: DataFrame, keys: Sequence[str] = CHART_KEYS) -> DataFrame:

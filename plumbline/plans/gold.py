@@ -62,12 +62,15 @@ def gold_run(
     capability_history: DataFrame | None = None,
     subgroup_sizes: tuple[int, int] = (5, 10),
     stage: bool = False,
+    baseline: tuple[str, str] | None = None,
 ) -> dict[str, DataFrame]:
     """All gold tables for [start, end], in the order in which they are published.
 
     Charts are computed with the history found in their inputs and then cut to the range, so a
-    narrow run gives the same rows as a wide one. The alarm rate covers whole months:
+    narrow run gives the same rows as a wide one; ``goldstate.run_days`` gives the same tables from
+    stored day rows without reading history. The alarm rate covers whole months:
     ``capability_history`` adds the published chart rows of those months outside the range.
+    ``baseline`` is the range of days of the centre lines, all days by default.
 
     With ``stage`` the chart input, which joins two facts, and the daily chart are written to the
     shared directory once instead of being computed again for every table that reads them.
@@ -87,16 +90,17 @@ def gold_run(
         months = within(capability, start, end).unionByName(kept.select(*capability.columns))
     r_size, s_size = subgroup_sizes
     judged = within(records, start, end)
+    ordered = {"ordered": spc.day_order(product_scope(wide), tie=tie), "baseline": baseline}
     return {
         "agg_qualification_rate_daily": daily.nonconformance_daily(judged),
         "agg_warning_statistics_daily": daily.warning_daily(judged),
         "spc_capability_daily": within(capability, start, end),
         "spc_baseline": spc.frozen_baseline(individuals_scope(wide), **order),
         "spc_trend_ma": within(spc.moving_average_trend(wide), start, end),
-        "spc_xbar_r_chart": within(spc.xbar_r_chart(product_scope(wide), r_size, **order), start, end),
-        "spc_xbar_s_chart": within(spc.xbar_s_chart(product_scope(wide), s_size, **order), start, end),
-        "spc_p_chart": within(spc.p_chart(records), start, end),
-        "spc_c_chart": within(spc.c_chart(records), start, end),
+        "spc_xbar_r_chart": within(spc.xbar_r_chart(product_scope(wide), r_size, **ordered), start, end),
+        "spc_xbar_s_chart": within(spc.xbar_s_chart(product_scope(wide), s_size, **ordered), start, end),
+        "spc_p_chart": within(spc.p_chart(records, baseline=baseline), start, end),
+        "spc_c_chart": within(spc.c_chart(records, baseline=baseline), start, end),
         "spc_monthly_alarm_rate": spc.monthly_alarm_rate(months),
     }
 
