@@ -1,22 +1,15 @@
-"""Connected components of a graph of links, by alternating large and small stars."""
+"""Connected components of a graph of links, by alternating large and small stars.
+
+Defined results: a node without a link, or linked only to itself, is in no row; repeated links and links given both ways
+count once; a link with a null end is none; an empty table gives no rows; other columns are ignored.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.scale import materialise
-
-
-def join_by(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """Equi-join on one column in which a hot key can be split.
-
-    Adaptive execution splits a join's partitions only if both sides were shuffled for that join. A side that is an
-    aggregate by the same key would be joined as it lies; a key wrapped in a struct makes it shuffle its few rows once
-    more, and the hot key of the other side is spread.
-    """
-    keyed = right.withColumnRenamed(on, "_on")
-    return left.join(keyed, F.struct(F.col(on).alias("k")) == F.struct(F.col("_on").alias("k")), how).drop("_on")
+from plumbline.scale import materialise, split_join
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -37,10 +30,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"))
-        hung = join_by(both.where(F.col("v") > F.col("u")), least, "u")
+        hung = split_join(both.where(F.col("v") > F.col("u")), least, "u")
         large = hung.select(F.col("v").alias("u"), F.col("least").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("least"))
-        moved = join_by(large, least, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u != v")
+        moved = split_join(large, least, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u != v")
         now = materialise(moved.unionByName(least.select("u", F.col("least").alias("v"))).distinct(), "links")
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

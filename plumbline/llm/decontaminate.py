@@ -17,7 +17,8 @@ windows that hit it are emitted, and the exact hash join decides. The bitmap's s
 
 Defined results: a null or empty text, or one with fewer tokens than a window, has no windows and is never
 contaminated; items shorter than a window are compared as one window of their own length; an empty benchmark
-contaminates nothing; repeated rows have equal results; a null document key is a key like any other.
+contaminates nothing; repeated rows have equal results, and rows of one key and different texts are judged each; a null
+document key is a key like any other.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from xxhash import xxh64_intdigest
 
 from plumbline.llm.bloom import without
 from plumbline.llm.rowkeys import fresh, row_key
+from plumbline.llm.wordcache import WordCache
 from plumbline.scale import materialise
 
 WINDOW = 8
@@ -42,7 +44,6 @@ MIN_RUN = 20
 BITMAP_BITS = 24
 #: Where in a window's hash its two places in the bitmap begin.
 PROBES = (64 - BITMAP_BITS, 64 - 2 * BITMAP_BITS)
-KNOWN_WORDS = 1_000_000
 #: Texts that are looked at together, so that the work on arrays outweighs the calls.
 TEXTS = 128
 #: Units that may follow a number.
@@ -98,15 +99,19 @@ class Templater:
     """Templates of several texts at once. Words' marks are kept in a bounded cache."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.words = WordCache()
 
     def marks(self, words: list[str]) -> list[int]:
-        known = self.known
+        known = self.words.known
         marks = list(map(known.get, words))
-        for i in [i for i, m in enumerate(marks) if m is None]:
+        new = [i for i, m in enumerate(marks) if m is None]
+        before = len(known)
+        for i in new:
             w = words[i]
             marks[i] = m = known.get(w) or word_mark(w)
             known[w] = m
+        if len(known) > before:
+            self.words.note({words[i] for i in new})
         return marks
 
     def __call__(self, texts: list[str | None]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, list[str], np.ndarray]:
@@ -114,8 +119,7 @@ class Templater:
 
         A reading is the tokens' hashes and slot marks: opening words plain, opening words as names, no slots at all.
         """
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
+        self.words.make_room()
         parts = [f"{t or ''}\n".replace("\n", f" {LINE} ").split() for t in texts]
         words = list(chain.from_iterable(parts))
         values = np.fromiter(self.marks(words), np.uint64, len(words))
@@ -161,13 +165,15 @@ def slots_of(slot: np.ndarray, words: list[str], places: np.ndarray, at: int, wi
     return "\t".join(f"{k}={(EDGES.sub('', w) or w).lower()}" for k, w in shown)
 
 
-WINDOWS = "key {key}, wh bigint, at bigint, width bigint, tokens bigint, slots string"
-NAMES = ["key", "wh", "at", "width", "tokens", "slots"]
+WINDOWS = "key {key}, row bigint, wh bigint, at bigint, width bigint, tokens bigint, slots string"
+NAMES = ["key", "row", "wh", "at", "width", "tokens", "slots"]
 
 
 def windows(rows: DataFrame, key: str, text: str, width: int, bitmap=None, widths: tuple[int, ...] = ()) -> DataFrame:
     """Windows of every text in all readings: hash, place, width, tokens of the text, slot values.
 
+    ``row`` is a hash of the text, which tells rows of one key apart.
+
     With ``bitmap``, a broadcast array of bits, only the windows that hit it, of ``width`` and of all ``widths``.
     Without one, a text shorter than ``width`` is one window of its own length. Windows shorter than ``width`` say too
     little to have their opening word exchanged, so they are not read with it as a name.
@@ -175,7 +181,7 @@ def windows(rows: DataFrame, key: str, text: str, width: int, bitmap=None, width
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = rows.schema[key].dataType
-    types = [to_arrow_type(kind), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    types = [to_arrow_type(kind), *[pa.int64()] * 5, pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = Templater()
@@ -183,7 +189,8 @@ def windows(rows: DataFrame, key: str, text: str, width: int, bitmap=None, width
         for batch in batches:
             for lo in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(lo, TEXTS)
-                out = list(found(part.column(0).to_pylist(), *template(part.column(1).to_pylist()), bits))
+                keys = list(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True))
+                out = list(found(keys, *template(part.column(1).to_pylist()), bits))
                 for at in range(0, len(out), 20_000):
                     yield batch_of(out[at : at + 20_000])
 
@@ -214,13 +221,13 @@ def windows(rows: DataFrame, key: str, text: str, width: int, bitmap=None, width
                 signed = hashes.view(np.int64)
                 for i in at.tolist():
                     t = number[i]
-                    yield keys[t], int(signed[i]), int(i - firsts[t]), w, int(lengths[t]), slots_of(slot, words, places, i, w)
+                    yield *keys[t], int(signed[i]), int(i - firsts[t]), w, int(lengths[t]), slots_of(slot, words, places, i, w)
 
     def batch_of(out: list) -> pa.RecordBatch:
         columns = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, types, strict=True)], names=NAMES)
 
-    read = rows.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    read = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("row"))
     return read.mapInArrow(run, WINDOWS.format(key=kind.simpleString()))
 
 
@@ -337,21 +344,21 @@ def contaminations(
     few item rows each; the document side is not gathered by window, so adaptive execution can split it.
     """
     spark = docs.sparkSession
-    items = materialise(windows(benchmark, item, item_text, window).withColumnRenamed("key", "item"), "item-windows")
+    items = materialise(windows(benchmark, item, item_text, window).withColumnsRenamed({"key": "item", "row": "item_row"}), "item-windows")
     short = [r["width"] for r in items.where(F.col("width") < window).select("width").distinct().collect()]
     bits = spark.sparkContext.broadcast(bitmap_of(items))
     found = windows(docs, key, text, window, bits, tuple(short))
     met = found.alias("d").join(items.alias("i"), (F.col("d.wh") == F.col("i.wh")) & (F.col("d.width") == F.col("i.width")))
     same = F.col("i.slots") == F.col("d.slots")
     met = met.select(
-        F.col("d.key").alias("key"), "i.item", F.col("i.tokens").alias("item_tokens"), (F.col("d.at") - F.col("i.at")).alias("diagonal"),
+        F.col("d.key").alias("key"), "d.row", "i.item", "i.item_row", F.col("i.tokens").alias("item_tokens"), (F.col("d.at") - F.col("i.at")).alias("diagonal"),
         F.col("i.at").alias("at"), "i.width", F.col("i.slots").alias("slots"), F.when(~same, F.col("d.slots")).alias("other"),
     )
-    # a repeated row brings the same windows again; a set of windows is as long as the text times the item's repeats at most
-    gathered = met.groupBy("key", "item", "item_tokens").agg(F.sort_array(F.collect_set(F.struct(*MET))).alias("met"))
+    # an equal row brings the same windows again; a set of windows is as long as the text times the item's repeats at most
+    gathered = met.groupBy("key", "row", "item", "item_row", "item_tokens").agg(F.sort_array(F.collect_set(F.struct(*MET))).alias("met"))
     verdict = F.arrow_udf(_verdicts(min_cover, min_run), VERDICT)(F.col("item_tokens"), F.col("met"))
     judged = gathered.select("key", "item", "item_tokens", verdict.alias("v")).where(F.col("v").isNotNull())
-    # items of one key that have different lengths are judged each
+    # each row of a key is judged by itself, and the best of them shown
     return judged.groupBy(F.col("key").alias(key), F.col("item").alias(item)).agg(
         F.max("v.covered").alias("covered"), F.max("item_tokens").alias("item_tokens"),
         F.max("v.longest").alias("longest_run"), F.max("v.exact").alias("exact"),
@@ -359,8 +366,8 @@ def contaminations(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item. Rows without a key are judged by their content."""
+    """The rows of ``docs`` that contain no benchmark item. Each is judged by itself, also where several share a key."""
     row = fresh("_row", docs.columns)
-    named = docs.withColumn(row, F.coalesce(F.col(key).cast("string"), row_key(key, text)))
+    named = docs.withColumn(row, row_key(key, text))
     bad = contaminations(named, benchmark, key=row, text=text, **how).select(row).distinct()
     return without(named, materialise(bad, "contaminated"), row).select(*docs.columns)

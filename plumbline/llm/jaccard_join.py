@@ -33,15 +33,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bloom import BROADCAST_BLOCKS, block_count, bloom_blocks, possible_hits, split_by, without
-from plumbline.llm.components import components, join_by
-from plumbline.scale import materialise
+from plumbline.llm.components import components
+from plumbline.llm.rowkeys import fresh
+from plumbline.llm.wordcache import WordCache
+from plumbline.scale import materialise, split_join
 
 MAP_WORDS = 16
 HUBS = 4
 #: Longer lists try hubs first, and still longer ones are first ordered anew. All ways find the same components.
 SHORT_LIST = 16
 LONG_LIST = 64
-KNOWN_WORDS = 500_000
 
 
 class Shingler:
@@ -49,7 +50,7 @@ class Shingler:
 
     def __init__(self, n: int):
         self.n = n
-        self.known: dict[bytes, int] = {}
+        self.words = WordCache()
 
     def __call__(self, text: str | None) -> np.ndarray:
         import xxhash
@@ -57,11 +58,12 @@ class Shingler:
         words = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII spaces part
         if not words:
             return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
+        self.words.make_room()
+        known = self.words.known
+        if new := set(words).difference(known):
+            self.words.note(new)
+            for w in new:
+                known[w] = xxhash.xxh64_intdigest(w)
         ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         width = min(self.n, len(ids))
         h = np.full(len(ids) - width + 1, width, np.uint64)
@@ -155,7 +157,7 @@ def prefixes(classes: DataFrame, sizes: DataFrame, percent: int, all_in_pool: bo
     """
     posted = classes.select("node", F.explode("head").alias("gram"))
     counts = posted.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    shared = join_by(posted, counts, "gram")
+    shared = split_join(posted, counts, "gram")
     gathered = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
     sized = gathered.join(sizes.select("node", "n", "pool_size"), "node")
     limit = pool_limit(percent)
@@ -184,7 +186,7 @@ def posted_groups(prefixed: DataFrame, level: str) -> tuple[DataFrame, DataFrame
     same = F.sha2(F.concat_ws(",", F.col("n").cast("string"), F.col("prefix.gram").cast("array<string>")), 256)
     keyed = materialise(prefixed.withColumn("same", F.when(F.col("all_shared"), same)), f"prefixes-{level}")
     groups = keyed.where("all_shared").groupBy("same").agg(F.min("node").alias("first"), F.count("*").alias("k"))
-    joined = join_by(keyed, groups, "same", "left").withColumn("first", F.coalesce("first", "node"))
+    joined = split_join(keyed, groups, "same", "left").withColumn("first", F.coalesce("first", "node"))
     name = lambda kind, c: F.concat(F.lit(f"{kind}{level}:"), F.col(c))
     joined = materialise(joined.select("node", "n", "prefix", "first", "k"), f"grouped-{level}")
     across = joined.where("node = first").select(name("g", "first").alias("entry"), "node", "n", F.explode("prefix").alias("p"))
@@ -261,7 +263,7 @@ def hub_pairs(lists: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     pick = [F.min(c)["node"].alias(f"h{k}") for k, c in enumerate(first)]
     hubs = lists.groupBy("list").agg(F.count("*").alias("size"), *pick).where(F.col("size") > SHORT_LIST)
     hubs = hubs.select("list", F.array_distinct(F.array(*[f"h{k}" for k in range(HUBS)])).alias("hubs"))
-    met = join_by(lists.select("list", F.col("node").alias("a")), hubs, "list").select("a", F.explode("hubs").alias("b"))
+    met = split_join(lists.select("list", F.col("node").alias("a")), hubs, "list").select("a", F.explode("hubs").alias("b"))
     near = near_maps(met.where("a != b").distinct(), rows, percent)
     return near.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
 
@@ -272,18 +274,18 @@ def open_pairs(lists: DataFrame, held: DataFrame, rows: DataFrame, labels: DataF
     In each list the component with most entries needs no pairs of its own: the others are joined with all. An entry
     whose members are in several components belongs to none and is joined with all.
     """
-    named = join_by(held, labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = split_join(held, labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialise(named, "named")
     spread = named.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     spread = spread.select("entry", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("c"))
-    entries = materialise(lists.join(spread, "entry"), "entries")
+    entries = materialise(split_join(lists, spread, "entry"), "entries")
     sizes = entries.groupBy("list", "c").agg(F.count("*").alias("k"))
     main = sizes.groupBy("list").agg(
         F.max(F.when(F.col("c").isNotNull(), F.struct("k", "c")))["c"].alias("main"),
         F.count("*").alias("kinds"),
         F.count_if(F.col("c").isNull()).alias("mixed"),
     )
-    live = join_by(entries, main.where("kinds > 1 or mixed > 0"), "list")
+    live = split_join(entries, main.where("kinds > 1 or mixed > 0"), "list")
     major = F.col("c").eqNullSafe(F.coalesce(F.col("main"), F.lit(-1)))
     live = materialise(live.select(*entries.columns, major.alias("major")), "live-entries")
     minor, other = live.where("not major").alias("x"), live.alias("y")
@@ -306,19 +308,17 @@ def candidate_lists(rows: DataFrame, docs: DataFrame, n: int, percent: int) -> t
     long = materialise(long, "long-lists")
     if long.isEmpty():
         return lists, held
-    crowded = join_by(lists, long, "list").select("entry").distinct().join(held, "entry").select("node").distinct()
+    crowded = split_join(lists, long, "list").select("entry").distinct().join(held, "entry").select("node").distinct()
     texts, wanted = texts_of(crowded, rows, docs)
     again = sketches(texts, "key", "text", n, percent, all_in_pool=True).drop("key").join(wanted, "sig")
     again = materialise(again.dropDuplicates(["node"]), "sketches-again")
     finer, more = posted_groups(prefixes(again.select("node", "head"), again, percent, all_in_pool=True), "2")
-    rest = join_by(lists, long, "list", "left_anti")
+    rest = split_join(lists, long, "list", "left_anti")
     return materialise(rest.unionByName(finer), "lists"), held.unionByName(more)
 
 
-def linked_components(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90
-) -> DataFrame:
-    """One row per row of ``docs``: key, ``n_shingles`` and ``component_id``, the smallest key reachable by links."""
+def row_components(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+    """One written row per row of ``docs``: ``key, n, sig``, the signature of its set, and ``component``."""
     read = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     made = sketches(read, "key", "text", n, percent).withColumn("node", F.monotonically_increasing_id())
     rows = materialise(made, "sketches")
@@ -334,38 +334,69 @@ def linked_components(
         tested = left if test_all else materialise(left.groupBy("a", "cb").agg(best).select("a", "p.*", "cb"), "tested")
         merged = components(verified(tested.select("a", "b", "ca", "cb"), rows, read, n, percent), "ca", "cb")
         to = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
-        labels = join_by(labels, to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        alone = join_by(merged, labels.select("node"), "node", "left_anti")
+        labels = split_join(labels, to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        alone = split_join(merged, labels.select("node"), "node", "left_anti")
         labels = materialise(labels.unionByName(alone.select("node", "component")), "labels")
         if not test_all:
             rest = left.join(tested.select("a", "b"), ["a", "b"], "left_anti")
             for c in ("ca", "cb"):
                 to = merged.select(F.col("node").alias(c), F.col("component").alias("to"))
-                rest = join_by(rest, to, c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+                rest = split_join(rest, to, c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
             left = materialise(rest.where("ca != cb"), "still-open")
-    return _named(rows, labels, key)
+    return _placed(rows, labels)
+
+
+def linked_components(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90
+) -> DataFrame:
+    """One row per row of ``docs``: key, ``n_shingles`` and ``component_id``, the smallest key reachable by links."""
+    mine = row_components(docs, key, text, n, percent)
+    names = mine.groupBy("component").agg(F.min("key").alias("component_id"))
+    return split_join(mine, names, "component").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _named(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """Components of classes carried to their rows, and named by the smallest key."""
+def _placed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Components of classes carried to their rows."""
     slim = rows.select("key", "n", "sig", "node")
     classes = slim.where("n > 0").groupBy("sig").agg(F.min("node").alias("first"))
     first = F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("node"))
-    placed = join_by(slim, classes, "sig", "left").withColumn("first", first)
-    mine = join_by(placed, labels.select(F.col("node").alias("first"), "component"), "first", "left")
-    mine = materialise(mine.select("key", "n", F.coalesce("component", "first").alias("component")), "placed")
-    names = mine.groupBy("component").agg(F.min("key").alias("component_id"))
-    return join_by(mine, names, "component").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    placed = split_join(slim, classes, "sig", "left").withColumn("first", first)
+    mine = split_join(placed, labels.select(F.col("node").alias("first"), "component"), "first", "left")
+    return materialise(mine.select("key", "n", "sig", F.coalesce("component", "first").alias("component")), "placed")
+
+
+def signature(text: Column, n: int) -> Column:
+    """The signature of a text's set, as in ``row_components``."""
+
+    def made(texts: pa.Array) -> pa.Array:
+        import xxhash
+
+        from plumbline.llm.jaccard_join import Shingler
+
+        shingle = Shingler(n)
+        return pa.array([xxhash.xxh3_128_digest(shingle(t).tobytes()) for t in texts.to_pylist()], pa.binary())
+
+    return F.arrow_udf(made, "binary")(text)
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose key names their component: one document of each group of near duplicates.
+    """The rows of ``docs`` that stand for their component: one document of each group of near duplicates.
 
-    Rows without a key are kept as they are; rows that repeat a key and text are kept once. Texts are not shuffled but
-    for rows whose key may be among those that go or repeat.
+    The row with the smallest key stays; of several with that key, the one whose set has the smallest signature, and of
+    rows with equal key and set, one. Rows are judged one by one: a key may name several texts, of which some stay and
+    some go. Rows without a key are kept as they are, and don't stand for others. Texts are not shuffled but for rows
+    whose key may be among those that go or repeat.
     """
-    named = materialise(linked_components(docs, key, text, n, percent).where(F.col(key).isNotNull()), "named-components")
-    gone = materialise(named.where(F.col(key) != F.col("component_id")).select(key).distinct(), "gone")
-    repeated = materialise(named.groupBy(key).agg(F.count("*").alias("k")).where("k > 1").select(key), "repeated")
+    named = row_components(docs, key, text, n, percent).where(F.col("key").isNotNull())
+    first = named.groupBy("component").agg(F.min(F.struct("key", "sig")).alias("first"))
+    stays = (F.col("key") == F.col("first.key")) & (F.col("sig") == F.col("first.sig"))
+    judged = materialise(split_join(named, first, "component").select("key", "sig", stays.alias("stays")), "judged")
+    by_key = judged.groupBy("key").agg(F.count("*").alias("k"), F.max("stays").alias("any"))
+    gone = materialise(by_key.where(~F.col("any")).select(F.col("key").alias(key)), "gone")
+    repeated = materialise(by_key.where(F.col("any") & (F.col("k") > 1)).select(F.col("key").alias(key)), "repeated")
     once, several = split_by(without(docs, gone, key), repeated, key)
-    return once.unionByName(several.dropDuplicates([key, text]))
+    sig = fresh("_sig", docs.columns)
+    standing = judged.where("stays").select(F.col("key").alias(key), F.col("sig").alias(sig)).distinct()
+    told = several.withColumn(sig, signature(F.col(text), n))
+    kept = split_join(told, standing, [key, sig], "left_semi").dropDuplicates([key, sig])
+    return once.unionByName(kept.select(*docs.columns))

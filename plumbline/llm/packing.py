@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 CAPACITY = 2048
 POOL_TOKENS = 1 << 20
+#: Documents whose ids are held at once, besides the pool.
+TEXTS = 128
 END_ID = 1
 #: Share of the quadratic term: attention over this many tokens costs as much as their linear work.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
@@ -112,8 +114,8 @@ def pack_batches(batches: Iterator[pa.RecordBatch], encode, key_type: pa.DataTyp
 
     pool, tokens = [], 0
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
+        for lo in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(lo, TEXTS)
             full = []
             texts = [t or "" for t in part.column(1).to_pylist()]
             for key, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
@@ -153,9 +155,12 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
         from plumbline.llm.tokens import word_encoder
 
-        yield from pack_batches(
-            batches, word_encoder(tokenizer).batch, to_arrow_type(kind), TaskContext.get().partitionId(), capacity
-        )
+        encoder = word_encoder(tokenizer)
+        try:
+            yield from pack_batches(batches, encoder.batch, to_arrow_type(kind), TaskContext.get().partitionId(), capacity)
+        finally:
+            # a worker may go on to other tasks; it keeps the tokenizer, not the words
+            encoder.forget()
 
     read = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     pieces = read.mapInArrow(run, f"_key {kind.simpleString()}, {PIECE}")
