@@ -15,8 +15,8 @@ ascending order of the key within a file, and the files of a lower task come fir
 Decoding is by table: a control byte looks up the widths of its four tokens, running sums give their places, four bytes
 are read at each place and masked by width, and the rank looks up the id. Nothing loops over tokens.
 
-Documents are encoded where they are read, long ones in pieces cut between two words, which changes no id; so memory is
-bounded by the texts at hand. Ids are staged with two bytes each if the vocabulary allows. The sort is by range of key,
+Documents are encoded where they are read, chunk by chunk between single spaces, which changes no id; so memory is
+bounded by the texts at hand and a cache of stated size. Ids are staged with two bytes each if the vocabulary allows. The sort is by range of key,
 and rows of one key are told apart by their place in the staged table, so a key with a third of all rows is dealt over
 several tasks. The table of ranks has at most one entry per id of the vocabulary, and is all that is sent to the tasks.
 
@@ -27,8 +27,6 @@ Keys are whole numbers.
 
 from __future__ import annotations
 
-import functools
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -38,17 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.bytetokens import byte_encoder
 from plumbline.scale import materialise, shared_dir
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 18
 #: Blocks in one file; with blocks of half a megabyte a file is read as one row of a few megabytes.
 FILE_BLOCKS = 16
-PIECE_CHARS = 1 << 18
+TEXTS = 256
 HEADER = struct.Struct("<4sIIQQQ")
 MAGIC, RANKS_MAGIC = b"PLIB", b"PLIR"
-#: Between a letter and a space before a letter the pattern of this tokenizer always cuts.
-SAFE = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 #: For each control byte the widths of its four tokens; for each width the bits that belong to a rank.
 WIDTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8)
 MASKS = np.asarray([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -113,75 +110,34 @@ def read_blocks(content: bytes) -> Iterator[tuple[int, int, list[int | None], np
         yield task, block, [None if z else k for k, z in zip(keys, nulls, strict=True)], counts, ranks
 
 
-def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
-    """A text in pieces of at least ``size`` characters, cut only where the tokenizer cuts too."""
-    out, at = [], 0
-    while len(text) - at > size and (cut := SAFE.search(text, at + size)):
-        out.append(text[at : cut.start()])
-        at = cut.start()
-    return [*out, text[at:]]
-
-
-@functools.lru_cache(2)
-def loaded(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-def cuts_between_words(path: str) -> bool:
-    """Whether the tokenizer is byte-level with the usual pattern and no normalizer, so that ``SAFE`` holds for it."""
-    import json
-
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    pre = spec.get("pre_tokenizer") or {}
-    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
-    return plain and spec.get("normalizer") is None
-
-
-def encode_texts(texts: list[str], path: str, cut: bool) -> list[np.ndarray]:
-    """Ids of each text. Texts go to the library a bounded number of characters at a time."""
-    parts, owners = [], []
-    for i, t in enumerate(texts):
-        own = pieces(t) if cut else [t]
-        parts += own
-        owners += [i] * len(own)
-    ids: list[list[np.ndarray]] = [[] for _ in texts]
-    lo = 0
-    while lo < len(parts):
-        hi, chars = lo, 0
-        while hi < len(parts) and (hi == lo or chars + len(parts[hi]) <= PIECE_CHARS):
-            chars += len(parts[hi])
-            hi += 1
-        for i, e in zip(owners[lo:hi], loaded(path).encode_batch_fast(parts[lo:hi], add_special_tokens=False), strict=True):
-            ids[i].append(np.asarray(e.ids, np.uint32))
-        lo = hi
-    return [p[0] if len(p) == 1 else np.concatenate(p) for p in ids]
-
-
 def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
     """``_key``, ``_n`` and ``_ids`` of every row, written. Ids have two bytes if all of them fit, else four."""
-    kind = "<u2" if max(max(loaded(tokenizer).get_vocab().values()), end_id) < 1 << 16 else "<u4"
-    cut = cuts_between_words(tokenizer)
+    kind = "<u2" if max(byte_encoder(tokenizer).largest, end_id) < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from plumbline.llm.idfiles import encode_texts
-
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids = [np.append(i, np.uint32(end_id)) for i in encode_texts([t or "" for t in part.column(1).to_pylist()], tokenizer, cut)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.astype(kind).tobytes() for i in ids], pa.binary())],
-                    names=["_key", "_n", "_ids"],
-                )
+        from plumbline.llm.bytetokens import byte_encoder
+
+        encoder = byte_encoder(tokenizer)
+        try:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, TEXTS):
+                    part = batch.slice(lo, TEXTS)
+                    ids = encoder.batch([t or "" for t in part.column(1).to_pylist()])
+                    data = [np.append(i, np.uint32(end_id)).astype(kind).tobytes() for i in ids]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array([len(i) + 1 for i in ids], pa.int64()), pa.array(data, pa.binary())],
+                        names=["_key", "_n", "_ids"],
+                    )
+        finally:
+            # a worker may go on to other tasks; it keeps the tokenizer, not the words
+            encoder.forget()
 
     read = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    return materialise(read.mapInArrow(run, "_key bigint, _n bigint, _ids binary"), "ids")
+    made = read.mapInArrow(run, "_key bigint, _n bigint, _ids binary")
+    path = shared_dir(docs.sparkSession, "ids")
+    # common ids have equal bytes, so this codec shrinks them by an eighth; the usual one does not
+    made.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(made.schema).parquet(path)
 
 
 def id_kind(n_bytes: int, n: int) -> str:
