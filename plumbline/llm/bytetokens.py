@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from plumbline.llm.wordcache import WordCache
+from plumbline.llm.wordcache import ID_CACHE_BYTES, WordCache, give_back
 
 #: A space or line feed between two characters that are no white space. Python knows all white space that the pattern
 #: does, and some more.
@@ -28,7 +28,7 @@ SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Stands before a chunk that has no space before it, and twice for a line feed; no other chunk begins with it.
 BARE = "\n"
 FEED = BARE + BARE
-TOGETHER = 1 << 16
+TOGETHER = 4096
 TEXTS, CHARS = 128, 1 << 20
 
 
@@ -88,15 +88,9 @@ def chunks(text: str) -> list[str]:
 
 
 def bounded(names: list[str]) -> Iterator[list[str]]:
-    """Names in portions of about ``TOGETHER`` characters."""
-    at = 0
-    while at < len(names):
-        end, size = at, 0
-        while end < len(names) and size < TOGETHER:
-            size += len(names[end]) + 1
-            end += 1
-        yield names[at:end]
-        at = end
+    """Names in portions of a bounded number, which are small unless a name is long itself."""
+    for at in range(0, len(names), TOGETHER):
+        yield names[at : at + TOGETHER]
 
 
 class ByteEncoder:
@@ -111,7 +105,7 @@ class ByteEncoder:
             self.by_chunk = cuts_at_spaces(json.load(f))
         self.feed = self.whole("\n")
         self.by_chunk = self.by_chunk and len(self.feed) == 1
-        self.words = WordCache()
+        self.words = WordCache(ID_CACHE_BYTES)
         self.usual = self.tokenizer.pre_tokenizer
         #: For words that are one pre-token each and are written in the letters of bytes beforehand.
         self.plain = pre_tokenizers.WhitespaceSplit()
@@ -188,12 +182,13 @@ class ByteEncoder:
         self.words.make_room()
         known = self.words.known
         parts = [chunks(t) for t in texts]
-        if missing := set().union(*parts).difference(known):
+        if missing := self.words.recall(set().union(*parts).difference(known)):
             self.learn(missing)
         return [np.frombuffer(b"".join(map(known.__getitem__, p)), np.uint32) for p in parts]
 
     def forget(self) -> None:
         self.words.forget()
+        give_back()
 
 
 @functools.lru_cache(1)

@@ -104,14 +104,12 @@ class Templater:
     def marks(self, words: list[str]) -> list[int]:
         known = self.words.known
         marks = list(map(known.get, words))
-        new = [i for i, m in enumerate(marks) if m is None]
-        before = len(known)
-        for i in new:
-            w = words[i]
-            marks[i] = m = known.get(w) or word_mark(w)
-            known[w] = m
-        if len(known) > before:
-            self.words.note({words[i] for i in new})
+        if missing := [i for i, m in enumerate(marks) if m is None]:
+            new = self.words.recall({words[i] for i in missing})
+            self.words.note(new)
+            known.update({w: word_mark(w) for w in new})
+            for i in missing:
+                marks[i] = known[words[i]]
         return marks
 
     def __call__(self, texts: list[str | None]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, list[str], np.ndarray]:
@@ -184,6 +182,8 @@ def windows(rows: DataFrame, key: str, text: str, width: int, bitmap=None, width
     types = [to_arrow_type(kind), *[pa.int64()] * 5, pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from plumbline.llm.wordcache import give_back
+
         template = Templater()
         bits = None if bitmap is None else bitmap.value
         for batch in batches:
@@ -193,6 +193,8 @@ def windows(rows: DataFrame, key: str, text: str, width: int, bitmap=None, width
                 out = list(found(keys, *template(part.column(1).to_pylist()), bits))
                 for at in range(0, len(out), 20_000):
                     yield batch_of(out[at : at + 20_000])
+        template.words.forget()
+        give_back()
 
     def found(keys, readings, number, words, places, bits):
         firsts = np.searchsorted(number, np.arange(len(keys) + 1))

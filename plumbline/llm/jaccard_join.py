@@ -43,6 +43,8 @@ HUBS = 4
 #: Longer lists try hubs first, and still longer ones are first ordered anew. All ways find the same components.
 SHORT_LIST = 16
 LONG_LIST = 64
+#: Texts whose sets a task holds at once.
+TEXTS = 256
 
 
 class Shingler:
@@ -60,7 +62,7 @@ class Shingler:
             return np.empty(0, np.uint64)
         self.words.make_room()
         known = self.words.known
-        if new := set(words).difference(known):
+        if new := self.words.recall(set(words).difference(known)):
             self.words.note(new)
             for w in new:
                 known[w] = xxhash.xxh64_intdigest(w)
@@ -95,12 +97,15 @@ WHOLE = "sig binary, grams array<bigint>"
 
 def _per_batch(make, names, kinds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from plumbline.llm.wordcache import give_back
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(lo, TEXTS)
                 rows = [make(k, t) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
                 columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back()
 
     return run
 

@@ -9,7 +9,7 @@ import re
 
 import numpy as np
 
-from plumbline.llm.wordcache import WordCache
+from plumbline.llm.wordcache import ID_CACHE_BYTES, WordCache, give_back
 
 #: Characters that keep a text from being cut at its spaces or lower-cased beforehand: other spaces and separators,
 #: the dotted capital I, anything past the Latin blocks (it may combine or depend on its neighbours), and the opening
@@ -70,7 +70,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words = WordCache()
+        self.words = WordCache(ID_CACHE_BYTES)
 
     def read_as(self, way: tuple) -> None:
         self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = way
@@ -124,7 +124,8 @@ class WordEncoder:
         known = [None if ws is None else list(map(cache.get, ws)) for ws in words]
         gaps = [[i for i, k in enumerate(ks) if k is None] if ks and None in ks else () for ks in known]
         if missing := {ws[i] for ws, at in zip(words, gaps, strict=True) for i in at}:
-            self.learn(missing)
+            if new := self.words.recall(missing):
+                self.learn(new)
             for ws, ks, at in zip(words, known, gaps, strict=True):
                 for i in at:
                     ks[i] = cache[ws[i]]
@@ -134,6 +135,7 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.words.forget()
+        give_back()
 
 
 @functools.lru_cache(1)

@@ -10,12 +10,14 @@ import public_tokenizers
 import pytest
 from llm_fixtures import hostile, llm, none  # noqa: F401
 from oracle import connect
-from plumbline.llm import idfiles, merkle, spelling
+from plumbline.llm import bytetokens, idfiles, merkle, spelling
 from plumbline.llm.queries import QUERIES
 from plumbline.scale import shared_dir
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
+WHOLE = Tokenizer.from_file(BYTES)
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -141,17 +143,24 @@ def test_blocks():
             list(idfiles.read_blocks(damaged + block))
 
 
-def test_long_texts_are_cut_where_the_tokenizer_cuts():
-    text = "It's a long 12 tale,  don't  cut\n it here . " * 400 + "x" * 3_000 + " é end of it"
-    assert "".join(idfiles.pieces(text, 200)) == text and len(idfiles.pieces(text, 200)) > 20
-    assert idfiles.cuts_between_words(BYTES) and not idfiles.cuts_between_words(public_tokenizers.path("word_bpe_49k.json"))
-    whole = idfiles.loaded(BYTES).encode(text, add_special_tokens=False).ids
-    parts = [i for p in idfiles.pieces(text, 200) for i in idfiles.loaded(BYTES).encode(p, add_special_tokens=False).ids]
-    assert parts == whole
+def test_chunks_have_the_ids_of_whole_texts():
+    e = bytetokens.ByteEncoder(BYTES)
+    odd = ["", " ", "a", " a", "a ", "a  b", "a\n\nb", "a\nb c", "a \n b", "a\tb c\x1cd e", "it's don't 'tis x's y", "a\u00a0b c\u3000d e",
+           "\n", "\n\n", "\na\n", "<|endoftext|> x <|endoftext|>y", "a\r\nb c", "x\x85y z", "12 3 4.5,6 - -- b", " \n\n a  \n", "Ġa ĠĠ",
+           "\U0001f600 b\u200bc d", "  lead", "tail  ", "don't, (don't) 'we'll' \"we'll\". e\u0301 é ŉ", "x" * 5_000, "word.)word word'. word's, 一二 ١٢"]
+    for t in [*odd, "\n".join(odd), " ".join(odd), " ".join(odd * 40)]:
+        assert e.batch([t])[0].tolist() == e.whole(t).tolist(), t
+    assert [i.tolist() for i in e.batch(odd)] == [e.whole(t).tolist() for t in odd]
+    e.words.max_bytes = 1 << 16
+    for k in range(30):
+        text = " ".join(f"w{k}x{i}, {chr(97 + k % 26)}b" for i in range(500))
+        assert e.batch([text])[0].tolist() == e.whole(text).tolist() and len(e.words.known) + len(e.words.older) < 3_000
+    other = bytetokens.ByteEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert not other.by_chunk and other.batch(["It's A b", ""])[0].tolist() == other.whole("It's A b").tolist()
 
 
 def plain_files(docs):
-    ids = [(k, [*idfiles.loaded(BYTES).encode(t or "", add_special_tokens=False).ids, 2]) for k, t in docs]
+    ids = [(k, [*WHOLE.encode(t or "", add_special_tokens=False).ids, 2]) for k, t in docs]
     out, at = [], 0
     for k, i in sorted(ids, key=lambda x: (x[0] is not None, x[0] or 0)):
         out.append((k, at, len(i), zlib.crc32(np.asarray(i, "<u4").tobytes())))
@@ -182,7 +191,7 @@ def test_ids_come_back_and_common_ids_are_short(llm, spark, sf):
     idfiles.save(idfiles.encode(docs, BYTES), path)
     read = {r._key: np.frombuffer(r.ids, "<u4").tolist() for r in idfiles.decode(spark, path).collect()}
     for r in docs.limit(20).collect():
-        assert read[r.doc_id] == [*idfiles.loaded(BYTES).encode(r.text, add_special_tokens=False).ids, 2]
+        assert read[r.doc_id] == [*WHOLE.encode(r.text, add_special_tokens=False).ids, 2]
     n = sum(map(len, read.values()))
     size = sum(len(r.content) for r in idfiles.load_bytes(spark, f"{path}/blocks").collect())
     assert size < 1.8 * n

@@ -1,6 +1,7 @@
 """The operators on small made-up rows: the cases that the tables lack."""
 
 import hashlib
+import zlib
 
 import brute
 import numpy as np
@@ -122,6 +123,31 @@ class TestHostileRows:
         assert [tuple(t) for t in read[2].t] == [("a\nb<|says|>", "z" * 100_000)] and len(read[None].t) == 1
         assert chat_format.format_chats(llm.createDataFrame([], schema)).count() == 0
 
+    def test_many_turns_of_one_role(self, llm):
+        """Twice the turns take about twice the time, whether a block has many turns or a conversation many blocks."""
+        import time
+
+        schema = "conv_id bigint, turn bigint, role string, text string"
+        for roles in (("assistant",), ("user", "assistant")):
+            seconds = []
+            for n in (2_000, 2_000, 8_000):
+                rows = [(1, i, roles[i % len(roles)], f"text {i}") for i in range(n)]
+                chats = chat_format.format_chats(llm.createDataFrame(rows, schema))
+                began = time.perf_counter()
+                (r,) = chats.collect()
+                seconds.append(time.perf_counter() - began)
+                cut = [r.formatted[s.start : s.start + s.length] for s in r.loss_spans]
+                assert cut == [t for _, _, role, t in rows if role == "assistant"]
+            assert seconds[2] < 8 * seconds[1] + 2
+
+    def test_no_pages_and_a_long_one(self, llm):
+        schema = "page_id bigint, url string, html string"
+        assert html_extract.extract(llm.createDataFrame([], schema)).count() == 0
+        words = "A long, long tale of many words. " * 40
+        source = "<body>" + f"<div><p>{words}</p><span class=ad>x</span>" * 3_000
+        (r,) = html_extract.extract(llm.createDataFrame([(1, "u", source)], schema)).collect()
+        assert r.text == "\n".join([words.strip()] * 3_000)
+
     def test_pages(self, llm):
         pages = llm.createDataFrame([(1, None, None), (1, "u", ""), (None, "u", "<p>x")], "page_id bigint, url string, html string")
         got = html_extract.extract(pages.withColumn("text", F.lit(0))).collect()
@@ -305,6 +331,79 @@ class TestMethods:
         unmarked = page.replace("class=nav", "class=x")
         assert html_extract.main_text(unmarked) == html_extract.main_text(page)
 
+    @pytest.mark.parametrize(
+        "name", ["elementor-widget", "social-science", "search-results", "discussion-paper", "form-of-government", "entry-header", "comment-box"]
+    )
+    @pytest.mark.parametrize("outer", ["article", "div", "form"])
+    def test_marks_on_wrappers_are_ignored(self, name, outer):
+        if (outer, name) == ("form", "comment-box"):
+            pytest.skip("two marks around each other, of which one says comments")
+        body = [f"Paragraph {i}, which is long enough, tells of this, of that, and of other things." for i in range(5)]
+        inner = "".join(f"<p>{t}</p>" for t in body)
+        notice = "<div class='social widget'><p>Share this, if you like, with friends.</p></div>"
+        page = f"<body><{outer}><h1>Title</h1><div class={name}>{notice}{inner}</div></{outer}><div class=comments><p>So true, all.</p></div></body>"
+        assert html_extract.main_text(page).split("\n") == ["Title", *body]
+
+    def test_scores_decide_among_containers(self, monkeypatch):
+        """Without an article element: the wrapper that says most stays, marked ones beside it go, comments even if longer."""
+        story = [f"Sentence {i}, with commas, that runs on for a while, as stories do, until it ends." for i in range(6)]
+        tell = "".join(f"<p>{t}</p>" for t in story)
+        talk = "".join(f"<p>Reader {i}, in short, disagrees, and says so, at some length, again and again.</p>" for i in range(9))
+        page = (
+            "<body><div class=widget><p>Buy one, get one, today, only here, in our shop, while it lasts.</p></div>"
+            f"<div class='post widget'><h2>Story</h2>{tell}</div><div class=comments>{talk}</div>"
+            "<div class=sponsored><p>A word, or two, from our sponsor, who pays, for all of it.</p></div></body>"
+        )
+        assert html_extract.main_text(page).split("\n") == ["Story", *story]
+        beside = page.replace("<body>", "<body><article><h1>Own</h1><p>Short.</p></article>")
+        assert html_extract.main_text(beside) == "Own\nShort."
+        monkeypatch.setattr(html_extract, "earns", lambda text, links: 0.0)
+        assert html_extract.main_text(page) != "\n".join(["Story", *story])
+
+    def test_rows_of_one_key_are_judged_each(self, llm):
+        """A key with several texts loses those that repeat another, and no other."""
+        a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+        rows = [(3, b), (5, a), (5, b), (5, a), (7, a), (8, ""), (8, ""), (9, None), (None, a), (None, b)]
+        got = jaccard_join.one_of_each(llm.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(3, b), (5, a), (8, ""), (9, None), (None, a), (None, b)]))
+        item = " ".join(f"w{i}" for i in range(32))
+        parts = [" ".join(item.split()[k : k + 10]) for k in (0, 10, 20)]
+        docs = llm.createDataFrame([(7, "x y " + p) for p in parts] + [(8, item), (8, "clean text")], "doc_id bigint, text string")
+        bench = llm.createDataFrame([(1, item)], "item_id bigint, text string")
+        found = decontaminate.contaminations(docs, bench).collect()
+        assert [(r.doc_id, r.covered) for r in found] == [(8, 32)]
+        kept = {tuple(r) for r in decontaminate.clean(docs, bench).collect()}
+        assert kept == {(7, "x y " + p) for p in parts} | {(8, "clean text")}
+        halves = llm.createDataFrame([(1, p) for p in (" ".join(item.split()[:16]), " ".join(item.split()[16:]))], "item_id bigint, text string")
+        twice = decontaminate.contaminations(docs, halves).collect()
+        assert {(r.doc_id, r.covered, r.item_tokens) for r in twice} == {(7, 10, 16), (8, 16, 16)}
+
+    def test_any_tokenizer_packs_right(self, llm):
+        """A tokenizer that reads in another way than word by word is given whole texts."""
+        from tokenizers import Tokenizer
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+        texts = ["It's  A test", "with Upper CASE\nand lines " * 300, ""]
+        whole = Tokenizer.from_file(path)
+        for p in packing.pack(llm.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path).collect():
+            ids = np.asarray([*whole.encode(texts[p.doc_id], add_special_tokens=False).ids, 1], "<u4")
+            assert p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes())
+
+    def test_caches_stay_within_their_bytes(self):
+        from plumbline.llm.tokens import WordEncoder
+
+        e = WordEncoder(WORDS)
+        e.words.max_bytes = 1 << 20
+        for k in range(40):
+            text = " ".join([*(f"word{k}x{i}" for i in range(2_000)), "always", "here"])
+            assert e.batch([text])[0].tolist() == e.whole(text).tolist()
+            assert len(e.words.known) + len(e.words.older) < 20_000
+        shingle = jaccard_join.Shingler(3)
+        shingle.words.max_bytes = 1 << 20
+        for k in range(40):
+            shingle(" ".join(f"w{k}x{i}" for i in range(2_000)))
+            assert len(shingle.words.known) + len(shingle.words.older) < 20_000
+
     def test_redaction(self, llm):
         docs = llm.createDataFrame([(1, "write a@b.co or +1 234 567 8901, at 1.2.3.4.")], "doc_id int, text string")
         found = pii.find_personal_data(docs).join(docs, "doc_id")
