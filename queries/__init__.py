@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("charts", "layers", "governed", "operations")
+MODULES = ("charts", "layers", "goldtables", "governed", "operations")
 
 
 def all_registries():

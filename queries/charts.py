@@ -164,7 +164,7 @@ def spc_baseline(spark, sf):
     return rounded(spc.frozen_baseline(measurements(spark, sf), tie=TIE))
 
 
-def subgroup_sql(size, spread, expr, mean_f, low_f, high_f, sigma_f, order, tighten):
+def subgroup_sql(size, spread, expr, mean_f, low_f, high_f, sigma_f, order, tighten, baseline=None):
     columns = (
         f"xbar_grand xbar_ucl xbar_cl xbar_lcl {spread}_bar {spread}_ucl {spread}_cl {spread}_lcl lsl usl cp cpk"
     )
@@ -201,7 +201,7 @@ tight AS (
   SELECT *, {limit},
          CASE WHEN sig > 0 THEN (usl - lsl) / (6 * sig) END AS cp,
          CASE WHEN sig > 0 THEN least(usl - xbar_grand, xbar_grand - lsl) / (3 * sig) END AS cpk,
-         avg(xbar_grand) OVER (PARTITION BY {K3}) AS centre
+         avg(xbar_grand){f" FILTER ({baseline})" if baseline else ""} OVER (PARTITION BY {K3}) AS centre
   FROM chart),
 {run_rules_sql("tight", "xbar_grand", "centre", K3, "analysis_date, lsl, usl", "ruled")}
 SELECT {K3}, analysis_date, CAST({size} AS BIGINT) AS subgroup_size, {r6(columns)},
@@ -238,7 +238,8 @@ def spc_xbar_r_daily(spark, sf):
     return rounded(spc.xbar_r_chart(measurements(spark, sf), 5, tie=TIE))
 
 
-def count_chart_sql(p):
+def count_chart_sql(p, baseline=None):
+    """SQL of a count chart; with ``baseline``, a condition on days, the centre line is the mean over these."""
     value, centre, margin = (
         ("p", "p_bar", "3 * sqrt(p_bar * (1 - p_bar) / n)") if p else ("c", "c_bar", "3 * sqrt(c_bar)")
     )
@@ -248,7 +249,7 @@ daily AS (
   SELECT process_id, shift, analysis_date, count(*) AS n, count(*) FILTER (overall_judgment = 'NG') AS np
   FROM rec GROUP BY ALL),
 vals AS (SELECT *, np::DOUBLE / n AS p, np::DOUBLE AS c FROM daily),
-centred AS (SELECT *, avg({value}) OVER (PARTITION BY process_id, shift) AS {centre} FROM vals),
+centred AS (SELECT *, avg({value}){f" FILTER ({baseline})" if baseline else ""} OVER (PARTITION BY process_id, shift) AS {centre} FROM vals),
 lims AS (SELECT *, {centre} AS cl, {centre} + {margin} AS ucl, greatest({centre} - {margin}, 0.0) AS lcl FROM centred),
 pointed AS (SELECT *, CASE WHEN {value} > ucl OR {value} < lcl THEN 1 ELSE 0 END AS ooc_points FROM lims),
 {run_rules_sql("pointed", value, "cl", "process_id, shift", "analysis_date", "ruled")}
@@ -267,6 +268,21 @@ def spc_c_chart(spark, sf):
     return rounded(spc.c_chart(records(spark, sf)))
 
 
+RANGE = ("2024-01-03", "2024-01-12")
+IN_RANGE = "analysis_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-12'"
+
+
+@R.add(count_chart_sql(True, IN_RANGE))
+def spc_p_chart_range(spark, sf):
+    """Centre line over a stated range of days, which holds for all days."""
+    return rounded(spc.p_chart(records(spark, sf), baseline=RANGE))
+
+
+@R.add(count_chart_sql(False, IN_RANGE))
+def spc_c_chart_range(spark, sf):
+    return rounded(spc.c_chart(records(spark, sf), baseline=RANGE))
+
+
 @R.add(f"""WITH RECURSIVE {MEASUREMENTS_SQL},
 daily AS (SELECT {K3}, analysis_date, avg(x) AS x FROM meas GROUP BY ALL),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY {K3} ORDER BY analysis_date) AS rn,

@@ -974,32 +974,6 @@ def fact_run(spark, sf):
     return rounded(copies[0].unionByName(copies[1]))
 
 
-DAYS = "analysis_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'"
-
-
-@R.add(f"""WITH {MEASUREMENTS_SQL}, {RECORDS_SQL},
-imr AS (SELECT * FROM meas WHERE tank_name <> 'T1'), prod AS (SELECT * FROM meas WHERE tank_name = 'T1'),
-pd AS (SELECT process_id, tank_name, analysis_date, count(*) AS n FROM prod WHERE {DAYS} GROUP BY ALL)
-SELECT 'agg_qualification_rate_daily' AS table_name, count(DISTINCT (process_id, shift, analysis_date)) AS rows
-  FROM rec WHERE {DAYS}
-UNION ALL SELECT 'agg_warning_statistics_daily', count(DISTINCT (process_id, shift, analysis_date)) FROM rec WHERE {DAYS}
-UNION ALL SELECT 'spc_capability_daily', count(DISTINCT (process_id, tank_name, shift, analysis_date)) FROM imr
-  WHERE {DAYS}
-UNION ALL SELECT 'spc_baseline', count(DISTINCT (process_id, tank_name)) FROM imr
-UNION ALL SELECT 'spc_trend_ma', count(DISTINCT (process_id, tank_name, analysis_date)) FROM meas WHERE {DAYS}
-UNION ALL SELECT 'spc_xbar_r_chart', count(*) FROM pd WHERE n >= 5
-UNION ALL SELECT 'spc_xbar_s_chart', count(*) FROM pd WHERE n >= 10
-UNION ALL SELECT 'spc_p_chart', count(DISTINCT (process_id, shift, analysis_date)) FROM rec WHERE {DAYS}
-UNION ALL SELECT 'spc_c_chart', count(DISTINCT (process_id, shift, analysis_date)) FROM rec WHERE {DAYS}
-UNION ALL SELECT 'spc_monthly_alarm_rate', count(DISTINCT (process_id, tank_name)) FROM (
-  SELECT process_id, tank_name, shift FROM imr GROUP BY ALL HAVING count(DISTINCT analysis_date) >= 25)""")
-def gold_run(spark, sf):
-    """Row counts of all gold tables of one run over ten days of the month."""
-    wide = chart_rows(spark, sf)
-    tables = gold.gold_run(records(spark, sf), wide, "2024-01-10", "2024-01-20", tie=["analysis_id"], stage=True)
-    return gold.count_rows(tables)
-
-
 @R.add(f"""WITH {FACT_SQL}, {VERSIONS_SQL}
 SELECT 'dim_customer' AS table_name, count(*) AS rows FROM cur
 UNION ALL SELECT 'fact_records ' || strftime(analysis_date, '%Y-%m-%d'), count(*) FROM fact GROUP BY analysis_date""")
@@ -1038,33 +1012,6 @@ def serving_sync(spark, sf):
     return rounded(serving.final(synced, name).drop("updated_at"))
 
 
-DAY15 = "analysis_date = DATE '2024-01-15'"
-
-
-@R.add(f"""WITH {MEASUREMENTS_SQL}, {RECORDS_SQL},
-imr AS (SELECT * FROM meas WHERE tank_name <> 'T1'), prod AS (SELECT * FROM meas WHERE tank_name = 'T1'),
-pd AS (SELECT process_id, tank_name, analysis_date, count(*) AS n FROM prod WHERE {DAY15} GROUP BY ALL),
-c AS (SELECT count(DISTINCT (process_id, shift)) AS n FROM rec WHERE {DAY15})
-SELECT 'agg_qualification_rate_daily' AS table_name, n AS rows FROM c
-UNION ALL SELECT 'agg_warning_statistics_daily', n FROM c
-UNION ALL SELECT 'spc_p_chart', n FROM c UNION ALL SELECT 'spc_c_chart', n FROM c
-UNION ALL SELECT 'spc_capability_daily', count(DISTINCT (process_id, tank_name, shift)) FROM imr WHERE {DAY15}
-UNION ALL SELECT 'spc_trend_ma', count(DISTINCT (process_id, tank_name)) FROM meas WHERE {DAY15}
-UNION ALL SELECT 'spc_xbar_r_chart', count(*) FROM pd WHERE n >= 5
-UNION ALL SELECT 'spc_xbar_s_chart', count(*) FROM pd WHERE n >= 10
-UNION ALL SELECT 'spc_monthly_alarm_rate', count(DISTINCT (process_id, tank_name)) FROM (
-  SELECT process_id, tank_name, shift FROM imr GROUP BY ALL HAVING count(DISTINCT analysis_date) >= 25)""")
-def serving_run(spark, sf):
-    """Nine serving tables after the same day has been synchronised twice."""
-    wide = chart_rows(spark, sf)
-    tables = gold.gold_run(records(spark, sf), wide, "2024-01-10", "2024-01-20", tie=["analysis_id"], stage=True)
-    tables = {name: materialise(df, "gold") for name, df in tables.items()}
-    served = serving.sync_all(tables, {}, "2024-01-15", now())
-    later = F.lit("2024-02-02").cast("timestamp")
-    served = serving.sync_all(tables, served, "2024-01-15", later)
-    return gold.count_rows({name: serving.final(df, name) for name, df in served.items()})
-
-
 # --- modeled tables --------------------------------------------------------------------------
 
 C = model.ModelColumn
