@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.scale import materialise, null_safe_join
-from plumbline.sources.sinks import ParquetTable, create_if_absent, drop_partitions, write_partitions
+from plumbline.scale import null_safe_join
+from plumbline.sources.sinks import create_if_absent
+from plumbline.sources.versions import VersionedTable
 
 DAY = "analysis_date"
 MONTH = "month_start"
@@ -38,14 +39,14 @@ def date_lit(day: str | dt.date) -> Column:
     return F.lit(str(day)).cast("date")
 
 
-def stored_months(spark: SparkSession, table: ParquetTable) -> list[dt.date]:
-    """Months that a table has partitions of, by the names of their folders."""
-    if not table.exists(spark):
-        return []
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.path)
-    folders = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    names = [f.getPath().getName() for f in folders]
-    return [dt.date.fromisoformat(n.removeprefix(f"{MONTH}=")) for n in names if n.startswith(f"{MONTH}=")]
+def stored_months(spark: SparkSession, table: VersionedTable) -> list[dt.date]:
+    """Months that a table has partitions of, by its manifest."""
+    now = table.current(spark)
+    return [dt.date.fromisoformat(k.removeprefix(f"{MONTH}=")) for k in now.entries] if now else []
+
+
+def month_frame(spark: SparkSession, months: Sequence[dt.date]) -> DataFrame:
+    return spark.createDataFrame([(m,) for m in months], f"{MONTH} date")
 
 
 @dataclass(frozen=True)
@@ -62,24 +63,24 @@ class DayTable:
     sums: tuple[str, ...] = ()
 
     @property
-    def rows(self) -> ParquetTable:
-        return ParquetTable(f"{self.path}/rows", (MONTH,))
+    def rows(self) -> VersionedTable:
+        return VersionedTable(f"{self.path}/rows", (MONTH,))
 
     @property
-    def tails(self) -> ParquetTable:
-        return ParquetTable(f"{self.path}/tails", (MONTH,))
+    def tails(self) -> VersionedTable:
+        return VersionedTable(f"{self.path}/tails", (MONTH,))
 
     @property
-    def totals(self) -> ParquetTable:
-        return ParquetTable(f"{self.path}/totals", (MONTH,))
+    def totals(self) -> VersionedTable:
+        return VersionedTable(f"{self.path}/totals", (MONTH,))
 
     def exists(self, spark: SparkSession) -> bool:
         return self.shape.exists(spark)
 
     @property
-    def shape(self) -> ParquetTable:
+    def shape(self) -> VersionedTable:
         """No rows, but the types of all columns, which a table without months can't tell."""
-        return ParquetTable(f"{self.path}/shape")
+        return VersionedTable(f"{self.path}/shape")
 
     def stored(self, spark: SparkSession) -> DataFrame:
         return self.rows.typed(self.shape.read(spark).schema).read(spark)
@@ -98,10 +99,8 @@ class DayTable:
             inside = F.col(DAY).between(date_lit(start), date_lit(end))
             held = self.stored(spark).where(F.col(MONTH).between(date_lit(first), date_lit(last)))
             monthly = held.where(~inside).select(*monthly.columns).unionByName(monthly)
-        fresh = materialise(monthly, "months")
-        # a month without rows keeps an empty partition, so that its old rows don't stay
-        write_partitions(fresh, self.rows)
-        _drop_other_months(fresh, months, self.rows)
+        # a month that is left without rows ends
+        self.rows.replace_partitions(monthly, month_frame(spark, months))
         self.refresh(spark, first)
 
     def refresh(self, spark: SparkSession, first: dt.date) -> None:
@@ -128,7 +127,7 @@ class DayTable:
         known = rows.withColumn("_until", until(pushed_out))
         tails = known.withColumn("_month", F.explode(months(F.greatest(F.col(MONTH), earlier), F.col("_until"))))
         tails = tails.where(F.col("_month") > date_lit(first)).select(*names, F.col("_month").alias(MONTH))
-        self._replace_after(materialise(tails, "tails"), self.tails, first, behind)
+        self._replace_after(tails, self.tails, first, behind)
         if self.sums:
             own = stored.groupBy(*self.keys, MONTH).agg(F.count("*").alias("_rows"), *[F.sum(c).alias(c) for c in self.sums])
             counted = ["_rows", *self.sums]
@@ -141,10 +140,10 @@ class DayTable:
             )
             spread = run.withColumn("_month", F.explode(months(F.col(MONTH), F.col("_until"))))
             spread = spread.where(F.col("_month") > date_lit(first)).select(*self.keys, *counted, F.col("_month").alias(MONTH))
-            self._replace_after(materialise(spread, "totals"), self.totals, first, behind)
+            self._replace_after(spread, self.totals, first, behind)
 
     def _opening(
-        self, spark: SparkSession, table: ParquetTable, month: dt.date, names: Sequence[str], like: DataFrame
+        self, spark: SparkSession, table: VersionedTable, month: dt.date, names: Sequence[str], like: DataFrame
     ) -> DataFrame:
         """Rows of the opening of a month: of its partition, or of the last one stored, if that is earlier."""
         if not stored_months(spark, table):
@@ -152,13 +151,12 @@ class DayTable:
         at = min(month, max(stored_months(spark, table), default=month))
         return table.read(spark).where(F.col(MONTH) == date_lit(at)).select(*names)
 
-    def _replace_after(self, made: DataFrame, table: ParquetTable, first: dt.date, behind: dt.date) -> None:
-        write_partitions(made, table)
+    def _replace_after(self, made: DataFrame, table: VersionedTable, first: dt.date, behind: dt.date) -> None:
         months, month = [], following(first)
         while month <= behind:
             months.append(month)
             month = following(month)
-        _drop_other_months(made, months, table)
+        table.replace_partitions(made, month_frame(made.sparkSession, months))
 
     def window(self, spark: SparkSession, start: str, end: str) -> DataFrame:
         """The rows of the months from ``start`` to ``end``, up to ``end``, and the opening of the first one."""
@@ -187,12 +185,3 @@ class DayTable:
         rows = F.col("_rows") - F.coalesce("_less", F.lit(0))
         total = F.col(value) - F.coalesce("_low", F.lit(0))
         return both.select(*self.keys, F.when(rows > 0, total / rows).alias("_centre"))
-
-
-def _drop_other_months(kept: DataFrame, months: Sequence[dt.date], table: ParquetTable) -> None:
-    """Remove the partitions among ``months`` that a write had no rows for. Months are metadata."""
-    spark = kept.sparkSession
-    have = {r[0] for r in kept.select(MONTH).distinct().collect()}
-    gone = [(m,) for m in months if m not in have]
-    if gone:
-        drop_partitions(spark.createDataFrame(gone, f"{MONTH} date"), table)

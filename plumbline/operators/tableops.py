@@ -11,6 +11,7 @@ from pyspark.sql.types import DataType
 
 from plumbline.errors import SpecError
 from plumbline.scale import keyset_join, materialise
+from plumbline.sources.versions import VersionedTable
 
 # Fixed value: a data file below this size counts as small.
 SMALL_FILE = 32 * 1024 * 1024
@@ -45,7 +46,9 @@ def alter(
             raise SpecError(f"column {column!r} exists")
         return df.withColumn(column, F.lit(None).cast(data_type))
     if op == "rename":
-        return df.withColumnRenamed(column, identifier(new_name))
+        if identifier(new_name).lower() in {c.lower() for c in df.columns if c != column}:
+            raise SpecError(f"column {new_name!r} exists")
+        return df.withColumnRenamed(column, new_name)
     if op == "drop":
         return df.drop(column)
     if op in ("widen", "narrow"):
@@ -103,14 +106,53 @@ def patch(df: DataFrame, op: str, where: str, assign: Mapping[str, str] | None =
     )
 
 
-def pre_image(df: DataFrame, where: str, by: Sequence[str]) -> DataFrame:
+def touched_partitions(
+    df: DataFrame, where: str, by: Sequence[str], op: str = "delete", assign: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Partitions that a patch will rewrite: those that its rows leave, and those that they move to."""
+    hit = df.filter(_hit(where))
+    keys = hit.select(*by)
+    if op == "update" and assign and set(assign) & set(by):
+        keys = keys.unionByName(patch(hit, op, where, assign).select(*by))
+    return keys.distinct()
+
+
+def pre_image(
+    df: DataFrame, where: str, by: Sequence[str], op: str = "delete", assign: Mapping[str, str] | None = None
+) -> DataFrame:
     """All rows of the partitions that a patch will rewrite, kept as a written copy."""
-    return materialise(keyset_join(df, df.filter(_hit(where)), list(by), "left_semi"), "pre-image")
+    return materialise(keyset_join(df, touched_partitions(df, where, by, op, assign), list(by), "left_semi"), "pre-image")
 
 
-def rollback(patched: DataFrame, before: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Put the partitions of the pre-image back."""
-    return keyset_join(patched, before, list(by), "left_anti").unionByName(before)
+def rollback(patched: DataFrame, before: DataFrame, by: Sequence[str], touched: DataFrame | None = None) -> DataFrame:
+    """Put the partitions of the pre-image back. ``touched`` names further ones, which had no rows before the patch."""
+    keys = before.select(*by)
+    keys = keys if touched is None else keys.unionByName(touched.select(*by))
+    return keyset_join(patched, keys, list(by), "left_anti").unionByName(before)
+
+
+def patch_table(
+    table: VersionedTable, spark: SparkSession, op: str, where: str, assign: Mapping[str, str] | None = None
+) -> int:
+    """Patch a stored table in one switch. Only touched partitions are rewritten.
+
+    Returns the version before, which ``table.rollback`` makes current again, whatever the patch moved.
+    """
+    before = table.current(spark).version
+    df = table.read(spark)
+    by = list(table.by)
+    if not by:
+        table.replace_all(patch(df, op, where, assign))
+        return before
+    touched = materialise(touched_partitions(df, where, by, op, assign), "touched")
+    table.replace_partitions(patch(keyset_join(df, touched, by, "left_semi"), op, where, assign), touched)
+    return before
+
+
+def narrowing_losses(df: DataFrame, column: str, data_type: str) -> DataFrame:
+    """How many values of a column would become null in a narrower type, to be looked at before approval."""
+    kept = F.col(identifier(column))
+    return df.agg(F.count_if(kept.isNotNull() & kept.try_cast(data_type).isNull()).alias("lost_values"))
 
 
 def table_files(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,8 @@ from plumbline.functions.cleansing import applicable_rules, characteristic_type
 from plumbline.operators import daily, spc, watermark
 from plumbline.operators.upsert import months_predicate, replace_where
 from plumbline.scale import lookup_join, materialise
-from plumbline.sources.sinks import ParquetTable, create_if_absent, replace_range, rewrite
+from plumbline.sources.sinks import create_if_absent, replace_range, rewrite
+from plumbline.sources.versions import VersionedTable
 
 
 def chart_input(measures: DataFrame, records: DataFrame, categories: DataFrame) -> DataFrame:
@@ -114,26 +115,29 @@ def count_rows(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def published(root: str, name: str) -> VersionedTable:
+    """A gold table below ``root``. Daily tables are partitioned by month."""
+    whole = name in ("spc_baseline", "spc_monthly_alarm_rate")
+    return VersionedTable(f"{root}/{name}", () if whole else ("month_start",))
+
+
 def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, start: str, end: str) -> None:
-    """Write the result of a run. Repeating a run, or running ranges in any order, gives the same tables.
+    """Write the result of a run, one switch per table. Repeating a run, or running ranges in any order, gives the same
+    tables.
 
-    Daily tables replace the rows of the range and are partitioned by month. The alarm rate replaces
-    its months. Finished baselines are kept.
+    Daily tables replace the rows of the range. The alarm rate replaces its months. Finished baselines are kept.
     """
     for name, df in tables.items():
+        target = published(root, name)
         if name == "spc_baseline":
-            target = ParquetTable(f"{root}/{name}")
             if not create_if_absent(df, target):
                 rewrite(target, lambda old, new=df: spc.freeze(old, new), spark)
         elif name == "spc_monthly_alarm_rate":
-            target = ParquetTable(f"{root}/{name}")
             if not create_if_absent(df, target):
                 months = months_predicate(start, end)
                 rewrite(target, lambda old, new=df: replace_where(old, new, months), spark)
         else:
-            target = ParquetTable(f"{root}/{name}", ("month_start",))
-            monthly = df.withColumn("month_start", F.trunc(spc.DAY, "MM"))
-            replace_range(monthly, target, spc.DAY, start, end)
+            replace_range(df.withColumn("month_start", F.trunc(spc.DAY, "MM")), target, spc.DAY, start, end)
 
 
 def backfill_spc(

@@ -21,7 +21,8 @@ from plumbline.operators import daily, spc
 from plumbline.operators.daystate import DAY, DayTable, date_lit, month_of, stored_months
 from plumbline.plans.gold import individuals_scope, month_range, product_scope, within
 from plumbline.scale import keyset_join, materialise
-from plumbline.sources.sinks import ParquetTable, create_if_absent, rewrite
+from plumbline.sources.sinks import create_if_absent, rewrite
+from plumbline.sources.versions import VersionedTable
 
 #: A chart row looks back on 29 rows for its limits, its run rules on the limits of 8 rows before, and the first of all
 #: these rows on the value before it.
@@ -74,13 +75,13 @@ class GoldState:
         return self.table("trend", spc.CHART_KEYS, (), TREND_DEPTH)
 
     @property
-    def baseline_days(self) -> ParquetTable:
+    def baseline_days(self) -> VersionedTable:
         """Day rows of the keys whose baseline is still preliminary, at most as many as a baseline takes."""
-        return ParquetTable(f"{self.root}/baseline_days")
+        return VersionedTable(f"{self.root}/baseline_days")
 
     @property
-    def baselines(self) -> ParquetTable:
-        return ParquetTable(f"{self.root}/baselines")
+    def baselines(self) -> VersionedTable:
+        return VersionedTable(f"{self.root}/baselines")
 
 
 def run_days(

@@ -1,6 +1,7 @@
-"""Writers. This is the only module that changes stored data.
+"""Writers. This module and ``versions`` are the only ones that change stored data.
 
-Every write goes through Spark's file committer, so a lost executor only repeats its tasks. A frame
+A ``ParquetTable`` is a plain folder, changed in place; a ``VersionedTable`` is changed by one switch per write, and all
+functions here take either. Every write goes through Spark's file committer, so a lost executor only repeats its tasks. A frame
 that is derived from the folder it replaces is first written to a staging folder in the shared
 directory, because Spark cannot overwrite what it still has to read.
 """
@@ -15,11 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.scale import keyset_join, materialise, null_safe_join
-
-
-#: Fixed values of Spark's partition folders: the name of null, and the characters that are escaped.
-NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
-ESCAPED = "\"#%'*/:=?\\{[]^"
+from plumbline.sources.versions import VersionedTable, partition_folder, publish_pair
 
 
 @dataclass(frozen=True)
@@ -45,6 +42,9 @@ class ParquetTable:
         return replace(self, schema=T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields]))
 
 
+Table = ParquetTable | VersionedTable
+
+
 def _path(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
 
@@ -58,7 +58,7 @@ def _writer(df: DataFrame, table: ParquetTable, mode: str, overwrite: str):
     return writer.partitionBy(*table.by) if table.by else writer
 
 
-def cluster_for_write(df: DataFrame, table: ParquetTable) -> DataFrame:
+def cluster_for_write(df: DataFrame, table: Table) -> DataFrame:
     """Shuffle rows to their partition folder, so that a folder gets few files.
 
     Spark rebalances by size: small folders share a task and an oversized folder is split.
@@ -66,26 +66,34 @@ def cluster_for_write(df: DataFrame, table: ParquetTable) -> DataFrame:
     return df.hint("rebalance", *[F.col(c) for c in table.by]) if table.by else df
 
 
-def write_create(df: DataFrame, table: ParquetTable) -> None:
+def write_create(df: DataFrame, table: Table) -> None:
     """Create the table; an existing one is an error."""
+    if isinstance(table, VersionedTable):
+        return table.create(df)
     _writer(df, table, "errorifexists", "static").parquet(table.path)
 
 
-def write_append(df: DataFrame, table: ParquetTable) -> None:
+def write_append(df: DataFrame, table: Table) -> None:
+    if isinstance(table, VersionedTable):
+        return table.append(df)
     _writer(df, table, "append", "static").parquet(table.path)
 
 
-def write_replace(df: DataFrame, table: ParquetTable) -> None:
+def write_replace(df: DataFrame, table: Table) -> None:
     """Replace the whole table."""
+    if isinstance(table, VersionedTable):
+        return table.replace_all(df)
     _writer(df, table, "overwrite", "static").parquet(table.path)
 
 
-def write_partitions(df: DataFrame, table: ParquetTable) -> None:
+def write_partitions(df: DataFrame, table: Table) -> None:
     """Replace exactly the partitions that occur in the frame and leave all others alone."""
+    if isinstance(table, VersionedTable):
+        return table.replace_partitions(df)
     _writer(df, table, "overwrite", "dynamic").parquet(table.path)
 
 
-def create_if_absent(df: DataFrame, table: ParquetTable) -> bool:
+def create_if_absent(df: DataFrame, table: Table) -> bool:
     spark = df.sparkSession
     if table.exists(spark):
         return False
@@ -93,17 +101,21 @@ def create_if_absent(df: DataFrame, table: ParquetTable) -> bool:
     return True
 
 
-def rewrite(table: ParquetTable, change: Callable[[DataFrame], DataFrame], spark: SparkSession) -> None:
+def rewrite(table: Table, change: Callable[[DataFrame], DataFrame], spark: SparkSession) -> None:
     """Replace the table by a frame derived from it."""
+    if isinstance(table, VersionedTable):
+        return table.rewrite(change, spark)
     write_replace(materialise(change(table.read(spark))), table)
 
 
-def replace_range(df: DataFrame, table: ParquetTable, column: str, start: str, end: str) -> None:
+def replace_range(df: DataFrame, table: Table, column: str, start: str, end: str) -> None:
     """Replace the rows with ``column`` in [start, end] by the frame's rows in that range.
 
     Only partitions that hold such rows, before or after, are rewritten. A partition that would end
     up empty is removed.
     """
+    if isinstance(table, VersionedTable):
+        return table.replace_range(df, column, start, end)
     spark = df.sparkSession
     within = F.col(column).between(F.lit(start).cast("date"), F.lit(end).cast("date"))
     fresh = df.filter(within)
@@ -123,18 +135,6 @@ def replace_range(df: DataFrame, table: ParquetTable, column: str, start: str, e
     drop_partitions(keyset_join(touched, result, by, "left_anti"), table)
 
 
-def partition_folder(row, by: tuple[str, ...]) -> str:
-    """Folder of a partition below its table, named and escaped as Spark's own writer does."""
-    parts = []
-    for c in by:
-        value = row[c]
-        text = NULL_PARTITION if value is None or value == "" else "".join(
-            f"%{ord(x):02X}" if x in ESCAPED or ord(x) < 32 or ord(x) == 127 else x for x in str(value)
-        )
-        parts.append(f"{c}={text}")
-    return "/".join(parts)
-
-
 def drop_partitions(keys: DataFrame, table: ParquetTable) -> None:
     """Remove partition folders. The list of folders is metadata and is walked one at a time."""
     spark = keys.sparkSession
@@ -145,7 +145,7 @@ def drop_partitions(keys: DataFrame, table: ParquetTable) -> None:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(parent, partition_folder(row, table.by)), True)
 
 
-def _image(table: ParquetTable, touched: DataFrame | None, spark: SparkSession) -> DataFrame | None:
+def _image(table: Table, touched: DataFrame | None, spark: SparkSession) -> DataFrame | None:
     """A written copy of the touched partitions, or of the whole table; None for a table that isn't there."""
     if not table.exists(spark):
         return None
@@ -153,7 +153,7 @@ def _image(table: ParquetTable, touched: DataFrame | None, spark: SparkSession)
     return materialise(keyset_join(stored, touched, list(table.by), "left_semi") if table.by else stored, "pre-image")
 
 
-def _restore(table: ParquetTable, before: DataFrame | None, touched: DataFrame | None, spark: SparkSession) -> None:
+def _restore(table: Table, before: DataFrame | None, touched: DataFrame | None, spark: SparkSession) -> None:
     if before is None:
         _fs(spark, table.path).delete(_path(spark, table.path), True)
     elif not table.by:
@@ -163,21 +163,36 @@ def _restore(table: ParquetTable, before: DataFrame | None, touched: DataFrame |
         drop_partitions(keyset_join(touched, before, list(table.by), "left_anti"), table)
 
 
+def intents_of(table: VersionedTable) -> str:
+    return f"{table.path}/_intents"
+
+
 def dual_write(
     df: DataFrame,
-    first: ParquetTable,
-    second: ParquetTable,
+    first: Table,
+    second: Table,
     write_second: Callable[[DataFrame, ParquetTable], None] | None = None,
     touched: tuple[DataFrame, DataFrame] | None = None,
     second_df: DataFrame | None = None,
+    intents: str | None = None,
 ) -> None:
     """Write the same rows to two tables. If either write fails, both tables are put back.
 
+    Two versioned tables are changed by a switch each, after an intent was written to the folder ``intents`` (by default
+    one of the first table's): after the loss of the whole session ``versions.recover`` completes the change. Plain folders
+    are put back by this session only.
+
     The rows are computed once, into staging; pre-images cover the partitions that are replaced, or the whole table
     where it has none. ``touched`` names further partitions of each table that end up empty if no row falls in them.
     """
     spark = df.sparkSession
     rows = materialise(df)
+    if isinstance(first, VersionedTable) and isinstance(second, VersionedTable) and write_second is None:
+        other = rows if second_df is None else second_df
+        emptied = touched or (None, None)
+        staged = [(t, t.stage_partitions(cluster_for_write(r, t), e)) for t, r, e in zip((first, second), (rows, other), emptied, strict=True)]
+        publish_pair(spark, staged, intents or intents_of(first))
+        return
     pairs = [(first, rows), (second, rows if second_df is None else materialise(second_df))]
     jobs = []
     for k, (table, frame) in enumerate(pairs):
@@ -203,7 +218,7 @@ def dual_write(
         raise
 
 
-def compact(table: ParquetTable, spark: SparkSession, target_bytes: int = 256 * 1024 * 1024, min_files: int = 2) -> None:
+def compact(table: Table, spark: SparkSession, target_bytes: int = 256 * 1024 * 1024, min_files: int = 2) -> None:
     """Rewrite the partitions that hold at least ``min_files`` files below half of ``target_bytes``.
 
     They are chosen from file metadata; all others stay as they are. A partition's rows are written by as many tasks as
@@ -211,6 +226,7 @@ def compact(table: ParquetTable, spark: SparkSession, target_bytes: int = 256 *
     """
     df = table.read(spark)
     by = list(table.by)
+    whole = table.replace_all if isinstance(table, VersionedTable) else lambda d: write_replace(d, table)
     files = df.select(*by, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_bytes"))
     each = files.groupBy(*by, "_file").agg(F.first("_bytes").alias("_bytes"))
     small = F.count_if(F.col("_bytes") < target_bytes / 2)
@@ -220,7 +236,7 @@ def compact(table: ParquetTable, spark: SparkSession, target_bytes: int = 256 *
     if chosen.isEmpty():
         return
     if not by:
-        write_replace(materialise(df).repartition(chosen.first()["_pieces"]), table)
+        whole(materialise(df).repartition(chosen.first()["_pieces"]))
         return
     rows = null_safe_join(df, chosen.select(*by, "_pieces"), by).withColumn("_piece", F.floor(F.rand(1) * F.col("_pieces")))
     staged = materialise(rows.drop("_pieces"), "compacted")

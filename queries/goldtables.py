@@ -122,7 +122,7 @@ def gold_daily(spark, sf):
             spark, state, source, start, end, ["analysis_id"], baseline=BASELINE, since="2024-01-01"
         )
         gold.publish(spark, made, f"{root}/gold", start, end)
-    return sums({name: spark.read.parquet(f"{root}/gold/{name}") for name in TABLES})
+    return sums({name: gold.published(f"{root}/gold", name).read(spark) for name in TABLES})
 
 
 @R.add(sums_sql(BETWEEN.format("2024-01-15", "2024-01-15"), [n for n in TABLES if n in serving.SERVING_KEYS]))

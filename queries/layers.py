@@ -10,7 +10,7 @@ from plumbline.functions import cleansing as cl
 from plumbline.operators import scd, star, upsert, watermark
 from plumbline.plans import bronze, gold, model, serving, silver
 from plumbline.scale import materialise, shared_dir
-from plumbline.sources import scans, sinks
+from plumbline.sources import scans, sinks, versions
 from plumbline.streaming import cdc
 from queries.roles import (
     MEASUREMENTS_SQL,
@@ -860,7 +860,7 @@ SELECT 'replaced', year, count(*), round(sum(o_totalprice), 2) FROM o GROUP BY A
 def write_modes(spark, sf):
     """Create, append, replace one partition, empty a range, replace everything; the table after each."""
     rows = orders_by_year(spark, sf)
-    target = sinks.ParquetTable(shared_dir(spark, "orders"), ("year",))
+    target = versions.VersionedTable(shared_dir(spark, "orders"), ("year",))
     steps = []
 
     def note(label):
@@ -904,6 +904,26 @@ def dual_write(spark, sf):
     return per_year(first.read(spark), "first").unionByName(per_year(second.read(spark), "second"))
 
 
+@R.add("""
+WITH o AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS year, o_totalprice FROM orders)
+SELECT t AS step, year, count(*) AS rows, round(sum(o_totalprice) * CASE WHEN year < 1995 THEN 2 ELSE 1 END, 2) AS total
+FROM o, (VALUES ('first'), ('second')) v(t) GROUP BY t, year""")
+def dual_commit(spark, sf):
+    """Two versioned copies, by year and whole, after a writer was lost between their switches and another recovered."""
+    rows = orders_by_year(spark, sf)
+    first = versions.VersionedTable(shared_dir(spark, "first"), ("year",))
+    second = versions.VersionedTable(shared_dir(spark, "second"))
+    intents = shared_dir(spark, "intents")
+    sinks.dual_write(rows, first, second, intents=intents)
+    doubled = rows.withColumn("o_totalprice", F.when(F.col("year") < 1995, F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice")))
+    staged = [(first, first.stage_partitions(doubled.filter("year < 1995"))), (second, second.stage_partitions(doubled))]
+    versions.declare(spark, staged, intents)
+    name = versions.open_intents(spark, intents)[0]
+    first.publish(spark, staged[0][1], name)
+    assert versions.recover(spark, intents) == {name: "forward"}
+    return per_year(first.read(spark), "first").unionByName(per_year(second.read(spark), "second"))
+
+
 @R.add("""
 SELECT strftime(ts, '%Y%m%d') AS year_month_day, count(*) AS events, round(sum(value), 4) AS total
 FROM events GROUP BY ALL""")
@@ -959,8 +979,8 @@ def fact_run(spark, sf):
         }
     )
     dims = dimensions(spark, sf)
-    first = sinks.ParquetTable(shared_dir(spark, "fact"), ("year_month_day",))
-    second = sinks.ParquetTable(shared_dir(spark, "copy"), ("year", "month"))
+    first = versions.VersionedTable(shared_dir(spark, "fact"), ("year_month_day",))
+    second = versions.VersionedTable(shared_dir(spark, "copy"), ("year", "month"))
 
     def build(df):
         return silver.record_fact(df, dims, now()).withColumn("year_month_day", cl.day_key(F.col("analysis_date")))

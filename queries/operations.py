@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import catalog, matching, monitoring, quality, tableops
 from plumbline.scale import shared_dir
 from plumbline.sources import sinks
+from plumbline.sources.versions import VersionedTable
 from queries.governed import audit
 from queries.roles import Registry, rounded, table
 
@@ -321,10 +322,25 @@ def patch_delete(spark, sf):
 @R.add("""SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice, year(o_orderdate) AS year
 FROM orders""")
 def patch_rollback(spark, sf):
-    """A delete, undone from the pre-image of the partitions it touched."""
+    """A delete, undone from the pre-image of the partitions it touched, and then, in a stored table, an update that moves
+    rows to other partitions, undone by a switch to the version before."""
     before = orders_by_year(spark, sf)
     image = tableops.pre_image(before, WHERE, ["year"])
-    return rounded(tableops.rollback(tableops.patch(before, "delete", WHERE), image, ["year"]))
+    target = VersionedTable(shared_dir(spark, "orders"), ("year",))
+    target.create(tableops.rollback(tableops.patch(before, "delete", WHERE), image, ["year"]))
+    version = tableops.patch_table(target, spark, "update", WHERE, {"year": "year + 1", "o_totalprice": "0"})
+    target.rollback(spark, version)
+    return rounded(target.read(spark))
+
+
+@R.add(f"""SELECT o_orderkey, o_custkey, o_orderstatus, round(CASE WHEN {WHERE} THEN 0 ELSE o_totalprice END, 6) AS o_totalprice,
+  year(o_orderdate) + CASE WHEN {WHERE} THEN 1 ELSE 0 END AS year FROM orders""")
+def patch_table(spark, sf):
+    """An update of a stored table that moves rows to other partitions."""
+    target = VersionedTable(shared_dir(spark, "orders"), ("year",))
+    target.create(orders_by_year(spark, sf))
+    tableops.patch_table(target, spark, "update", WHERE, {"year": "year + 1", "o_totalprice": "0"})
+    return rounded(target.read(spark))
 
 
 @R.add("""SELECT o_orderkey, o_orderstatus AS state, CAST(round(o_totalprice) AS BIGINT) AS o_totalprice,
@@ -343,7 +359,7 @@ def schema_evolve(spark, sf):
 GROUP BY ALL""")
 def compact(spark, sf):
     """A table written in many small files, compacted; the rows stay the same."""
-    target = sinks.ParquetTable(shared_dir(spark, "orders"), ("year",))
+    target = VersionedTable(shared_dir(spark, "orders"), ("year",))
     sinks.write_create(orders_by_year(spark, sf).repartition(6), target)
     sinks.compact(target, spark)
     return rounded(target.read(spark).groupBy("year").agg(

@@ -289,7 +289,7 @@ def test_published_ranges_equal_one_full_run(spark, sf, tmp_path):
         run("parts", start, end)
     keys = {**serving.SERVING_KEYS, "spc_baseline": ("process_id", "tank_name", "cl_x")}
     for name in ("agg_qualification_rate_daily", "spc_capability_daily", "spc_baseline", "spc_monthly_alarm_rate"):
-        whole, parts = (spark.read.parquet(str(tmp_path / r / name)) for r in ("whole", "parts"))
+        whole, parts = (gold.published(str(tmp_path / r), name).read(spark) for r in ("whole", "parts"))
         assert rows(parts, *keys[name]) == rows(whole, *keys[name])
         assert name == "spc_monthly_alarm_rate" or parts.count() > 0
 

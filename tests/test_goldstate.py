@@ -58,7 +58,7 @@ def test_runs_in_any_order_equal_one_run(spark, raw, tmp_path):
         gold.publish(spark, made, root, start, end)
     assert len(whole) == 10
     for name, want in whole.items():
-        got = spark.read.parquet(f"{root}/{name}").select(*want.columns)
+        got = gold.published(root, name).read(spark).select(*want.columns)
         assert values(got) == values(want), name
         assert got.count() > 0
 
