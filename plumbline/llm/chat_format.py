@@ -38,7 +38,8 @@ def format_chats(
 ) -> DataFrame:
     """Per conversation: key, ``formatted``, and ``loss_spans``, the (start, length) of all texts under the loss mask.
 
-    Starts are code points from 0 in ``formatted``. A merged block of the loss role has one span per turn.
+    Starts are code points from 0 in ``formatted``, from running totals of the parts' lengths. A merged block of the loss
+    role has one span per turn.
     """
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     row = F.struct(F.col(turn).alias("turn"), empty(role).alias("role"), empty(text).alias("text"))
@@ -49,12 +50,22 @@ def format_chats(
         opened = F.concat(F.when(i > 0, F.lit(END)).otherwise(""), F.lit(TURN), escaped(t.role), F.lit(SAYS))
         return F.when(follows(i), F.lit(NEXT)).otherwise(opened)
 
-    parts = F.transform("turns", lambda t, i: F.struct(lead(t, i).alias("lead"), escaped(t.text).alias("text")))
-    made = chats.select("_key", parts.alias("parts"))
+    def part(t: Column, i: Column) -> Column:
+        return F.struct(lead(t, i).alias("lead"), escaped(t.text).alias("text"), (t.role == LOSS_ROLE).alias("counts"))
+
+    made = chats.select("_key", F.transform("turns", part).alias("parts"))
+    long = lambda p: (F.length(p.lead) + F.length(p.text)).cast("long")
+    # totals are taken of a column, so that the lengths are computed once
+    sized = made.withColumn("_sizes", F.transform("parts", long)).withColumn("_ends", running_totals(F.col("_sizes")))
     whole = F.concat(F.array_join(F.transform("parts", lambda p: F.concat(p.lead, p.text)), ""), F.lit(END))
-    return made.select(F.col("_key").alias(key), whole.alias("formatted")).withColumn(
-        "loss_spans", loss_spans(F.col("formatted"))
-    )
+
+    def span(p: Column, end: Column) -> Column:
+        n = F.length(p.text)
+        return F.struct((end - n).cast("int").alias("start"), n.alias("length"), p.counts.alias("counts"))
+
+    spans = F.filter(F.zip_with("parts", "_ends", span), lambda s: s.counts)
+    shown = F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.length.alias("length")))
+    return sized.select(F.col("_key").alias(key), whole.alias("formatted"), shown.alias("loss_spans"))
 
 
 def blocks(formatted: Column) -> Column:
@@ -79,35 +90,6 @@ def read_turns(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks(formatted), turns))
 
 
-def starts(lengths: Column) -> Column:
-    """Where each of a row of pieces begins, the first one at 0."""
-    return F.zip_with(running_totals(lengths), lengths, lambda after, own: after - own)
-
-
-def loss_spans(formatted: Column) -> Column:
-    """(start, length) of each turn of the loss role, found in the formatted text.
-
-    Blocks and the pieces in them begin at running totals of lengths, so many turns of one role cost no more than others.
-    """
-    none = F.array().cast("array<struct<start:int,length:int>>")
-    raw = F.slice(F.split(formatted, literal(TURN), -1), 2, 1 << 30)
-    long = lambda c, mark: (F.length(c) + F.lit(len(mark))).cast("long")
-
-    def spans(b: Column, at: Column) -> Column:
-        role, body = F.element_at(F.split(b, literal(SAYS), 2), 1), F.element_at(F.split(b, literal(SAYS), 2), 2)
-        pieces = F.split(body, literal(NEXT) + "|" + literal(END), -1)
-        texts = F.slice(pieces, 1, F.size(pieces) - 1)
-        first = at + F.lit(len(TURN) + len(SAYS)) + F.length(role)
-        placed = F.zip_with(
-            texts,
-            starts(F.transform(texts, lambda t: long(t, NEXT))),
-            lambda t, s: F.struct((first + s).cast("int").alias("start"), F.length(t).alias("length")),
-        )
-        return F.when(role == LOSS_ROLE, placed).otherwise(none)
-
-    return F.flatten(F.zip_with(raw, starts(F.transform(raw, lambda b: long(b, TURN))), spans))
-
-
 def digest(chats: DataFrame, key: str = "conv_id") -> DataFrame:
     """What can be read back from the formatted texts and their loss spans."""
     masked = F.array_join(
