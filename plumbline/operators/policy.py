@@ -6,14 +6,16 @@ a masked value.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from plumbline.errors import SpecError
 from plumbline.functions.cleansing import sha_upper
+from plumbline.scale import observed
 
 # Sensitivity ladder, lowest first, and the first level that must not leave.
 LEVELS = ("Public", "Internal", "Confidential", "Restricted")
@@ -154,7 +156,16 @@ def audit_row(df: DataFrame, who: str, request: str, engine: str = "spark") -> D
     )
 
 
-def append_audit(df: DataFrame, path: str, who: str, request: str, engine: str = "spark") -> None:
-    """Store the audit record of a governed query with the number of rows that it answered."""
-    answered = df.agg(F.count("*").alias("answered_rows"))
-    audit_row(df, who, request, engine).join(F.broadcast(answered)).write.mode("append").parquet(path)
+def append_audit(
+    df: DataFrame, path: str, who: str, request: str, answer: Callable[[DataFrame], Any], engine: str = "spark"
+) -> Any:
+    """Answer a governed query and store its audit record with the number of rows that it answered.
+
+    ``answer`` gets the query's frame and runs it once, to its end: it writes or collects it. The rows are counted by that
+    very run, so the query is not computed again, and the record tells what the caller got.
+    """
+    seen = Observation()
+    given = answer(df.observe(seen, F.count(F.lit(1)).alias("answered_rows")))
+    counted = audit_row(df, who, request, engine).withColumn("answered_rows", F.lit(observed(seen).get("answered_rows", 0)).cast("bigint"))
+    counted.write.mode("append").parquet(path)
+    return given

@@ -10,7 +10,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.errors import SpecError
@@ -169,6 +169,20 @@ def run_dashboard(
     return results
 
 
+SERIES = "`group` string, key string, value double, error string, widget string"
+
+
+def dashboard_frame(spark: SparkSession, results: Mapping[str, WidgetResult]) -> DataFrame:
+    """The series of all widgets as rows, and one row with the error of each widget that has none."""
+    broken = [(None, None, None, r.error, k) for k, r in results.items() if r.error is not None]
+    out = spark.createDataFrame(broken, SERIES)
+    for k, r in results.items():
+        if r.series is not None:
+            named = [F.lit(None).cast("string").alias("error"), F.lit(k).alias("widget")]
+            out = out.unionByName(r.series.select("group", "key", F.col("value").cast("double"), *named))
+    return out
+
+
 def report_frame(
     source: Callable[[str], DataFrame], spec: QuerySpec | None = None, widgets: Sequence[Widget] = ()
 ) -> DataFrame:
@@ -224,10 +238,14 @@ def serve_contract(df: DataFrame, contract: DataContract, params: Mapping[str, s
             filters.append((f.column, op, split_list(raw) if op.lower() == "in" else raw))
     size = contract.default_size if contract.default_size > 0 else 100
     asked = params.get("_limit", "")
-    if asked.isdigit() and int(asked) > 0:
+    if asked:
+        if not asked.isdigit() or int(asked) == 0:
+            raise SpecError(f"_limit is a positive number, not {asked!r}")
         size = int(asked)
-    if contract.max_size:
-        size = min(size, contract.max_size)
+    if contract.max_size and size > contract.max_size:
+        if asked:
+            raise SpecError(f"at most {contract.max_size} rows may be asked for, not {size}")
+        size = contract.max_size
     order = []
     for item in split_list(params.get("_sort", "")):
         name = item.lstrip("-")

@@ -6,11 +6,12 @@ import datetime as dt
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.errors import SpecError
 from plumbline.operators.upsert import upsert
+from plumbline.scale import observed
 
 STATE_SCHEMA = (
     "table_name string, partition_key string, max_ts timestamp_ntz, processed_records bigint, "
@@ -56,6 +57,18 @@ def mark_of(batch: DataFrame, column: str, table: str, partition: str, now: dt.d
     )
 
 
+def observed_mark(column: str) -> tuple[Observation, list[Column]]:
+    """An observation, and what it has to see of a batch for ``mark_seen``."""
+    return Observation(), [F.max(column).cast("timestamp_ntz").alias("max_ts"), F.count(F.lit(1)).alias("processed_records")]
+
+
+def mark_seen(seen: Observation, spark: SparkSession, table: str, partition: str, now: dt.datetime) -> DataFrame:
+    """State row of the batch that a write saw; no row for an empty batch."""
+    found = observed(seen)
+    rows = [(table, partition, found["max_ts"], found["processed_records"], now, "SUCCESS")] if found.get("max_ts") else []
+    return spark.createDataFrame(rows, STATE_SCHEMA)
+
+
 def marks_by(batch: DataFrame, column: str, table: str, partition: str, now: dt.datetime) -> DataFrame:
     """State rows of all partitions found in a batch, in one pass."""
     return (

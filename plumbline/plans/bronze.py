@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from plumbline.functions.cleansing import day_key, first_missing, require, tidy
 from plumbline.functions.constants import INVALID_DAY
 from plumbline.operators.upsert import newest, upsert
-from plumbline.operators.watermark import advance, last_success, mark_of, newer_than
+from plumbline.operators.watermark import advance, last_success, mark_of, mark_seen, newer_than, observed_mark
+from plumbline.scale import materialise
+from plumbline.sources.versions import VersionedTable
 
 INGESTED = "raw_ingestion_timestamp"
 MONEY = "decimal(10,4)"
@@ -88,8 +90,31 @@ def load(
     """One incremental load: the new table and the new watermark state.
 
     Rows already stored stay unless a newer version arrives. A deleted row stays as a marked row;
-    readers hide it with ``upsert.live``.
+    readers hide it with ``upsert.live``. The batch is written once, so table and mark see the same rows.
     """
-    batch = clean(newer_than(raw, INGESTED, last_success(state, table, partition)))
+    batch = materialise(clean(newer_than(raw, INGESTED, last_success(state, table, partition))), "batch")
     merged = batch if stored is None else upsert(stored, batch, keys, [INGESTED], frozen=())
     return merged, advance(state, mark_of(batch, INGESTED, table, partition, now))
+
+
+def load_into(
+    raw: DataFrame,
+    target: VersionedTable,
+    state: DataFrame,
+    table: str,
+    clean: Callable[[DataFrame], DataFrame],
+    keys: Sequence[str],
+    now: dt.datetime,
+    partition: str = "ALL",
+) -> DataFrame:
+    """One incremental load into a stored table; returns the new watermark state.
+
+    The mark and the row count are observed on the rows that are written, while they are written: the batch is read once,
+    and a source that grows meanwhile can't move the mark past rows that were not merged.
+    """
+    spark = raw.sparkSession
+    seen, wanted = observed_mark(INGESTED)
+    batch = clean(newer_than(raw, INGESTED, last_success(state, table, partition))).observe(seen, *wanted)
+    merged = upsert(target.read(spark), batch, keys, [INGESTED], frozen=()) if target.exists(spark) else batch
+    target.replace_all(merged)
+    return advance(state, mark_seen(seen, spark, table, partition, now))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.cleansing import applicable_rules, characteristic_type
 from plumbline.operators import daily, spc, watermark
 from plumbline.operators.upsert import months_predicate, replace_where
-from plumbline.scale import lookup_join, materialise
+from plumbline.scale import lookup_join, materialise, together
 from plumbline.sources.sinks import create_if_absent, replace_range, rewrite
 from plumbline.sources.versions import VersionedTable
 
@@ -127,18 +128,20 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, start:
 
     Daily tables replace the rows of the range. The alarm rate replaces its months. Finished baselines are kept.
     """
-    for name, df in tables.items():
+    def write(name: str, df: DataFrame) -> None:
         target = published(root, name)
         if name == "spc_baseline":
             if not create_if_absent(df, target):
-                rewrite(target, lambda old, new=df: spc.freeze(old, new), spark)
+                rewrite(target, lambda old: spc.freeze(old, df), spark)
         elif name == "spc_monthly_alarm_rate":
             if not create_if_absent(df, target):
                 months = months_predicate(start, end)
-                rewrite(target, lambda old, new=df: replace_where(old, new, months), spark)
+                rewrite(target, lambda old: replace_where(old, df, months), spark)
         else:
             replace_range(df.withColumn("month_start", F.trunc(spc.DAY, "MM")), target, spc.DAY, start, end)
 
+    together(*[functools.partial(write, name, df) for name, df in tables.items()])
+
 
 def backfill_spc(
     state: DataFrame, start: dt.date, end: dt.date, run: Callable[[dt.date, dt.date], None]

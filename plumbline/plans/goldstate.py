@@ -20,7 +20,7 @@ from plumbline.functions import constants as K
 from plumbline.operators import daily, spc
 from plumbline.operators.daystate import DAY, DayTable, date_lit, month_of, stored_months
 from plumbline.plans.gold import individuals_scope, month_range, product_scope, within
-from plumbline.scale import keyset_join, materialise
+from plumbline.scale import keyset_join, materialise, together
 from plumbline.sources.sinks import create_if_absent, rewrite
 from plumbline.sources.versions import VersionedTable
 
@@ -100,17 +100,24 @@ def run_days(
     ``since`` is the first day of history, which is read once, while there is no state.
     """
     begin = min(start, since) if since and not state.individuals.exists(spark) else start
-    wide = materialise(source.wide(begin, end), "chart-input")
-    judged = materialise(source.records(begin, end), "judged")
+    wide, judged = together(
+        lambda: materialise(source.wide(begin, end), "chart-input"), lambda: materialise(source.records(begin, end), "judged")
+    )
     single, product = individuals_scope(wide), product_scope(wide)
-    state.individuals.put(spc.day_pieces(single, spc.SHIFT_KEYS, spc.LIMITS, tie), begin, end)
-    ordered = spc.day_order(product, tie=tie)
     r_size, s_size = subgroup_sizes
-    state.xbar_r.put(spc.days_of_xbar_r(None, r_size, ordered=ordered), begin, end)
-    state.xbar_s.put(spc.days_of_xbar_s(None, s_size, ordered=ordered), begin, end)
-    state.counts.put(spc.days_of_counts(judged), begin, end)
-    _put_trend(spark, state.trend, spc.days_of_trend(wide), begin, end)
-    _put_baselines(spark, state, single, tie, begin, end)
+
+    def put_subgroups() -> None:
+        ordered = spc.day_order(product, tie=tie)
+        state.xbar_r.put(spc.days_of_xbar_r(None, r_size, ordered=ordered), begin, end)
+        state.xbar_s.put(spc.days_of_xbar_s(None, s_size, ordered=ordered), begin, end)
+
+    together(
+        lambda: state.individuals.put(spc.day_pieces(single, spc.SHIFT_KEYS, spc.LIMITS, tie), begin, end),
+        put_subgroups,
+        lambda: state.counts.put(spc.days_of_counts(judged), begin, end),
+        lambda: _put_trend(spark, state.trend, spc.days_of_trend(wide), begin, end),
+        lambda: _put_baselines(spark, state, single, tie, begin, end),
+    )
     return tables(spark, state, within(judged, start, end), start, end, baseline)
 
 

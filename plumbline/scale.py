@@ -5,9 +5,13 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,6 +61,22 @@ def materialise(df: DataFrame, purpose: str = "stage", by: Sequence[str] = ()) -
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(*jobs: Callable[[], Any], at_once: int = 5) -> list[Any]:
+    """Run independent jobs of one driver side by side, so that small ones share the cluster; the first error is raised."""
+    with ThreadPoolExecutor(min(at_once, max(len(jobs), 1))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+
+
+def observed(seen: Observation) -> dict[str, Any]:
+    """What an observation saw; empty if Spark found the frame to be empty and left it out of the plan."""
+    try:
+        return seen.get
+    except Py4JJavaError as error:
+        if "assertion failed" not in str(error):
+            raise
+        return {}
+
+
 def lookup_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join a large frame to a lookup frame with unique keys, whatever the size of the lookup.
 

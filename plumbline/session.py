@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -35,18 +36,21 @@ def ship_package(spark: SparkSession) -> None:
     Spark hands the archive out itself, so executors need neither the repository nor a shared path.
     """
     context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="plumbline-"), "plumbline.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.join("plumbline", os.path.relpath(path, root)))
-    context.addPyFile(archive)
-    _SHIPPED.add(context.applicationId)
+    with _SHIPPING:
+        # two archives of one name would not pass for the same file
+        if context.applicationId in _SHIPPED:
+            return
+        root = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="plumbline-"), "plumbline.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        z.write(path, os.path.join("plumbline", os.path.relpath(path, root)))
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
 
 
 _SHIPPED: set[str] = set()
+_SHIPPING = threading.Lock()

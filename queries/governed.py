@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import catalog, daily, monitoring, policy, spec
-from plumbline.scale import shared_dir
+from plumbline.scale import materialise, shared_dir
 from plumbline.sources import scans
 from queries.roles import RECORDS_SQL, Registry, records, rounded, table
 
@@ -54,17 +54,13 @@ WIDGETS = [
 
 
 @R.add("""
-SELECT 'flags' AS widget, 'sum_l_quantity' AS "group", l_returnflag AS key, round(sum(l_quantity), 4) AS value
-FROM lineitem GROUP BY ALL
-UNION ALL SELECT 'flags', 'count', l_returnflag, count(*) FROM lineitem GROUP BY ALL
-UNION ALL SELECT 'status', 'count', o_orderstatus, count(*) FROM orders GROUP BY ALL""")
+SELECT 'flags' AS widget, 'sum_l_quantity' AS "group", l_returnflag AS key, round(sum(l_quantity), 4) AS value,
+       CAST(NULL AS VARCHAR) AS error FROM lineitem GROUP BY ALL
+UNION ALL SELECT 'flags', 'count', l_returnflag, count(*), NULL FROM lineitem GROUP BY ALL
+UNION ALL SELECT 'status', 'count', o_orderstatus, count(*), NULL FROM orders GROUP BY ALL
+UNION ALL SELECT 'broken', NULL, NULL, NULL, 'the dataset has no column named ' || chr(39) || 'nope' || chr(39)""")
 def dashboard_widgets(spark, sf):
-    results = spec.run_dashboard(WIDGETS, source(spark, sf))
-    frames = [r.series.withColumn("widget", F.lit(k)) for k, r in results.items() if r.series is not None]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return rounded(out, 4)
+    return rounded(spec.dashboard_frame(spark, spec.run_dashboard(WIDGETS, source(spark, sf))), 4)
 
 
 @R.add("""SELECT l_returnflag, round(sum(l_quantity), 4) AS sum_l_quantity, count(*) AS count FROM lineitem GROUP BY ALL""")
@@ -97,8 +93,8 @@ CONTRACT = spec.DataContract(
 @R.add("""SELECT c_custkey AS id, c_mktsegment AS segment, round(c_acctbal, 6) AS balance FROM customer
 WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal >= 0 ORDER BY c_acctbal DESC, c_custkey LIMIT 1000""")
 def data_contract(spark, sf):
-    """Published endpoint: the caller asks for more rows than a page may hold."""
-    asked = {"segment": "BUILDING, MACHINERY,", "_limit": "5000", "_sort": "-balance,id"}
+    """Published endpoint: the caller asks for as many rows as a page may hold."""
+    asked = {"segment": "BUILDING, MACHINERY,", "_limit": "1000", "_sort": "-balance,id"}
     return rounded(spec.serve_contract(table(spark, sf, "customer"), CONTRACT, asked))
 
 
@@ -154,9 +150,10 @@ def audit_append(spark, sf):
     """Two governed queries, each of which leaves its record in the audit table."""
     path = shared_dir(spark, "audit")
     c = table(spark, sf, "customer")
-    policy.append_audit(policy.govern(c, policy.Decision()), path, "alice", "customers")
+    answer = lambda df: materialise(df, "answer")
+    policy.append_audit(policy.govern(c, policy.Decision()), path, "alice", "customers", answer)
     rich = policy.govern(c, policy.Decision(row_filters=["c_acctbal > 0"]))
-    policy.append_audit(rich, path, "bob", "rich customers")
+    policy.append_audit(rich, path, "bob", "rich customers", answer)
     return spark.read.parquet(path).select("subject_ref", "raw", "engine", "answered_rows")
 
 
