@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from plumbline.llm.wordcache import ID_CACHE_BYTES, WordCache, give_back
+from plumbline.llm.wordcache import WordCache, give_back
 
 #: A space or line feed between two characters that are no white space. Python knows all white space that the pattern
 #: does, and some more.
@@ -30,6 +30,8 @@ BARE = "\n"
 FEED = BARE + BARE
 TOGETHER = 4096
 TEXTS, CHARS = 128, 1 << 20
+#: Ids are dear to make again, and the files of ids are written by a job of its own.
+ID_CACHE_BYTES = 384 << 20
 
 
 def letters_of_bytes() -> dict[str, str]:

@@ -9,7 +9,7 @@ import re
 
 import numpy as np
 
-from plumbline.llm.wordcache import ID_CACHE_BYTES, WordCache, give_back
+from plumbline.llm.wordcache import WordCache, give_back
 
 #: Characters that keep a text from being cut at its spaces or lower-cased beforehand: other spaces and separators,
 #: the dotted capital I, anything past the Latin blocks (it may combine or depend on its neighbours), and the opening
@@ -22,6 +22,8 @@ PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 #: How a tokenizer must read for its texts to be cut at spaces and looked up word by word.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Ids are dear to make again, so their cache is larger than others.
+ID_CACHE_BYTES = 96 << 20
 #: Texts encoded in one call, and the characters after which a call ends.
 TEXTS, CHARS = 128, 1 << 20
 

@@ -6,8 +6,8 @@ import ctypes
 import functools
 from collections.abc import Collection
 
-#: Of one cache in one worker: of words that are cheap to make again, and of token ids, which are not.
-CACHE_BYTES, ID_CACHE_BYTES = 48 << 20, 192 << 20
+#: Of one cache in one worker.
+CACHE_BYTES = 24 << 20
 #: Two small objects and their place in a dictionary.
 ENTRY_BYTES = 180
 
