@@ -25,7 +25,11 @@ b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END)
   + (CASE WHEN 10 * n_stutters > 3 * n_words THEN 16 ELSE 0 END)
   + (CASE WHEN word_chars > 25 * n_words THEN 32 ELSE 0 END) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits % 4 > 0 AS base_failed,
-       fail_bits = 0 AS kept, fail_bits::BIGINT AS fail_bits FROM b"""
+       fail_bits = 0 AS kept, fail_bits::BIGINT AS fail_bits, only_rule,
+       CASE WHEN only_rule IS NOT NULL THEN (SELECT count(*) FROM b x WHERE x.fail_bits & b.fail_bits > 0) END AS only_rule_failed,
+       CASE WHEN only_rule IS NOT NULL THEN (SELECT count(*) FROM b x WHERE x.fail_bits = b.fail_bits) END AS only_rule_rows
+FROM (SELECT *, CASE fail_bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'symbols'
+      WHEN 8 THEN 'duplicate_lines' WHEN 16 THEN 'stutter' WHEN 32 THEN 'long_words' END AS only_rule FROM b) b"""
 
 ORACLES["op5_url_filter"] = r"""
 WITH u AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS r,

@@ -137,11 +137,27 @@ def passing(docs: DataFrame, policy: str, text: str = "text") -> DataFrame:
     return ledger(docs, text, measures=measures, bits=bits).where(passes(policy, bits)).select(*docs.columns)
 
 
+def only_rule(policy: str, bits: str = "fail_bits", rules: tuple[Rule, ...] = RULES) -> Column:
+    """Name of the rule that alone keeps a row out; null for a row that passes, or that several rules keep out."""
+    held = F.col(bits).bitwiseAND(F.lit(POLICIES[policy]))
+    return F.coalesce(*[F.when(held == 1 << r.bit, F.lit(r.name)) for r in rules if POLICIES[policy] >> r.bit & 1])
+
+
+def with_ablation(rows: DataFrame, policy: str) -> DataFrame:
+    """Written ledger rows with ``only_rule``, and for that rule the rows that fail it (``only_rule_failed``) and that it
+    alone keeps out (``only_rule_rows``). The ablation joined has one row per rule."""
+    cut = ablation(rows, policy).select(
+        F.col("rule").alias("only_rule"), F.col("failed").alias("only_rule_failed"), F.col("only_by_rule").alias("only_rule_rows")
+    )
+    return rows.withColumn("only_rule", only_rule(policy)).join(F.broadcast(cut), "only_rule", "left")
+
+
 def ablation(rows: DataFrame, policy: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """For each rule of a policy: rows that fail it, and rows that only this rule keeps out.
 
     ``only_by_rule`` is what the policy would keep in addition if the rule were dropped. The ledger is reduced to
-    one count per distinct combination of bits, at most two to the number of rules, before anything else.
+    one count per distinct combination of bits, at most two to the number of rules, before anything else. Rows without
+    bits count for no rule; repeated rows count each; an empty ledger has no rows; other columns are not read.
     """
     bits = F.col("fail_bits").bitwiseAND(F.lit(POLICIES[policy]))
     counted = rows.select(bits.alias("bits")).groupBy("bits").agg(F.count("*").alias("n"))

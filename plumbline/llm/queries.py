@@ -21,6 +21,7 @@ from plumbline.llm import (
 )
 from plumbline.llm.oracles import ORACLES  # noqa: F401
 from plumbline.llm.rowkeys import prepare, table
+from plumbline.scale import materialise
 
 QUERIES = {}
 
@@ -48,12 +49,14 @@ def op1_secret_scan(spark, sf_dir):
 
 @register
 def op2_quality_rules(spark, sf_dir):
-    rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    judged = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    rows = quality_rules.with_ablation(materialise(judged.select("doc_id", "measures", "fail_bits"), "ledger"), "v2")
     counts = [F.col(f"measures.{m}").alias(m) for m in quality_rules.MEASURES if m not in ("n_lines", "n_stutters")]
     base_failed = ~quality_rules.passes("base")
     return rows.select(
-        "doc_id", *counts, base_failed.alias("base_failed"), quality_rules.passes("v2").alias("kept"), "fail_bits"
-    )
+        "doc_id", *counts, base_failed.alias("base_failed"), quality_rules.passes("v2").alias("kept"), "fail_bits",
+        "only_rule", "only_rule_failed", "only_rule_rows",
+    )
 
 
 @register

@@ -55,7 +55,8 @@ def allocate(token_ends: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.n
     The interval join: a token's first and last section come from two searches in the sorted starts. For a token that
     lies in several, the widths of its parts are compared; the widest wins, the first of equals.
     """
-    token_starts = np.concatenate([[0], token_ends[:-1]])
+    # a token that only continues a character lies where that character does
+    token_starts = np.minimum(np.concatenate([[0], token_ends[:-1]]), np.maximum(token_ends - 1, 0))
     first = np.searchsorted(starts, token_starts, "right") - 1
     last = np.searchsorted(starts, np.maximum(token_ends - 1, token_starts), "right") - 1
     owner = first.copy()

@@ -160,6 +160,32 @@ class TestMethods:
         got = {r.rule: (r.failed, r.only_by_rule) for r in quality_rules.ablation(rows, "v1").collect()}
         assert got == {"few_words": (3, 2), "repeated_windows": (1, 0), "symbols": (1, 1)}
 
+    def test_ablation_of_odd_ledgers(self, llm):
+        """Rows without bits, no rows, and rows with a clashing column."""
+        rows = llm.createDataFrame([(1, None, 7), (2, 1, 7), (3, 3, 7), (4, 0, 7)], "doc_id int, fail_bits bigint, rule int")
+        got = {r.doc_id: (r.only_rule, r.only_rule_failed, r.only_rule_rows) for r in quality_rules.with_ablation(rows, "v2").collect()}
+        assert got == {1: (None, None, None), 2: ("few_words", 2, 1), 3: (None, None, None), 4: (None, None, None)}
+        assert quality_rules.ablation(rows.limit(0), "v2").count() == 0 == quality_rules.with_ablation(rows.limit(0), "v2").count()
+
+    @pytest.mark.parametrize("seed", range(6))
+    def test_the_cheapest_sequence_with_room_is_chosen(self, seed):
+        """Remainders go down by cost; each goes whole to the cheapest sequence that holds it, or fills the roomiest."""
+        rng = np.random.default_rng(seed)
+        lengths = [int(n) for n in rng.integers(1, rng.choice([200, 1000, 2047]), rng.integers(1, 120))]
+        room = packing.capacities(sum(lengths))
+        spent = [0.0] * len(room)
+        costs = [packing.cost(lengths[i]) for i, start, *_ in packing.assign(lengths) if start == 0]
+        assert costs == sorted(costs, reverse=True)
+        for i, start, n, s, _ in packing.assign(lengths):
+            if n == lengths[i]:
+                fits = [k for k in range(len(room)) if room[k] >= n]
+                assert spent[s] == min(spent[k] for k in fits)
+            else:
+                whole = start == 0 and any(r >= lengths[i] for r in room)
+                assert not whole and room[s] == max(room)
+            room[s] -= n
+            spent[s] += packing.cost(n)
+
     def test_widely_copied_secrets_are_examples(self, llm):
         opaque = "Zk3bQ9xLm2VtR7yWc5NhJ8uPd4GsF6aE1oTiKq0"
         rows = [(i, f"use token = copied-everywhere-123 now {opaque if i == 0 else ''}", "en", f"s{i}") for i in range(6)]

@@ -44,6 +44,74 @@ def test_token_counts(spark, sf, docs):
     assert got == {i: len(encoding.encode_ordinary(t or "")) for i, t in docs}
 
 
+def plain_sections(text, encoding):
+    """Sections and their tokens, a token at a time: the section with most of a token's characters gets it, the earlier
+    one of equals. A character belongs to the token with its first byte; a token that only continues one lies there."""
+    cuts = [m.end() for m in re.finditer(r"[.!?] |\n", text)]
+    starts = [0, *cuts] if not cuts or cuts[-1] < len(text) else [0, *cuts[:-1]]
+    stops = [*starts[1:], len(text)]
+    of_byte = [i for i, c in enumerate(text) for _ in range(len(c.encode()))]
+    tokens, crossing, at, end = [0] * len(starts), [0] * len(starts), 0, 0
+    for token in encoding.encode_ordinary(text):
+        at += len(encoding.decode_single_token_bytes(token))
+        first, end = end, of_byte[at - 1] + 1
+        first = min(first, end - 1)
+        parts = [max(0, min(b, end) - max(a, first)) for a, b in zip(starts, stops)]
+        tokens[parts.index(max(parts))] += 1
+        held = [k for k, p in enumerate(parts) if p]
+        for k in held if len(held) > 1 else ():
+            crossing[k] += 1
+    return list(zip(starts, stops, tokens, crossing))
+
+
+def test_sections_and_their_tokens(spark, sf, docs):
+    """Every section's count, the crossing tokens and the checksum, over the whole table."""
+    import hashlib
+
+    from plumbline.llm.token_counts import byte_encoder
+
+    encoding, _ = byte_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    got = {r.doc_id: r for r in QUERIES["op3_token_counts"](spark, sf).collect()}
+    crossed = 0
+    for i, t in docs:
+        want = plain_sections(t, encoding) if t else []
+        r = got[i]
+        digest = hashlib.sha256(",".join(f"{a}:{b}:{n}" for a, b, n, _ in want).encode()).hexdigest()
+        assert (r.n_sections, r.n_tokens, r.n_crossing) == (len(want), sum(w[2] for w in want), sum(w[3] for w in want)), i
+        assert r.sections_sha256 == digest and r.largest_section == max((w[2] for w in want), default=0)
+        crossed += r.n_crossing > 0
+    assert crossed > 10
+
+
+def test_owners_and_repositories_of_secrets(spark, sf):
+    """Both frequencies and the verdict of every value, counted anew, over the whole table with planted values."""
+    from plumbline.llm import secret_scan
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    planted = F.concat(F.lit(" token = Zk3bQ9xLm2VtR7"), (F.col("doc_id") % 12).cast("string"), F.lit(" and Zq8hX2mVb5KjW4tRc7YpL0dGs9NfA1eUoQ"), F.col("doc_id"))
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat(F.col("text"), planted)).otherwise(F.col("text")))
+    rows = {r.doc_id: r for r in docs.collect()}
+    found = {r.doc_id: r.spans for r in secret_scan.scan_secrets(docs).collect()}
+    owners, repositories = defaultdict(set), defaultdict(set)
+    for i, r in rows.items():
+        for _, _, _, digest, _ in secret_scan.scan(r.text):
+            owners[digest].add(r.source)
+            repositories[digest].add((r.source, r.lang))
+    kinds, verdicts = set(), set()
+    for i, r in rows.items():
+        want = []
+        for kind, a, b, digest, random in secret_scan.scan(r.text):
+            live = random and len(owners[digest]) <= 2 and len(repositories[digest]) <= 4
+            if kind < 3 or live:
+                want.append((kind, a, b, digest, len(repositories[digest]), len(owners[digest]), live))
+        got = sorted((s.kind, s.start, s.stop, s.hash, s.n_repositories, s.n_owners, s.live) for s in found[i])
+        assert got == sorted(want), i
+        kinds |= {w[0] for w in want}
+        verdicts |= {w[6] for w in want}
+    assert kinds >= {0, 3} and verdicts == {True, False}
+
+
 def check_packing(pieces, texts):
     """Every id in one piece, sequences gapless, at most 2048 tokens, little padding."""
     from tokenizers import Tokenizer
