@@ -30,18 +30,26 @@ def one_hop(edges: DataFrame, node: str) -> DataFrame:
     return down.unionByName(up).distinct()
 
 
+#: Rounds of plain breadth-first search before chains are looked for; most graphs end within them.
+PLAIN_ROUNDS = 4
+
+
 def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """All nodes downstream of the ``node`` column of ``start``, except those, with the least depth.
 
-    Breadth-first: each round joins the newest nodes with the edges, and keeps unseen nodes. The
-    frontier is a distinct set, so a node with many edges is split by the join. The edges are written
-    once, and the result of each round, to the shared directory.
+    Breadth-first: each round joins the newest nodes with the edges, and keeps unseen nodes. The frontier is a distinct
+    set, so a node with many edges is split by the join. What is still open after a few rounds is searched with every
+    chain of nodes that have one way in and one way out taken in one step, so the number of rounds grows with the
+    branchings on the way and the logarithm of the longest chain, not with the depth. The edges are written once, and the
+    result of each round, to the shared directory.
     """
-    edges = materialise(edges.select("src", "dst"), "edges")
+    edges = materialise(edges.select("src", "dst").where("src != dst").distinct(), "edges")
     seen = materialise(start.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     depth = 0
     while max_depth is None or depth < max_depth:
+        if depth == PLAIN_ROUNDS:
+            return _along_chains(edges, seen, frontier, max_depth).filter("depth > 0")
         depth += 1
         step = lookup_join(edges, frontier.select(F.col("node").alias("src")), ["src"], "inner")
         found = step.select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
@@ -52,6 +60,51 @@ def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None)
     return seen.filter("depth > 0")
 
 
+def chains(edges: DataFrame, fixed: DataFrame) -> DataFrame:
+    """``node, head, far``: nodes with one way in and one way out, not among ``fixed``, with the first node before them
+    that is none, and the steps from there. Each round doubles the steps that are known.
+
+    A ring of such nodes has no head and can't be reached; it is left out.
+    """
+    ins = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("head")).where("n = 1")
+    outs = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")).where("n = 1")
+    inner = ins.join(outs, "node", "left_semi").join(fixed.select("node"), "node", "left_anti")
+    links = materialise(inner.select("node", "head", F.lit(1).cast("long").alias("far")), "chains")
+    rounds = max(links.count(), 1).bit_length() + 1
+    for _ in range(rounds):
+        before = links.select(F.col("node").alias("head"), F.col("head").alias("_head"), F.col("far").alias("_far"))
+        if links.join(before, "head", "left_semi").isEmpty():
+            break
+        jumped = links.join(before, "head", "left")
+        far = F.col("far") + F.coalesce("_far", F.lit(0))
+        links = materialise(jumped.select("node", F.coalesce("_head", "head").alias("head"), far.alias("far")), "chains")
+    return links.join(links.select(F.col("node").alias("head")), "head", "left_anti")
+
+
+def _along_chains(edges: DataFrame, seen: DataFrame, frontier: DataFrame, max_depth: int | None) -> DataFrame:
+    """``seen`` and all that is reachable from ``frontier``, whose nodes are among it, with the least depths."""
+    links = materialise(chains(edges, seen), "chains")
+    crossing = edges.join(links.select(F.col("node").alias("dst")), "dst", "left_anti")
+    from_chain = crossing.join(links.withColumnRenamed("node", "src"), "src", "left")
+    steps = materialise(
+        from_chain.select(F.coalesce("head", "src").alias("src"), "dst", (1 + F.coalesce("far", F.lit(0))).alias("far")), "steps"
+    )
+    within = F.lit(True) if max_depth is None else F.col("depth") <= max_depth
+    known = seen
+    while True:
+        reached = lookup_join(steps, frontier.select(F.col("node").alias("src"), "depth"), ["src"], "inner")
+        best = reached.groupBy(F.col("dst").alias("node")).agg(F.min(F.col("depth") + F.col("far")).cast("int").alias("depth"))
+        old = known.select("node", F.col("depth").alias("_depth"))
+        better = best.where(within).join(old, "node", "left").where("_depth IS NULL OR depth < _depth").select("node", "depth")
+        frontier = materialise(better)
+        if frontier.isEmpty():
+            break
+        known = materialise(known.join(frontier.select("node"), "node", "left_anti").unionByName(frontier))
+    inside = links.join(known.select(F.col("node").alias("head"), "depth"), "head")
+    inside = inside.select("node", (F.col("depth") + F.col("far")).cast("int").alias("depth")).where(within)
+    return known.unionByName(inside)
+
+
 def impact(edges: DataFrame, node: str, max_depth: int | None = None) -> DataFrame:
     spark: SparkSession = edges.sparkSession
     return reachable(edges, spark.range(1).select(F.lit(node).alias("node")), max_depth).filter(F.col("node") != node)

@@ -90,16 +90,16 @@ def _values(records: DataFrame) -> DataFrame:
 
 
 def _links(left: DataFrame, right: DataFrame, rules: Rules) -> DataFrame:
-    """Left and right values that meet a rule, with the similarity.
+    """Left and right values that meet a rule, with the similarity, and of both the least record and their number.
 
     Without similarity terms the equal fields decide. Else candidates share a segment of the text. Each side's distinct
     values are written once, as both kinds of rule and several steps read them.
     """
     l_side = materialise(_values(left), "values").withColumnsRenamed({"value": "left_value", "id": "left_id", "records": "left_records", "text": "a"})
-    r_side = materialise(_values(right), "values").withColumnsRenamed({"value": "right_value", "text": "b"}).drop("id", "records")
+    r_side = materialise(_values(right), "values").withColumnsRenamed({"value": "right_value", "id": "right_id", "records": "right_records", "text": "b"})
     fuzzy = [i for i, terms in enumerate(rules) if any(t.op == "similarity" for t in terms)]
     exact = [i for i in range(len(rules)) if i not in fuzzy]
-    columns = ["rule", "left_value", "left_id", "left_records", "right_value", "confidence"]
+    columns = ["rule", *(f"{s}_{c}" for s in ("left", "right") for c in ("value", "id", "records")), "confidence"]
     out = None
     if exact:
         same = l_side.filter(F.col("rule").isin(exact)).join(r_side, ["rule", "key"])
@@ -214,56 +214,60 @@ def match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, rules:
     ``left_records`` their number. Confidence is the best over all rules.
     """
     rows = _records(right, right_id, rules, "right")
-    links = _links(_records(left, left_id, rules, "left"), rows, rules)
-    found = links.select(F.col("right_value").alias("value"), "left_id", "left_records", "confidence")
-    # A frequent value is spread over many tasks by the lookup join.
-    joined = lookup_join(rows.select(F.col("id").alias("right_id"), "value"), found, ["value"], "inner")
-    best = joined.groupBy("right_id", "left_id").agg(
-        F.max("confidence").alias("confidence"), F.max("left_records").alias("left_records")
-    )
+    best = _partners(_links(_records(left, left_id, rules, "left"), rows, rules), rows, "right", "left")
     return best.withColumn("global_id", F.sha2(F.concat(F.lit("entity:"), F.col("left_id").cast("string")), 256))
 
 
-def swapped(rules: Rules) -> Rules:
-    return [[Term(t.right, t.left, t.op, t.threshold) for t in terms] for terms in rules]
+def _partners(links: DataFrame, rows: DataFrame, side: str, other: str) -> DataFrame:
+    """For each record of one side the partners on the other, from links of values: ``<side>_id, <other>_id,
+    confidence, <other>_records``."""
+    found = links.select(F.col(f"{side}_value").alias("value"), f"{other}_id", f"{other}_records", "confidence")
+    # A frequent value is spread over many tasks by the lookup join.
+    joined = lookup_join(rows.select(F.col("id").alias(f"{side}_id"), "value"), found, ["value"], "inner")
+    return joined.groupBy(f"{side}_id", f"{other}_id").agg(
+        F.max("confidence").alias("confidence"), F.max(f"{other}_records").alias(f"{other}_records")
+    )
 
 
 def conflicts(left: DataFrame, right: DataFrame, left_id: str, right_id: str, rules: Rules) -> DataFrame:
     """Records that need a decision: ``side, native_id, issue``.
 
     unmatched: no partner; one-to-many: several partners; low-confidence: a left record whose best
-    candidate under a similarity rule stays below the threshold.
+    candidate under a similarity rule stays below the threshold. Values are linked once; both directions and the weak
+    candidates are read from the same links.
     """
+    rows = {
+        "left": materialise(_records(left, left_id, rules, "left"), "records"),
+        "right": materialise(_records(right, right_id, rules, "right"), "records"),
+    }
+    links = materialise(_links(rows["left"], rows["right"], rules), "links")
 
     def report(df: DataFrame, side: str, issue: str) -> DataFrame:
         native = F.col("id").cast("string").alias("native_id")
         return df.select(F.lit(side).alias("side"), native, F.lit(issue).alias("issue"))
 
-    found = {
-        "left": match(right, left, right_id, left_id, swapped(rules)),
-        "right": match(left, right, left_id, right_id, rules),
-    }
     out = None
-    for side, frame, column in (("left", left, left_id), ("right", right, right_id)):
-        counted = found[side].groupBy(F.col("right_id").alias("id")).agg(
-            F.count("*").alias("partners"), F.max("left_records").alias("copies")
+    for side, other, frame, column in (("left", "right", left, left_id), ("right", "left", right, right_id)):
+        counted = _partners(links, rows[side], side, other).groupBy(F.col(f"{side}_id").alias("id")).agg(
+            F.count("*").alias("partners"), F.max(f"{other}_records").alias("copies")
         )
         lone = frame.select(F.col(column).alias("id")).join(counted.select("id"), "id", "left_anti")
         part = report(lone, side, "unmatched").unionByName(
             report(counted.filter("partners > 1 OR copies > 1"), side, "one-to-many")
         )
         out = part if out is None else out.unionByName(part)
-    weak = below_threshold(left, right, left_id, right_id, [r for r in rules if any(t.op == "similarity" for t in r)])
-    return out if weak is None else out.unionByName(report(weak, "left", "low-confidence"))
+    fuzzy = [i for i, terms in enumerate(rules) if any(t.op == "similarity" for t in terms)]
+    if not fuzzy:
+        return out
+    chosen = F.col("rule").isin(fuzzy)
+    weak = _below_threshold(rows["left"].filter(chosen), rows["right"].filter(chosen), links.filter(chosen))
+    return out.unionByName(report(weak, "left", "low-confidence"))
 
 
-def below_threshold(left: DataFrame, right: DataFrame, left_id: str, right_id: str, rules: Rules) -> DataFrame | None:
+def _below_threshold(left: DataFrame, right: DataFrame, links: DataFrame) -> DataFrame:
     """Left records that share a rule's equal fields with some right record, none of them similar enough."""
-    if not rules:
-        return None
-    a, b = _records(left, left_id, rules, "left"), _records(right, right_id, rules, "right")
-    candidates = a.join(b.select("rule", "key").distinct(), ["rule", "key"], "left_semi").select("id", "value")
-    enough = _links(a, b, rules).select(F.col("left_value").alias("value")).distinct()
+    candidates = left.join(right.select("rule", "key").distinct(), ["rule", "key"], "left_semi").select("id", "value")
+    enough = links.select(F.col("left_value").alias("value")).distinct()
     good = lookup_join(candidates, enough, ["value"], "inner").select("id").distinct()
     return candidates.select("id").distinct().join(good, "id", "left_anti")
 

@@ -1,6 +1,7 @@
 """Specs, contracts, policies, models, quality, matching and graph operators."""
 
 import datetime as dt
+import random
 
 import pytest
 from conftest import plan, rows
@@ -464,3 +465,59 @@ def test_low_similarities_are_refused(spark):
     rules = [[matching.Term("city", "city"), matching.Term("name", "name", "similarity", 0.5)]]
     with pytest.raises(SpecError):
         matching.match(df, df, "id", "id", rules)
+
+
+# --- reach and links ---------------------------------------------------------------------------
+
+
+def plain_depths(edges, starts):
+    depth, layer, d = {s: 0 for s in starts}, set(starts), 0
+    while layer:
+        d += 1
+        layer = {b for a, b in edges if a in layer and b not in depth}
+        depth |= {b: d for b in layer}
+    return {n: d for n, d in depth.items() if d}
+
+
+@pytest.fixture
+def rounds(monkeypatch):
+    """Counts the steps that are written."""
+    made = []
+    write = catalog.materialise
+    monkeypatch.setattr(catalog, "materialise", lambda df, *how: made.append(1) or write(df, *how))
+    return made
+
+
+def reach(spark, edges, starts, max_depth=None):
+    frame = spark.createDataFrame(edges, "src string, dst string")
+    nodes = spark.createDataFrame([(s,) for s in starts], "node string")
+    return {r.node: r.depth for r in catalog.reachable(frame, nodes, max_depth).collect()}
+
+
+def test_a_long_chain_takes_few_rounds(spark, rounds):
+    """A thousand nodes in a row, with a shortcut, a way back, a ring that nothing leads to, and a second way that joins."""
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(1_000)] + [("n100", "n400"), ("n900", "n5"), ("n1000", "n1000")]
+    edges += [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)] + [(f"m{i}", f"m{i + 1}") for i in range(90)] + [("m90", "n350"), ("n3", "m0")]
+    assert reach(spark, edges, ["n0"]) == plain_depths(edges, ["n0"])
+    assert len(rounds) < 35
+    assert reach(spark, edges, ["n0"], 120) == {n: d for n, d in plain_depths(edges, ["n0"]).items() if d <= 120}
+
+
+def test_reach_in_random_graphs(spark):
+    rnd = random.Random(4)
+    for n, m in ((40, 45), (60, 120), (80, 84)):
+        edges = [(f"a{rnd.randrange(n)}", f"a{rnd.randrange(n)}") for _ in range(m)]
+        edges += [(f"c{i}", f"c{i + 1}") for i in range(30)] + [("a1", "c0"), ("c30", "a2")]
+        assert reach(spark, edges, ["a1", "c7"]) == plain_depths(edges, ["a1", "c7"])
+
+
+def test_conflicts_link_values_once(spark, monkeypatch):
+    made, link = [], matching._links
+    monkeypatch.setattr(matching, "_links", lambda *a: made.append(1) or link(*a))
+    left = spark.createDataFrame([("l1", "anna smith", "x"), ("l2", "ann smith", "x"), ("l3", "zed", "x"), ("l4", "bo", "y")], "id string, name string, city string")
+    right = spark.createDataFrame([("r1", "anna smith", "x"), ("r2", "anna smyth", "x"), ("r3", "bob", "z")], "id string, name string, city string")
+    rules = [[matching.Term("city", "city"), matching.Term("name", "name", "similarity", 0.85)]]
+    found = rows(matching.conflicts(left, right, "id", "id", rules))
+    assert len(made) == 1
+    assert found == sorted([("left", "l1", "one-to-many"), ("right", "r1", "one-to-many"), ("left", "l3", "unmatched"), ("left", "l3", "low-confidence"),
+                            ("left", "l4", "unmatched"), ("right", "r3", "unmatched")])
