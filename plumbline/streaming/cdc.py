@@ -43,6 +43,18 @@ def file_source(spark: SparkSession, path: str, max_files: int | None = None) ->
     return reader.json(path)
 
 
+POSITION = ("topic", "partition", "offset")
+
+
+def once_per_offset(envelope: DataFrame, within: str = "1 day") -> DataFrame:
+    """Messages that a broker or a replay delivers again, by up to ``within`` of their time, are taken once.
+
+    The state holds the positions of that span only, and survives a restart in the stream's checkpoint. A message that
+    is further behind the newest one is taken to be a repeat, so the span has to cover how late messages may come.
+    """
+    return envelope.withWatermark("timestamp", within).dropDuplicatesWithinWatermark(list(POSITION))
+
+
 def decode(envelope: DataFrame, schema: T.StructType | str, ingested: Column | None = None) -> DataFrame:
     """Typed columns of the row image with the broker's position; rows without an id are dropped."""
     schema = schema if isinstance(schema, str) else schema.simpleString()
@@ -113,22 +125,34 @@ def merge_stream(
     keys: Sequence[str],
     version: Sequence[str],
     available_now: bool = False,
+    fold_every: int | None = None,
 ) -> StreamingQuery:
     """Append the newest version per key of each micro-batch to a table of versions.
 
-    A batch writes only what it brings, into a partition of its own, and a repeated batch replaces that partition; stored
-    versions are never rewritten by the stream. ``current_rows`` reads the newest version of every key.
+    A batch writes only what it brings, into a partition of its own, and a repeated batch replaces that partition.
+    ``current_rows`` reads the newest version of every key. With ``fold_every`` the batch that makes so many partitions
+    folds them, so reads and file counts stay bounded however long the stream runs; a batch that is repeated after its
+    fold brings versions that are stored already.
     """
     table = ParquetTable(path, (BATCH,))
 
     def merge(batch: DataFrame, number: int) -> None:
         write_partitions(newest(batch, keys, version).withColumn(BATCH, F.lit(number)), table)
+        if fold_every and open_versions(batch.sparkSession, path) >= fold_every:
+            fold_versions(batch.sparkSession, path, keys, version)
 
     writer = df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
 
+def open_versions(spark: SparkSession, path: str) -> int:
+    """How many batches of a table of versions are not folded, by the names of their folders."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    return sum(n.startswith(f"{BATCH}=") and n != f"{BATCH}={FOLDED}" for n in names)
+
+
 def current_rows(spark: SparkSession, path: str, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
     """The newest version of every key of a table of versions."""
     return newest(spark.read.parquet(path).drop(BATCH), keys, version)
@@ -155,11 +179,19 @@ def start_routes(
     root: str,
     checkpoints: str,
     available_now: bool = False,
+    repeats_within: str | None = None,
 ) -> dict[str, StreamingQuery]:
-    """Start the raw append of every topic: (envelope, schema, route, partition column), each with its own checkpoint."""
+    """Start the raw append of every topic: (envelope, schema, route, partition column), each with its own checkpoint.
+
+    ``repeats_within`` is the span in which a message that comes again is left out.
+    """
+
+    def once(envelope: DataFrame) -> DataFrame:
+        return envelope if repeats_within is None else once_per_offset(envelope, repeats_within)
+
     return {
         name: append_raw(
-            route(decode(envelope, schema)), f"{root}/{name}", f"{checkpoints}/{name}", [by], f"raw_{name}", available_now
+            route(decode(once(envelope), schema)), f"{root}/{name}", f"{checkpoints}/{name}", [by], f"raw_{name}", available_now
         )
         for name, (envelope, schema, route, by) in topics.items()
     }

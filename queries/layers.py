@@ -499,6 +499,25 @@ def cdc_stream_append(spark, sf):
     )
 
 
+@R.add("""
+SELECT strftime(ts, '%Y%m%d') AS year_month_day, count(*) AS messages, count(DISTINCT event_id) AS ids,
+       round(sum(value), 4) AS total FROM events WHERE value < 250 GROUP BY ALL""")
+def cdc_stream_once(spark, sf):
+    """As ``cdc_stream_append``, with the whole feed delivered twice and a third of it once more after a restart."""
+    feed, root, checkpoints = shared_dir(spark, "feed"), shared_dir(spark, "raw"), shared_dir(spark, "offsets")
+    messages = envelope(spark, sf)
+    messages.unionByName(messages).write.json(feed)
+    for again in (True, False):
+        topics = {"events": (cdc.file_source(spark, feed), IMAGE, cdc.route_measurements, "year_month_day")}
+        for query in cdc.start_routes(spark, topics, root, checkpoints, True, repeats_within="60 days").values():
+            query.awaitTermination()
+        if again:
+            messages.where("offset % 3 = 0").write.mode("append").json(feed)
+    return spark.read.parquet(f"{root}/events").groupBy(F.col("year_month_day").cast("string").alias("year_month_day")).agg(
+        F.count("*").alias("messages"), F.count_distinct("id").alias("ids"), F.round(F.sum("value"), 4).alias("total")
+    )
+
+
 @R.add("""
 SELECT user_id, CAST(event_id AS VARCHAR) AS id, event_type, round(value, 6) AS value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")

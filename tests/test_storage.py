@@ -224,3 +224,35 @@ def test_merging_stream_equals_a_batch(spark, tmp_path):
         assert drain() == [("0", 15.0), ("1", 99.0), ("2", 17.0), ("3", 18.0), ("4", 19.0), ("9", 1.0)]
     put(source, "3.json", (40, {"id": "0", "value": 5.0}))
     assert drain()[0] == ("0", 5.0)
+
+
+def test_replays_and_restarts_leave_one_row_per_offset(spark, tmp_path):
+    """Each file repeats messages of the file before; the stream is started anew in between."""
+    source, raw, checkpoint = (str(tmp_path / n) for n in ("in", "raw", "ck"))
+    for i in range(12):
+        put(source, f"{i:02d}.json", *[(o, {"id": str(o), "record_timestamp": JAN1}) for o in range(max(0, 3 * i - 2), 3 * i + 3)])
+        if i % 4 == 3:
+            once = cdc.once_per_offset(cdc.file_source(spark, source, max_files=1), "1 day")
+            routed = cdc.route_records(cdc.decode(once, IMAGE))
+            cdc.append_raw(routed, raw, checkpoint, ["year_month_day"], "once", available_now=True).awaitTermination()
+    assert sorted(int(r.id) for r in spark.read.parquet(raw).collect()) == list(range(36))
+
+
+def test_a_merging_stream_folds_itself(spark, tmp_path):
+    """Over fifty batches the number of files stays under a bound, and the rows are those of a batch."""
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "merged", "ck"))
+    most = []
+    fold = cdc.fold_versions
+
+    def counted(*args):
+        most.append(sum(f.endswith(".parquet") for _, _, names in os.walk(path) for f in names))
+        fold(*args)
+
+    for i in range(50):
+        put(source, f"{i:02d}.json", (i, {"id": str(i % 7), "value": float(i)}))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(cdc, "fold_versions", counted)
+        decoded = cdc.decode(cdc.file_source(spark, source, max_files=1), IMAGE)
+        cdc.merge_stream(decoded, path, checkpoint, ["id"], ["offset"], available_now=True, fold_every=5).awaitTermination()
+    assert len(most) == 10 and max(most) <= 5 * 2 + 8 and cdc.open_versions(spark, path) < 5
+    assert rows(cdc.current_rows(spark, path, ["id"], ["offset"]), "id", "value") == [(str(k), 49.0 - (49 - k) % 7) for k in range(7)]
