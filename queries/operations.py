@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import catalog, matching, monitoring, quality, tableops
+from plumbline.operators import catalog, matching, monitoring, profiles, quality, tableops
 from plumbline.scale import shared_dir
 from plumbline.sources import sinks
 from plumbline.sources.versions import VersionedTable
@@ -67,6 +67,34 @@ def column_profile(spark, sf):
     return rounded(quality.column_profile(gappy_orders(spark, sf), exact=True))
 
 
+@R.add("""
+WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS price,
+             year(o_orderdate) AS year FROM orders),
+p AS (""" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, count(*) AS row_count, round(1 - count({c})::DOUBLE / count(*), 6) AS null_share,
+        CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM o"""
+    for c in ("o_orderkey", "o_custkey", "o_orderstatus", "price", "year")
+) + """)
+SELECT column_name, row_count, null_share, CASE WHEN column_name = 'price' THEN NULL ELSE min_value END AS min_value,
+       CASE WHEN column_name = 'price' THEN NULL ELSE max_value END AS max_value, true AS distinct_close, 1 AS partitions_read FROM p""")
+def merged_profile(spark, sf):
+    """Profile kept per year: one year is written anew, and only that one is read before the profiles are merged."""
+    o = orders_by_year(spark, sf).withColumn("price", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice"))).drop("o_totalprice", "d")
+    source, store = VersionedTable(shared_dir(spark, "orders"), ("year",)), VersionedTable(shared_dir(spark, "profiles"), ("year",))
+    source.create(o.withColumn("o_custkey", F.when(F.col("year") == 1996, F.lit(-1)).otherwise(F.col("o_custkey"))))
+    profiles.refresh(spark, source, store)
+    source.replace_partitions(o.filter("year = 1996"))
+    read = len(profiles.refresh(spark, source, store))
+    merged = profiles.profile(spark, source, store)
+    counted = quality.column_profile(source.read(spark), exact=True).select("column_name", F.col("distinct_values").alias("_exact"))
+    close = F.abs(F.col("distinct_values") - F.col("_exact")) <= F.greatest(0.08 * F.col("_exact"), F.lit(1))
+    text = lambda c: F.when(F.col("column_name") != "price", F.col(c)).alias(c)
+    return rounded(merged.join(counted, "column_name").select(
+        "column_name", "row_count", "null_share", text("min_value"), text("max_value"), close.alias("distinct_close"),
+        F.lit(read).alias("partitions_read"),
+    ))
+
+
 RULES = [
     quality.Rule("key set", "not_null", "l_orderkey"),
     quality.Rule("tax in range", "range", "l_tax", 0.0, 0.05, severity="Medium"),
