@@ -31,7 +31,7 @@ FEED = BARE + BARE
 TOGETHER = 4096
 TEXTS, CHARS = 128, 1 << 20
 #: Ids are dear to make again, and the files of ids are written by a job of its own.
-ID_CACHE_BYTES = 384 << 20
+ID_CACHE_BYTES = 192 << 20
 
 
 def letters_of_bytes() -> dict[str, str]:
