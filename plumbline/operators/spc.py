@@ -119,13 +119,13 @@ def day_pieces(
         F.min_by("x", "_i").alias("open"),
         F.max_by("x", "_i").alias("close"),
     )
-    # From here on: at most one row per key, day, limit set and task, and a day's rows are together.
+    # From here on: at most one row per key, day, limit set and task, and the rows of a key are together, as the charts want them.
     whole = W.partitionBy(*day)
     part = W.partitionBy(*day, "_task")
     group = W.partitionBy(*day, *limits)
     series = whole.orderBy("_task", "place")
     joined = (
-        pieces.repartition(*day)
+        pieces.repartition(*keys)
         .withColumn("close", F.max_by("close", "_last").over(part))
         .withColumn("_heads", F.col("place") == F.min("place").over(part))
         .withColumn("_prior", F.lag("close").over(series))
