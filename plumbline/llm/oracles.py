@@ -75,6 +75,18 @@ def utf8(text: str) -> str:
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+ORACLES["op9_jaccard_join"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^ \t\n\v\f\r]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT doc_id, doc_id AS met FROM documents UNION SELECT c.doc_id, u.b FROM c JOIN u ON u.a = c.met),
+m AS (SELECT doc_id, min(met) AS component_id FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)"""
+
 ORACLES["op11_spelling_variants"] = f"""
 WITH RECURSIVE tab AS ({CRC_TABLE}),
 r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[a-z\u00c0-\u00ff]{{6,}}')) AS w FROM documents),
