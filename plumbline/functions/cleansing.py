@@ -80,6 +80,32 @@ def list_items(csv: Column) -> Column:
     return F.filter(F.transform(F.split(csv, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def longest_token(text: Column) -> Column:
+    """The longest run of letters, digits and underscores, the first of equals; null without one."""
+    tokens = F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda t: t != "")
+    longest = F.aggregate(tokens, F.lit(""), lambda best, t: F.when(F.length(t) > F.length(best), t).otherwise(best))
+    return F.nullif(longest, F.lit(""))
+
+
+def last_parts(name: Column, n: int = 2) -> Column:
+    """The last ``n`` dotted parts of a name; the whole name if it has fewer."""
+    parts = F.split(name, r"\.")
+    return F.array_join(F.slice(parts, F.greatest(F.size(parts) - n + 1, F.lit(1)), n), ".")
+
+
+def urn_parts(urn: Column) -> Column:
+    """Platform, namespace and table of a dataset's URN, ``urn:..:(urn:..:<platform>,<namespace>.<table>,<stage>)``; null
+    where the text has no such form."""
+    shape = r"^urn:[^()]*:\(urn:[^(),]*:([^(),:]+),([^(),]+),[^(),]*\)$"
+    path = F.regexp_extract(urn, shape, 2)
+    made = F.struct(
+        F.regexp_extract(urn, shape, 1).alias("platform"),
+        F.regexp_extract(path, r"^(.*)\.[^.]*$", 1).alias("namespace"),
+        F.regexp_extract(path, r"([^.]*)$", 1).alias("table"),
+    )
+    return F.when(urn.rlike(shape), made)
+
+
 def row_digest(columns: Sequence[str]) -> Column:
     """SHA-256 over columns in which a null differs from every value."""
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)

@@ -48,12 +48,19 @@ SELECT p_partkey, trim(p_name) AS p_name, upper(trim(p_brand)) AS p_brand, lower
        len(list_filter(list_transform(string_split(p_name || ', ,' || p_brand, ','), lambda x: trim(x)), lambda x: x <> ''))
          AS items,
        string_split(p_brand || '.' || p_type || '.' || p_name, '.')[-1] AS last_part,
+       array_to_string(string_split(p_brand || '.' || p_type || '.' || p_partkey, '.')[-2:], '.') AS last_two,
+       list_reduce(list_filter(regexp_split_to_array(p_name || ' or ' || p_type, '[^a-zA-Z0-9_]+'), lambda t: t <> ''),
+         lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS longest,
+       'p' || p_size AS platform, 'parts.' || replace(p_brand, '#', '') AS namespace, 't' || p_partkey AS table_name,
        sha256(p_name) AS digest, upper(sha256(p_brand)) AS digest_upper, nullif(p_type, 'SMALL') AS type_or_null,
        printf('%s(%d)', p_brand, p_size) AS label
 FROM part WHERE p_name IS NOT NULL AND trim(p_name) <> ''""")
 def clean_strings(spark, sf):
     raw = cl.require(cl.tidy(table(spark, sf, "part"), ["p_name"]), ["p_name"], ["p_name"])
     brand, kind, name = F.col("p_brand"), F.col("p_type"), F.col("p_name")
+    urn = F.format_string(
+        "urn:x:dataset:(urn:x:platform:p%d,parts.%s.t%d,PROD)", F.col("p_size"), F.replace(brand, F.lit("#"), F.lit("")), F.col("p_partkey")
+    )
     out = raw.select(
         "p_partkey", "p_name", F.upper(F.trim(brand)).alias("p_brand"), F.lower(kind).alias("p_type_lower"),
         F.substring(name, 1, 10).alias("name_start"), F.replace(brand, F.lit("#"), F.lit("")).alias("brand_plain"),
@@ -62,6 +69,9 @@ def clean_strings(spark, sf):
         cl.safe_identifier(F.concat(brand, F.lit(" / "), kind)).alias("identifier"),
         F.size(cl.list_items(F.concat(name, F.lit(", ,"), brand))).alias("items"),
         F.element_at(F.split(F.concat(brand, F.lit("."), kind, F.lit("."), name), r"\."), -1).alias("last_part"),
+        cl.last_parts(F.concat_ws(".", brand, kind, "p_partkey")).alias("last_two"),
+        cl.longest_token(F.concat(name, F.lit(" or "), kind)).alias("longest"),
+        *[cl.urn_parts(urn)[a].alias(b) for a, b in (("platform", "platform"), ("namespace", "namespace"), ("table", "table_name"))],
         F.sha2(name, 256).alias("digest"), cl.sha_upper(brand).alias("digest_upper"),
         F.nullif(kind, F.lit("SMALL")).alias("type_or_null"),
         F.format_string("%s(%d)", brand, F.col("p_size")).alias("label"),

@@ -521,3 +521,15 @@ def test_conflicts_link_values_once(spark, monkeypatch):
     assert len(made) == 1
     assert found == sorted([("left", "l1", "one-to-many"), ("right", "r1", "one-to-many"), ("left", "l3", "unmatched"), ("left", "l3", "low-confidence"),
                             ("left", "l4", "unmatched"), ("right", "r3", "unmatched")])
+
+
+def test_parts_of_names(spark):
+    from plumbline.functions import cleansing
+
+    texts = ["", None, "a bb cc", "?!", "x.y.z", "urn:a:b:(urn:a:c:hive,db.s.t,PROD)", "urn:a:b:(urn:a:c:hive,t,PROD)", "urn:a:b:(hive,t)"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    got = df.select(cleansing.longest_token(t).alias("a"), cleansing.last_parts(t).alias("b"), cleansing.urn_parts(t).alias("c")).collect()
+    assert [r.a for r in got[:5]] == [None, None, "bb", None, "x"]
+    assert [r.b for r in got[:5]] == ["", None, "a bb cc", "?!", "y.z"]
+    assert [r.c and tuple(r.c) for r in got] == [None] * 5 + [("hive", "db.s", "t"), ("hive", "", "t"), None]
