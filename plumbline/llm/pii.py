@@ -2,13 +2,17 @@
 
 High-recall generators propose spans, which may overlap: the four base formats, written-out mail addresses, and any
 longer run of digits with separators. A boosted-tree classifier scores every candidate by its format and its context;
-a threshold, calibrated for a stated precision on held-out candidates that are no base spans, selects what is redacted
-beyond the base spans.
-
-The trees are fitted on a bounded sample of distinct candidates (``max_training``, a documented parameter): base spans,
-and other candidates with evidence for or against them (``evidence``). Each of the three groups has a third of the
-sample; candidates without evidence are scored but teach nothing. The sample is taken by the hash of a candidate's text
-and context, so it does not depend on how the rows are spread. Everything else covers all rows.
+a threshold, calibrated for a stated precision on candidates that are no base spans, selects what is redacted beyond the
+base spans.
+
+The trees are fitted on all distinct candidates (of one kind, text and context each): base spans, and other candidates
+with evidence for or against them (``evidence``); candidates without evidence are scored but teach nothing. Candidates
+with equal features are folded into one row with their number, which is all that the trees see of them. A group of
+candidates weighs at most ``GROUP_WEIGHT`` in the trees, so that a common one doesn't drown the others. The threshold
+counts every candidate with evidence beyond the base, once, by the score of trees that were fitted without it: the
+candidates are dealt into ``FOLDS`` parts by the hash of their text and context, whatever rows they lie in. The trees
+that judge are fitted on all parts. Numbers are given to them as steps, one truth value for each number that they may
+reach, as Spark would look for the cuts of plain numbers in some of the rows only.
 
 Patterns are written with possessive quantifiers and anchored at the starts of runs: a match takes time in proportion
 to its length and no stack, however long the text. They find the same spans as the plain patterns.
@@ -20,13 +24,12 @@ against candidates beyond the base, no span is added; an empty table gives an em
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.rowkeys import row_key
-from plumbline.scale import materialise
+from plumbline.scale import materialise, together
 
 KINDS = ("email", "ip", "card", "phone", "mail_words", "digits")
 BASE_KINDS = 4
@@ -46,7 +49,8 @@ PATTERNS = (
 )
 BEFORE, AFTER = 24, 12
 CHUNK = 256
-MAX_TRAINING = 20_000
+GROUP_WEIGHT = 6_667
+FOLDS = 3
 PRECISION = 0.99
 #: No candidate of a lower score is added, whatever the held-out ones say.
 LEAST_SCORE = 0.5
@@ -55,6 +59,9 @@ FEATURES = (
     "luhn", "two_cards", "dot_words", "octets", "letter_before", "letter_after", "digit_near", "says_mail", "says_phone", "says_card",
     "says_address", "says_other",
 )
+#: Features that are numbers; the others are truth values. Two cards with their separators have up to 39 characters.
+NUMBERS = ("n_chars", "n_digits", "n_letters", "n_separators", "n_dots", "n_parts", "longest_part")
+STEPS = 40
 
 
 def running_totals(numbers: Column) -> Column:
@@ -207,34 +214,87 @@ def evidence(c: str) -> Column:
     return F.when(positive, 1.0).when(negative, 0.0)
 
 
-def fit(labelled: DataFrame, rounds: int, depth: int):
-    """Trees and the threshold for ``PRECISION``, or None if the rows are all of one label.
+def codes(c: str) -> Column:
+    """``features`` as one array of small whole numbers, up to ``STEPS``."""
+    made = features(c)
+    return F.array(*[F.least(made[f], F.lit(STEPS)).cast("int") for f in FEATURES])
+
+
+def vector() -> Column:
+    """The column ``codes`` as a vector of truth values: a number as one for each step that it reaches."""
+    steps = [STEPS if f in NUMBERS else 1 for f in FEATURES]
+    reached = lambda code, n: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: (code >= x).cast("double"))
+    parts = [reached(F.get("codes", F.lit(k)), n) for k, n in enumerate(steps)]
+    attributes = {"attrs": {"binary": [{"idx": k, "name": str(k)} for k in range(sum(steps))]}, "num_attrs": sum(steps)}
+    return array_to_vector(F.concat(*parts)).alias("features", metadata={"ml_attr": attributes})
 
-    ``labelled`` is the bounded sample: the features, ``label``, ``base`` and ``held_out``. The threshold is the lowest
-    score, ``LEAST_SCORE`` at least, at which the held-out candidates from there on have the stated precision; base spans
-    stay in any case and do not count.
+
+def labelled(candidates: DataFrame) -> DataFrame:
+    """All distinct candidates of column ``c`` with a label, folded: ``grp``, ``label``, ``fold``, ``codes`` and their ``n``.
+
+    ``grp`` is 2 for base spans, else the label.
     """
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    rows = vectors.transform(labelled).select("features", "label", "base", "held_out")
-    n, positive = rows.where(~F.col("held_out")).agg(F.count("*"), F.sum("label")).first()
-    if not n or not positive or positive == n:
-        return None
-    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, maxBins=32, seed=1).fit(rows.where(~F.col("held_out")))
-    scored = trees.transform(rows.where("held_out AND NOT base")).select(
-        F.round(vector_to_array("probability")[1], 3).alias("score"), "label"
+    told = F.when(F.col("c.base"), 1.0).otherwise(evidence("c"))
+    same = [F.col(f"c.{x}").alias(x) for x in ("kind", "value", "before", "after")]
+    known = candidates.select("c", told.alias("label")).where("label IS NOT NULL")
+    known = known.select("label", F.col("c.base").alias("base"), *same).distinct()
+    each = known.select(
+        F.when(F.col("base"), 2.0).otherwise(F.col("label")).alias("grp"),
+        "label",
+        F.pmod(F.xxhash64("kind", "value", "before", "after"), F.lit(FOLDS)).alias("fold"),
+        F.struct("kind", "value", "before", "after").alias("c"),
     )
-    steps = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("p"))  # at most 1,001 rows
+    folded = each.select("grp", "label", "fold", codes("c").alias("codes"))
+    return folded.groupBy(*folded.columns).agg(F.count("*").alias("n"))
+
+
+def fit(rows: DataFrame, sizes: dict[tuple[float, int], int], rounds: int, depth: int):
+    """Trees and the threshold for ``PRECISION``, or None without labels of both kinds beyond the base.
+
+    ``rows`` are those of ``labelled``, and ``sizes`` their numbers by group and fold. The threshold is the lowest score,
+    ``LEAST_SCORE`` at least, at which the candidates from there on have the stated precision, each scored by trees of
+    the other folds; base spans stay in any case and do not count.
+    """
+    of = lambda groups, folds: sum(n for (g, f), n in sizes.items() if g in groups and f in folds)
+    every = range(FOLDS)
+    if not of([0.0], every) or not of([1.0], every):
+        return None
+    given = rows.select("grp", "label", "fold", "n", vector())
+
+    def trees_of(folds):
+        weights = {g: min(1.0, GROUP_WEIGHT / max(1, of([g], folds))) for g in (0.0, 1.0, 2.0)}
+        weight = F.col("n") * F.element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), F.col("grp"))
+        taught = given.where(F.col("fold").isin(*folds)).withColumn("weight", weight)
+        return GBTClassifier(maxIter=rounds, maxDepth=depth, maxBins=32, seed=1, weightCol="weight").fit(taught)
+
+    def steps_of(fold: int) -> list:
+        """(score, number, sum of labels) beyond the base, at most 1,001 rows."""
+        others = [f for f in every if f != fold]
+        asked = given.where((F.col("fold") == fold) & (F.col("grp") < 2))
+        if not of([0.0, 1.0], [fold]):
+            return []
+        if of([0.0], others) and of([1.0, 2.0], others):
+            scored = trees_of(others).transform(asked).withColumn("score", F.round(vector_to_array("probability")[1], 3))
+        else:  # the others know one label, or none
+            scored = asked.withColumn("score", F.lit(0.0 if of([0.0], others) else 1.0))
+        return scored.groupBy("score").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("p")).collect()
+
+    *steps, trees = together(*[lambda f=f: steps_of(f) for f in every], lambda: trees_of(list(every)))
+    found: dict[float, tuple[float, float]] = {}
+    for r in (r for some in steps for r in some):
+        n, p = found.get(r["score"], (0.0, 0.0))
+        found[r["score"]] = n + r["n"], p + r["p"]
     seen = hit = 0.0
     threshold = 2.0
-    for r in sorted(steps.collect(), key=lambda r: -r["score"]):
-        seen, hit = seen + r["n"], hit + r["p"]
-        if hit >= PRECISION * seen and r["score"] >= LEAST_SCORE:
-            threshold = r["score"]
+    for score in sorted(found, reverse=True):
+        seen, hit = seen + found[score][0], hit + found[score][1]
+        if hit >= PRECISION * seen and score >= LEAST_SCORE:
+            threshold = score
     return trees, threshold
 
 
 def find_personal_data(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", max_training: int = MAX_TRAINING, rounds: int = 10, depth: int = 3
+    docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 10, depth: int = 3
 ) -> DataFrame:
     """One row per row of ``docs``: key and ``spans``, an array of (start, kind, stop, base, score).
 
@@ -250,20 +310,10 @@ def find_personal_data(
 
     parted = stored.withColumn("sure", is_base)
     parted = parted.withColumn("unsure", F.filter(F.filter("found", lambda s: ~s.base), free)).drop("found")
-    each = parted.select(F.explode(F.concat("sure", "unsure")).alias("c")).select(
-        "c", F.xxhash64("c.kind", "c.value", "c.before", "c.after").alias("h")
-    )
-    judged = each.withColumn("label", F.when(F.col("c.base"), 1.0).otherwise(evidence("c"))).where("label IS NOT NULL")
-    groups = F.when(F.col("c.base"), 2.0).otherwise(F.col("label"))
-    known = judged.withColumn("group", groups).dropDuplicates(["h"])
-    known = materialise(known, "labelled")
-    sizes = {r["group"]: r["count"] for r in known.groupBy("group").count().collect()}  # three rows at most
-    part = max_training / 3
-    share = F.element_at(F.create_map(*[F.lit(x) for g in (0.0, 1.0, 2.0) for x in (g, int(1e6 * min(1.0, part / sizes.get(g, 1))))]), F.col("group"))
-    drawn = known.where(F.abs(F.col("h") % 1_000_000) < share).withColumns(features("c"))
-    drawn = drawn.withColumns({"base": F.col("c.base"), "held_out": F.pmod(F.shiftright("h", 20), F.lit(5)) == 0})
-    sample = materialise(drawn.select(*FEATURES, "label", "base", "held_out").repartition(4), "sample")
-    model = fit(sample, rounds, depth) if sizes.get(0.0) and sizes.get(1.0) else None
+    known = materialise(labelled(parted.select(F.explode(F.concat("sure", "unsure")).alias("c"))), "labelled")
+    # three rows a fold at most
+    sizes = {(r["grp"], r["fold"]): r["n"] for r in known.groupBy("grp", "fold").agg(F.sum("n").alias("n")).collect()}
+    model = fit(known, sizes, rounds, depth)
     kept = F.transform(
         "sure", lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.stop.alias("stop"), F.lit(True).alias("base"), F.lit(1.0).alias("score"))
     )
@@ -273,9 +323,8 @@ def find_personal_data(
     trees, threshold = model
     with_any = F.size("unsure") > 0
     some = sure.where(with_any).withColumn("_row", row_key("_key", "sure", "unsure"))
-    open_ = some.select("_row", F.explode("unsure").alias("c")).distinct().withColumns(features("c"))
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    scored = trees.transform(vectors.transform(open_)).withColumn("score", vector_to_array("probability")[1])
+    open_ = some.select("_row", F.explode("unsure").alias("c")).distinct().withColumn("codes", codes("c"))
+    scored = trees.transform(open_.select("_row", "c", vector())).withColumn("score", vector_to_array("probability")[1])
     added = scored.where(F.round("score", 3) >= threshold).groupBy("_row").agg(
         F.collect_list(F.struct("c.start", "c.kind", "c.stop", "c.base", "score")).alias("added")
     )

@@ -456,6 +456,30 @@ class TestMethods:
         few = docs.where("doc_id % 9 >= 3")
         assert all(s.base for r in pii.find_personal_data(few).collect() for s in r.spans)
 
+    def test_all_candidates_teach_the_trees(self, llm):
+        """60 look-alikes among 40,000 others keep 2,000 candidates out: 97 %, not 99. A sample of the others would lose them."""
+        at = F.lpad((F.col("id") + 1_000_000).cast("string"), 7, "0")
+        said = lambda n, words, tail: llm.range(n).select(F.concat(F.lit(words), at, F.lit(tail)).alias("text"))
+        good, alike = said(2_000, "about phone 030 ", " ok"), said(60, "serial phone 030 ", " ok")
+        others = said(40_000, "order 7", " sent").unionByName(said(50, "write a", "@b.co"))
+        docs = good.unionByName(alike).unionByName(others).withColumn("doc_id", F.monotonically_increasing_id())
+        added = lambda rows: pii.find_personal_data(rows, rounds=3).select(F.explode("spans").alias("s")).where("NOT s.base").count()
+        assert added(docs) == 0
+        assert added(docs.where("text NOT LIKE 'serial%'")) == 2_000
+
+    def test_all_candidates_are_folded_for_the_trees(self, llm):
+        """Each distinct candidate with evidence counts once, and no feature is a plain number, whose cuts Spark would sample."""
+        made = [(f"order 7{20_000_000 + i} sent",) for i in range(500)] + [(f"phone 030 {5_550_000 + i} ok",) for i in range(300)]
+        docs = llm.createDataFrame(made + made[:100], "text string")
+        found = pii.propose(docs.withColumn("_text", F.col("text")), "_text")
+        known = pii.labelled(found.select(F.explode("found").alias("c"))).cache()
+        sizes = {(r.grp, r.fold): r.n for r in known.groupBy("grp", "fold").agg(F.sum("n").alias("n")).collect()}
+        assert [sum(n for (g, _), n in sizes.items() if g == label) for label in (0.0, 1.0)] == [500, 300]
+        assert len({f for _, f in sizes}) == pii.FOLDS and known.count() < 100
+        trees, threshold = pii.fit(known, sizes, 2, 2)
+        assert " in {" in trees.toDebugString and " <= " not in trees.toDebugString
+        assert pii.LEAST_SCORE <= threshold <= 1
+
     def test_native_plans(self, llm, spark, sf):
         """No Python in the plans of the operators that are to be native."""
         plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
