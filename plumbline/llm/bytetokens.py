@@ -3,7 +3,8 @@
 The usual pattern of byte-level tokenizers always cuts before a space that stands between two other characters, and on
 both sides of a line feed that does, and no merge crosses a cut. So a text's ids are those of its chunks, one after the
 other, and chunks come back. Ids of chunks are kept in a cache bounded in bytes; chunks that it lacks are encoded
-together by the tokenizers library, with line feeds between them, whose own ids tell them apart.
+together by the tokenizers library, with line feeds between them, whose own ids tell them apart. The chunks of many texts
+are cut and told apart in Arrow, so each is looked up once for all of them.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from plumbline.llm.wordcache import WordCache, give_back
 
@@ -25,11 +28,13 @@ OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Words that are one pre-token behind a space, and signs that are one behind a word.
 WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A sign that ends a word: the pattern cuts between a letter and a sign, and this one has no other sign beside it.
+STOP = re.compile(r"[!,.:;?](?<=[A-Za-zÀ-ÖØ-öø-ɏ].)(?= |\Z)")
 #: Stands before a chunk that has no space before it, and twice for a line feed; no other chunk begins with it.
 BARE = "\n"
 FEED = BARE + BARE
 TOGETHER = 4096
-TEXTS, CHARS = 128, 1 << 20
+TEXTS, CHARS = 256, 1 << 21
 #: Ids are dear to make again, and the files of ids are written by a job of its own.
 ID_CACHE_BYTES = 192 << 20
 
@@ -66,17 +71,6 @@ def chunks(text: str) -> list[str]:
     """The chunks of a text: as they are behind a space, with ``BARE`` before them otherwise, and ``FEED`` for line feeds."""
     if not text:
         return []
-    if not OTHER_SPACE.search(text):
-        out = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            if "" in words:
-                break
-            words[0] = BARE + words[0]
-            out += words
-            out.append(FEED)
-        else:
-            return out[:-1]
     out, at, head = [], 0, BARE
     for m in CUT.finditer(text):
         out.append(head + text[at : m.start()])
@@ -89,6 +83,27 @@ def chunks(text: str) -> list[str]:
     return out
 
 
+def single_spaced(text: str) -> bool:
+    """Whether all white space of a text are single spaces and line feeds between other characters."""
+    return not (
+        not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or "\n " in text or " \n" in text
+        or not text.replace("\n", "").isprintable() and OTHER_SPACE.search(text)
+    )
+
+
+def cut_all(single: list[str], other: list[str]) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """Chunks of all texts, one after the other, and their number in each text: first of the single-spaced ones.
+
+    There a sign that ends a word is a chunk as well, so that fewer of them differ.
+    """
+    marked = [STOP.sub(rf" {BARE}\g<0>", BARE + t.replace("\n", f" {FEED} {BARE}")) for t in single]
+    split = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
+    others = list(map(chunks, other))
+    flat = pa.concat_arrays([split.flatten(), pa.array([c for cs in others for c in cs], pa.large_string())])
+    counts = np.append(split.value_lengths().to_numpy(), np.asarray([len(cs) for cs in others], np.int64))
+    return flat, counts.astype(np.int64)
+
+
 def bounded(names: list[str]) -> Iterator[list[str]]:
     """Names in portions of a bounded number, which are small unless a name is long itself."""
     for at in range(0, len(names), TOGETHER):
@@ -183,16 +198,37 @@ class ByteEncoder:
             return [self.whole(t) for t in texts]
         self.words.make_room()
         known = self.words.known
-        parts = [chunks(t) for t in texts]
-        if missing := self.words.recall(set().union(*parts).difference(known)):
+        # single-spaced texts first
+        order = sorted(range(len(texts)), key=(single := list(map(single_spaced, texts))).__getitem__, reverse=True)
+        n_single = sum(single)
+        flat, counts = cut_all([texts[k] for k in order[:n_single]], [texts[k] for k in order[n_single:]])
+        told = flat.dictionary_encode()
+        names = told.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
+        made = list(map(known.get, names))
+        gaps = [k for k, m in enumerate(made) if m is None]
+        if missing := self.words.recall({names[k] for k in gaps}):
             self.learn(missing)
-        return [np.frombuffer(b"".join(map(known.__getitem__, p)), np.uint32) for p in parts]
-
-    def forget(self) -> None:
-        self.words.forget()
-        give_back()
+        for k in gaps:
+            made[k] = known[names[k]]
+        ids = np.frombuffer(b"".join(made), np.uint32)
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // ids.itemsize
+        which = told.indices.to_numpy()
+        n = sizes[which]
+        ends = np.append(0, np.cumsum(n))
+        # each chunk's ids lie side by side in ``ids``, as far from their place in the texts as its first one
+        all_ids = ids[np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], n) + np.arange(ends[-1])]
+        stops = ends[np.cumsum(counts)].tolist()
+        out = dict(zip(order, map(all_ids.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+        return [out[k] for k in range(len(texts))]
 
 
 @functools.lru_cache(1)
 def byte_encoder(path: str) -> ByteEncoder:
     return ByteEncoder(path)
+
+
+def drop_words() -> None:
+    """Drop this worker's encoder and its words, if it has one."""
+    if byte_encoder.cache_info().currsize:
+        byte_encoder.cache_clear()
+        give_back()

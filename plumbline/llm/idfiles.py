@@ -16,7 +16,7 @@ Decoding is by table: a control byte looks up the widths of its four tokens, run
 are read at each place and masked by width, and the rank looks up the id. Nothing loops over tokens.
 
 Documents are encoded where they are read, chunk by chunk between single spaces, which changes no id; so memory is
-bounded by the texts at hand and a cache of stated size. Ids are staged with two bytes each if the vocabulary allows. The sort is by range of key,
+bounded by the texts at hand and a cache of stated size, which a worker keeps from task to task of that job. Ids are staged with two bytes each if the vocabulary allows. The sort is by range of key,
 and rows of one key are told apart by their place in the staged table, so a key with a third of all rows is dealt over
 several tasks. The table of ranks has at most one entry per id of the vocabulary, and is all that is sent to the tasks.
 
@@ -116,6 +116,7 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from plumbline.llm.bytetokens import byte_encoder
+        from plumbline.llm.wordcache import give_back
 
         encoder = byte_encoder(tokenizer)
         try:
@@ -129,8 +130,8 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                         names=["_key", "_n", "_ids"],
                     )
         finally:
-            # a worker may go on to other tasks; it keeps the tokenizer, not the words
-            encoder.forget()
+            # the words stay for the worker's next task of this job; the jobs that follow drop them
+            give_back()
 
     read = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     made = read.mapInArrow(run, "_key bigint, _n bigint, _ids binary")
@@ -148,8 +149,10 @@ def frequencies(staged: DataFrame) -> DataFrame:
     """``id`` and ``n`` over all documents; each task counts its own before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from plumbline.llm.bytetokens import drop_words
         from plumbline.llm.idfiles import id_kind
 
+        drop_words()
         total = np.zeros(0, np.int64)
         for batch in batches:
             for n, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -188,8 +191,10 @@ def save(staged: DataFrame, path: str) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        from plumbline.llm.bytetokens import drop_words
         from plumbline.llm.idfiles import BLOCK_TOKENS, id_kind, write_block
 
+        drop_words()
         task, block = TaskContext.get().partitionId(), 0
         keys, counts, ranks, tokens = [], [], [], 0
 
@@ -243,8 +248,10 @@ def decode(spark: SparkSession, path: str, digest_only: bool = False) -> DataFra
     sent = spark.sparkContext.broadcast(np.frombuffer(tables[0], "<u4", n, 8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from plumbline.llm.bytetokens import drop_words
         from plumbline.llm.idfiles import read_blocks
 
+        drop_words()
         names = ["_key", "task", "block", "offset", "n_tokens", "ids_crc32", "ids"]
         kinds = [*[pa.int64()] * 6, pa.binary()]
         for batch in batches:

@@ -159,6 +159,23 @@ def test_chunks_have_the_ids_of_whole_texts():
     assert not other.by_chunk and other.batch(["It's A b", ""])[0].tolist() == other.whole("It's A b").tolist()
 
 
+def test_words_are_learnt_without_the_sign_behind_them():
+    """And once for all texts: a word with four signs behind it is looked up as itself, in any text."""
+    e = bytetokens.ByteEncoder(BYTES)
+    texts = ["say word, word. word; word", "é, ŉ. word!? word. \tx", "", "word, on\nword, x: y", "3, 4. a-, b\u00a0c, d", "one word."]
+    assert [i.tolist() for i in e.batch(texts)] == [e.whole(t).tolist() for t in texts]
+    assert "word" in e.words.known and not {"word,", "word.", "word;"} & e.words.known.keys()
+    assert [e.batch([t])[0].tolist() for t in texts] == [e.whole(t).tolist() for t in texts]
+
+
+def test_the_words_of_a_worker_are_dropped():
+    first = bytetokens.byte_encoder(BYTES)
+    first.batch(["some words"])
+    assert bytetokens.byte_encoder(BYTES) is first
+    bytetokens.drop_words()
+    assert bytetokens.byte_encoder.cache_info().currsize == 0 and not bytetokens.byte_encoder(BYTES).words.known
+
+
 def plain_files(docs):
     ids = [(k, [*WHOLE.encode(t or "", add_special_tokens=False).ids, 2]) for k, t in docs]
     out, at = [], 0
