@@ -1,10 +1,12 @@
 """Whole-text ids of a byte-level tokenizer, looked up by what stands between single spaces.
 
-The usual pattern of byte-level tokenizers always cuts before a space that stands between two other characters, and on
-both sides of a line feed that does, and no merge crosses a cut. So a text's ids are those of its chunks, one after the
-other, and chunks come back. Ids of chunks are kept in a cache bounded in bytes; chunks that it lacks are encoded
-together by the tokenizers library, with line feeds between them, whose own ids tell them apart. The chunks of many texts
-are cut and told apart in Arrow, so each is looked up once for all of them.
+The usual pattern of byte-level tokenizers always cuts before a space that stands between two other characters, on both
+sides of a line feed that does, and between a letter and a sign other than an apostrophe, and no merge crosses a cut. So a
+text's ids are those of its chunks, one after the other, and chunks come back. Ids of chunks are kept in a cache bounded
+in bytes; chunks that it lacks are encoded together by the tokenizers library, with line feeds between them, whose own ids
+tell them apart. The cuts of many texts are found in their UTF-8 bytes at once and the chunks told apart in Arrow, so each
+is looked up once for all of them, and no text is handled by itself. Where in doubt a cut is left out, which makes a chunk
+longer and changes no id.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import functools
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,20 +23,14 @@ import pyarrow.compute as pc
 
 from plumbline.llm.wordcache import WordCache, give_back
 
-#: A space or line feed between two characters that are no white space. Python knows all white space that the pattern
-#: does, and some more.
-CUT = re.compile(r"(?<=\S)[ \n](?=\S)")
-OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Words that are one pre-token behind a space, and signs that are one behind a word.
 WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: A sign that ends a word: the pattern cuts between a letter and a sign, and this one has no other sign beside it.
-STOP = re.compile(r"[!,.:;?](?<=[A-Za-zÀ-ÖØ-öø-ɏ].)(?= |\Z)")
-#: Stands before a chunk that has no space before it, and twice for a line feed; no other chunk begins with it.
+#: Stands before a chunk that has no space before it; no other chunk begins with it.
 BARE = "\n"
-FEED = BARE + BARE
-TOGETHER = 4096
-TEXTS, CHARS = 256, 1 << 21
+TOGETHER = 1024
+#: Bytes of texts that are cut together, so that a chunk that comes back is looked up once; a longer text is cut alone.
+CUT_BYTES = 1 << 22
 #: Ids are dear to make again, and the files of ids are written by a job of its own.
 ID_CACHE_BYTES = 192 << 20
 
@@ -67,41 +63,62 @@ def cuts_at_spaces(spec: dict) -> bool:
     )
 
 
-def chunks(text: str) -> list[str]:
-    """The chunks of a text: as they are behind a space, with ``BARE`` before them otherwise, and ``FEED`` for line feeds."""
-    if not text:
-        return []
-    out, at, head = [], 0, BARE
-    for m in CUT.finditer(text):
-        out.append(head + text[at : m.start()])
-        at = m.end()
-        head = ""
-        if m[0] == "\n":
-            out.append(FEED)
-            head = BARE
-    out.append(head + text[at:])
+def classes(members: Iterable[int]) -> np.ndarray:
+    """For each byte whether it is one of ``members``."""
+    out = np.zeros(256, bool)
+    out[list(members)] = True
     return out
 
 
-def single_spaced(text: str) -> bool:
-    """Whether all white space of a text are single spaces and line feeds between other characters."""
-    return not (
-        not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or "\n " in text or " \n" in text
-        or not text.replace("\n", "").isprintable() and OTHER_SPACE.search(text)
-    )
-
-
-def cut_all(single: list[str], other: list[str]) -> tuple[pa.LargeStringArray, np.ndarray]:
-    """Chunks of all texts, one after the other, and their number in each text: first of the single-spaced ones.
-
-    There a sign that ends a word is a chunk as well, so that fewer of them differ.
-    """
-    marked = [STOP.sub(rf" {BARE}\g<0>", BARE + t.replace("\n", f" {FEED} {BARE}")) for t in single]
-    split = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
-    others = list(map(chunks, other))
-    flat = pa.concat_arrays([split.flatten(), pa.array([c for cs in others for c in cs], pa.large_string())])
-    counts = np.append(split.value_lengths().to_numpy(), np.asarray([len(cs) for cs in others], np.int64))
-    return flat, counts.astype(np.int64)
+#: White space of one byte, with some that only Python takes for it; first bytes of longer white space.
+WHITE, WHITE_FIRST = classes([*range(9, 14), *range(28, 33)]), classes([0xC2, 0xE1, 0xE2, 0xE3])
+LONG_WHITE = [c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+#: Letters of one byte, and first bytes of U+00C0 to U+023F, which are letters but for two that end in these bytes.
+LETTER, LETTER_FIRST, NO_LETTER_LAST = classes(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), classes(range(0xC3, 0xC9)), (0x97, 0xB7)
+
+
+def white_bytes(data: np.ndarray) -> np.ndarray:
+    """For each byte of UTF-8 texts whether it belongs to white space."""
+    white = WHITE[data]
+    firsts = np.flatnonzero(WHITE_FIRST[data])
+    if len(firsts):
+        padded = np.append(data[: firsts[-1] + 3], np.zeros(2, np.uint8))
+        for c in LONG_WHITE:
+            at = firsts
+            for k, byte in enumerate(c):
+                at = at[padded[at + k] == byte]
+            for k in range(len(c)):
+                white[at + k] = True
+    return white
+
+
+def chunk_starts(data: np.ndarray, starts: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Places where chunks begin, ascending, in the UTF-8 bytes of texts that begin at ``starts``, none of them empty."""
+    white = white_bytes(data)
+    feed = data == 10
+    cut = feed | (data == 32)
+    cut[1:] &= ~white[:-1]
+    cut[:-1] &= ~white[1:]
+    cut[starts] = False
+    cut[starts[1:] - 1] = False
+    cut[-1:] = False
+    feed &= cut
+    letter = LETTER[data]
+    letter[1:] |= LETTER_FIRST[data[:-1]] & (data[1:] != NO_LETTER_LAST[0]) & (data[1:] != NO_LETTER_LAST[1])
+    cut[1:] |= feed[:-1] | letter[:-1] & signs[data[1:]]
+    cut[starts] = True
+    return np.flatnonzero(cut)
+
+
+def told_apart(data: np.ndarray, starts: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The distinct chunks, as they are behind a space and with ``BARE`` before them otherwise, and the one at each place."""
+    offsets = np.append(starts, len(data))
+    flat = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data))
+    told = flat.dictionary_encode()
+    distinct = told.dictionary
+    spaced = pc.and_not(pc.starts_with(distinct, " "), pc.starts_with(distinct, f" {BARE}"))
+    names = pc.if_else(spaced, pc.binary_replace_slice(distinct, 0, 1, ""), pc.binary_replace_slice(distinct, 0, 0, BARE))
+    return names.to_numpy(zero_copy_only=False).tolist(), told.indices.to_numpy()  # much faster than to_pylist
 
 
 def bounded(names: list[str]) -> Iterator[list[str]]:
@@ -110,6 +127,10 @@ def bounded(names: list[str]) -> Iterator[list[str]]:
         yield names[at : at + TOGETHER]
 
 
+def as_it_stands(chunk: str) -> str:
+    return chunk[1:] if chunk[:1] == BARE else " " + chunk
+
+
 class ByteEncoder:
     """Ids as unsigned 32-bit numbers. Texts of a tokenizer that reads in another way are encoded whole."""
 
@@ -119,7 +140,11 @@ class ByteEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.by_chunk = cuts_at_spaces(json.load(f))
+            spec = json.load(f)
+        self.by_chunk = cuts_at_spaces(spec)
+        # an added token is one piece, whatever it holds
+        kept = "'" + "".join(t["content"] for t in spec.get("added_tokens") or [])
+        self.signs = classes(ord(c) for c in SIGNS if c not in kept)
         self.feed = self.whole("\n")
         self.by_chunk = self.by_chunk and len(self.feed) == 1
         self.words = WordCache(ID_CACHE_BYTES)
@@ -149,7 +174,7 @@ class ByteEncoder:
         parts, rest = {}, set()
         words = set(filter(WORD.fullmatch, missing))
         for c in missing - words:
-            bare = c[0] == BARE
+            bare = c[:1] == BARE
             core = c.rstrip(SIGNS)
             if not WORD.fullmatch(core, bare):
                 rest.add(c)
@@ -164,62 +189,79 @@ class ByteEncoder:
         self.words.note(missing)
         self.words.note(words - missing)
         self.tokenizer.pre_tokenizer = self.plain
-        for some in bounded(list(words)):
-            shown = "\n ".join(some).encode().decode("latin-1").translate(LETTERS_OF)
+        # words of ASCII letters are their own letters of bytes
+        for some in bounded(sorted(words, key=str.isascii)):
+            shown = f"\n{LETTERS[' ']}".join(some)
+            if not shown.isascii():
+                shown = "\n ".join(some)
+                shown = shown if shown.isascii() else shown.encode().decode("latin-1")
+                shown = shown.translate(LETTERS_OF)
             ids = self.whole(LETTERS[" "] + shown)
             starts = np.flatnonzero(self.begins[ids])
             if not self.remember(some, ids, starts, np.append(starts[1:], len(ids))):
                 rest.update(some)
         self.tokenizer.pre_tokenizer = self.usual
-        # those with white space inside go last, so that they spoil no others
-        for names in bounded(sorted(rest, key=lambda c: bool(re.search(r"\s", c[c[0] == BARE :])))):
-            some = [c[1:] if c[0] == BARE else " " + c for c in names]
-            ids = self.whole("\n".join(some))
+        # white space inside may swallow a line feed between chunks, or hold one
+        apart = [c for c in rest if not c or re.search(r"\s", c[c[:1] == BARE :])]
+        for names in bounded(list(rest.difference(apart))):
+            ids = self.whole("\n".join(map(as_it_stands, names)))
             cuts = np.flatnonzero(ids == self.feed[0])
             if not self.remember(names, ids, np.append(0, cuts + 1), np.append(cuts, len(ids))):
-                known.update(zip(names, [self.whole(c).tobytes() for c in some], strict=True))
+                apart += names
+        for names in bounded(apart):
+            made = self.tokenizer.encode_batch_fast(list(map(as_it_stands, names)), add_special_tokens=False)
+            known.update((c, np.asarray(m.ids, np.uint32).tobytes()) for c, m in zip(names, made, strict=True))
         for c, (core, tail) in parts.items():
             known[c] = known[core] + known[tail]
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; a bounded number of texts and characters is looked at together."""
-        out, lo = [], 0
+        """Ids of each text."""
+        out = []
+        for ids, stops in self.columns(pa.array(texts, pa.large_string())):
+            out += map(ids.__getitem__, map(slice, [0, *stops[:-1].tolist()], stops.tolist()))
+        return out
+
+    def columns(self, texts: pa.Array, end: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of texts, one after the other, and where those of each text end; null is empty. ``end`` goes behind each text.
+
+        A bounded number of bytes is looked at together.
+        """
+        texts = texts.cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        closing = np.asarray([] if end is None else [end], np.uint32)
+        lo = 0
         while lo < len(texts):
-            hi, chars = lo + 1, len(texts[lo])
-            while hi < len(texts) and hi - lo < TEXTS and chars < CHARS:
-                chars += len(texts[hi])
-                hi += 1
-            out += self.some(texts[lo:hi])
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CUT_BYTES, "right")) - 1)
+            if self.by_chunk:
+                yield self.some(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], closing)
+            else:
+                made = [np.append(self.whole(t), closing) for t in texts[lo:hi].to_pylist()]
+                yield np.concatenate(made).astype(np.uint32), np.cumsum(list(map(len, made)))
             lo = hi
-        return out
 
-    def some(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_chunk:
-            return [self.whole(t) for t in texts]
+    def some(self, data: np.ndarray, offsets: np.ndarray, closing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and ends for ``columns``, of texts that lie side by side in ``data``."""
         self.words.make_room()
         known = self.words.known
-        # single-spaced texts first
-        order = sorted(range(len(texts)), key=(single := list(map(single_spaced, texts))).__getitem__, reverse=True)
-        n_single = sum(single)
-        flat, counts = cut_all([texts[k] for k in order[:n_single]], [texts[k] for k in order[n_single:]])
-        told = flat.dictionary_encode()
-        names = told.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
+        starts = chunk_starts(data, offsets[:-1][np.diff(offsets) > 0], self.signs)
+        names, which = told_apart(data, starts)
         made = list(map(known.get, names))
         gaps = [k for k, m in enumerate(made) if m is None]
         if missing := self.words.recall({names[k] for k in gaps}):
             self.learn(missing)
         for k in gaps:
             made[k] = known[names[k]]
-        ids = np.frombuffer(b"".join(made), np.uint32)
-        sizes = np.fromiter(map(len, made), np.int64, len(made)) // ids.itemsize
-        which = told.indices.to_numpy()
-        n = sizes[which]
-        ends = np.append(0, np.cumsum(n))
-        # each chunk's ids lie side by side in ``ids``, as far from their place in the texts as its first one
-        all_ids = ids[np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], n) + np.arange(ends[-1])]
-        stops = ends[np.cumsum(counts)].tolist()
-        out = dict(zip(order, map(all_ids.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
-        return [out[k] for k in range(len(texts))]
+        stops = np.searchsorted(starts, offsets[1:])
+        if len(closing):
+            made.append(closing.tobytes())
+            which = np.insert(which, stops, len(names))
+            stops = stops + np.arange(1, len(stops) + 1)
+        taken = pa.array(made, pa.large_binary()).take(pa.array(which, pa.int32()))
+        if not len(taken):
+            return np.zeros(0, np.uint32), stops
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1) // 4
+        return np.frombuffer(taken.buffers()[2] or b"", np.uint32, int(ends[-1])), ends[stops]
 
 
 @functools.lru_cache(1)

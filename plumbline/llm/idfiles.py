@@ -12,8 +12,8 @@ A second folder holds the table of ranks: ``b"PLIR"``, u32 number of ids, then t
 u32 each. The files are written and read by Spark's own readers and writers, so they can lie in any store. Blocks are in
 ascending order of the key within a file, and the files of a lower task come first.
 
-Decoding is by table: a control byte looks up the widths of its four tokens, running sums give their places, four bytes
-are read at each place and masked by width, and the rank looks up the id. Nothing loops over tokens.
+Decoding is by table: a control byte looks up the widths of its four tokens, running sums give their places, the bytes
+there are put together, and the rank looks up the id. Nothing loops over tokens.
 
 Documents are encoded where they are read, chunk by chunk between single spaces, which changes no id; so memory is
 bounded by the texts at hand and a cache of stated size, which a worker keeps from task to task of that job. Ids are staged with two bytes each if the vocabulary allows. The sort is by range of key,
@@ -43,12 +43,12 @@ END_ID = 2
 BLOCK_TOKENS = 1 << 18
 #: Blocks in one file; with blocks of half a megabyte a file is read as one row of a few megabytes.
 FILE_BLOCKS = 16
-TEXTS = 256
+#: Ids counted together.
+COUNTED = 1 << 20
 HEADER = struct.Struct("<4sIIQQQ")
 MAGIC, RANKS_MAGIC = b"PLIB", b"PLIR"
-#: For each control byte the widths of its four tokens; for each width the bits that belong to a rank.
-WIDTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8)
-MASKS = np.asarray([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
+#: For each control byte the widths of its four tokens, a byte each, as one number.
+WIDTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8).view(np.uint32).reshape(-1)
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -59,17 +59,24 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     padded[: len(ranks)] = less_one
     four = padded.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    held = np.arange(4) <= less_one[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[held].tobytes()
+    # only as many bytes of each number are looked at as the widest has
+    widest = int(less_one.max(initial=0)) + 1
+    held = np.empty((len(ranks), widest), bool)
+    for k in range(widest):
+        held[:, k] = less_one >= k
+    parts = np.ascontiguousarray(ranks.view(np.uint8).reshape(-1, 4)[:, :widest])
+    return control.tobytes(), parts.reshape(-1)[held.reshape(-1)].tobytes()
 
 
 def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    widths = WIDTHS[control].reshape(-1)[:n]
-    ends = np.cumsum(widths, dtype=np.int64)
-    padded = np.zeros(len(data) + 4, np.uint8)
-    padded[: len(data)] = data
-    words = np.lib.stride_tricks.sliding_window_view(padded, 4)[ends - widths]
-    return np.ascontiguousarray(words).view("<u4").reshape(-1) & MASKS[widths]
+    widths = WIDTHS[control].view(np.uint8)[:n]
+    wide = widths.astype(np.int64)
+    starts = np.cumsum(wide) - wide
+    ranks = data[starts].astype(np.uint32)
+    for k in range(1, int(widths.max(initial=1))):
+        more = np.flatnonzero(widths > k)
+        ranks[more] |= data[starts[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    return ranks
 
 
 def write_block(task: int, block: int, keys: list[int | None], counts: list[int], ranks: np.ndarray) -> bytes:
@@ -121,14 +128,16 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         encoder = byte_encoder(tokenizer)
         try:
             for batch in batches:
-                for lo in range(0, batch.num_rows, TEXTS):
-                    part = batch.slice(lo, TEXTS)
-                    ids = encoder.batch([t or "" for t in part.column(1).to_pylist()])
-                    data = [np.append(i, np.uint32(end_id)).astype(kind).tobytes() for i in ids]
+                at = 0
+                for ids, stops in encoder.columns(batch.column(1), end_id):
+                    data, starts = ids.astype(kind), np.append(0, stops)
+                    buffers = [None, pa.py_buffer(starts * data.itemsize), pa.py_buffer(data)]
+                    made = pa.Array.from_buffers(pa.large_binary(), len(stops), buffers).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0), pa.array([len(i) + 1 for i in ids], pa.int64()), pa.array(data, pa.binary())],
+                        [batch.column(0).slice(at, len(stops)), pa.array(np.diff(starts), pa.int64()), made],
                         names=["_key", "_n", "_ids"],
                     )
+                    at += len(stops)
         finally:
             # the words stay for the worker's next task of this job; the jobs that follow drop them
             give_back()
@@ -145,22 +154,31 @@ def id_kind(n_bytes: int, n: int) -> str:
     return "<u2" if n_bytes == 2 * n else "<u4"
 
 
+def staged_ids(n: pa.Array, ids: pa.Array) -> np.ndarray:
+    """Ids of all rows of a batch, one after the other, as they are staged."""
+    ids = ids.cast(pa.large_binary())
+    if not len(ids):
+        return np.zeros(0, np.uint16)
+    ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)
+    data = memoryview(ids.buffers()[2])[ends[0] : ends[-1]]
+    return np.frombuffer(data, id_kind(len(data), int(n.to_numpy().sum())))
+
+
 def frequencies(staged: DataFrame) -> DataFrame:
     """``id`` and ``n`` over all documents; each task counts its own before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from plumbline.llm.bytetokens import drop_words
-        from plumbline.llm.idfiles import id_kind
+        from plumbline.llm.idfiles import COUNTED, staged_ids
 
         drop_words()
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for n, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = ids.as_buffer()
-                here = np.bincount(np.frombuffer(data, id_kind(data.size, n)))
-                if len(here) > len(total):
-                    total = np.append(total, np.zeros(len(here) - len(total), np.int64))
-                total[: len(here)] += here
+            ids = staged_ids(batch.column(0), batch.column(1))
+            for lo in range(0, len(ids), COUNTED):
+                here = np.bincount(ids[lo : lo + COUNTED], minlength=len(total))
+                here[: len(total)] += total
+                total = here
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], names=["id", "n"])
 
@@ -192,7 +210,7 @@ def save(staged: DataFrame, path: str) -> None:
         from pyspark import TaskContext
 
         from plumbline.llm.bytetokens import drop_words
-        from plumbline.llm.idfiles import BLOCK_TOKENS, id_kind, write_block
+        from plumbline.llm.idfiles import BLOCK_TOKENS, staged_ids, write_block
 
         drop_words()
         task, block = TaskContext.get().partitionId(), 0
@@ -203,12 +221,18 @@ def save(staged: DataFrame, path: str) -> None:
             return pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["block"])
 
         for batch in batches:
-            for key, n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                data = ids.as_buffer()
-                keys.append(key)
-                counts.append(n)
-                ranks.append(sent.value[np.frombuffer(data, id_kind(data.size, n))])
-                tokens += n
+            own, n = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids = staged_ids(batch.column(1), batch.column(2))
+            ends = np.append(0, np.cumsum(n, dtype=np.int64))
+            lo = 0
+            while lo < len(own):
+                # up to the document with which the block is full
+                hi = min(int(np.searchsorted(ends, ends[lo] + BLOCK_TOKENS - tokens)), len(own))
+                keys += own[lo:hi]
+                counts += n[lo:hi]
+                ranks.append(sent.value[ids[ends[lo] : ends[hi]]])
+                tokens += int(ends[hi] - ends[lo])
+                lo = hi
                 if tokens >= BLOCK_TOKENS:
                     yield close()
                     keys, counts, ranks, tokens = [], [], [], 0

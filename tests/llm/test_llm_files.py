@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from llm_fixtures import hostile, llm, none  # noqa: F401
 from oracle import connect
@@ -168,6 +169,28 @@ def test_words_are_learnt_without_the_sign_behind_them():
     assert [e.batch([t])[0].tolist() for t in texts] == [e.whole(t).tolist() for t in texts]
 
 
+def test_texts_are_cut_between_letters_and_signs():
+    """Whatever stands behind the sign, so that a word is learnt once; added tokens and apostrophes stay whole."""
+    e = bytetokens.ByteEncoder(BYTES)
+    texts = ["see word-x word$$$ word.x@word.y (word)", "word<|endoftext|>word|> don't word'; word×word÷é·ŗ", None, "word"]
+    got = [(ids.tolist(), stops.tolist()) for ids, stops in e.columns(pa.array(["gone", *texts, "word"]).slice(1, 4), end=2)]
+    want = [[*e.whole(t or "").tolist(), 2] for t in texts]
+    assert got == [(sum(want, []), np.cumsum(list(map(len, want))).tolist())]
+    assert "word" in e.words.known and not {"word-x", "word$$$", "word.x@word.y"} & e.words.known.keys()
+
+
+def test_chunks_of_texts_of_all_kinds_of_white_space(monkeypatch):
+    e = bytetokens.ByteEncoder(BYTES)
+    white = "\t\r\x0b\x1c\x1f\x85\xa0\u1680\u2000\u200a\u2028\u202f\u205f\u3000"
+    some = [*"    \n\n", *white, *"aZéŉɏ×÷ĳ12٣।あ”\u200b\u0301\U0001f600.,;'-_|<>\"", "'s", "'ll", "word", "<|endoftext|>", "<|"]
+    rng = np.random.default_rng(7)
+    texts = [" \nx", "\nx", "x", " x", *("".join(rng.choice(some, rng.integers(0, 30))) for _ in range(3_000))]
+    want = [e.whole(t).tolist() for t in texts]
+    assert [i.tolist() for i in e.batch(texts)] == want
+    monkeypatch.setattr(bytetokens, "CUT_BYTES", 50)
+    assert [i.tolist() for i in bytetokens.ByteEncoder(BYTES).batch(texts)] == want
+
+
 def test_the_words_of_a_worker_are_dropped():
     first = bytetokens.byte_encoder(BYTES)
     first.batch(["some words"])
