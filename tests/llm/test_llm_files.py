@@ -179,6 +179,13 @@ def test_texts_are_cut_between_letters_and_signs():
     assert "word" in e.words.known and not {"word-x", "word$$$", "word.x@word.y"} & e.words.known.keys()
 
 
+def test_white_space_in_one_chunk_moves_no_ids_to_another():
+    for t in ["b .\nwordx \n b", "\n word\na", "\n\t\n \na\n.\na."]:
+        e = bytetokens.ByteEncoder(BYTES)
+        for _ in range(2):
+            assert e.batch([t])[0].tolist() == e.whole(t).tolist(), t
+
+
 def test_chunks_of_texts_of_all_kinds_of_white_space(monkeypatch):
     e = bytetokens.ByteEncoder(BYTES)
     white = "\t\r\x0b\x1c\x1f\x85\xa0\u1680\u2000\u200a\u2028\u202f\u205f\u3000"
